@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Stands for a null id inside Python code, where a null would turn all ids of a batch into floats.
+NO_ID = -(2**63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +47,13 @@ def written(df: DataFrame, kind: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The two columns an operator needs, under names of its own: id (NO_ID for null) and body (null is empty)."""
+    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("body"))
+
+
+def named(df: DataFrame, id_col: str, column: str = "id") -> DataFrame:
+    """Undo ``keyed``: the id's own name, and null where there was none."""
+    return df.withColumn(column, F.nullif(F.col(column), F.lit(NO_ID))).withColumnRenamed(column, id_col)

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairstrand.llm import exact_dedup
+from pairstrand.llm import exact_dedup, tokens
 from pairstrand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The public byte-level vocabulary: its file, its number of ids, and the id that ends a document.
+VOCABULARY, VOCABULARY_SIZE, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 50_257, 2
+#: Of the flat files without index: an id that no text contains, for ids of plain text may equal 2.
+SEPARATOR_ID = 50_257
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -27,9 +33,28 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are written as flat files and found again by their separators; doc_no gives each its id back."""
+    files, names = tokens.write_flat_files(table(spark, sf_dir, "documents"), VOCABULARY, SEPARATOR_ID, SEPARATOR_ID + 1)
+    found = tokens.scan_separators(files, SEPARATOR_ID, SEPARATOR_ID + 1)
+    return found.join(names, "doc_no").select("doc_id", "doc_no", "start", "n_tokens")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokens.write_token_files(table(spark, sf_dir, "documents"), VOCABULARY, END_ID, VOCABULARY_SIZE, library=True)
+    return tokens.read_token_files(files, VOCABULARY_SIZE)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op4_bpe": op4_bpe,
+        "op6_token_counts": op6_token_counts,
+        "op7_token_files": op7_token_files,
     }
 
 
