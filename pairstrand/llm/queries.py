@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairstrand.llm import exact_dedup, tokens
+from pairstrand.llm import exact_dedup, quality, tokens, warc
 from pairstrand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,16 +50,59 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(files, VOCABULARY_SIZE)
 
 
+def quality_forest(docs: DataFrame, labels: DataFrame) -> quality.Forest:
+    """Trees grown without the labels of the held-out fold."""
+    return quality.fit(docs, labels.where(quality.fold(labels["doc_id"]) != 2))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forest = quality_forest(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, forest).select(
+        "doc_id",
+        F.coalesce(quality.fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers = warc.write_responses(table(spark, sf_dir, "pages"))
+    return warc.read_archives(warc.resolve_revisits(headers))
+
+
+#: SHA-1 in base32: the digest's 40 hex digits are read five (20 bits) at a time as four signs.
+OP9_SQL = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS hex FROM pages
+), coded AS (
+  SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(8), lambda k: array_to_string(list_transform(range(4), lambda j:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (((('0x' || substr(hex, 1 + 5 * k::INT, 5))::BIGINT) >> (15 - 5 * j)::INT) & 31)::INT, 1)), '')), '') AS payload_digest
+  FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = min(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
+FROM coded
+WINDOW same AS (PARTITION BY payload_digest, payload_bytes)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op4_bpe": op4_bpe,
         "op6_token_counts": op6_token_counts,
         "op7_token_files": op7_token_files,
+        "op8_quality": op8_quality,
+        "op9_warc": op9_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
+        "op9_warc": OP9_SQL,
     }
