@@ -1,13 +1,14 @@
-"""What the corpus operators share: inputs, the shared folder, and tables written there."""
+"""What the corpus operators share: inputs, and ids and texts as they take them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairstrand.sources.shared import new_folder, shared_dir, shuffle_partitions, written
+
+__all__ = ["NO_ID", "keyed", "named", "new_folder", "shared_dir", "shuffle_partitions", "table", "written"]
+
 #: Stands for a null id inside Python code, where a null would turn all ids of a batch into floats.
 NO_ID = -(2**63)
 
@@ -17,38 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor can reach.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in tests on one machine, a temporary
-    folder is made and put into the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it again.
-
-    This cuts the lineage and survives the loss of executors.
-    """
-    spark, path = df.sparkSession, new_folder(df.sparkSession, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator needs, under names of its own: id (NO_ID for null) and body (null is empty)."""
     return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("body"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairstrand.llm import exact_dedup, quality, tokens, warc
+from pairstrand.llm import exact_dedup, near_dedup, quality, tokens, warc
 from pairstrand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -93,6 +97,7 @@ WINDOW same AS (PARTITION BY payload_digest, payload_bytes)
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_near_dedup": op3_near_dedup,
         "op4_bpe": op4_bpe,
         "op6_token_counts": op6_token_counts,
         "op7_token_files": op7_token_files,
