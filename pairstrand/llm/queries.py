@@ -46,7 +46,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents are written as flat files and found again by their separators; doc_no gives each its id back."""
     files, names = tokens.write_flat_files(table(spark, sf_dir, "documents"), VOCABULARY, SEPARATOR_ID, SEPARATOR_ID + 1)
     found = tokens.scan_separators(files, SEPARATOR_ID, SEPARATOR_ID + 1)
-    return found.join(names, "doc_no").select("doc_id", "doc_no", "start", "n_tokens")
+    return found.join(names.hint("merge"), "doc_no").select("doc_id", "doc_no", "start", "n_tokens")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
