@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairstrand.llm import exact_dedup, near_dedup, quality, tokens, warc
+from pairstrand.llm import ann, exact_dedup, near_dedup, packing, quality, tokens, warc
 from pairstrand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' ids with an end id each, packed into sequences."""
+    return packing.pack(tokens.token_lengths(table(spark, sf_dir, "documents"), VOCABULARY, extra=1))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents are written as flat files and found again by their separators; doc_no gives each its id back."""
     files, names = tokens.write_flat_files(table(spark, sf_dir, "documents"), VOCABULARY, SEPARATOR_ID, SEPARATOR_ID + 1)
@@ -97,8 +107,10 @@ WINDOW same AS (PARTITION BY payload_digest, payload_bytes)
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_ann": op2_ann,
         "op3_near_dedup": op3_near_dedup,
         "op4_bpe": op4_bpe,
+        "op5_packing": op5_packing,
         "op6_token_counts": op6_token_counts,
         "op7_token_files": op7_token_files,
         "op8_quality": op8_quality,
