@@ -1 +1,33 @@
-"""A corpus pipeline of the operators in ``pairstrand.llm``."""
+"""A corpus pipeline of the operators in ``pairstrand.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next
+stage. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pairstrand.llm import stages
+from pairstrand.llm.common import table, written
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", stages.quality_stage),
+    ("exact_dedup", stages.exact_stage),
+    ("near_dedup", stages.near_stage),
+    ("suffix_dedup", stages.suffix_stage),
+    ("packing", stages.packing_stage),
+]
+
+#: SQL can't express the classifier, the link components or the packing; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

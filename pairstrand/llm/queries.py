@@ -4,20 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairstrand.llm import ann, exact_dedup, near_dedup, packing, quality, tokens, warc
+from pairstrand.llm import ann, exact_dedup, near_dedup, packing, quality, substring_dedup, tokens, warc
 from pairstrand.llm.common import table
+from pairstrand.llm.settings import END_ID, SEPARATOR_ID, VOCABULARY, VOCABULARY_SIZE, quality_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The public byte-level vocabulary: its file, its number of ids, and the id that ends a document.
-VOCABULARY, VOCABULARY_SIZE, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 50_257, 2
-#: Of the flat files without index: an id that no text contains, for ids of plain text may equal 2.
-SEPARATOR_ID = 50_257
-
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -64,11 +60,6 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(files, VOCABULARY_SIZE)
 
 
-def quality_forest(docs: DataFrame, labels: DataFrame) -> quality.Forest:
-    """Trees grown without the labels of the held-out fold."""
-    return quality.fit(docs, labels.where(quality.fold(labels["doc_id"]) != 2))
-
-
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality_forest(docs, table(spark, sf_dir, "labels"))
@@ -104,6 +95,15 @@ WINDOW same AS (PARTITION BY payload_digest, payload_bytes)
 """
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = substring_dedup.removals(table(spark, sf_dir, "documents"))
+    return rows.drop("doc")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -115,6 +115,8 @@ def queries() -> dict[str, Query]:
         "op7_token_files": op7_token_files,
         "op8_quality": op8_quality,
         "op9_warc": op9_warc,
+        "op10_suffix_dedup": op10_suffix_dedup,
+        "pipeline": pipeline,
     }
 
 
