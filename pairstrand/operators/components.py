@@ -28,3 +28,122 @@ def wcc(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
         if labels.where(F.col("old") != F.col("label")).isEmpty():
             return labels.select("node", F.col("label").alias("component"))
         labels = labels.select("node", "label")
+
+
+def find_components(edges: DataFrame, min_size: int = 2) -> DataFrame:
+    """Components of at least ``min_size`` nodes, one of each pair of mirrors: node, component.
+
+    Of a component and its mirror the one with the smaller least node is kept; a component that is its own mirror stays.
+    """
+    found = written(wcc(edges), "components")
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("node").bitwiseXOR(F.lit(1))).alias("mirror"))
+    kept = sizes.where((F.col("n") >= min_size) & (F.col("component") <= F.col("mirror"))).select("component")
+    return found.join(kept, "component").select("node", "component")
+
+
+def component_stats(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """component, n, total_length, min_length, max_length, avg_length."""
+    length = F.col("read_length")
+    return members.join(nodes.select("node", "read_length"), "node").groupBy("component").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(length).alias("total_length"), F.min(length).alias("min_length"), F.max(length).alias("max_length"), F.round(F.avg(length), 6).alias("avg_length")
+    )
+
+
+def largest_component(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes of the component with the greatest total length (of equals, the smallest label)."""
+    totals = members.join(nodes.select("node", "read_length"), "node").groupBy("component").agg(F.sum("read_length").alias("total"))
+    best = totals.agg(F.max(F.struct("total", (-F.col("component")).alias("neg"))).alias("b")).select((-F.col("b.neg")).alias("component"))
+    return members.join(F.broadcast(best), "component").select("node", "component")
+
+
+def reachable(edges: DataFrame, starts: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """Nodes that chains of edges reach from the starts, these included; with ``within``, by its nodes only.
+
+    Breadth-first: only the nodes new in a round go on; rounds follow the longest shortest way.
+    """
+    if within is not None:
+        edges = edges.join(within.select(F.col("node").alias("dst")), "dst", "left_semi")
+    step = written(edges.select(F.col("src").alias("node"), "dst").distinct(), "reach-edges")
+    seen = front = written(starts.select("node").distinct(), "reach")
+    while True:
+        new = front.join(step, "node").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = written(new, "reach")
+        if front.isEmpty():
+            return seen
+        seen = written(seen.union(front), "reach")
+
+
+def is_dag(edges: DataFrame) -> bool:
+    """Whether a graph has no cycle: nodes without in-edges are peeled off until none is left."""
+    rest = written(edges.select("src", "dst").distinct(), "dag")
+    while not rest.isEmpty():
+        less = written(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "dag")
+        if less.count() == rest.count():
+            return False
+        rest = less
+    return True
+
+
+def comp_dist(nodes: DataFrame, edges: DataFrame, max_steps: int = 10_000) -> DataFrame:
+    """Length in edges of the shortest way from each node to its complement: node, comp_dist (-1 without a way).
+
+    All searches advance together, each by its own front of (start, node) rows.
+    """
+    step = written(edges.select(F.col("src").alias("at"), "dst").distinct(), "dist-edges")
+    seen = front = written(nodes.select(F.col("node").alias("start"), F.col("node").alias("at")), "dist")
+    found = None
+    for distance in range(1, max_steps + 1):
+        new = front.join(step, "at").select("start", F.col("dst").alias("at")).distinct().join(seen, ["start", "at"], "left_anti")
+        new = written(new, "dist")
+        if new.isEmpty():
+            break
+        done = new.where(F.col("at") == F.col("start").bitwiseXOR(F.lit(1))).select(F.col("start").alias("node"), F.lit(distance).alias("d"))
+        found = done if found is None else found.union(done)
+        finished = done.select(F.col("node").alias("start"))
+        front = written(new.join(finished, "start", "left_anti"), "dist")
+        seen = written(seen.union(new).join(finished, "start", "left_anti"), "dist")
+    if found is None:
+        return nodes.select("node", F.lit(-1).alias("comp_dist"))
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("d", F.lit(-1)).alias("comp_dist"))
+
+
+def deadends(nodes: DataFrame, edges: DataFrame, start_column: str, end_column: str, max_sweeps: int = 1000) -> DataFrame:
+    """Nodes that lie on no way from a leftmost node to the node farthest to the right that it reaches: node.
+
+    Sweep by sweep: of the nodes left, the one that begins first is the start; what it reaches is taken out; the nodes on ways
+    from it to the one that ends last count as good. Sweeps that reach at most two nodes, or that end before an earlier sweep
+    did, count nothing.
+    """
+    spark = nodes.sparkSession
+    left, good, best = written(nodes.select("node", F.col(start_column).alias("s"), F.col(end_column).alias("e")).dropna(), "dead"), None, None
+    for _ in range(max_sweeps):
+        first = left.orderBy("s", "node").first()
+        if first is None:
+            break
+        start = spark.createDataFrame([(first["node"],)], "node long")
+        forward = reachable(edges, start, left)
+        inside = written(left.join(forward, "node"), "dead")
+        top = inside.orderBy(F.desc("e"), "node").first()
+        if inside.count() > 2 and (best is None or top["e"] >= best):
+            best = top["e"]
+            back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            way = reachable(back, spark.createDataFrame([(top["node"],)], "node long"), inside)
+            good = way if good is None else good.union(way)
+        left = written(left.join(forward, "node", "left_anti"), "dead")
+    every = nodes.select("node")
+    return every if good is None else every.join(good.distinct(), "node", "left_anti")
+
+
+def partition_with_halo(nodes: DataFrame, edges: DataFrame, parts: int, hops: int = 1) -> DataFrame:
+    """Deal pairs of nodes into parts, each with its neighbours within ``hops`` edges: part, node, own.
+
+    Parts are ranges of node ids, which lie together where ids follow the genome.
+    """
+    low, high = nodes.agg(F.min("node"), F.max("node")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
+    own = nodes.select("node", F.least(F.lit(parts - 1), F.floor((F.col("node") - (low or 0)) / (2 * (width // 2 + width % 2)))).cast("int").alias("part"))
+    either = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("node", "next").distinct()
+    held = own
+    for _ in range(hops):
+        held = held.union(held.join(either, "node").select(F.col("next").alias("node"), "part")).distinct()
+    return held.join(own.withColumnRenamed("part", "home"), "node").select("part", "node", (F.col("home") == F.col("part")).alias("own"))
