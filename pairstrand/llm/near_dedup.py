@@ -1,16 +1,20 @@
 """Near-duplicate groups by HyperMinHash.
 
-A document is the set of its 5-word shingles (64-bit hashes). Its sketch has ``SEEDS`` x ``BUCKETS`` registers: a hash's
-first bits choose the bucket, and of the bucket's smallest hash the register keeps the number of leading zeros (6 bits)
-and the ``MANTISSA`` bits after them. Steps:
+A document is the set of its 5-word shingles (64-bit hashes). A sketch has ``REGISTERS`` registers, each the number of
+leading zeros (6 bits) of a smallest hash and the ``MANTISSA`` bits after them. A wide sketch has ``SEEDS`` hash functions
+with ``BUCKETS`` buckets each, chosen by a hash's first bits. Small sets would leave most buckets empty, so sets of at most
+``SMALL`` shingles have a tight sketch, one hash function and one bucket per register; sets whose sizes lie so near to
+``SMALL`` that a similar set could be on its other side have both. Steps:
 
 1. Sets that are equal become one node, named by the smallest id that has the set.
-2. Banding: empty registers take over their next neighbour, then runs of ``BAND`` registers form band keys. Sets of Jaccard
-   similarity 0.75 share no band with a probability of (1 - 0.75^4)^64, about 3e-11.
-3. Links of a band's nodes. Bands of a few nodes give all their pairs. In a larger band every node is held against a
-   few centres, and what that has linked isn't compared again; the number of centres quadruples from round to round
-   until the nodes left are few enough for all pairs, so no pair of a band is left out and a band of near copies costs
-   about as many comparisons as it has nodes.
+2. Banding: empty registers take over their next neighbour, then ``BAND`` registers of as many hash functions form a band
+   key. Sets of Jaccard similarity 0.75 share no band with a probability of (1 - 0.75^5)^64, about 3e-8.
+3. Links of a band's nodes. A band gives all its pairs if these are few for its number of nodes (``FEW`` a node); in a
+   larger band every node is held against one centre. Nodes that this has connected aren't compared again, and the bands
+   whose other pairs have become few give them all.
+   Bands that still have many unconnected pairs (a large group of copies that are mostly just too different) are joined to
+   families by their common nodes. A family is dealt out in blocks, and each two blocks meet in one task that counts all
+   intersections at once and returns only links that connect: no pair is left out, and none is a row.
 4. Pairs whose estimated similarity (corrected for chance collisions of registers) is lower than the threshold by over
    ``SIGMAS`` standard errors are dropped; the others are confirmed on their full sets.
 5. Components of the confirmed links.
@@ -22,6 +26,7 @@ texts. A row without id is linked with nothing: its component is null and it is
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +41,21 @@ from pairstrand.operators.components import wcc
 SHINGLE = 5
 #: A link: 100 * intersection >= 75 * union.
 PERCENT = 75
-SEEDS, BUCKETS, MANTISSA, BAND = 4, 64, 10, 4
+SEEDS, BUCKETS, MANTISSA = 5, 64, 10
+BAND, REGISTERS = SEEDS, SEEDS * BUCKETS
+SMALL = 64
 SIGMAS = 5.5
+#: Pairs a node up to which a band gives all its pairs, and nodes of a family's block.
+FEW, BLOCK = 16, 512
+#: Shingles that are counted at once.
+COLUMNS = 4096
 #: Chance that registers of different hashes agree: same number of zeros (1/3) and same mantissa.
 CHANCE = 2.0**-MANTISSA / 3
 
 _MULT = np.random.default_rng(5).integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
-_SEED = np.random.default_rng(6).integers(1, 2**63, SEEDS, dtype=np.uint64)
-_BAND_SALT = mix(np.arange(1, SEEDS * BUCKETS // BAND + 1, dtype=np.uint64))
+_SEED = np.random.default_rng(6).integers(1, 2**63, REGISTERS, dtype=np.uint64)
+_BAND_SALT = mix(np.arange(1, 2 * BUCKETS + 1, dtype=np.uint64)).reshape(2, BUCKETS)
+_BAND_MULT = np.random.default_rng(8).integers(1, 2**63, BAND, dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +78,17 @@ def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return found[new], np.bincount(doc[new], minlength=len(w.count)).astype(np.int64)
 
 
-def registers(found: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Sketches, one row of SEEDS * BUCKETS registers per set; 0 is an empty register."""
+def _pack(least: np.ndarray) -> np.ndarray:
+    """Registers of smallest hashes; 0 where there was none."""
+    empty = least == np.iinfo(np.uint64).max
+    _, exponent = np.frexp((least >> np.uint64(11)).astype(np.float64))
+    zeros = np.clip(53 - exponent, 0, 62).astype(np.uint64)
+    mantissa = (least << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
+    return np.where(empty, 0, ((zeros + np.uint64(1)) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
+
+
+def wide_sketches(found: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """One row of registers per set: (seed, bucket)."""
     n = len(count)
     doc = np.repeat(np.arange(n), count)
     shift = np.uint64(BUCKETS.bit_length() - 1)
@@ -75,23 +96,31 @@ def registers(found: np.ndarray, count: np.ndarray) -> np.ndarray:
     for s in range(SEEDS):
         g = mix(found + _SEED[s])
         np.minimum.at(least[s], doc * BUCKETS + (g >> (np.uint64(64) - shift)).astype(np.int64), g << shift)
-    empty = least == np.iinfo(np.uint64).max
-    _, exponent = np.frexp((least >> np.uint64(11)).astype(np.float64))
-    zeros = np.clip(53 - exponent, 0, 62).astype(np.uint64)
-    mantissa = (least << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
-    out = np.where(empty, 0, ((zeros + np.uint64(1)) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
-    return out.reshape(SEEDS, n, BUCKETS).transpose(1, 0, 2).reshape(n, SEEDS * BUCKETS)
+    return _pack(least).reshape(SEEDS, n, BUCKETS).transpose(1, 0, 2).reshape(n, REGISTERS)
+
 
+def tight_sketches(found: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """One row of registers per set (none empty): a hash function each."""
+    if not len(count):
+        return np.zeros((0, REGISTERS), np.uint16)
+    starts = np.cumsum(count) - count
+    return np.column_stack([_pack(np.minimum.reduceat(mix(found + seed), starts)) for seed in _SEED])
 
-def band_keys(sketches: np.ndarray) -> np.ndarray:
-    """Keys of the bands of each sketch."""
-    regs = sketches.reshape(-1, BUCKETS)
-    twice = np.concatenate([regs, regs], axis=1)
-    place = np.where(twice > 0, np.arange(2 * BUCKETS), 4 * BUCKETS)
-    nearest = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :BUCKETS]
-    dense = np.ascontiguousarray(np.take_along_axis(twice, np.minimum(nearest, 2 * BUCKETS - 1), axis=1))
-    keys = dense.reshape(len(sketches), -1).view(np.uint64)
-    return mix(mix(keys) + _BAND_SALT)
+
+def band_keys(sketches: np.ndarray, tight: bool) -> np.ndarray:
+    """Keys of the bands of each sketch: a register of each of BAND hash functions."""
+    if tight:
+        dense = sketches.reshape(len(sketches), BAND, BUCKETS)
+    else:
+        regs = sketches.reshape(-1, BUCKETS)
+        twice = np.concatenate([regs, regs], axis=1)
+        place = np.where(twice > 0, np.arange(2 * BUCKETS), 4 * BUCKETS)
+        nearest = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :BUCKETS]
+        dense = np.take_along_axis(twice, np.minimum(nearest, 2 * BUCKETS - 1), axis=1).reshape(len(sketches), BAND, BUCKETS)
+    keys = np.zeros((len(sketches), BUCKETS), np.uint64)
+    for s in range(BAND):
+        keys = mix(keys + (dense[:, s].astype(np.uint64) + np.uint64(1)) * _BAND_MULT[s])
+    return mix(keys + _BAND_SALT[int(tight)])
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,14 +138,18 @@ def _sets(bodies: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, set_hash (128 bits, null without shingles), sketch."""
+    """Per row: id, n_shingles, set_hash (128 bits, null without shingles), wide and tight (sketches, null if not needed)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             at = 0
             for found, count in _sets(rows["body"].tolist()):
                 n = len(count)
-                sketches = registers(found, count)
+                sketches = {}
+                for name, make, needed in (("wide", wide_sketches, 100 * count >= PERCENT * SMALL), ("tight", tight_sketches, (count > 0) & (PERCENT * count <= 100 * SMALL))):
+                    column = np.full(n, None, object)
+                    column[needed] = [x.tobytes() for x in make(found[np.repeat(needed, count)], count[needed])]
+                    sketches[name] = column
                 sums = np.zeros((n, 2), np.uint64)
                 full = np.flatnonzero(count)
                 if len(full):
@@ -128,12 +161,16 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         "id": rows["id"].to_numpy()[at : at + n],
                         "n_shingles": count,
                         "set_hash": [x.tobytes() if c else None for x, c in zip(sums, count, strict=True)],
-                        "sketch": [x.tobytes() for x in sketches],
+                        **sketches,
                     }
                 )
                 at += n
 
-    return keyed(docs, id_col, text_col).mapInPandas(run, "id long, n_shingles long, set_hash binary, sketch binary")
+    return keyed(docs, id_col, text_col).mapInPandas(run, "id long, n_shingles long, set_hash binary, wide binary, tight binary")
+
+
+def _rows(sketches: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint16).reshape(len(sketches), REGISTERS)
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -141,27 +178,32 @@ def _bands(nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            if len(rows):
-                keys = band_keys(np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1))
-                yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "node": np.repeat(rows["node"].to_numpy(), keys.shape[1])})
+            for name in ("wide", "tight"):
+                own = rows[rows[name].notna()]
+                if len(own):
+                    keys = band_keys(_rows(own[name]), name == "tight")
+                    yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "node": np.repeat(own["node"].to_numpy(), BUCKETS)})
 
-    return nodes.select("node", "sketch").mapInPandas(run, "key long, node long")
+    return nodes.select("node", "wide", "tight").mapInPandas(run, "key long, node long")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose estimated similarity isn't clearly under the threshold."""
-    sketch = nodes.select("node", "sketch")
 
     @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
-        share, filled = estimate(x, y)
-        bound = PERCENT / 100
-        return pd.Series(share >= bound - SIGMAS * np.sqrt(bound * (1 - bound) / np.maximum(filled, 1)))
+    def near(wide_a: pd.Series, wide_b: pd.Series, tight_a: pd.Series, tight_b: pd.Series) -> pd.Series:
+        keep = np.zeros(len(wide_a), bool)
+        wide = (wide_a.notna() & wide_b.notna()).to_numpy()
+        tight = ~wide & (tight_a.notna() & tight_b.notna()).to_numpy()  # with neither, their sizes are too far apart
+        for which, a, b in ((wide, wide_a, wide_b), (tight, tight_a, tight_b)):
+            share, filled = estimate(_rows(a[which]), _rows(b[which]))
+            bound = PERCENT / 100
+            keep[which] = share >= bound - SIGMAS * np.sqrt(bound * (1 - bound) / np.maximum(filled, 1))
+        return pd.Series(keep)
 
-    with_b = pairs.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    with_both = with_b.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    return with_both.where(near("sketch_a", "sketch_b")).select("a", "b").distinct()
+    sketch = lambda x: nodes.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}"), F.col("tight").alias(f"tight_{x}"))
+    with_both = pairs.join(sketch("b"), "b").join(sketch("a"), "a")
+    return with_both.where(near("wide_a", "wide_b", "tight_a", "tight_b")).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -185,10 +227,61 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_both.select("a", "b", "body_a", "body_b").mapInPandas(run, "a long, b long").distinct()
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, body of the nodes of pairs; docs: id, body."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    return docs.join(wanted, "id").select(F.col("id").alias("node"), "body").distinct()
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with one another."""
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, index, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(times > 1)
+    column = np.full(len(times), -1)
+    column[common] = np.arange(len(common))
+    column = column[index]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, len(common), COLUMNS):
+        own = np.flatnonzero((column >= lo) & (column < lo + COLUMNS))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[of[own], column[own] - lo] = 1
+        out += has @ has.T
+    return out.astype(np.int64)
+
+
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links that connect the nodes of two blocks (or of one) as all links between different labels would."""
+    rows = rows.sort_values(["node", "body"], ignore_index=True)
+    sets = [s for found, count in _sets(rows["body"].tolist()) for s in np.split(found, np.cumsum(count)[:-1])]
+    size = np.array([len(x) for x in sets])
+    both = _intersections(sets)
+    label, mine = rows["label"].to_numpy(), rows["mine"].to_numpy()
+    link = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+    link &= label[:, None] != label[None, :]
+    if rows["b1"].iloc[0] != rows["b2"].iloc[0]:
+        link &= mine[:, None] != mine[None, :]
+    root = {x: x for x in label.tolist()}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    node, out = rows["node"].to_numpy(), []
+    for i, j in zip(*np.nonzero(np.triu(link)), strict=True):
+        p, q = top(label[i]), top(label[j])
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((node[i], node[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def _family_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of the bands' nodes, family by family. open_: key, node, label."""
+    first = open_.groupBy("key").agg(F.min("node").alias("first"))
+    families = wcc(open_.join(first, "key").select("node", "first").distinct(), "node", "first").withColumnRenamed("component", "family")
+    blocks = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = families.join(blocks, "family").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(open_.select("node", "label").distinct(), "node")
+    rows = dealt.select("family", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "node", "label")
+    return rows.join(texts, "node").groupBy("family", "b1", "b2").applyInPandas(_block_links, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -196,37 +289,38 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     bands = _bands(nodes)
     shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     rest = written(bands.join(written(shared, "near-keys"), "key").distinct(), "near-bands")
-    found, labels, centres = None, None, 1
-    while True:
-        if labels is None:
-            active = rest.withColumn("label", F.col("node"))
-        else:
-            active = rest.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-            active = written(active, "near-active")
-        sizes = active.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        open_ = written(active.join(written(sizes.select("key", "n"), "near-sizes"), "key"), "near-open")
-        if open_.isEmpty():
-            break
-        few = F.col("n") <= 4 * centres
-        cell = F.when(few, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres)))
-        of_key = open_.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("node", "label")).alias("c")).select("key", F.col("c.node").alias("c_node"), F.col("c.label").alias("c_label"))
-        pairs = open_.join(of_key, "key").where((F.col("label") != F.col("c_label")) & (~few | (F.col("node") < F.col("c_node"))))
-        pairs = pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
-        pairs = written(_likely(pairs, nodes), "near-pairs")
-        new = written(_confirmed(pairs, written(_texts(docs, pairs), "near-texts")), "near-links")
-        found = new if found is None else found.union(new)
-        labels = wcc(found, "a", "b")
-        rest, centres = open_.where(~few).select("key", "node"), centres * 4
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "src long, dst long")
-    return found.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    # merge: these sides grow with the input, so none is broadcast however few there are
+    wanted = rest.select(F.col("node").alias("id")).distinct().hint("merge")
+    texts = written(docs.join(wanted, "id").select(F.col("id").alias("node"), "body").distinct(), "near-texts")
+    found, labels = [], None
+    for last in (False, True):
+        active = rest.withColumn("label", F.col("node"))
+        if labels is not None:
+            active = written(rest.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "near-active")
+        by_label = active.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        sizes = by_label.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inner"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        few = (F.col("n") * F.col("n") - F.col("inner")) <= 2 * FEW * F.col("n")
+        open_ = written(active.join(written(sizes.select("key", few.alias("few")), "near-sizes"), "key"), "near-open")
+        one, other = open_.where("few"), open_.where("few").select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
+        pairs = one.join(other, "key").where("label <> label_b and node < b").select(F.col("node").alias("a"), "b")
+        if not last:
+            order = F.xxhash64("node")
+            centres = open_.where("not few").groupBy("key").agg(F.min(F.struct(order.alias("order"), "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
+            to_centre = open_.where("not few").join(centres, "key").where("node <> centre")
+            pairs = pairs.union(to_centre.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
+        pairs = written(_likely(pairs.distinct(), nodes), "near-pairs")
+        found.append(written(_confirmed(pairs, texts), "near-links"))
+        if last:
+            found.append(written(_family_links(open_.where("not few"), texts), "near-links"))
+        labels, rest = wcc(functools.reduce(DataFrame.union, found), "a", "b"), open_.select("key", "node")
+    return functools.reduce(DataFrame.union, found).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links), kept (id is component_id)."""
     signed = written(signatures(docs, id_col, text_col), "near-signed")
     with_id = signed.where((F.col("n_shingles") > 0) & (F.col("id") != NO_ID))
-    nodes = written(with_id.groupBy("set_hash").agg(F.min("id").alias("node"), F.first("sketch").alias("sketch")), "near-nodes")
+    nodes = written(with_id.groupBy("set_hash").agg(F.min("id").alias("node"), F.first("wide").alias("wide"), F.first("tight").alias("tight")), "near-nodes")
     components = wcc(links(keyed(docs, id_col, text_col), nodes))
     of_node = nodes.select("set_hash", "node").join(components, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     # a document with several texts is in the smallest of their components
