@@ -96,7 +96,7 @@ def lg90(lengths: DataFrame, reference: int, share: float = 0.9) -> DataFrame:
     """hap, lg90: how many contigs, longest first, hold 90 % of a reference; 0 if all don't."""
     run = _running(lengths).withColumn("before", F.col("sum") - F.col("c") * F.col("length")).withColumn("goal", F.lit(reference * share))
     needed = (F.col("count") - F.col("c")) + F.ceil((F.col("goal") - F.col("before")) / F.col("length"))
-    return run.groupBy("hap").agg(F.coalesce(F.min(F.when(F.col("sum") >= F.col("goal"), needed)), F.lit(0)).cast("long").alias("lg90"))
+    return run.groupBy("hap").agg(F.coalesce(F.min(F.when((F.col("sum") >= F.col("goal")) & (F.col("before") < F.col("goal")), needed)), F.lit(0)).cast("long").alias("lg90"))
 
 
 def walk_to_seq(walks: DataFrame, sequences: DataFrame, edges: DataFrame) -> DataFrame:

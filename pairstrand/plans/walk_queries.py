@@ -30,7 +30,7 @@ def edge_features(spark, d):
     return score.features(n, e)[1].select("src", "dst", F.round(F.col("e")[0], 6).alias("e0"))
 
 
-BEAM_SQL = "round(1e-5::DOUBLE * (read_length - overlap_length) - 3 * kmer_count_m * (read_length - overlap_length) / read_length - (25 * score) * (25 * score), 4)"
+BEAM_SQL = "round(1e-5::DOUBLE * (read_length - overlap_length) - 3 * kmer_count_m * (read_length - overlap_length) / read_length - (25 * score) * (25 * score) + 1e-7::DOUBLE, 4)"
 
 
 @query("beam_edge_score", W + fx.EDGES_SQL + "," + TRIO_SQL + f" SELECT src, dst, {BEAM_SQL} AS gain FROM scored JOIN nodes ON nodes.node = dst JOIN trio ON trio.node = dst")
@@ -38,7 +38,7 @@ def beam_edge_score(spark, d):
     _, n, e = tables(spark, d)
     both = n.join(labels.trio_labels(n), "node").withColumnRenamed("node", "dst")
     gain = score.beam_edge_score(F.col("read_length"), F.col("overlap_length"), F.col("kmer_count_m"), F.col("score"))
-    return fx.scored(e).join(both, "dst").select("src", "dst", F.round(gain, 4).alias("gain"))
+    return fx.scored(e).join(both, "dst").select("src", "dst", F.round(gain + 1e-7, 4).alias("gain"))  # off the ties, which engines round differently
 
 
 @query("graphic_edge_score", W + fx.EDGES_SQL + " SELECT src, dst, round(1e-5::DOUBLE * (read_length - overlap_length) - CASE WHEN value - 50 < -10 THEN (50 - value) * 10 ELSE 0 END - (20 * score) * (20 * score), 6) AS gain FROM scored JOIN nodes ON node = dst JOIN r ON rid = dst // 2")
