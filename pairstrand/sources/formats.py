@@ -60,7 +60,7 @@ def scan_gfa_l(split: DataFrame) -> DataFrame:
     f, n = F.col("f"), F.size("f")
     bare = lambda k: F.when(n == 7, F.regexp_replace(F.get(f, F.lit(k)), r":\d-\d*$", "")).otherwise(F.get(f, F.lit(k)))
     cigar = F.get(f, F.lit(5))
-    overlap = F.expr("try_cast(left(f[5], length(f[5]) - 1) as bigint)")
+    overlap = F.expr("try_cast(left(get(f, 5), length(get(f, 5)) - 1) as bigint)")
     return split.where(F.get("f", F.lit(0)) == "L").select(
         _need(n.between(6, 8), bare(1), "a link of other than 6 to 8 fields").alias("id1"),
         F.get(f, F.lit(2)).alias("orient1"),
