@@ -30,7 +30,7 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     n = len(data)
     if n < gram:
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(max(21, int(n).bit_length()))
+    power, inverse = _powers(max(20, int(n).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_KEYS[data] * power[:n], out=sums[1:])
     return mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])

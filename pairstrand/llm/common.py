@@ -13,13 +13,25 @@ __all__ = ["NO_ID", "keyed", "named", "new_folder", "shared_dir", "shuffle_parti
 NO_ID = -(2**63)
 
 
+#: Rows that Spark hands to Python at once: texts can be long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python workers in this session."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the input tables."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator needs, under names of its own: id (NO_ID for null) and body (null is empty)."""
+    small_batches(docs.sparkSession)
     return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("body"))
 
 

@@ -39,7 +39,7 @@ from pairstrand.llm.textarrays import chunks, mix
 LENGTH = 400
 COARSE, FINE = 240, 64
 #: Bytes of segments that are sorted together.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 
 
 def _joined(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes of texts that are worked on at once; a longer text makes a chunk by itself.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _KEYS = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
