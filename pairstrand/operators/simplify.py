@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairstrand.functions.strings import complement
-from pairstrand.operators.graph import mirror, mirror_semi
+from pairstrand.operators.graph import mirror_semi
 from pairstrand.sources.shared import written
 
 EPS = 0.12
