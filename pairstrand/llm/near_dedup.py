@@ -274,8 +274,12 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _family_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of the bands' nodes, family by family. open_: key, node, label."""
+    # bands by their smallest nodes, and nodes by the smallest of these: bands that share a node are one edge of a small graph
     first = open_.groupBy("key").agg(F.min("node").alias("first"))
-    families = wcc(open_.join(first, "key").select("node", "first").distinct(), "node", "first").withColumnRenamed("component", "family")
+    of_node = written(open_.join(first, "key").select("node", "first").distinct(), "near-firsts")
+    least = of_node.groupBy("node").agg(F.min("first").alias("least"))
+    joined = wcc(of_node.join(least, "node").select("first", "least").distinct(), "first", "least")
+    families = least.join(joined.select(F.col("node").alias("least"), F.col("component").alias("family")), "least").select("node", "family")
     blocks = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = families.join(blocks, "family").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
