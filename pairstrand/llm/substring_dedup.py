@@ -71,7 +71,8 @@ def _coarse_keys(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.Da
 
 
 def _segments(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Per text: doc, body, and its segments' first windows, numbers of windows, short anchors and hashes."""
+    """Per text: doc, body, and its different segments: first windows of all their places, numbers of windows, short anchors
+    and hashes."""
     for rows in batches:
         texts = [bytes(b) for b in rows["body"]]
         keys = [np.asarray(k, np.int64).view(np.uint64) for k in rows["keys"]]
@@ -91,15 +92,18 @@ def _segments(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataF
             text = np.searchsorted(start, first, side="right") - 1
             raw = data.tobytes()
             hashes = [hashlib.blake2b(raw[p : p + k + length - 1], digest_size=16).digest() for p, k in zip(first.tolist(), n.tolist(), strict=True)]
-            bounds = np.searchsorted(text, np.arange(b - a + 1)).tolist()
+            # text that repeats itself has the same segment again and again: one entry with all its places
+            found: list[dict[bytes, tuple[int, int, list[int]]]] = [{} for _ in range(b - a)]
+            for i, p, k, key_, h in zip(text.tolist(), (first - start[text]).tolist(), n.tolist(), key.view(np.int64).tolist(), hashes, strict=True):
+                found[i].setdefault(h, (k, key_, []))[2].append(p)
             yield pd.DataFrame(
                 {
                     "doc": rows["doc"].iloc[a:b].array,
                     "body": texts[a:b],
-                    "first": [(first[lo:hi] - s).astype(np.int32) for lo, hi, s in zip(bounds[:-1], bounds[1:], start, strict=True)],
-                    "n": [n[lo:hi].astype(np.int32) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)],
-                    "key": [key[lo:hi].view(np.int64) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)],
-                    "hash": [hashes[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)],
+                    "begins": [[x[2] for x in f.values()] for f in found],
+                    "n": [[x[0] for x in f.values()] for f in found],
+                    "key": [[x[1] for x in f.values()] for f in found],
+                    "hash": [list(f) for f in found],
                 }
             )
 
@@ -110,12 +114,13 @@ def _cut(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]
         found: dict[bytes, list] = {}
         for r in rows.itertuples():
             body = bytes(r.body)
-            for p, n, key, h in zip(r.first.tolist(), r.n.tolist(), r.key.tolist(), r.hash, strict=True):
+            for begins, n, key, h in zip(r.begins, r.n, r.key, r.hash, strict=True):
                 one = found.get(h)
                 if one is None:
-                    found[h] = [key, body[p : p + n + length - 1], 1]
+                    p = int(begins[0])
+                    found[h] = [key, body[p : p + n + length - 1], len(begins)]
                 else:
-                    one[2] += 1
+                    one[2] += len(begins)
         yield pd.DataFrame({"hash": list(found), "key": [x[0] for x in found.values()], "segment": [x[1] for x in found.values()], "places": [x[2] for x in found.values()]})
 
 
@@ -214,9 +219,10 @@ def _removed(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
         for r in rows.itertuples():
             body = np.frombuffer(bytes(r.body), np.uint8)
             marks = np.zeros(len(body) + 1, np.int64)
-            first, n = np.asarray(r.first, np.int64), np.asarray(r.n, np.int64)
-            np.add.at(marks, first, 1)
-            np.add.at(marks, first + n + length - 1, -1)
+            for hit in r.hits:
+                places = (np.asarray(hit["begins"], np.int64)[:, None] + np.asarray(hit["first"], np.int64)).ravel()
+                np.add.at(marks, places, 1)
+                np.add.at(marks, places + np.tile(np.asarray(hit["n"], np.int64), len(hit["begins"])) + length - 1, -1)
             gone = np.cumsum(marks)[:-1] > 0
             rest = body[~gone].tobytes()
             out.append((r.doc, int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(rest).hexdigest(), rest))
@@ -237,15 +243,13 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     of_doc = grams.select("key", "doc").join(written(repeated, "sub-repeated"), "key").groupBy("doc").agg(F.collect_set("key").alias("keys"))
     texts = long.groupBy("doc").agg(F.first("body").alias("body"))
     some = texts.join(of_doc, "doc")
-    cut_schema = "doc binary, body binary, first array<int>, n array<int>, key array<long>, hash array<binary>"
+    cut_schema = "doc binary, body binary, begins array<array<int>>, n array<int>, key array<long>, hash array<binary>"
     held = written(some.mapInPandas(lambda b: _segments(b, length), cut_schema), "sub-held")
     pieces = held.mapInPandas(lambda b: _cut(b, length), "hash binary, key long, segment binary, places long")
     segments = written(pieces.groupBy("hash").agg(F.first("key").alias("key"), F.first("segment").alias("segment"), F.sum("places").alias("places")), "sub-segments")
     runs = repeated_runs(segments, length)
-    where = held.select("doc", F.explode(F.arrays_zip("first", "hash")).alias("s")).select("doc", F.col("s.first").alias("begin"), F.col("s.hash").alias("hash"))
-    hits = where.join(runs, "hash").select("doc", "begin", F.explode(F.arrays_zip("first", "n")).alias("r"))
-    hits = hits.select("doc", F.struct((F.col("begin") + F.col("r.first")).alias("first"), F.col("r.n").alias("n")).alias("r"))
-    per_doc = hits.groupBy("doc").agg(F.collect_list("r").alias("r")).select("doc", F.col("r.first").alias("first"), F.col("r.n").alias("n"))
+    where = held.select("doc", F.explode(F.arrays_zip("begins", "hash")).alias("s")).select("doc", F.col("s.begins").alias("begins"), F.col("s.hash").alias("hash"))
+    per_doc = where.join(runs, "hash").groupBy("doc").agg(F.collect_list(F.struct("begins", "first", "n")).alias("hits"))
     lost = written(held.select("doc", "body").join(per_doc, "doc").mapInPandas(lambda b: _removed(b, length), "doc binary, n_removed long, n_spans long, kept_sha256 string, rest binary"), "sub-lost")
 
     narrow = hashed.select("id", "doc", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha"))
