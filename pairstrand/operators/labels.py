@@ -105,3 +105,32 @@ def node_outcomes(labelled: DataFrame, nodes: DataFrame) -> DataFrame:
     outs = labelled.groupBy(F.col("src").alias("node")).agg(F.max("gt_bin").alias("best"))
     outcome = F.when(F.col("best").isNull(), "no_out_edge").when(F.col("best") == 0, "only_wrong").otherwise("some_correct")
     return nodes.select("node").join(outs, "node", "left").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def unitig_rollup(placements: DataFrame, reads: DataFrame) -> DataFrame:
+    """Unitigs from their reads: seg_id, n, read_strand, read_chr, variant, and start and end per variant.
+
+    placements: line_no, seg_id, orient, read_id; reads: read_id, read_strand, read_chr, variant, read_start, read_end. The
+    strand is the sign of the strands as placed (0 counts as +1); chromosome and variant are the most common ones, of equals
+    the one that comes first in the file.
+    """
+    rows = placements.join(reads, "read_id")
+    placed = F.col("read_strand") * F.when(F.col("orient") == "-", -1).otherwise(1)
+    merged = rows.groupBy("seg_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.when(F.sum(placed) >= 0, 1).otherwise(-1).alias("read_strand"),
+        *(F.min(F.when(F.col("variant") == v, F.col("read_start"))).alias(f"start_{v}") for v in "MP"),
+        *(F.max(F.when(F.col("variant") == v, F.col("read_end"))).alias(f"end_{v}") for v in "MP"),
+    )
+    for name in ("read_chr", "variant"):
+        counts = rows.groupBy("seg_id", name).agg(F.count(F.lit(1)).alias("c"), F.min("line_no").alias("first"))
+        merged = merged.join(counts.groupBy("seg_id").agg(F.max_by(name, F.struct("c", (-F.col("first")).alias("f"))).alias(name)), "seg_id")
+    return merged.select("seg_id", "n", "read_strand", "read_chr", "variant", "start_M", "end_M", "start_P", "end_P")
+
+
+def hg_consensus(placements: DataFrame) -> DataFrame:
+    """seg_id, consensus (m, p, or 0 without or with both), mixed: from the reads' haplotype tags."""
+    has = lambda v: F.coalesce(F.bool_or(F.col("hg") == v), F.lit(False))
+    rows = placements.groupBy("seg_id").agg(has("m").alias("m"), has("p").alias("p"))
+    consensus = F.when(F.col("m") & ~F.col("p"), "m").when(F.col("p") & ~F.col("m"), "p").otherwise("0")
+    return rows.select("seg_id", consensus.alias("consensus"), (F.col("m") & F.col("p")).cast("int").alias("mixed"))

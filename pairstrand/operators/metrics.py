@@ -151,3 +151,9 @@ def kmer_hits(reads: DataFrame, kmers: DataFrame, k: int, id_col: str = "read_id
 def parent_average(metrics: DataFrame) -> DataFrame:
     """metric, value: means over haplotypes. metrics: hap, metric, value."""
     return metrics.groupBy("metric").agg(F.avg("value").alias("value"))
+
+
+def wrong_kmer_fraction(nodes: DataFrame, hap: str) -> DataFrame:
+    """fraction: all nodes' k-mers of the other parent over all their bases."""
+    other = {"p": "kmer_count_m", "m": "kmer_count_p"}[hap]
+    return nodes.agg(F.round(F.sum(other) / F.sum("read_length"), 6).alias("fraction"))

@@ -530,3 +530,37 @@ def ml_graph_by_chr(spark, d):
 def ml_graph_nodes(spark, d):
     _, n, e = tables(spark, d)
     return formats.ml_graph(n, e, ["support", "read_start_M", "depth"], ["overlap_length"])[0]
+
+
+UNITIG_SQL = A_SQL + """,
+rows AS (SELECT a.line_no, seg_id, orient, r.strand, r.chr, CASE WHEN r.rid % 3 = 0 THEN 'P' ELSE 'M' END AS variant, r.s, r.s + r.len AS e FROM a JOIN r ON 'read' || r.rid = a.read_id),
+chrs AS (SELECT seg_id, arg_max(chr, struct_pack(c := c, f := -f)) AS chr FROM (SELECT seg_id, chr, count(*) AS c, min(line_no) AS f FROM rows GROUP BY ALL) GROUP BY 1),
+vars AS (SELECT seg_id, arg_max(variant, struct_pack(c := c, f := -f)) AS variant FROM (SELECT seg_id, variant, count(*) AS c, min(line_no) AS f FROM rows GROUP BY ALL) GROUP BY 1)"""
+
+
+@query(
+    "unitig_rollup",
+    W + UNITIG_SQL + """ SELECT rows.seg_id, count(*) AS n, CASE WHEN sum(strand * CASE WHEN orient = '-' THEN -1 ELSE 1 END) >= 0 THEN 1 ELSE -1 END AS read_strand,
+      any_value(chrs.chr) AS read_chr, any_value(vars.variant) AS variant, coalesce(min(s) FILTER (rows.variant = 'M'), -1) AS "start_M", coalesce(max(e) FILTER (rows.variant = 'M'), -1) AS "end_M",
+      coalesce(min(s) FILTER (rows.variant = 'P'), -1) AS "start_P", coalesce(max(e) FILTER (rows.variant = 'P'), -1) AS "end_P"
+    FROM rows JOIN chrs ON chrs.seg_id = rows.seg_id JOIN vars ON vars.seg_id = rows.seg_id GROUP BY rows.seg_id""",
+)
+def unitig_rollup(spark, d):
+    placed = formats.scan_gfa_a(formats.fields(_placements(spark, d)))
+    reads = fx.reads(spark, d).select(
+        F.concat(F.lit("read"), "rid").alias("read_id"), F.col("strand").alias("read_strand"), F.col("chr").alias("read_chr"), F.when(F.col("rid") % 3 == 0, "P").otherwise("M").alias("variant"), F.col("s").alias("read_start"), (F.col("s") + F.col("len")).alias("read_end")
+    )
+    return labels.unitig_rollup(placed, reads).fillna(-1, ["start_M", "end_M", "start_P", "end_P"])
+
+
+@query("hg_consensus", W + A_SQL + ", t AS (SELECT seg_id, bool_or(line_no % 5 = 0) AS m, bool_or(line_no % 7 = 0 AND length(seg_id) % 2 = 0) AS p FROM a GROUP BY 1) SELECT seg_id, CASE WHEN m AND NOT p THEN 'm' WHEN p AND NOT m THEN 'p' ELSE '0' END AS consensus, (m AND p)::INT AS mixed FROM t")
+def hg_consensus(spark, d):
+    placed = formats.scan_gfa_a(formats.fields(_placements(spark, d)))
+    split = placed.select("seg_id", F.explode(F.array(F.when(F.col("line_no") % 5 == 0, "m"), F.when((F.col("line_no") % 7 == 0) & (F.length("seg_id") % 2 == 0), "p"))).alias("hg"))
+    return labels.hg_consensus(split)
+
+
+@query("wrong_kmer_fraction", W + fx.NODES_SQL + "," + TRIO_SQL + " SELECT round(sum(kmer_count_m) / sum(read_length), 6) AS fraction FROM nodes JOIN trio USING (node)")
+def wrong_kmer_fraction(spark, d):
+    n = fx.nodes(fx.reads(spark, d))
+    return metrics.wrong_kmer_fraction(n.join(labels.trio_labels(n), "node"), "p")
