@@ -148,8 +148,8 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id_col: s
     parts = written(pieces(lengths, largest, id_col, length_col), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = slots(plan(histogram, capacities))
-    by_length = {int(k): g.to_numpy(np.int64) for k, g in runs.groupby("length")}
-    table = spark.sparkContext.broadcast(by_length)  # bounded by the capacity, whatever the input
+    order = runs["length"].to_numpy(np.int64) << 44 | runs["first"].to_numpy(np.int64)  # ascending: runs are sorted by both
+    table = spark.sparkContext.broadcast((order, runs[["first", "bin", "offset", "capacity"]].to_numpy(np.int64)))  # bounded by the capacity, whatever the input
 
     # pieces of a length are numbered by bucket of ids, then by place in the bucket
     buckets = max(1, shuffle_partitions(spark))
@@ -162,12 +162,12 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id_col: s
     numbered = dealt.withColumn("place", F.row_number().over(within) - 1).join(bases, ["length", "bucket"])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order, run = table.value
         for rows in batches:
-            for length, own in rows.groupby("length"):
-                run = table.value[int(length)]
-                number = own["number"].to_numpy()
-                r = np.searchsorted(run[:, 1], number, side="right") - 1
-                yield own.assign(bin_id=run[r, 3] + number - run[r, 1], bin_offset=run[r, 4], capacity=run[r, 5]).drop(columns="number")
+            number = rows["number"].to_numpy(np.int64)
+            r = np.searchsorted(order, rows["length"].to_numpy(np.int64) << 44 | number, side="right") - 1
+            first, bin_id, offset, capacity = run[r].T
+            yield rows.drop(columns="number").assign(bin_id=bin_id + number - first, bin_offset=offset, capacity=capacity)
 
     rows = numbered.select("id", "piece", "start", "length", (F.col("base") + F.col("place")).alias("number"))
     out = rows.mapInPandas(place, "id long, piece long, start long, length int, bin_id long, bin_offset long, capacity long")
