@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairstrand.sources.shared import written
+from pairstrand.sources.shared import new_folder, shuffle_partitions, written
 
 
 def wcc(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -84,54 +84,69 @@ def is_dag(edges: DataFrame) -> bool:
     return True
 
 
-def comp_dist(nodes: DataFrame, edges: DataFrame, max_steps: int = 10_000) -> DataFrame:
+def comp_dist(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Length in edges of the shortest way from each node to its complement: node, comp_dist (-1 without a way).
 
-    All searches advance together, each by its own front of (start, node) rows.
+    All searches advance together, each by its own front of (start, node) rows, until no front has a node left.
     """
+    spark, found, distance = nodes.sparkSession, new_folder(nodes.sparkSession, "dist-found"), 0
     step = written(edges.select(F.col("src").alias("at"), "dst").distinct(), "dist-edges")
     seen = front = written(nodes.select(F.col("node").alias("start"), F.col("node").alias("at")), "dist")
-    found = None
-    for distance in range(1, max_steps + 1):
+    while True:
+        distance += 1
         new = front.join(step, "at").select("start", F.col("dst").alias("at")).distinct().join(seen, ["start", "at"], "left_anti")
         new = written(new, "dist")
+        done = new.where(F.col("at") == F.col("start").bitwiseXOR(F.lit(1))).select(F.col("start").alias("node"), F.lit(distance).alias("d"))
+        done.write.mode("append").parquet(found)
         if new.isEmpty():
             break
-        done = new.where(F.col("at") == F.col("start").bitwiseXOR(F.lit(1))).select(F.col("start").alias("node"), F.lit(distance).alias("d"))
-        found = done if found is None else found.union(done)
         finished = done.select(F.col("node").alias("start"))
         front = written(new.join(finished, "start", "left_anti"), "dist")
         seen = written(seen.union(new).join(finished, "start", "left_anti"), "dist")
-    if found is None:
-        return nodes.select("node", F.lit(-1).alias("comp_dist"))
-    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("d", F.lit(-1)).alias("comp_dist"))
+    ways = spark.read.schema(done.schema).parquet(found)
+    return nodes.select("node").join(ways, "node", "left").select("node", F.coalesce("d", F.lit(-1)).alias("comp_dist"))
 
 
-def deadends(nodes: DataFrame, edges: DataFrame, start_column: str, end_column: str, max_sweeps: int = 1000) -> DataFrame:
+def deadends(nodes: DataFrame, edges: DataFrame, start_column: str, end_column: str) -> DataFrame:
     """Nodes that lie on no way from a leftmost node to the node farthest to the right that it reaches: node.
 
-    Sweep by sweep: of the nodes left, the one that begins first is the start; what it reaches is taken out; the nodes on ways
+    By sweeps: of the nodes left, the one that begins first is the start; what it reaches is taken out; the nodes on ways
     from it to the one that ends last count as good. Sweeps that reach at most two nodes, or that end before an earlier sweep
     did, count nothing.
+
+    All sweeps run side by side: a node is taken out by the first of all nodes that reach it, so the least (begin, node)
+    travels along the edges until nothing changes.
     """
-    spark = nodes.sparkSession
-    left, good, best = written(nodes.select("node", F.col(start_column).alias("s"), F.col(end_column).alias("e")).dropna(), "dead"), None, None
-    for _ in range(max_sweeps):
-        first = left.orderBy("s", "node").first()
-        if first is None:
-            break
-        start = spark.createDataFrame([(first["node"],)], "node long")
-        forward = reachable(edges, start, left)
-        inside = written(left.join(forward, "node"), "dead")
-        top = inside.orderBy(F.desc("e"), "node").first()
-        if inside.count() > 2 and (best is None or top["e"] >= best):
-            best = top["e"]
-            back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-            way = reachable(back, spark.createDataFrame([(top["node"],)], "node long"), inside)
-            good = way if good is None else good.union(way)
-        left = written(left.join(forward, "node", "left_anti"), "dead")
-    every = nodes.select("node")
-    return every if good is None else every.join(good.distinct(), "node", "left_anti")
+    placed = written(nodes.select("node", F.col(start_column).alias("s"), F.col(end_column).alias("e")).dropna(), "dead")
+    known = placed.select("node")
+    inner = edges.select("src", "dst").distinct().join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    inner = written(inner, "dead-edges")
+    sweeps = front = written(placed.select("node", F.struct("s", "node").alias("sweep")), "dead-sweeps")
+    while not front.isEmpty():
+        sent = front.join(inner, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("sweep").alias("sent"))
+        after = sweeps.join(sent, F.col("node") == F.col("dst"), "left").select("node", F.least("sweep", "sent").alias("sweep"), F.coalesce(F.col("sent") < F.col("sweep"), F.lit(False)).alias("moved"))
+        after = written(after, "dead-sweeps")
+        sweeps, front = after.select("node", "sweep"), after.where("moved").select("node", "sweep")
+    last = F.max(F.struct("e", (-F.col("node")).alias("neg")))
+    tops = sweeps.join(placed, "node").groupBy("sweep").agg(F.count(F.lit(1)).alias("n"), last.alias("top")).where("n > 2")
+    tops = written(tops.select("sweep", F.col("top.e").alias("e"), (-F.col("top.neg")).alias("node")), "dead-tops")
+    starts = tops.join(_ends_later_before(tops), "sweep", "left_anti").select("node")
+    of_src, of_dst = sweeps.select(F.col("node").alias("src"), F.col("sweep").alias("a")), sweeps.select(F.col("node").alias("dst"), F.col("sweep").alias("b"))
+    back = inner.join(of_src, "src").join(of_dst, "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return nodes.select("node").join(reachable(back, starts), "node", "left_anti")
+
+
+def _ends_later_before(tops: DataFrame) -> DataFrame:
+    """Sweeps before which an earlier one ends later: sweep.
+
+    Running maxima in ranges of the order, and the greatest of all ranges before: no task gets all sweeps.
+    """
+    dealt = tops.repartitionByRange(shuffle_partitions(tops.sparkSession), "sweep").withColumn("part", F.spark_partition_id())
+    dealt = written(dealt.select("sweep", "e", "part"), "dead-order")
+    best = dealt.groupBy("part").agg(F.max("e").alias("best"))
+    before = best.alias("x").join(F.broadcast(best.alias("y")), F.col("y.part") < F.col("x.part"), "left").groupBy(F.col("x.part").alias("part")).agg(F.max("y.best").alias("before"))
+    own = F.max("e").over(Window.partitionBy("part").orderBy("sweep").rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn("own", own).join(before, "part").where(F.greatest("own", "before") > F.col("e")).select("sweep")
 
 
 def partition_with_halo(nodes: DataFrame, edges: DataFrame, parts: int, hops: int = 1) -> DataFrame:

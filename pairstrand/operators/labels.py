@@ -84,20 +84,34 @@ def edge_class_summary(classified: DataFrame) -> DataFrame:
     return classified.groupBy("read_chr", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-def trap_edges(labelled: DataFrame, rounds: int = 1000) -> DataFrame:
+def trap_edges(labelled: DataFrame) -> DataFrame:
     """src, dst, trap: edges into nodes all of whose (one or more) out-edges are wrong or traps themselves.
 
-    Repeated until nothing changes; each round is written to the shared folder.
+    Repeated until nothing changes; each round is written to the shared folder. A node with a single way on shares the fate
+    of the node it leads to, so such chains are first followed by pointer doubling and rounds count the other nodes only.
     """
-    state = written(labelled.select("src", "dst", (F.col("gt_bin") == 0).alias("wrong"), F.lit(False).alias("trap")), "traps")
-    for _ in range(rounds):
-        dead = state.groupBy("src").agg(F.bool_and(F.col("wrong") | F.col("trap")).alias("dead")).where("dead").select(F.col("src").alias("dst"), "dead")
-        after = state.join(dead, "dst", "left").select("src", "dst", "wrong", F.col("trap").alias("old"), F.coalesce("dead", F.lit(False)).alias("trap"))
+    edges = written(labelled.select("src", "dst", (F.col("gt_bin") == 0).alias("wrong")), "traps")
+    on = F.when(~F.col("wrong"), F.col("dst"))
+    single = edges.groupBy("src").agg(F.min(on).alias("next"), F.max(on).alias("other"), F.bool_or(F.col("wrong").isNull()).alias("vague")).where("next = other and not vague")
+    links, before = written(single.select(F.col("src").alias("node"), "next"), "trap-links"), None
+    while True:
+        ahead = links.select(F.col("node").alias("next"), F.col("next").alias("after"))
+        moved = written(links.join(ahead, "next", "left").select("node", F.coalesce("after", "next").alias("next"), F.col("after").isNotNull().alias("moving")), "trap-links")
+        links, moving = moved.select("node", "next"), moved.where("moving").count()
+        if moving in (0, before):  # what never arrives runs into a cycle, which has no end
+            break
+        before = moving
+    aimed = edges.join(links.withColumnRenamed("node", "dst"), "dst", "left").select("src", "dst", "wrong", F.coalesce("next", "dst").alias("aim"))
+    aimed = written(aimed, "traps")
+    state = written(aimed.join(links.select(F.col("node").alias("src")), "src", "left_anti").select("src", "aim", "wrong", F.lit(False).alias("trap")), "traps")
+    while True:
+        dead = state.groupBy("src").agg(F.bool_and(F.col("wrong") | F.col("trap")).alias("dead")).where("dead").select(F.col("src").alias("aim"), "dead")
+        after = state.join(dead, "aim", "left").select("src", "aim", "wrong", F.col("trap").alias("old"), F.coalesce("dead", F.lit(False)).alias("trap"))
         after = written(after, "traps")
-        state = after.select("src", "dst", "wrong", "trap")
+        state = after.select("src", "aim", "wrong", "trap")
         if after.where("old <> trap").isEmpty():
             break
-    return state.select("src", "dst", F.col("trap").cast("int").alias("trap"))
+    return aimed.join(dead, "aim", "left").select("src", "dst", F.coalesce("dead", F.lit(False)).cast("int").alias("trap"))
 
 
 def node_outcomes(labelled: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -478,7 +478,7 @@ def comp_dist(spark, d):
     r = fx.reads(spark, d)
     e = fx.user_graph(r).select("src", "dst")
     turn = e.where("src % 2 = 0 and (src div 2) % 3 = 0").select("src", (F.col("dst") + 1).alias("dst"))
-    return components.comp_dist(fx.nodes(r), e.union(turn).distinct(), 30)
+    return components.comp_dist(fx.nodes(r), e.union(turn).distinct())
 
 
 @query("partition_halo", W + fx.CLEAN_SQL + """,

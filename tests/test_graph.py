@@ -146,6 +146,36 @@ def test_trap_edges(spark):
     assert got == {(0, 2): 1, (2, 4): 0, (0, 6): 0, (8, 0): 0}
 
 
+def test_deadends_has_no_last_sweep(spark):
+    lone = [(10 + k, k, k + 1) for k in range(1100)]
+    n = spark.createDataFrame([*lone, (1, 2000, 2010), (2, 2005, 2020), (3, 2015, 2030), (4, 2016, 2018), (5, 2017, 2019), (6, 2018, 2020), (7, 2019, 2021)], "node long, s long, e long")
+    e = spark.createDataFrame([(1, 2), (2, 3), (2, 4), (5, 6), (6, 7)], "src long, dst long")
+    assert {r["node"] for r in components.deadends(n, e, "s", "e").collect()} == {4, 5, 6, 7, *(k for k, _, _ in lone)}
+
+
+def test_trap_edges_has_no_last_round(spark):
+    chain, ring = [(k, k + 1, 1) for k in range(1100)], [(5000, 5001, 1), (5001, 5000, 1)]
+    e = spark.createDataFrame([*chain, (1100, 1101, 0), *ring, (3000, 0, 1), (3000, 5000, 1), (3001, 3000, 1)], "src long, dst long, gt_bin int")
+    got = {(r["src"], r["dst"]): r["trap"] for r in labels.trap_edges(e).collect()}
+    assert got == {**{(a, b): 1 for a, b, _ in chain}, (1100, 1101): 0, (5000, 5001): 0, (5001, 5000): 0, (3000, 0): 1, (3000, 5000): 0, (3001, 3000): 0}
+
+
+def test_comp_dist_query_has_no_last_step(spark, tmp_path):
+    """A chain of 18 reads whose only turn lies at its end: 16 edges there, the turn, and 17 back."""
+    from pairstrand.plans.catalog import QUERIES
+
+    ids = [*[k for k in range(1, 26) if k % 3][:16], 27, 28]
+    rows, s = [], 1_700_000_000
+    for i in ids:
+        rows.append((i, s, 1, "x", 1.0))
+        s += 20 * (1800 + 300 * (i * 7 % 13)) - 1000
+    df = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double")
+    df.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["node"]: r["comp_dist"] for r in QUERIES["comp_dist"](spark, str(tmp_path)).collect()}
+    assert [got[2 * i] for i in ids] == [34 - 2 * k for k in range(17)] + [-1]
+    assert all(got[2 * i + 1] == -1 for i in ids)
+
+
 def test_liftover_misses_and_strands(spark):
     from pairstrand.operators.joins import liftover
 
