@@ -73,6 +73,18 @@ def reachable(edges: DataFrame, starts: DataFrame, within: DataFrame | None = No
         seen = written(seen.union(front), "reach")
 
 
+def reachable_pairs(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, node: for each start by itself what ``reachable`` finds from it."""
+    step = written(edges.select(F.col("src").alias("node"), "dst").distinct(), "reach-edges")
+    seen = front = written(starts.select(F.col("node").alias("start"), "node").distinct(), "reach")
+    while True:
+        new = front.join(step, "node").select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
+        front = written(new, "reach")
+        if front.isEmpty():
+            return seen
+        seen = written(seen.union(front), "reach")
+
+
 def is_dag(edges: DataFrame) -> bool:
     """Whether a graph has no cycle: nodes without in-edges are peeled off until none is left."""
     rest = written(edges.select("src", "dst").distinct(), "dag")

@@ -89,6 +89,24 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return reached.union(reached.select(complement(F.col("node")).alias("node"))).distinct()
 
 
+def neighbourhoods(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """seed, node: for each seed by itself what ``neighbourhood`` finds from it."""
+    either = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).toDF("node", "next").distinct()
+    reached = seeds.select(F.col("node").alias("seed"), "node").distinct()
+    for _ in range(hops):
+        reached = reached.union(reached.join(either, "node").select("seed", F.col("next").alias("node"))).distinct()
+    return reached.union(reached.select("seed", complement(F.col("node")).alias("node"))).distinct()
+
+
+def neighbours_shared_by_edge(edges: DataFrame) -> DataFrame:
+    """src, dst, node: for each edge by itself what ``shared_neighbours`` finds from it."""
+    each = edges.select("src", "dst").distinct()
+    between = each.join(each.select("src", F.col("dst").alias("via")), "src").join(each.select(F.col("src").alias("via"), "dst"), ["via", "dst"])
+    own = each.select("src", "dst", F.explode(F.array("src", "dst")).alias("node"))
+    reached = own.union(between.select("src", "dst", "via"))
+    return reached.union(reached.select("src", "dst", complement(F.col("node")))).distinct()
+
+
 def shared_neighbours(edges: DataFrame, walk: DataFrame) -> DataFrame:
     """Nodes of a walk's edges (src, dst), those between their ends, and the complements of all these."""
     between = edges.select("src", F.col("dst").alias("via")).join(walk.select("src", "dst"), "src")

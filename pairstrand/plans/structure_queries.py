@@ -467,6 +467,12 @@ def reachability(spark, d):
     return components.reachable(fx.user_graph(r), fx.nodes(r).where("node % 97 = 0"))
 
 
+@query("reachability_pairs", RECURSIVE + fx.USER_SQL + ", go AS (SELECT node AS start, node FROM nodes UNION SELECT start, dst FROM ug JOIN go ON ug.src = go.node) SELECT start, node FROM go")
+def reachability_pairs(spark, d):
+    r = fx.reads(spark, d)
+    return components.reachable_pairs(fx.user_graph(r), fx.nodes(r))
+
+
 #: Ways from nodes to their complements exist only with edges that turn round.
 TURN_SQL = fx.USER_SQL + """,
 turning AS (SELECT src, dst FROM ug UNION SELECT 2 * a, 2 * b + 1 FROM ou WHERE a % 3 = 0),
@@ -508,6 +514,22 @@ def two_hop(spark, d):
     return graph.neighbourhood(fx.clean_edges(r), fx.nodes(r).where("node % 101 = 0"), 2)
 
 
+#: The same from every node, each by itself.
+ALL_NEAR_SQL = fx.CLEAN_SQL + ", either AS (SELECT src AS x, dst AS y FROM clean UNION SELECT dst, src FROM clean), h1 AS (SELECT node AS seed, node FROM nodes UNION SELECT x, y FROM either), h2 AS (SELECT seed, node FROM h1 UNION SELECT seed, y FROM h1 JOIN either ON x = node)"
+
+
+@query("one_hop_pairs", W + ALL_NEAR_SQL + " SELECT seed, node FROM h1 UNION SELECT seed, xor(node, 1) FROM h1")
+def one_hop_pairs(spark, d):
+    r = fx.reads(spark, d)
+    return graph.neighbourhoods(fx.clean_edges(r), fx.nodes(r), 1)
+
+
+@query("two_hop_pairs", W + ALL_NEAR_SQL + " SELECT seed, node FROM h2 UNION SELECT seed, xor(node, 1) FROM h2")
+def two_hop_pairs(spark, d):
+    r = fx.reads(spark, d)
+    return graph.neighbourhoods(fx.clean_edges(r), fx.nodes(r), 2)
+
+
 @query("common_neighbours", W + fx.CLEAN_SQL + " SELECT c.src, c.dst, a.dst AS via FROM clean a JOIN clean b ON a.dst = b.src JOIN clean c ON c.src = a.src AND c.dst = b.dst")
 def common_neighbours(spark, d):
     return graph.common_neighbours(fx.clean_edges(fx.reads(spark, d)))
@@ -523,6 +545,15 @@ def shared_neighbours(spark, d):
     return graph.shared_neighbours(e, e.where("src % 53 = 0"))
 
 
+@query(
+    "shared_neighbours_pairs",
+    W + fx.CLEAN_SQL + """, own AS (SELECT src, dst, src AS node FROM clean UNION SELECT src, dst, dst FROM clean
+    UNION SELECT c.src, c.dst, a.dst FROM clean c JOIN clean a ON a.src = c.src JOIN clean b ON b.src = a.dst AND b.dst = c.dst) SELECT * FROM own UNION SELECT src, dst, xor(node, 1) FROM own""",
+)
+def shared_neighbours_pairs(spark, d):
+    return graph.neighbours_shared_by_edge(fx.clean_edges(fx.reads(spark, d)))
+
+
 CHAIN_TABLE_SQL = "chain AS (SELECT chr, b.day * 86400 AS t_start, (b.day + 1) * 86400 AS t_end, b.day * 86400 + (b.day - lo) * 100 AS q_start FROM (SELECT chr, min(s) // 86400 AS lo, max(s) // 86400 AS hi FROM r GROUP BY chr) c, LATERAL (SELECT unnest(range(lo, hi + 1)) AS day) b WHERE b.day % 10 <> 0)"
 
 

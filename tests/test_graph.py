@@ -176,6 +176,17 @@ def test_comp_dist_query_has_no_last_step(spark, tmp_path):
     assert all(got[2 * i + 1] == -1 for i in ids)
 
 
+def test_neighbourhoods_of_every_node_and_edge(spark):
+    n = spark.createDataFrame([(k,) for k in range(6)], "node long")
+    e = spark.createDataFrame([(0, 2), (2, 4), (0, 4)], "src long, dst long")
+    near = {(r["seed"], r["node"]) for r in graph.neighbourhoods(e, n, 1).collect()}
+    assert near == {(a, b) for a in (0, 2, 4) for b in range(6)} | {(a, b) for a in (1, 3, 5) for b in (a, a - 1)}
+    shared = {(r["src"], r["dst"], r["node"]) for r in graph.neighbours_shared_by_edge(e).collect()}
+    assert shared == {(0, 4, k) for k in range(6)} | {(0, 2, k) for k in range(4)} | {(2, 4, k) for k in range(2, 6)}
+    reach = {(r["start"], r["node"]) for r in components.reachable_pairs(e, n).collect()}
+    assert reach == {(k, k) for k in range(6)} | {(0, 2), (0, 4), (2, 4)}
+
+
 def test_liftover_misses_and_strands(spark):
     from pairstrand.operators.joins import liftover
 
