@@ -264,4 +264,5 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
         F.when(all_gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(all_gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
-    return rows, lost.select("doc", "rest")
+    # of copies nothing is left, whatever else their one representative keeps
+    return rows, lost.join(copies, "doc", "left_anti").select("doc", "rest")

@@ -51,6 +51,13 @@ def test_suffix_stage_drops_cut_characters(spark, folder):
     assert got == {1: "ütail", 2: "xend"}
 
 
+def test_suffix_stage_empties_copies_that_share_a_passage(spark, folder):
+    passage = "".join(f"{i:04d}" for i in range(100))
+    copy = "".join(f"<{i}>" for i in range(500, 600)) + passage
+    df = spark.createDataFrame([(1, copy), (2, copy), (3, "x" + passage + "end")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in stages.suffix_stage(spark, df, folder).collect()} == {1: "", 2: "", 3: "xend"}
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
 def test_run(spark):
     rows = corpus_pipeline.run(spark, DATA).collect()
