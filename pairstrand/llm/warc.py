@@ -76,6 +76,18 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, stream.read(int(headers["content-length"]))
 
 
+def head_of(raw: bytes, piece: int = 1 << 16) -> bytes:
+    """The header of a compressed record, unpacked only so far as it reaches."""
+    stream, found = zlib.decompressobj(31), bytearray()
+    while (end := found.find(b"\r\n\r\n")) < 0:
+        more = stream.decompress(raw, piece)
+        if not more:
+            raise ValueError("a record without the end of its header")
+        found += more
+        raw = stream.unconsumed_tail
+    return bytes(found[:end])
+
+
 def write_responses(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write a response record per page; returns each record's header: path, offset, size, id, payload_bytes, payload_digest."""
     folder = folder or new_folder(pages.sparkSession, "warc")
@@ -144,7 +156,7 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 0, folder: str | None
                     source = store.open_input_file(name)
                 raw = source.read_at(r.size, r.offset)
                 # of a revisit only the header is needed
-                head, _, block = zlib.decompressobj(31).decompress(raw, 1 << 16).partition(b"\r\n\r\n") if not r.kept else zlib.decompress(raw, 31).partition(b"\r\n\r\n")
+                head, _, block = zlib.decompress(raw, 31).partition(b"\r\n\r\n") if r.kept else (head_of(raw), b"", b"")
                 url = next(x for x in head.decode().split("\r\n") if x.startswith("WARC-Target-URI: ")).partition(": ")[2]
                 if r.kept:
                     payload = block[len(http_header(r.payload_bytes)) : -4]

@@ -1,6 +1,7 @@
 """Token files, separator scans, WARC archives: round trips."""
 
 import base64
+import gzip
 import hashlib
 import zlib
 from collections import Counter, defaultdict
@@ -108,6 +109,17 @@ def test_warc(spark, least):
     assert Counter(tuple(r) for r in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == want
 
 
+def test_warc_revisits_keep_long_urls(spark):
+    url = "http://a/" + "x" * 200_000
+    df = spark.createDataFrame([(1, "http://b", "<p>x</p>"), (2, url, "<p>x</p>")], "page_id long, url string, html string")
+    files = warc.resolve_revisits(warc.write_responses(df.coalesce(1))).collect()
+    found = {}
+    for r in files:
+        with gzip.open(r["path"].removeprefix("file://")) as stream:
+            found |= {head["page-id"]: (head["warc-type"], head["warc-target-uri"]) for head, _ in warc.parse(stream)}
+    assert found == {"1": ("response", "http://b"), "2": ("revisit", url)}
+
+
 def test_warc_of_nothing(spark):
     none = spark.createDataFrame([], PAGES)
     assert warc.read_archives(warc.resolve_revisits(warc.write_responses(none))).count() == 0
