@@ -9,12 +9,14 @@ with ``BUCKETS`` buckets each, chosen by a hash's first bits. Small sets would l
 1. Sets that are equal become one node, named by the smallest id that has the set.
 2. Banding: empty registers take over their next neighbour, then ``BAND`` registers of as many hash functions form a band
    key. Sets of Jaccard similarity 0.75 share no band with a probability of (1 - 0.75^5)^64, about 3e-8.
-3. Links of a band's nodes. A band gives all its pairs if these are few for its number of nodes (``FEW`` a node); in a
-   larger band every node is held against one centre. Nodes that this has connected aren't compared again, and the bands
-   whose other pairs have become few give them all.
-   Bands that still have many unconnected pairs (a large group of copies that are mostly just too different) are joined to
-   families by their common nodes. A family is dealt out in blocks, and each two blocks meet in one task that counts all
-   intersections at once and returns only links that connect: no pair is left out, and none is a row.
+3. Pairs, at most a few a node. A band's centre is its node of the smallest hash. First each node is held against one
+   centre, the first of all its bands' centres, which connects groups of copies by one pair a node. Bands whose nodes are
+   still unconnected give all pairs between unconnected nodes if these are few for its number of nodes (``FEW`` a node),
+   else one pair a node, with a centre again; and after these, once more.
+   Bands that even then have many unconnected pairs (a large group of copies that are mostly just too different) are joined
+   to families by their common nodes. A family is dealt out in blocks by size of set and hash, and each two blocks whose
+   sizes allow a link meet in one task, which compares their sketches, counts the intersections of those that may be linked
+   and returns only links that connect: no pair is left out, and none is a row.
 4. Pairs whose estimated similarity (corrected for chance collisions of registers) is lower than the threshold by over
    ``SIGMAS`` standard errors are dropped; the others are confirmed on their full sets.
 5. Components of the confirmed links.
@@ -45,8 +47,10 @@ SEEDS, BUCKETS, MANTISSA = 5, 64, 10
 BAND, REGISTERS = SEEDS, SEEDS * BUCKETS
 SMALL = 64
 SIGMAS = 5.5
-#: Pairs a node up to which a band gives all its pairs, and nodes of a family's block.
-FEW, BLOCK = 16, 512
+#: Pairs a node up to which a band gives all its pairs.
+FEW = 2
+#: Nodes, and bytes of texts, of a family's block.
+BLOCK, BLOCK_BYTES = 512, 16_000_000
 #: Shingles that are counted at once.
 COLUMNS = 4096
 #: Chance that registers of different hashes agree: same number of zeros (1/3) and same mantissa.
@@ -131,6 +135,12 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (share - CHANCE) / (1 - CHANCE), filled
 
 
+def _floor(filled: np.ndarray) -> np.ndarray:
+    """The least estimate, from so many registers, that doesn't rule out a link."""
+    bound = PERCENT / 100
+    return bound - SIGMAS * np.sqrt(bound * (1 - bound) / np.maximum(filled, 1))
+
+
 def _sets(bodies: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     texts = [lower_ascii(t) for t in bodies]
     for a, b in chunks(texts):
@@ -138,11 +148,12 @@ def _sets(bodies: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, set_hash (128 bits, null without shingles), wide and tight (sketches, null if not needed)."""
+    """Per row: id, n_shingles, bytes (of the text), set_hash (128 bits, null without shingles), wide and tight (sketches,
+    null if not needed)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            at = 0
+            at, size = 0, np.array([len(t.encode()) for t in rows["body"]], np.int64)
             for found, count in _sets(rows["body"].tolist()):
                 n = len(count)
                 sketches = {}
@@ -160,13 +171,14 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     {
                         "id": rows["id"].to_numpy()[at : at + n],
                         "n_shingles": count,
+                        "bytes": size[at : at + n],
                         "set_hash": [x.tobytes() if c else None for x, c in zip(sums, count, strict=True)],
                         **sketches,
                     }
                 )
                 at += n
 
-    return keyed(docs, id_col, text_col).mapInPandas(run, "id long, n_shingles long, set_hash binary, wide binary, tight binary")
+    return keyed(docs, id_col, text_col).mapInPandas(run, "id long, n_shingles long, bytes long, set_hash binary, wide binary, tight binary")
 
 
 def _rows(sketches: pd.Series) -> np.ndarray:
@@ -197,8 +209,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         tight = ~wide & (tight_a.notna() & tight_b.notna()).to_numpy()  # with neither, their sizes are too far apart
         for which, a, b in ((wide, wide_a, wide_b), (tight, tight_a, tight_b)):
             share, filled = estimate(_rows(a[which]), _rows(b[which]))
-            bound = PERCENT / 100
-            keep[which] = share >= bound - SIGMAS * np.sqrt(bound * (1 - bound) / np.maximum(filled, 1))
+            keep[which] = share >= _floor(filled)
         return pd.Series(keep)
 
     sketch = lambda x: nodes.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}"), F.col("tight").alias(f"tight_{x}"))
@@ -244,17 +255,38 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _likely_within(rows: pd.DataFrame) -> np.ndarray:
+    """Which rows may be linked with one another, by their sketches."""
+    out = np.zeros((len(rows), len(rows)), bool)
+    known = np.zeros((len(rows), len(rows)), bool)  # pairs that have a kind of sketch in common
+    for name in ("wide", "tight"):
+        own = np.flatnonzero(rows[name].notna())
+        sketches = _rows(rows[name].iloc[own])
+        for k, i in enumerate(own.tolist()):
+            share, filled = estimate(sketches[k : k + 1], sketches[k:])
+            later = own[k:]
+            new = ~known[i, later]
+            out[i, later[new & (share >= _floor(filled))]] = True
+            known[i, later] = True
+    return out | out.T
+
+
 def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     """Links that connect the nodes of two blocks (or of one) as all links between different labels would."""
     rows = rows.sort_values(["node", "body"], ignore_index=True)
+    label, mine = rows["label"].to_numpy(), rows["mine"].to_numpy()
+    meet = label[:, None] != label[None, :]
+    if rows["b1"].iloc[0] != rows["b2"].iloc[0]:
+        meet &= mine[:, None] != mine[None, :]
+    meet &= _likely_within(rows)
+    pick = np.flatnonzero(meet.any(1))
+    if not len(pick):
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    rows, label, meet = rows.iloc[pick], label[pick], meet[np.ix_(pick, pick)]
     sets = [s for found, count in _sets(rows["body"].tolist()) for s in np.split(found, np.cumsum(count)[:-1])]
     size = np.array([len(x) for x in sets])
     both = _intersections(sets)
-    label, mine = rows["label"].to_numpy(), rows["mine"].to_numpy()
-    link = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
-    link &= label[:, None] != label[None, :]
-    if rows["b1"].iloc[0] != rows["b2"].iloc[0]:
-        link &= mine[:, None] != mine[None, :]
+    link = meet & (100 * both >= PERCENT * (size[:, None] + size[None, :] - both))
     root = {x: x for x in label.tolist()}
 
     def top(x: int) -> int:
@@ -272,7 +304,7 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
-def _family_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
+def _family_links(open_: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of the bands' nodes, family by family. open_: key, node, label."""
     # bands by their smallest nodes, and nodes by the smallest of these: bands that share a node are one edge of a small graph
     first = open_.groupBy("key").agg(F.min("node").alias("first"))
@@ -280,43 +312,57 @@ def _family_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
     least = of_node.groupBy("node").agg(F.min("first").alias("least"))
     joined = wcc(of_node.join(least, "node").select("first", "least").distinct(), "first", "least")
     families = least.join(joined.select(F.col("node").alias("least"), F.col("component").alias("family")), "least").select("node", "family")
-    blocks = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = families.join(blocks, "family").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.join(open_.select("node", "label").distinct(), "node")
-    rows = dealt.select("family", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "node", "label")
-    return rows.join(texts, "node").groupBy("family", "b1", "b2").applyInPandas(_block_links, "a long, b long").distinct()
+    # sets of which one has over 4/3 as many shingles can't be linked, so only neighbouring classes of sizes meet
+    size_class = F.floor(F.log(100 / PERCENT, F.col("n_shingles").cast("double"))).cast("int")
+    sized = nodes.select("node", "bytes", "wide", "tight", size_class.alias("class"))
+    members = written(families.join(open_.select("node", "label").distinct(), "node").join(sized, "node"), "near-members")
+    n_blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    blocks = written(members.groupBy("family", "class").agg(n_blocks.alias("blocks")), "near-blocks")
+    beside = blocks.select("family", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below")).join(blocks.select("family", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above")), ["family", "class"], "full")
+    rooms = blocks.join(beside, ["family", "class"], "left")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.drop("bytes").join(rooms, ["family", "class"]).withColumn("own", own)
+    name = lambda c, n: F.concat_ws(":", c, n)
+    along = lambda c, n: F.coalesce(F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda k: name(c, k)), F.array().cast("array<string>"))
+    others = F.concat(along(F.col("class") - 1, "below"), along(F.col("class"), "blocks"), along(F.col("class") + 1, "above"))
+    met = dealt.withColumn("mine", name(F.col("class"), F.col("own"))).withColumn("other", F.explode(others))
+    met = met.select("family", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "node", "label", "wide", "tight")
+    return met.join(texts, "node").groupBy("family", "b1", "b2").applyInPandas(_block_links, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (src, dst) enough to connect all documents that chains of links connect. docs: id, body."""
     bands = _bands(nodes)
-    shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    rest = written(bands.join(written(shared, "near-keys"), "key").distinct(), "near-bands")
-    # merge: these sides grow with the input, so none is broadcast however few there are
-    wanted = rest.select(F.col("node").alias("id")).distinct().hint("merge")
-    texts = written(docs.join(wanted, "id").select(F.col("id").alias("node"), "body").distinct(), "near-texts")
-    found, labels = [], None
+    order = F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("node"))
+    by_key = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(order).alias("c")).where("lo < hi")
+    centres = written(by_key.select("key", F.col("c.node").alias("centre")), "near-keys")
+    # merge: these sides grow with the input, so none is broadcast however few there are; skewed joins can be split
+    rest = written(bands.join(centres.hint("merge"), "key"), "near-bands")
+    texts = written(docs.join(rest.select(F.col("node").alias("id")).distinct().hint("merge"), "id").select(F.col("id").alias("node"), "body").distinct(), "near-texts")
+    pair = [F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")]
+    # one pair a node: with the first of all its bands' centres
+    first = rest.groupBy("node").agg(F.min(F.struct(F.xxhash64("centre").alias("order"), "centre")).alias("c")).select("node", F.col("c.centre").alias("centre"))
+    found = [written(_confirmed(_likely(first.where("node <> centre").select(*pair).distinct(), nodes), texts), "near-links")]
+    rest = rest.select("key", "node")
     for last in (False, True):
-        active = rest.withColumn("label", F.col("node"))
-        if labels is not None:
-            active = written(rest.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "near-active")
+        labels = wcc(functools.reduce(DataFrame.union, found), "a", "b")
+        active = written(rest.join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "near-active")
         by_label = active.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
         sizes = by_label.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inner"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
         few = (F.col("n") * F.col("n") - F.col("inner")) <= 2 * FEW * F.col("n")
-        open_ = written(active.join(written(sizes.select("key", few.alias("few")), "near-sizes"), "key"), "near-open")
+        open_ = written(active.join(written(sizes.select("key", few.alias("few")), "near-sizes").hint("merge"), "key"), "near-open")
         one, other = open_.where("few"), open_.where("few").select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-        pairs = one.join(other, "key").where("label <> label_b and node < b").select(F.col("node").alias("a"), "b")
+        pairs = one.join(other.hint("merge"), "key").where("label <> label_b and node < b").select(F.col("node").alias("a"), "b")
+        many = open_.where("not few")
         if not last:
-            order = F.xxhash64("node")
-            centres = open_.where("not few").groupBy("key").agg(F.min(F.struct(order.alias("order"), "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
-            to_centre = open_.where("not few").join(centres, "key").where("node <> centre")
-            pairs = pairs.union(to_centre.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
+            held = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("label").alias("order"), "label", "node")).alias("c"))
+            to_centre = many.join(held.select("key", F.col("c.label").alias("other"), F.col("c.node").alias("centre")).hint("merge"), "key").where("label <> other")
+            pairs = pairs.union(to_centre.select(*pair))
         pairs = written(_likely(pairs.distinct(), nodes), "near-pairs")
         found.append(written(_confirmed(pairs, texts), "near-links"))
         if last:
-            found.append(written(_family_links(open_.where("not few"), texts), "near-links"))
-        labels, rest = wcc(functools.reduce(DataFrame.union, found), "a", "b"), open_.select("key", "node")
+            found.append(written(_family_links(many, nodes, texts), "near-links"))
+        rest = open_.select("key", "node")
     return functools.reduce(DataFrame.union, found).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
@@ -324,11 +370,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Per row: id, n_shingles, component_id (smallest id reachable by links), kept (id is component_id)."""
     signed = written(signatures(docs, id_col, text_col), "near-signed")
     with_id = signed.where((F.col("n_shingles") > 0) & (F.col("id") != NO_ID))
-    nodes = written(with_id.groupBy("set_hash").agg(F.min("id").alias("node"), F.first("wide").alias("wide"), F.first("tight").alias("tight")), "near-nodes")
+    same = [F.first(c).alias(c) for c in ("wide", "tight", "n_shingles", "bytes")]
+    nodes = written(with_id.groupBy("set_hash").agg(F.min("id").alias("node"), *same), "near-nodes")
     components = wcc(links(keyed(docs, id_col, text_col), nodes))
-    of_node = nodes.select("set_hash", "node").join(components, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
+    of_node = nodes.select("set_hash", "node").join(components.hint("merge"), "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     # a document with several texts is in the smallest of their components
-    out = signed.select("id", "n_shingles", "set_hash").join(of_node, "set_hash", "left")
+    out = signed.select("id", "n_shingles", "set_hash").join(of_node.hint("merge"), "set_hash", "left")
     own = F.nullif("id", F.lit(NO_ID))
     component = F.when(own.isNotNull(), F.coalesce("component", "id"))
     return out.select(own.alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(own == component, F.lit(True)).alias("kept"))
