@@ -1,7 +1,8 @@
 """A bidirected graph derived from the ``events`` table, with true coordinates, labels and scores.
 
-A read is an event: its chromosome is the event's type, its place the event's second, its length follows from the id. Node
-``2 * id`` is the read forward, ``2 * id + 1`` its reverse complement. The SQL of each table is kept here once, in a dialect
+A read is an event: its chromosome is the event's type, its place the event's second plus ``USER_GAP`` times the user, its
+length follows from the id. Users, whose number grows with the table, so lie one after another, and a read overlaps about as
+many others in a table of any size. Node ``2 * id`` is the read forward, ``2 * id + 1`` its reverse complement. The SQL of each table is kept here once, in a dialect
 that differs between engines only in the few functions of ``SPARK`` and ``DUCKDB``; the registered queries build on the
 tables with DataFrame operators, their oracles with SQL.
 """
@@ -11,21 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lengths of reads: 1800 to 5400 bases, a tenth of it where the events are dense.
-DENSE_EVENTS = 50_000
+#: Bases between users.
+USER_GAP = 17_280
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rid, chr, s (start second), len, strand, user."""
+    """rid, chr, s (start), len (1800 to 5400), strand, user, value."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    n = events.count()
-    scale = 10 if n >= DENSE_EVENTS else 1
-    start = F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")))
+    start = F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))) + USER_GAP * F.col("user_id")
     return events.select(
         F.col("event_id").alias("rid"),
         F.col("event_type").alias("chr"),
         start.alias("s"),
-        F.expr(f"(1800 + 300 * ((event_id * 7) % 13)) div {scale}").alias("len"),
+        (1800 + 300 * ((F.col("event_id") * 7) % 13)).alias("len"),
         F.when((F.col("event_id") * 11) % 17 == 0, -1).otherwise(1).alias("strand"),
         F.col("user_id").alias("user"),
         "value",
@@ -125,10 +124,9 @@ def scored(e: DataFrame) -> DataFrame:
 
 
 #: DuckDB SQL of the same tables, as common table expressions.
-R_SQL = """
+R_SQL = f"""
 r AS (
-  SELECT event_id AS rid, event_type AS chr, epoch(date_trunc('second', ts))::BIGINT AS s,
-    (1800 + 300 * ((event_id * 7) % 13)) // (CASE WHEN (SELECT count(*) FROM events) >= 50000 THEN 10 ELSE 1 END) AS len,
+  SELECT event_id AS rid, event_type AS chr, epoch(date_trunc('second', ts))::BIGINT + {USER_GAP} * user_id AS s, 1800 + 300 * ((event_id * 7) % 13) AS len,
     CASE WHEN (event_id * 11) % 17 = 0 THEN -1 ELSE 1 END AS strand, user_id AS usr, value
   FROM events
 )"""
