@@ -80,6 +80,12 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
     return first.join(second, "via").join(e, ["src", "dst"], "left_semi").select("src", "dst", "via")
 
 
+def tips(edges: DataFrame) -> DataFrame:
+    """Nodes with out-edges and without in-edges: node."""
+    ends = edges.select(F.col("dst").alias("node")).distinct()
+    return edges.select(F.col("src").alias("node")).distinct().join(ends, "node", "left_anti")
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Seeds, all nodes within ``hops`` edges of them in either direction, and the complements of all these."""
     either = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).toDF("node", "next").distinct()

@@ -137,13 +137,25 @@ def trim_ends(walks: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return walks.join(span, WALK).where("pos between lo and hi").select(walks.columns)
 
 
+def _places(sequences: DataFrame, k: int, key: str, seq_col: str) -> DataFrame:
+    """key, kmer: each place's k-mer or its reverse complement, whichever sorts first."""
+    from pairstrand.functions.strings import reverse_complement
+
+    n = F.length(seq_col) - (k - 1)
+    places = sequences.where(F.length(seq_col) >= k).select(F.col(key), F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col(seq_col), i, F.lit(k)))).alias("kmer"))
+    return places.select(key, F.least("kmer", reverse_complement(F.col("kmer"))).alias("kmer"))
+
+
+def kmers(sequences: DataFrame, k: int, parent_col: str = "parent", seq_col: str = "seq") -> DataFrame:
+    """parent, kmer: each parent's different k-mers, on either strand."""
+    return _places(sequences, k, parent_col, seq_col).select(F.col(parent_col).alias("parent"), "kmer").distinct()
+
+
 def kmer_hits(reads: DataFrame, kmers: DataFrame, k: int, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
     """read_id, parent, hits: places in reads whose k-mer is in a parent's set (kmers: kmer, parent), on either strand."""
     from pairstrand.functions.strings import reverse_complement
 
-    n = F.length(seq_col) - (k - 1)
-    places = reads.where(F.length(seq_col) >= k).select(F.col(id_col).alias("read_id"), F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col(seq_col), i, k))).alias("kmer"))
-    counted = places.groupBy("read_id", F.least("kmer", reverse_complement(F.col("kmer"))).alias("kmer")).agg(F.count(F.lit(1)).alias("c"))
+    counted = _places(reads, k, id_col, seq_col).groupBy(F.col(id_col).alias("read_id"), "kmer").agg(F.count(F.lit(1)).alias("c"))
     known = kmers.select("parent", F.least("kmer", reverse_complement(F.col("kmer"))).alias("kmer")).distinct()
     return counted.join(known, "kmer").groupBy("read_id", "parent").agg(F.sum("c").alias("hits"))
 

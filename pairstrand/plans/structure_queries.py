@@ -460,11 +460,12 @@ def largest_component(spark, d):
 
 @query(
     "reachability",
-    RECURSIVE + fx.USER_SQL + ", go AS (SELECT node FROM nodes WHERE node % 97 = 0 UNION SELECT dst FROM ug JOIN go ON ug.src = go.node) SELECT node FROM go",
+    RECURSIVE + fx.USER_SQL + ", go AS (SELECT src AS node FROM ug WHERE src NOT IN (SELECT dst FROM ug) UNION SELECT dst FROM ug JOIN go ON ug.src = go.node) SELECT node FROM go",
 )
 def reachability(spark, d):
-    r = fx.reads(spark, d)
-    return components.reachable(fx.user_graph(r), fx.nodes(r).where("node % 97 = 0"))
+    """What all tips reach."""
+    e = fx.user_graph(fx.reads(spark, d))
+    return components.reachable(e, graph.tips(e))
 
 
 @query("reachability_pairs", RECURSIVE + fx.USER_SQL + ", go AS (SELECT node AS start, node FROM nodes UNION SELECT start, dst FROM ug JOIN go ON ug.src = go.node) SELECT start, node FROM go")
@@ -473,10 +474,11 @@ def reachability_pairs(spark, d):
     return components.reachable_pairs(fx.user_graph(r), fx.nodes(r))
 
 
-#: Ways from nodes to their complements exist only with edges that turn round.
+#: Ways from nodes to their complements exist only with edges that turn round. No shortest way has more edges than its
+#: component and the mirror of that have nodes, which ends the search.
 TURN_SQL = fx.USER_SQL + """,
 turning AS (SELECT src, dst FROM ug UNION SELECT 2 * a, 2 * b + 1 FROM ou WHERE a % 3 = 0),
-dist AS (SELECT src AS start, dst AS place, 1 AS d FROM turning UNION SELECT start, t.dst, d + 1 FROM dist JOIN turning t ON t.src = place WHERE d < 30)"""
+dist AS (SELECT src AS start, dst AS place, 1 AS d FROM turning UNION SELECT start, t.dst, d + 1 FROM dist JOIN turning t ON t.src = place WHERE d < (SELECT 2 * max(n) FROM (SELECT count(*) AS n FROM comp GROUP BY component)))"""
 
 
 @query("comp_dist", RECURSIVE + TURN_SQL + " SELECT node, coalesce((SELECT min(d) FROM dist WHERE start = node AND place = xor(node, 1)), -1)::INT AS comp_dist FROM nodes")
@@ -499,19 +501,20 @@ def partition_halo(spark, d):
 
 # -- neighbourhoods and other joins -------------------------------------------------------------------------------
 
-NEAR_SQL = fx.CLEAN_SQL + ", either AS (SELECT src AS x, dst AS y FROM clean UNION SELECT dst, src FROM clean), seeds AS (SELECT node FROM nodes WHERE node % 101 = 0), h1 AS (SELECT node FROM seeds UNION SELECT y FROM seeds JOIN either ON x = node), h2 AS (SELECT node FROM h1 UNION SELECT y FROM h1 JOIN either ON x = node)"
+NEAR_SQL = fx.CLEAN_SQL + ", either AS (SELECT src AS x, dst AS y FROM clean UNION SELECT dst, src FROM clean), seeds AS (SELECT DISTINCT src AS node FROM clean WHERE src NOT IN (SELECT dst FROM clean)), h1 AS (SELECT node FROM seeds UNION SELECT y FROM seeds JOIN either ON x = node), h2 AS (SELECT node FROM h1 UNION SELECT y FROM h1 JOIN either ON x = node)"
 
 
 @query("one_hop", W + NEAR_SQL + " SELECT node FROM h1 UNION SELECT xor(node, 1) FROM h1")
 def one_hop(spark, d):
-    r = fx.reads(spark, d)
-    return graph.neighbourhood(fx.clean_edges(r), fx.nodes(r).where("node % 101 = 0"), 1)
+    """Around all tips."""
+    e = fx.clean_edges(fx.reads(spark, d))
+    return graph.neighbourhood(e, graph.tips(e), 1)
 
 
 @query("two_hop", W + NEAR_SQL + " SELECT node FROM h2 UNION SELECT xor(node, 1) FROM h2")
 def two_hop(spark, d):
-    r = fx.reads(spark, d)
-    return graph.neighbourhood(fx.clean_edges(r), fx.nodes(r).where("node % 101 = 0"), 2)
+    e = fx.clean_edges(fx.reads(spark, d))
+    return graph.neighbourhood(e, graph.tips(e), 2)
 
 
 #: The same from every node, each by itself.
@@ -537,12 +540,13 @@ def common_neighbours(spark, d):
 
 @query(
     "shared_neighbours",
-    W + fx.CLEAN_SQL + """, walk AS (SELECT src, dst FROM clean WHERE src % 53 = 0), own AS (SELECT src AS node FROM walk UNION SELECT dst FROM walk
+    W + fx.CLEAN_SQL + """, walk AS (SELECT src, dst FROM clean WHERE src NOT IN (SELECT dst FROM clean)), own AS (SELECT src AS node FROM walk UNION SELECT dst FROM walk
     UNION SELECT a.dst FROM walk w JOIN clean a ON a.src = w.src JOIN clean b ON b.src = a.dst AND b.dst = w.dst) SELECT node FROM own UNION SELECT xor(node, 1) FROM own""",
 )
 def shared_neighbours(spark, d):
+    """Of the edges that leave tips."""
     e = fx.clean_edges(fx.reads(spark, d))
-    return graph.shared_neighbours(e, e.where("src % 53 = 0"))
+    return graph.shared_neighbours(e, e.join(graph.tips(e).withColumnRenamed("node", "src"), "src", "left_semi"))
 
 
 @query(

@@ -340,19 +340,21 @@ def trim_ends(spark, d):
     return metrics.trim_ends(w, n, "yak_m")
 
 
-SEQ_SQL = "seqs AS (SELECT node, translate(md5((node // 2)::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM nodes)"
+#: Reads' sequences: digits of the read's digest, again and again, up to its length; the walks' graph has 20 times as many bases.
+SEQ_SQL = "seqs AS (SELECT node, substr(repeat(translate(md5((node // 2)::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), 170), 1, read_length::INT) AS seq FROM nodes)"
 
 
 @query(
     "walk_to_seq",
-    RECURSIVE + WALK_SQL + ", " + SEQ_SQL + """, parts AS (SELECT w.hap, w.walk_id, w.pos, CASE WHEN coalesce(u.overlap_length % 40, 0) >= length(seq) THEN '' ELSE substr(seq, (coalesce(u.overlap_length % 40, 0) + 1)::INT) END AS part
+    RECURSIVE + WALK_SQL + ", " + SEQ_SQL + """, parts AS (SELECT w.hap, w.walk_id, w.pos, CASE WHEN coalesce(u.overlap_length // 20, 0) >= length(seq) THEN '' ELSE substr(seq, (coalesce(u.overlap_length // 20, 0) + 1)::INT) END AS part
       FROM walks w JOIN seqs ON seqs.node = w.node LEFT JOIN we ON we.hap = w.hap AND we.walk_id = w.walk_id AND we.dst = w.node LEFT JOIN ug u ON u.src = we.src AND u.dst = we.dst)
     SELECT hap, walk_id, length(string_agg(part, '' ORDER BY pos)) AS length, string_agg(part, '' ORDER BY pos) AS seq FROM parts GROUP BY hap, walk_id""",
 )
 def walk_to_seq(spark, d):
     w, n, e = _walks(spark, d)
-    seqs = n.select("node", F.translate(F.md5(F.expr("node div 2").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
-    return metrics.walk_to_seq(w, seqs, e.withColumn("overlap_length", F.col("overlap_length") % 40))
+    digits = F.translate(F.md5(F.expr("node div 2").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    seqs = n.select("node", F.substring(F.repeat(digits, 170), F.lit(1), F.expr("cast(read_length div 20 as int)")).alias("seq"))
+    return metrics.walk_to_seq(w, seqs, e.withColumn("overlap_length", F.expr("overlap_length div 20")))
 
 
 @query("beam_walk")
@@ -436,25 +438,26 @@ def scan_final_asm(spark, d):
 
 @query(
     "rescue_join",
-    W + PAIR_SQL + """,
+    RECURSIVE + fx.USER_SQL + PAIR_SQL[len(fx.R_SQL) :] + """,
     known AS (SELECT 'read' || rid AS read_id, 2 * rid AS node, len FROM r WHERE rid % 10 <> 0),
     fresh AS (SELECT 'read' || rid AS read_id, len FROM r WHERE rid % 10 = 0 AND 'read' || rid IN (SELECT read_a FROM pr UNION SELECT read_b FROM pr)),
     made AS (SELECT read_id, (SELECT max(node) // 2 * 2 + 2 FROM known) + 2 * (row_number() OVER (ORDER BY read_id) - 1) AS node, len FROM fresh),
     every AS (FROM known UNION ALL FROM made),
     fin AS (SELECT a.node + (orient_a = '-')::INT AS src, b.node + (orient_b = '-')::INT AS dst, a.len - prefix AS overlap_length, prefix AS prefix_length, b.len AS b_len FROM pr JOIN every a ON a.read_id = read_a JOIN every b ON b.read_id = read_b),
     two AS (SELECT src, dst, overlap_length, prefix_length FROM fin UNION SELECT xor(dst, 1), xor(src, 1), overlap_length, b_len - overlap_length FROM fin),
-    old AS (SELECT src, dst, overlap_length, prefix_length FROM two WHERE src % 3 = 0 AND dst % 2 = 0)
-    SELECT src, dst, overlap_length, prefix_length, 1 AS hifiasm_result FROM two""",
+    old AS (SELECT src, dst, overlap_length, prefix_length FROM ug WHERE src // 2 % 10 <> 0 AND dst // 2 % 10 <> 0)
+    SELECT src, dst, overlap_length, prefix_length, (EXISTS (SELECT 1 FROM two t WHERE t.src = o.src AND t.dst = o.dst))::INT AS hifiasm_result FROM old o
+    UNION ALL SELECT src, dst, overlap_length, prefix_length, 1 FROM two t WHERE NOT EXISTS (SELECT 1 FROM old o WHERE t.src = o.src AND t.dst = o.dst)""",
 )
 def rescue_join(spark, d):
+    """Into the graph of users' overlaps, which lacks every tenth read and its edges."""
     r = fx.reads(spark, d)
     placed = formats.scan_final_asm(formats.scan_gfa_a(formats.fields(_placements(spark, d))))
     known = r.where("rid % 10 <> 0")
     read_nodes = known.select(F.concat(F.lit("read"), "rid").alias("read_id"), (2 * F.col("rid")).alias("node"))
     nodes = fx.nodes(known).select("node", "read_length")
     lengths = r.select(F.concat(F.lit("read"), "rid").alias("read_id"), F.col("len").alias("read_length"))
-    none = spark.createDataFrame([], "src long, dst long, overlap_length long, prefix_length long")
-    return joins.rescue(none, nodes, placed, read_nodes, lengths)[1]
+    return joins.rescue(fx.user_graph(known), nodes, placed, read_nodes, lengths)[1]
 
 
 HEADER_SQL = fx.R_SQL + ", h AS (SELECT rid, rid || ' strand=' || CASE WHEN strand = 1 THEN '+' ELSE '-' END || ' start=' || s || ' end=' || (s + len) || ' variant=' || CASE WHEN rid % 2 = 0 THEN 'M' ELSE 'P' END || ' chr=' || chr AS description FROM r)"
@@ -485,11 +488,14 @@ def normalise_chr(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", strings.normalise_chr(name).alias("chr"), strings.strip_chr(strings.normalise_chr(name)).alias("bare"))
 
 
-DNA_SQL = "dna AS (SELECT doc_id, translate(md5(coalesce(text, '')), '0123456789abcdef', 'ACGTNACGTACGTRYK') AS seq FROM documents)"
+#: Sequences: the letters of whole texts, each as a base.
+BASES = ("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTNACGTACGTRYKAC")
+DNA_SQL = "dna AS (SELECT doc_id, translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{}', '{}') AS seq FROM documents)".format(*BASES)
 
 
 def _dna(spark, d) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.translate(F.md5(F.coalesce("text", F.lit(""))), "0123456789abcdef", "ACGTNACGTACGTRYK").alias("seq"))
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.translate(F.lower(letters), *BASES).alias("seq"))
 
 
 @query("reverse_complement", W + DNA_SQL + " SELECT doc_id, reverse(translate(seq, 'ACGTNRYK', 'TGCANYRM')) AS rc FROM dna")
@@ -497,11 +503,15 @@ def reverse_complement(spark, d):
     return _dna(spark, d).select("doc_id", strings.reverse_complement(F.col("seq")).alias("rc"))
 
 
-@query("edit_similarity", W + DNA_SQL + " SELECT a.doc_id, CASE WHEN a.doc_id % 20 = 0 THEN 0 ELSE round(1 - levenshtein(right(a.seq, a.doc_id % 20), left(b.seq, a.doc_id % 20))::DOUBLE / (a.doc_id % 20), 6) END AS similarity FROM dna a JOIN dna b ON b.doc_id = a.doc_id + 1")
+#: Two documents' sequences are neighbours, with an overlap that both have.
+OVERLAP_SQL = "pairs AS (SELECT a.doc_id, a.seq, b.seq AS next, least(a.doc_id * 37 % 400, length(a.seq), length(b.seq)) AS ol FROM dna a JOIN dna b ON b.doc_id = a.doc_id + 1)"
+
+
+@query("edit_similarity", W + DNA_SQL + ", " + OVERLAP_SQL + " SELECT doc_id, CASE WHEN ol = 0 THEN 0 ELSE round(1 - levenshtein(right(seq, ol), left(next, ol))::DOUBLE / ol, 6) END AS similarity FROM pairs")
 def edit_similarity(spark, d):
     a = _dna(spark, d)
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("seq").alias("next"))
-    ol = (F.col("doc_id") % 20).cast("int")
+    ol = F.least(F.col("doc_id") * 37 % 400, F.length("seq"), F.length("next")).cast("int")
     return a.join(b, "doc_id").select("doc_id", F.round(strings.edit_similarity(F.col("seq"), F.col("next"), ol), 6).alias("similarity"))
 
 
@@ -510,14 +520,16 @@ def sink_fasta(spark, d):
     return formats.fasta_lines(_dna(spark, d), "doc_id")
 
 
-@query("kmer_hits", W + DNA_SQL + """, places AS (SELECT doc_id, substr(seq, i::INT, 5) AS k FROM dna, LATERAL (SELECT unnest(range(1, 29)) AS i)),
+@query("kmer_hits", W + DNA_SQL + """, places AS (SELECT doc_id, substr(seq, i::INT, 21) AS k FROM dna, LATERAL (SELECT unnest(range(1, length(seq) - 19)) AS i)),
   canon AS (SELECT doc_id, least(k, reverse(translate(k, 'ACGTNRYK', 'TGCANYRM'))) AS k FROM places),
-  sets AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'p' ELSE 'm' END AS parent, least(left(seq, 5), reverse(translate(left(seq, 5), 'ACGTNRYK', 'TGCANYRM'))) AS k FROM dna)
+  sets AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'p' ELSE 'm' END AS parent, k FROM canon)
   SELECT doc_id::VARCHAR AS read_id, parent, count(*) AS hits FROM canon JOIN sets USING (k) GROUP BY 1, 2""")
 def kmer_hits(spark, d):
+    """Every document is a read, and one of either parent's sequences."""
     dna = _dna(spark, d)
-    kmers = dna.select(F.left("seq", F.lit(5)).alias("kmer"), F.when(F.col("doc_id") % 2 == 0, "p").otherwise("m").alias("parent"))
-    return metrics.kmer_hits(dna.select(F.col("doc_id").cast("string").alias("read_id"), "seq"), kmers, 5)
+    reads = dna.select(F.col("doc_id").cast("string").alias("read_id"), "seq")
+    parents = metrics.kmers(dna.withColumn("parent", F.when(F.col("doc_id") % 2 == 0, "p").otherwise("m")), 21, "parent")
+    return metrics.kmer_hits(reads, parents, 21)
 
 
 @query("ml_graph_by_chr", W + fx.EDGES_SQL + " SELECT CASE WHEN a.read_chr LIKE 'chr%' THEN a.read_chr ELSE 'chr' || a.read_chr END AS chr, src, dst FROM edges JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst WHERE a.read_chr = b.read_chr")
