@@ -49,24 +49,23 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:m], ahead[width - 1 : width - 1 + m])
 
 
-def anchor_runs(data: np.ndarray, wanted: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows with the same anchor: first window, number of windows, hash of the anchor's gram.
+def anchor_runs(data: np.ndarray, wanted: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows with the same anchor: first window, number of windows, hash of the anchor's gram, its place.
 
-    ``wanted`` marks the places where windows begin; such a window has to lie within one text.
+    ``wanted`` marks the places where windows begin; such a window has to lie within one text. ``data`` has less than 64 MB:
+    longer texts come in stretches.
     """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, np.zeros(0, np.uint64)
-    if len(data) >> int(_PLACE_BITS):
-        raise ValueError("a text of 64 MB or more")
+        return none, none, np.zeros(0, np.uint64), none
     h = gram_hashes(data, gram)
     low = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
     least = _sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
     place = (least & low).astype(np.int64)
     at = np.flatnonzero(wanted[: len(place)])
     if not len(at):
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none
     own = place[at]
     new = np.append(True, (np.diff(at) != 1) | (np.diff(own) != 0))
     first = np.flatnonzero(new)
-    return at[first], np.diff(np.append(first, len(at))), h[own[first]]
+    return at[first], np.diff(np.append(first, len(at))), h[own[first]], own[first]

@@ -96,8 +96,7 @@ WINDOW same AS (PARTITION BY payload_digest, payload_bytes)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = substring_dedup.removals(table(spark, sf_dir, "documents"))
-    return rows.drop("doc")
+    return substring_dedup.removals(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

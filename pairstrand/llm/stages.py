@@ -6,9 +6,6 @@ and returns every column it was given.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,26 +32,20 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated strings; what a cut leaves of a character goes too, and n_chars is counted anew.
+    """Texts lose their repeated strings; what a cut leaves of a character goes too, and n_chars is
+    counted anew.
 
     Documents of which nothing is left stay, with an empty text; texts that lose nothing, nulls too, stay as they are.
     """
-    rows, rests = substring_dedup.removals(docs)
-    changed = rows.where("n_removed > 0").select("doc", F.lit(True).alias("changed")).distinct()
-
-    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc": b["doc"], "left": [bytes(x).decode("utf-8", "ignore") for x in b["rest"]]})
-
-    left = rests.mapInPandas(decoded, "doc binary, left string")
-    after = changed.join(left, "doc", "left").select("doc", "changed", F.coalesce("left", F.lit("")).alias("left"))
+    facts = substring_dedup.losses(docs)
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    keyed = docs.select(*(docs[c].alias(n) for c, n in names.items()), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))).alias("doc"))
-    joined = keyed.join(after, "doc", "left")
+    keyed = docs.select(*(docs[c].alias(n) for c, n in names.items()), substring_dedup.text_key(F.coalesce(docs["text"], F.lit(""))).alias("doc"))
+    joined = keyed.join(facts.select("doc", "gone", "rest"), "doc", "left")
+    changed = F.col("gone").isNotNull()
     back = {c: F.col(n) for c, n in names.items()}
-    back["text"] = F.when(F.col("changed"), F.col("left")).otherwise(back["text"])
+    back["text"] = F.when(changed, F.col("rest")).otherwise(back["text"])
     if "n_chars" in back:
-        back["n_chars"] = F.when(F.col("changed"), F.length("left").cast(docs.schema["n_chars"].dataType)).otherwise(back["n_chars"])
+        back["n_chars"] = F.when(changed, F.length("rest").cast(docs.schema["n_chars"].dataType)).otherwise(back["n_chars"])
     return joined.select(*(v.alias(c) for c, v in back.items()))
 
 

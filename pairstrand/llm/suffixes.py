@@ -51,6 +51,15 @@ def suffix_array(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple
     return order, rank
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, the first byte highest."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    word = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        word |= padded[k : len(data) + k].astype(np.uint64) << np.uint64(56 - 8 * k)
+    return word
+
+
 def common_prefixes(data: np.ndarray, start: np.ndarray, size: np.ndarray, order: np.ndarray, rank: np.ndarray, limit: int) -> np.ndarray:
     """Length, up to ``limit``, of the prefix that each place's suffix shares with the one before it in order.
 
@@ -60,10 +69,7 @@ def common_prefixes(data: np.ndarray, start: np.ndarray, size: np.ndarray, order
     n = len(data)
     out = np.zeros(n, np.int64)
     end = np.repeat(start + size, size)
-    padded = np.append(data, np.zeros(8, np.uint8))
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word |= padded[k : n + k].astype(np.uint64) << np.uint64(56 - 8 * k)
+    word = _words(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     by_size = np.argsort(-size, kind="stable")
@@ -91,13 +97,66 @@ def common_prefixes(data: np.ndarray, start: np.ndarray, size: np.ndarray, order
     return out
 
 
+def _greater(word: np.ndarray, p: np.ndarray, other: np.ndarray, q: np.ndarray, length: int) -> np.ndarray:
+    """Of strings of ``length`` bytes at places p and q: 1 where that at p is greater, -1 where it is smaller, 0 where equal."""
+    out = np.zeros(len(p), np.int8)
+    open_ = np.arange(len(p))
+    for k in range(0, length, 8):
+        shift = np.uint64(8 * max(0, 8 - (length - k)))
+        x, y = word[p[open_] + k] >> shift, other[q[open_] + k] >> shift
+        out[open_] = (x > y).astype(np.int8) - (x < y).astype(np.int8)
+        open_ = open_[x == y]
+        if not len(open_):
+            break
+    return out
+
+
+def _laid(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(s) for s in strings], np.int64)
+    return np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size
+
+
+def starts_in_both(one: list[bytes], other: list[bytes], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each string of two shards, which of its strings of ``length`` bytes also begin in the other shard.
+
+    Those of ``one`` are looked up by binary search in the suffix array of ``other``, byte by byte.
+    """
+    data, start, size = _laid(one)
+    held, held_start, held_size = _laid(other)
+    hit, held_hit = np.zeros(len(data), bool), np.zeros(len(held), bool)
+    places = np.flatnonzero(np.arange(len(data)) + length <= np.repeat(start + size, size))
+    if len(places) and len(held):
+        order, rank = suffix_array(held, held_start, held_size)
+        shared = common_prefixes(held, held_start, held_size, order, rank, length)
+        by_rank = order[order + length <= np.repeat(held_start + held_size, held_size)[order]]
+        group = np.cumsum(shared[by_rank] < length)  # equal strings follow one another
+        word, held_word = _words(data), _words(held)
+        shift = np.uint64(8 * max(0, 8 - length))
+        first_words = held_word[by_rank] >> shift
+        lo = np.searchsorted(first_words, word[places] >> shift, side="left")
+        end = np.searchsorted(first_words, word[places] >> shift, side="right")
+        hi = end.copy()
+        while True:
+            open_ = np.flatnonzero(lo < hi)
+            if not len(open_):
+                break
+            middle = (lo[open_] + hi[open_]) // 2
+            after = _greater(word, places[open_], held_word, by_rank[middle], length) > 0
+            lo[open_] = np.where(after, middle + 1, lo[open_])
+            hi[open_] = np.where(after, hi[open_], middle)
+        inside = np.flatnonzero(lo < end)
+        inside = inside[_greater(word, places[inside], held_word, by_rank[lo[inside]], length) == 0]
+        hit[places[inside]] = True
+        held_hit[by_rank] = np.isin(group, group[lo[inside]])
+    own = lambda mask, starts, sizes: [mask[a : a + max(0, n - length + 1)] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return own(hit, start, size), own(held_hit, held_start, held_size)
+
+
 def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     """For each string, which of its strings of ``length`` bytes also begin elsewhere in the shard (in any string)."""
-    size = np.array([len(s) for s in strings], np.int64)
-    data = np.frombuffer(b"".join(strings), np.uint8)
+    data, start, size = _laid(strings)
     if not len(data):
         return [np.zeros(0, bool) for _ in strings]
-    start = np.cumsum(size) - size
     order, rank = suffix_array(data, start, size)
     shared = common_prefixes(data, start, size, order, rank, length)
     long = shared[order] >= length  # with the suffix before

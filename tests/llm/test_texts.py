@@ -50,11 +50,13 @@ def test_drop_copies(docs, no_docs):
     assert exact_dedup.exact_groups(no_docs).count() == 0
 
 
-def test_colliding_hashes_stay_apart(spark):
-    """Two texts with the same MD5 (a published pair of blocks) are two groups: grouping compares bytes."""
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
-    same = df.select("doc_id", F.lit(b"0").alias("md5"), F.col("text").alias("body")).groupBy("md5", "body").count()
-    assert same.count() == 2
+def test_colliding_hashes_stay_apart(spark, docs, monkeypatch):
+    """All texts are given one MD5: grouping compares bytes, and rows find their groups by SHA-256."""
+    want, kept = exact_dedup.exact_groups(docs).collect(), exact_dedup.drop_copies(docs).collect()
+    monkeypatch.setattr(exact_dedup.F, "md5", lambda _: F.lit("0" * 32))
+    assert exact_dedup.exact_groups(docs).select(F.md5("text_sha256")).distinct().count() == 1  # the patch holds
+    assert Counter(map(tuple, exact_dedup.exact_groups(docs).collect())) == Counter(map(tuple, want))
+    assert Counter(map(tuple, exact_dedup.drop_copies(docs).collect())) == Counter(map(tuple, kept))
 
 
 # -- near ------------------------------------------------------------------------------------------------------------
@@ -137,22 +139,65 @@ def brute_removals(texts, length):
     return out
 
 
-@pytest.mark.parametrize("shard", [None, 1500])
-def test_removals(docs, monkeypatch, shard):
-    if shard:  # anchors are split over shards
-        monkeypatch.setattr(substring_dedup, "SHARD_BYTES", shard)
+def removed(df):
+    return Counter((r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in df.collect())
+
+
+#: As it is; anchors split over shards that are merged; split anchors made longer; stretches.
+SUFFIX_SETTINGS = [{}, {"SHARD_BYTES": 1500, "SHARDS": 10_000}, {"SHARD_BYTES": 1500, "SHARDS": 2}, {"SHARD_BYTES": 700, "SHARDS": 1, "STRETCH": 1000}]
+
+
+@pytest.mark.parametrize("settings", SUFFIX_SETTINGS)
+def test_removals(docs, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(substring_dedup, name, value)
     rows = docs.select("doc_id", "text").collect()
     want = Counter(zip([r["doc_id"] for r in rows], brute_removals([body(r["text"]).encode() for r in rows], 400), strict=True))
-    got, _ = substring_dedup.removals(docs)
-    assert Counter((r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got.collect()) == want
+    got = substring_dedup.removals(docs)
+    assert removed(got) == want
+    assert all(r["text"].encode() == b"" or hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] for r in got.collect())
 
 
 def test_removals_of_nothing(no_docs, plain_docs):
-    assert substring_dedup.removals(no_docs)[0].count() == 0
+    assert substring_dedup.removals(no_docs).count() == 0
     rows = plain_docs.collect()
-    want = dict(zip([r["doc_id"] for r in rows], brute_removals([body(r["text"]).encode() for r in rows], 400), strict=True))
-    got = by_id(substring_dedup.removals(plain_docs)[0])
-    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+    for length in (400, 200, 53):
+        want = Counter(zip([r["doc_id"] for r in rows], brute_removals([body(r["text"]).encode() for r in rows], length), strict=True))
+        assert removed(substring_dedup.removals(plain_docs, length)) == want
+
+
+@pytest.mark.parametrize("settings", [{"SHARD_BYTES": 4000}, {"SHARD_BYTES": 4000, "SHARDS": 2}])
+def test_one_anchor_in_many_texts(spark, monkeypatch, settings):
+    """A passage between all kinds of neighbours: its anchor's segments are all different, and more than one shard holds."""
+    for name, value in settings.items():
+        monkeypatch.setattr(substring_dedup, name, value)
+    rng = np.random.default_rng(8)
+    filler = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage = filler(300)
+    ahead, after = [filler(300) for _ in range(4)], [filler(300) for _ in range(4)]
+    texts = [filler(40) + (ahead[k % 4][-(k % 290) :] if k % 3 else filler(200)) + passage + (after[k % 4][: k % 171] if k % 2 else "") + filler(150) for k in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = Counter(zip(range(120), brute_removals([t.encode() for t in texts], 400), strict=True))
+    assert removed(substring_dedup.removals(docs)) == want
+
+
+def test_equal_md5s_are_different_texts(spark):
+    """Two texts of one MD5 (a published pair of blocks): neither is a copy of the other."""
+    one = bytes.fromhex("d131dd02c5e6eec4693d9a0698aff95c2fcab58712467eab4004583eb8fb7f8955ad340609f4b30283e488832571415a085125e8f7cdc99fd91dbdf280373c5bd8823e3156348f5bae6dacd436c919c6dd53e2b487da03fd02396306d248cda0e99f33420f577ee8ce54b67080a80d1ec69821bcb6a8839396f9652b6ff72a70")
+    two = bytes.fromhex("d131dd02c5e6eec4693d9a0698aff95c2fcab50712467eab4004583eb8fb7f8955ad340609f4b30283e4888325f1415a085125e8f7cdc99fd91dbd7280373c5bd8823e3156348f5bae6dacd436c919c6dd53e23487da03fd02396306d248cda0e99f33420f577ee8ce54b67080280d1ec69821bcb6a8839396f965ab6ff72a70")
+    assert one != two and hashlib.md5(one).digest() == hashlib.md5(two).digest()
+    keys = spark.createDataFrame([(bytearray(one),), (bytearray(two),)], "body binary").select(substring_dedup.text_key(F.col("body")).alias("k"))
+    assert keys.distinct().count() == 2
+
+
+def test_search_of_shards():
+    rng = np.random.default_rng(9)
+    for _ in range(150):
+        one, other = ([bytes(rng.choice(np.frombuffer(b"ab\x00\xff", np.uint8), rng.choice([0, 1, 3, 9, 40]))) for _ in range(rng.integers(1, 6))] for _ in range(2))
+        length = int(rng.integers(1, 20))
+        sets = [{s[i : i + length] for s in x for i in range(len(s) - length + 1)} for x in (one, other)]
+        want = [[[s[i : i + length] in y for i in range(len(s) - length + 1)] for s in x] for x, y in ((one, sets[1]), (other, sets[0]))]
+        assert [[m.tolist() for m in x] for x in suffixes.starts_in_both(one, other, length)] == want
 
 
 def test_suffix_arrays():
@@ -198,6 +243,16 @@ def test_codec_is_the_library(library, by_library):
     assert decoded == [library.decode(x, skip_special_tokens=False) for x in want]
 
 
+def test_fragments_of_one_key_stay_apart(library, monkeypatch):
+    """All long fragments are given the same hash: their bytes tell them apart."""
+    codec = bpe.Codec(VOCABULARY)
+    monkeypatch.setattr(codec, "_byte_key", np.zeros(256, np.uint64))
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("abcdefghij"), rng.integers(1, 20))) for _ in range(30)) for _ in range(60)]
+    got = [x.tolist() for k in range(0, 60, 20) for _, ids, counts in codec.encode_batch(texts[k : k + 20]) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_decoding_broken_ids(library):
     codec = bpe.codec(VOCABULARY)
     ids = np.array([223, 128, 50256, 10**6, -1, 447])
