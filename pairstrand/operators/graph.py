@@ -72,12 +72,25 @@ def successors(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_set("dst")).alias("successors"))
 
 
+def two_steps(edges: DataFrame, columns: list[str]) -> DataFrame:
+    """Ways of two edges beside each edge: the edge with its columns, via, and the columns of both steps as first_* and second_*.
+
+    An edge looks at the edges out of its source or at those into its destination, whichever are fewer, and then for the edge
+    that closes the way. So a node with very many edges doesn't meet all pairs of them.
+    """
+    outs = edges.groupBy("src").agg(F.count(F.lit(1)).alias("outs"))
+    ins = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("ins"))
+    sized = edges.select("src", "dst", *columns).join(outs, "src").join(ins, "dst")
+    first = edges.select("src", F.col("dst").alias("via"), *(F.col(c).alias(f"first_{c}") for c in columns))
+    second = edges.select(F.col("src").alias("via"), "dst", *(F.col(c).alias(f"second_{c}") for c in columns))
+    ahead = sized.where("outs <= ins").join(first, "src").join(second, ["via", "dst"])
+    behind = sized.where("outs > ins").join(second, "dst").join(first, ["src", "via"])
+    return ahead.unionByName(behind).drop("outs", "ins")
+
+
 def common_neighbours(edges: DataFrame) -> DataFrame:
     """Nodes between the ends of each edge: src, dst, via."""
-    e = edges.select("src", "dst")
-    first = e.select("src", F.col("dst").alias("via"))
-    second = e.select(F.col("src").alias("via"), "dst")
-    return first.join(second, "via").join(e, ["src", "dst"], "left_semi").select("src", "dst", "via")
+    return two_steps(edges, []).select("src", "dst", "via")
 
 
 def tips(edges: DataFrame) -> DataFrame:
@@ -107,7 +120,7 @@ def neighbourhoods(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 def neighbours_shared_by_edge(edges: DataFrame) -> DataFrame:
     """src, dst, node: for each edge by itself what ``shared_neighbours`` finds from it."""
     each = edges.select("src", "dst").distinct()
-    between = each.join(each.select("src", F.col("dst").alias("via")), "src").join(each.select(F.col("src").alias("via"), "dst"), ["via", "dst"])
+    between = common_neighbours(each)
     own = each.select("src", "dst", F.explode(F.array("src", "dst")).alias("node"))
     reached = own.union(between.select("src", "dst", "via"))
     return reached.union(reached.select("src", "dst", complement(F.col("node")))).distinct()

@@ -122,7 +122,7 @@ def node_outcomes(labelled: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def unitig_rollup(placements: DataFrame, reads: DataFrame) -> DataFrame:
-    """Unitigs from their reads: seg_id, n, read_strand, read_chr, variant, and start and end per variant.
+    """Unitigs from their reads: seg_id, n, read_strand, read_chr, variant, and start, end and number of reads per variant.
 
     placements: line_no, seg_id, orient, read_id; reads: read_id, read_strand, read_chr, variant, read_start, read_end. The
     strand is the sign of the strands as placed (0 counts as +1); chromosome and variant are the most common ones, of equals
@@ -135,11 +135,37 @@ def unitig_rollup(placements: DataFrame, reads: DataFrame) -> DataFrame:
         F.when(F.sum(placed) >= 0, 1).otherwise(-1).alias("read_strand"),
         *(F.min(F.when(F.col("variant") == v, F.col("read_start"))).alias(f"start_{v}") for v in "MP"),
         *(F.max(F.when(F.col("variant") == v, F.col("read_end"))).alias(f"end_{v}") for v in "MP"),
+        *(F.count_if(F.col("variant") == v).alias(f"n_{v}") for v in "MP"),
     )
     for name in ("read_chr", "variant"):
         counts = rows.groupBy("seg_id", name).agg(F.count(F.lit(1)).alias("c"), F.min("line_no").alias("first"))
         merged = merged.join(counts.groupBy("seg_id").agg(F.max_by(name, F.struct("c", (-F.col("first")).alias("f"))).alias(name)), "seg_id")
-    return merged.select("seg_id", "n", "read_strand", "read_chr", "variant", "start_M", "end_M", "start_P", "end_P")
+    return merged.select("seg_id", "n", "read_strand", "read_chr", "variant", "start_M", "end_M", "start_P", "end_P", "n_M", "n_P")
+
+
+def complete_unitigs(rolled: DataFrame, m_to_p: DataFrame, p_to_m: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """Unitigs whose coordinates agree: seg_id and start and end per haplotype.
+
+    rolled: ``unitig_rollup`` with counts. A haplotype without reads gets the other's coordinates, lifted over. With reads of
+    both, and spans that differ by over ``tolerance`` of the longer, the one with fewer reads gets the other's, if both ends can
+    be lifted. m_to_p and p_to_m: chain blocks as for ``joins.liftover``.
+    """
+    from pairstrand.operators.joins import liftover
+
+    out = rolled
+    for h, other, blocks in (("M", "P", m_to_p), ("P", "M", p_to_m)):
+        for end in ("start", "end"):
+            at = rolled.select("seg_id", F.col("read_chr").alias("chr"), F.col(f"{end}_{h}").alias("position")).where("position is not null")
+            out = out.join(liftover(at, blocks, "seg_id").select("seg_id", F.col("lifted").alias(f"lifted_{end}_{other}")), "seg_id", "left")
+    span = lambda h: F.col(f"end_{h}") - F.col(f"start_{h}")
+    apart = (span("M") > 0) & (span("P") > 0) & (F.abs(span("M") - span("P")) / F.greatest(span("M"), span("P")) > tolerance)
+
+    def repaired(h: str, other: str) -> list[Column]:
+        lifted = [F.col(f"lifted_{end}_{h}") for end in ("start", "end")]
+        fewer = apart & (F.col(f"n_{h}") > 0) & (F.col(f"n_{other}") > F.col(f"n_{h}")) & lifted[0].isNotNull() & lifted[1].isNotNull()
+        return [F.when((F.col(f"n_{h}") == 0) | fewer, new).otherwise(F.col(f"{end}_{h}")).alias(f"{end}_{h}") for end, new in zip(("start", "end"), lifted, strict=True)]
+
+    return out.select("seg_id", *repaired("M", "P"), *repaired("P", "M"))
 
 
 def hg_consensus(placements: DataFrame) -> DataFrame:

@@ -160,6 +160,15 @@ def kmer_hits(reads: DataFrame, kmers: DataFrame, k: int, id_col: str = "read_id
     return counted.join(known, "kmer").groupBy("read_id", "parent").agg(F.sum("c").alias("hits"))
 
 
+def evaluate(walks: DataFrame, nodes: DataFrame, edges: DataFrame, classified: DataFrame, column: str) -> DataFrame:
+    """One row a haplotype: what ``edge_correctness``, ``phasing_errors``, ``kmer_error`` and ``n50`` say of its walks."""
+    parts = [edge_correctness(walks, classified), phasing_errors(walks, nodes, column), kmer_error(walks, nodes, edges), n50(contig_lengths(walks, nodes, edges))]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.join(x, "hap", "left")
+    return out
+
+
 def parent_average(metrics: DataFrame) -> DataFrame:
     """metric, value: means over haplotypes. metrics: hap, metric, value."""
     return metrics.groupBy("metric").agg(F.avg("value").alias("value"))

@@ -12,7 +12,16 @@ def uniform(edges: DataFrame, k: int, order: Column | None = None, seed: int = 0
     return edges.orderBy(order, "src", "dst").limit(k)
 
 
-def weighted(edges: DataFrame, k: int, weight: str, seed: int = 0) -> DataFrame:
-    """k edges with positive weights, each chosen in proportion to its weight: the smallest of -ln(u) / weight."""
-    u = (F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+def shuffled(df: DataFrame, key: Column) -> DataFrame:
+    """Rows with their place (from 0) in a random order, that of a hash ``key`` of them."""
+    from pairstrand.operators.simplify import _numbered
+
+    return _numbered(df.withColumn("shuffle_key", key), "shuffle_key").drop("shuffle_key").withColumnRenamed("number", "place")
+
+
+def weighted(edges: DataFrame, k: int, weight: str, seed: int = 0, u: Column | None = None) -> DataFrame:
+    """k edges with positive weights, each chosen in proportion to its weight: the smallest of -ln(u) / weight, where u is a
+    hash between 0 and 1."""
+    if u is None:
+        u = (F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return edges.where(F.col(weight) > 0).orderBy(-F.log(u) / F.col(weight), "src", "dst").limit(k)

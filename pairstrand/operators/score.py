@@ -1,15 +1,19 @@
-"""Features, a gated graph convolution, edge heads, losses and confusion counts, as DataFrame expressions.
+"""Features, a gated graph convolution, edge heads, losses and confusion counts.
 
-Vectors are arrays of doubles; weights are plain lists, so a layer is a projection, two joins and sums per node.
+Vectors are arrays of doubles. A layer is a projection, two joins and sums per node; products with weights are numpy's, on
+batches of rows, so that matrices of any size travel once to a worker and aren't part of the plan.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairstrand.functions.strings import complement, relu, sigmoid
 from pairstrand.operators.graph import degrees, mirror
+from pairstrand.sources.shared import written
 
 Matrix = list[list[float]]
 
@@ -54,9 +58,14 @@ def mirror_average(edges: DataFrame, column: str = "score", compat: bool = False
 
 def linear(x: Column, w: Matrix, b: list[float] | None = None) -> Column:
     """Affine map of an array column."""
-    rows = F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in w))
-    out = F.transform(rows, lambda row: F.aggregate(F.zip_with(row, x, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v))
-    return out if b is None else F.zip_with(out, F.array(*(F.lit(float(v)) for v in b)), lambda p, q: p + q)
+    weights, bias = np.asarray(w, float), np.zeros(len(w)) if b is None else np.asarray(b, float)
+
+    @F.pandas_udf("array<double>")
+    def product(rows: pd.Series) -> pd.Series:
+        given = np.array(rows.tolist(), float).reshape(len(rows), weights.shape[1])
+        return pd.Series(list(given @ weights.T + bias))
+
+    return product(x)
 
 
 def add(*vectors: Column) -> Column:
@@ -78,7 +87,22 @@ def standardise(rows: DataFrame, column: str, size: int, eps: float = 1e-8) -> D
     return rows.crossJoin(F.broadcast(stats)).withColumn(column, out).select(rows.columns)
 
 
-def gated_conv(h: DataFrame, e: DataFrame, w: dict[str, Matrix], size: int, eps: float = 1e-6, norm: bool = False) -> tuple[DataFrame, DataFrame]:
+def normalise(rows: DataFrame, column: str, size: int, norm: str | None) -> DataFrame:
+    """``pair``: each element over all rows, eps 1e-8; ``batch``: the same with eps 1e-5; ``layer``: each row over its elements,
+    eps 1e-5; None: as it is."""
+    if norm in ("pair", "batch"):
+        return standardise(rows, column, size, 1e-8 if norm == "pair" else 1e-5)
+    if norm == "layer":
+        total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
+        mean = total(F.col(column)) / size
+        spread = total(F.transform(column, lambda v: (v - mean) * (v - mean))) / size
+        return rows.withColumn(column, F.transform(column, lambda v: (v - mean) / F.sqrt(spread + 1e-5)))
+    if norm is not None:
+        raise ValueError(f"{norm}: norms are pair, batch and layer")
+    return rows
+
+
+def gated_conv(h: DataFrame, e: DataFrame, w: dict[str, Matrix], size: int, eps: float = 1e-6, norm: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One layer of a symmetric gated graph convolution.
 
     h: node, h; e: src, dst, e. Gates are sigmoids of B1 h_src + B2 h_dst + B3 e; a node takes A1 h, the gated mean of A2 h
@@ -87,7 +111,8 @@ def gated_conv(h: DataFrame, e: DataFrame, w: dict[str, Matrix], size: int, eps:
     of = lambda end, mats: h.select(F.col("node").alias(end), *(linear(F.col("h"), w[m]).alias(f"{m}_{end}") for m in mats))
     joined = e.join(of("src", ["A2", "B1"]), "src").join(of("dst", ["A3", "B2"]), "dst")
     raw = joined.withColumn("raw", add(F.col("B1_src"), F.col("B2_dst"), linear(F.col("e"), w["B3"])))
-    gate = raw.withColumn("g", F.transform("raw", sigmoid))
+    # three results hang on the gates, which are therefore written once
+    gate = raw = written(raw.select("src", "dst", "e", "raw", "A2_src", "A3_dst", F.transform("raw", sigmoid).alias("g")), "conv-gates")
     times = lambda a, b: F.zip_with(a, b, lambda p, q: p * q)
 
     def mean(end: str, value: str) -> DataFrame:
@@ -99,11 +124,17 @@ def gated_conv(h: DataFrame, e: DataFrame, w: dict[str, Matrix], size: int, eps:
     new = h.join(mean("dst", "A2_src"), "node", "left").join(mean("src", "A3_dst"), "node", "left")
     new = new.select("node", "h", add(linear(F.col("h"), w["A1"]), F.coalesce("mean_dst", zero), F.coalesce("mean_src", zero)).alias("n"))
     new_e = raw.select("src", "dst", "e", F.col("raw").alias("n"))
-    if norm:
-        new, new_e = standardise(new, "n", size), standardise(new_e, "n", size)
+    new, new_e = normalise(new, "n", size, norm), normalise(new_e, "n", size, norm)
     return new.select("node", add(F.transform("n", relu), F.col("h")).alias("h")), new_e.select("src", "dst", add(F.transform("n", relu), F.col("e")).alias("e"))
 
 
+def gated_network(h: DataFrame, e: DataFrame, layers: list[dict[str, Matrix]], size: int, norm: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Several layers, one on the other; nodes and edges are written between them."""
+    for w in layers:
+        h, e = (written(x, "conv-layer") for x in gated_conv(h, e, w, size, norm=norm))
+    return h, e
+
+
 def edge_head(h: DataFrame, e: DataFrame, w1: Matrix, b1: list[float], w2: list[float], b2: float) -> DataFrame:
     """src, dst, logit of a two-layer network on source, destination and edge vectors."""
     of = lambda end: h.select(F.col("node").alias(end), F.col("h").alias(f"h_{end}"))

@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairstrand.functions.strings import complement
-from pairstrand.operators.graph import mirror_semi
-from pairstrand.sources.shared import written
+from pairstrand.operators.graph import mirror_semi, two_steps
+from pairstrand.sources.shared import shuffle_partitions, written
 
 EPS = 0.12
-#: Chains of so many nodes or more aren't merged.
-MAX_CHAIN = 10_000
 
 
 def drop_self_compl(edges: DataFrame) -> DataFrame:
@@ -24,13 +22,9 @@ def triangle_theta(edges: DataFrame, eps: float = EPS) -> DataFrame:
 
     Marks are made on the whole graph, and kept if the mirror is marked too.
     """
-    a = edges.select("src", F.col("dst").alias("via"), F.col("prefix_length").alias("p1"))
-    b = edges.select(F.col("src").alias("via"), "dst", F.col("prefix_length").alias("p2"))
-    two_step = a.join(b, "via").select("src", "dst", (F.col("p1") + F.col("p2")).alias("way"))
-    lo, hi, own, way = F.lit(1 - eps), F.lit(1 + eps), F.col("prefix_length"), F.col("way")
+    lo, hi, own, way = F.lit(1 - eps), F.lit(1 + eps), F.col("prefix_length"), F.col("first_prefix_length") + F.col("second_prefix_length")
     near = ((own * lo <= way) & (way <= own * hi)) | ((way * lo <= own) & (own <= way * hi))
-    marked = two_step.join(edges.select("src", "dst", "prefix_length"), ["src", "dst"]).where(near).select("src", "dst").distinct()
-    return mirror_semi(marked)
+    return mirror_semi(two_steps(edges, ["prefix_length"]).where(near).select("src", "dst").distinct())
 
 
 def transitive_reduction(edges: DataFrame, eps: float = EPS) -> DataFrame:
@@ -48,10 +42,11 @@ def chains(edges: DataFrame) -> DataFrame:
     """Maximal chains of linear edges: head, node, pos (0 at the head). Pure cycles have no head and are left out.
 
     Pointer doubling: each round a node looks at the ancestor of its ancestor, so rounds follow the logarithm of the
-    longest chain.
+    longest chain. What still moves when a pointer reaches further than all nodes together lies on a cycle.
     """
     lin = written(linear_edges(edges), "chain-linear")
     members = lin.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    n_members = members.count()
     step = lin.select(F.col("dst").alias("node"), F.col("src").alias("up"))
     state = written(members.join(step, "node", "left").select("node", F.coalesce("up", "node").alias("up"), F.col("up").isNotNull().cast("long").alias("pos")), "chain-state")
     rounds = 0
@@ -60,28 +55,22 @@ def chains(edges: DataFrame) -> DataFrame:
         nxt = state.join(above, "up").select("node", F.col("next").alias("up"), F.col("up").alias("old"), (F.col("pos") + F.col("more")).alias("pos"))
         nxt = written(nxt, "chain-state")
         state, rounds = nxt.select("node", "up", "pos"), rounds + 1
-        # nodes of cycles never come to rest; no chain is longer than 2^40
-        moving = nxt.where(F.col("up") != F.col("old"))
-        if moving.isEmpty() or rounds > 40 or _only_cycles(moving, lin):
+        if 1 << rounds >= n_members or nxt.where(F.col("up") != F.col("old")).isEmpty():
             break
     heads = members.join(lin.select(F.col("dst").alias("node")), "node", "left_anti").select(F.col("node").alias("up"))
     return state.join(heads, "up", "left_semi").select(F.col("up").alias("head"), "node", "pos")
 
 
-def _only_cycles(moving: DataFrame, lin: DataFrame) -> bool:
-    """Whether all that still moves lies on cycles: its pointers never reach a head."""
-    heads = lin.select(F.col("src").alias("up")).join(lin.select(F.col("dst").alias("up")), "up", "left_anti")
-    return moving.select("up").join(heads, "up", "left_semi").isEmpty() and moving.select("old").join(heads.withColumnRenamed("up", "old"), "old", "left_semi").isEmpty()
-
-
-def chain_pairs(chain: DataFrame) -> DataFrame:
+def chain_pairs(chain: DataFrame, max_nodes: int | None = None) -> DataFrame:
     """Of each chain and its mirror, the one whose head has the smaller id: head, node, pos, n (nodes of the chain).
 
-    A chain that shares a node with its own mirror is dropped, as are those of MAX_CHAIN nodes or more.
+    A chain that shares a node with its own mirror is dropped, as are those of ``max_nodes`` nodes or more, if that is given.
     """
     sizes = chain.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", "pos").alias("tail"))
     twin = chain.select("head", complement(F.col("node")).alias("node")).join(chain.select("node", F.col("head").alias("other")), "node").where("head = other").select("head").distinct()
-    kept = sizes.where((F.col("n") < MAX_CHAIN) & (F.col("head") < complement(F.col("tail")))).join(twin, "head", "left_anti")
+    kept = sizes.where(F.col("head") < complement(F.col("tail"))).join(twin, "head", "left_anti")
+    if max_nodes is not None:
+        kept = kept.where(F.col("n") < max_nodes)
     return chain.join(kept.select("head", "n"), "head")
 
 
@@ -109,13 +98,43 @@ def chain_rollup(chain: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     )
 
 
-def condense(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def infer_chain_coords(chain: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Coordinates that the first and the last node of chains lack, from the nearest node of the chain that has some: head, node,
+    place (first or last), reference (that node), and start and end per haplotype (null where nothing follows).
+
+    The distance from a reference is the length that all nodes from the one to the other spell, both of them included. An end
+    that has both haplotypes' coordinates needs none and gives no row, as does one without a reference.
+    """
+    along = Window.partitionBy("head").orderBy("pos")
+    coordinates = [f"read_{w}_{h}" for h in "MP" for w in ("start", "end")]
+    rows = chain.select("head", "node", "pos").join(nodes.select("node", "read_length", *coordinates), "node")
+    rows = rows.withColumns({"next": F.lead("node").over(along), "last": F.max("pos").over(Window.partitionBy("head"))})
+    rows = rows.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "overlap_length"), ["node", "next"], "left")
+    added = F.col("read_length") - F.coalesce("overlap_length", F.lit(0))
+    rows = rows.withColumn("before", F.coalesce(F.sum(added).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    has = lambda h: F.col(f"read_start_{h}").isNotNull() & F.col(f"read_end_{h}").isNotNull()
+    known, whole = has("M") | has("P"), has("M") & has("P")
+    what = F.struct("node", "read_length", "before", *(F.when(has(h), F.col(f"read_start_{h}")).alias(h) for h in "MP"))
+    at = lambda place, ends, beyond, nearest: rows.groupBy("head").agg(
+        F.max(F.when(ends, what)).alias("own"), F.bool_or(ends & whole).alias("whole"), nearest(F.when(known & beyond, what), F.when(known & beyond, F.col("pos"))).alias("ref"), F.lit(place).alias("place"),
+        *(F.bool_or(ends & has(h)).alias(f"has_{h}") for h in "MP"),
+    )
+    first = at("first", F.col("pos") == 0, F.col("pos") > 0, F.min_by)
+    last = at("last", F.col("pos") == F.col("last"), F.col("pos") < F.col("last"), F.max_by)
+    both = first.union(last).where("not whole and ref is not null")
+    span = F.when(F.col("place") == "first", F.col("own.before") - F.col("ref.before") - F.col("ref.read_length")).otherwise(F.col("own.before") + F.col("own.read_length") - F.col("ref.before"))
+    start = lambda h: F.when(~F.col(f"has_{h}"), F.col(f"ref.{h}") + span)
+    out = [x for h in "MP" for x in (start(h).alias(f"start_{h}"), (start(h) + F.col("own.read_length")).alias(f"end_{h}"))]
+    return both.select("head", F.col("own.node").alias("node"), "place", F.col("ref.node").alias("reference"), *out)
+
+
+def condense(nodes: DataFrame, edges: DataFrame, max_nodes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merge chains in pairs of mirrors: new nodes (node, read_length, support), new edges, and members (node, old, pos).
 
     The i-th chain, by its head, becomes node ``base + 2 i`` and its mirror ``base + 2 i + 1``, where base is the least even
     number above all ids. Edges into heads and out of tails survive; prefix lengths are computed anew.
     """
-    pairs = written(chain_pairs(chains(drop_self_compl(edges))), "condense-chains")
+    pairs = written(chain_pairs(chains(drop_self_compl(edges)), max_nodes), "condense-chains")
     base = (nodes.agg(F.max("node").alias("m")).first()["m"] or 0) // 2 * 2 + 2
     heads = _numbered(pairs.select("head").distinct(), "head").select("head", (F.lit(base) + 2 * F.col("number")).alias("new"))
     numbered = pairs.join(heads, "head")
@@ -143,9 +162,9 @@ def prefix_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.drop("prefix_length").join(lengths, "src").withColumn("prefix_length", F.col("read_length") - F.col("overlap_length")).drop("read_length")
 
 
-def _numbered(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
+def _numbered(df: DataFrame, column: str) -> DataFrame:
     """Number rows by a column from 0: by ranges, with a prefix sum over one count per range."""
-    ranged = written(df.repartitionByRange(parts, column).withColumn("range", F.spark_partition_id()), "numbered")
+    ranged = written(df.repartitionByRange(shuffle_partitions(df.sparkSession), column).withColumn("range", F.spark_partition_id()), "numbered")
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     bases = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("c")).select("range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
     return ranged.join(bases, "range").withColumn("number", F.col("base") + F.row_number().over(Window.partitionBy("range").orderBy(column)) - 1).drop("range", "base")

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from pairstrand.plans import structure_queries, walk_queries  # noqa: E402,F401
+from pairstrand.plans import structure_queries, walk_queries, whole_queries  # noqa: E402,F401

@@ -277,7 +277,7 @@ chain AS (
 ),
 twins AS (SELECT DISTINCT a.head FROM chain a JOIN chain b ON b.node = xor(a.node, 1) AND b.head = a.head),
 sized AS (SELECT head, count(*) AS n, arg_max(node, pos) AS tail FROM chain GROUP BY head),
-kept AS (SELECT head, n FROM sized WHERE n < 10000 AND head < xor(tail, 1) AND head NOT IN (FROM twins))"""
+kept AS (SELECT head, n FROM sized WHERE head < xor(tail, 1) AND head NOT IN (FROM twins))"""
 )
 
 
@@ -329,6 +329,72 @@ def chain_rollup(spark, d):
     return simplify.chain_rollup(pairs, fx.nodes(r), reduced).fillna(-1, ["support", "start_M", "end_M", "start_P", "end_P"])
 
 
+#: A chain's end, the nearest node that has coordinates, and what lies between them.
+_SPOT_SQL = """
+spots AS (
+  SELECT c.head, c.node, c.pos, s.n - 1 AS last, read_length AS len, "read_start_M" AS m, "read_start_P" AS p,
+    overlap
+  FROM chain c JOIN sized s ON s.head = c.head JOIN kept k ON k.head = c.head JOIN nodes ON nodes.node = c.node
+),
+placed AS (SELECT *, sum(len - overlap) OVER (PARTITION BY head ORDER BY pos) - len AS place_before FROM spots),
+ends AS (
+  SELECT o.*, 'first' AS place, (SELECT min(pos) FROM placed r WHERE r.head = o.head AND r.pos > 0 AND (r.m IS NOT NULL OR r.p IS NOT NULL)) AS at FROM placed o WHERE pos = 0
+  UNION ALL SELECT o.*, 'last', (SELECT max(pos) FROM placed r WHERE r.head = o.head AND r.pos < r.last AND (r.m IS NOT NULL OR r.p IS NOT NULL)) FROM placed o WHERE pos = last
+),
+found AS (
+  SELECT e.head, e.node, e.place, r.node AS reference, e.len, e.m AS em, e.p AS ep, r.m AS rm, r.p AS rp,
+    CASE e.place WHEN 'first' THEN -(r.place_before + r.len - e.place_before) ELSE e.place_before + e.len - r.place_before END AS span
+  FROM ends e JOIN placed r ON r.head = e.head AND r.pos = e.at WHERE e.m IS NULL OR e.p IS NULL
+)"""
+
+
+@query(
+    "infer_chain_coords",
+    RECURSIVE + CHAIN_SQL + "," + _SPOT_SQL + """
+    SELECT head, node, place, reference, coalesce(CASE WHEN em IS NULL THEN rm + span END, -1)::BIGINT AS "start_M", coalesce(CASE WHEN em IS NULL THEN rm + span + len END, -1)::BIGINT AS "end_M",
+      coalesce(CASE WHEN ep IS NULL THEN rp + span END, -1)::BIGINT AS "start_P", coalesce(CASE WHEN ep IS NULL THEN rp + span + len END, -1)::BIGINT AS "end_P" FROM found""",
+)
+def infer_chain_coords(spark, d):
+    r, reduced, pairs = _chains(spark, d)
+    return simplify.infer_chain_coords(pairs, fx.nodes(r), reduced).fillna(-1, ["start_M", "end_M", "start_P", "end_P"])
+
+
+@query(
+    "simplify",
+    RECURSIVE + CHAIN_SQL + """,
+    inner_nodes AS (SELECT c.node FROM chain c JOIN kept k ON k.head = c.head UNION SELECT xor(c.node, 1) FROM chain c JOIN kept k ON k.head = c.head),
+    merged AS (SELECT (sum(read_length) - sum(overlap))::BIGINT AS read_length FROM chain c JOIN kept k ON k.head = c.head JOIN nodes ON nodes.node = c.node GROUP BY c.head)
+    SELECT read_length, count(*) AS n FROM (SELECT read_length FROM nodes WHERE node NOT IN (FROM inner_nodes) UNION ALL SELECT read_length FROM merged UNION ALL SELECT read_length FROM merged) GROUP BY read_length""",
+)
+def simplified(spark, d):
+    """Lengths of the nodes that are left, and how many have them; raises unless the graph is symmetric before and after."""
+    r = fx.reads(spark, d)
+    nodes, _, _ = simplify.simplify(fx.nodes(r), fx.clean_edges(r))
+    return nodes.groupBy("read_length").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: A graph has a cycle iff a node reaches itself.
+@query(
+    "is_dag",
+    RECURSIVE + fx.USER_SQL + """, turned AS (SELECT src, dst FROM ug UNION SELECT dst, src FROM ug WHERE src % 6 = 0),
+    go AS (SELECT src AS start, dst AS node FROM ug UNION SELECT start, dst FROM go JOIN ug ON ug.src = go.node), there AS (SELECT src AS start, dst AS node FROM turned UNION SELECT start, dst FROM there JOIN turned ON turned.src = there.node)
+    SELECT 'plain' AS graph, NOT EXISTS (SELECT 1 FROM go WHERE start = node) AS is_dag UNION ALL SELECT 'with_turned_edges', NOT EXISTS (SELECT 1 FROM there WHERE start = node)""",
+)
+def is_dag(spark, d):
+    """The users' graph, and the same with some edges in both directions."""
+    e = fx.user_graph(fx.reads(spark, d)).select("src", "dst")
+    turned = e.union(e.where("src % 6 = 0").select("dst", "src"))
+    found = [("plain", components.is_dag(e)), ("with_turned_edges", components.is_dag(turned))]
+    return spark.createDataFrame(found, "graph string, is_dag boolean")
+
+
+@query("deadends")
+def deadends(spark, d):
+    """Of the users' graph by maternal coordinates; held against plain Python in the tests."""
+    r = fx.reads(spark, d)
+    return components.deadends(fx.nodes(r), fx.user_graph(r), "read_start_M", "read_end_M")
+
+
 @query(
     "condense_summary",
     RECURSIVE + CHAIN_SQL + """
@@ -561,13 +627,17 @@ def shared_neighbours_pairs(spark, d):
 CHAIN_TABLE_SQL = "chain AS (SELECT chr, b.day * 86400 AS t_start, (b.day + 1) * 86400 AS t_end, b.day * 86400 + (b.day - lo) * 100 AS q_start FROM (SELECT chr, min(s) // 86400 AS lo, max(s) // 86400 AS hi FROM r GROUP BY chr) c, LATERAL (SELECT unnest(range(lo, hi + 1)) AS day) b WHERE b.day % 10 <> 0)"
 
 
+def chain_blocks(r: DataFrame) -> DataFrame:
+    """Alignment blocks of a day each, some of them missing, that drift by 100 bases a day."""
+    span = r.groupBy("chr").agg(F.expr("min(s) div 86400").alias("lo"), F.expr("max(s) div 86400").alias("hi"))
+    blocks = span.select("chr", "lo", F.explode(F.sequence("lo", "hi")).alias("day")).where("day % 10 <> 0")
+    return blocks.select("chr", (F.col("day") * 86400).alias("t_start"), ((F.col("day") + 1) * 86400).alias("t_end"), (F.col("day") * 86400 + (F.col("day") - F.col("lo")) * 100).alias("q_start"))
+
+
 @query("liftover", W + fx.NODES_SQL + ", " + CHAIN_TABLE_SQL + " SELECT rid, s, coalesce(q_start + s - t_start, -1) AS lifted FROM r LEFT JOIN chain c ON c.chr = r.chr AND s >= t_start AND s < t_end")
 def liftover(spark, d):
     r = fx.reads(spark, d)
-    span = r.groupBy("chr").agg(F.expr("min(s) div 86400").alias("lo"), F.expr("max(s) div 86400").alias("hi"))
-    blocks = span.select("chr", "lo", F.explode(F.sequence("lo", "hi")).alias("day")).where("day % 10 <> 0")
-    chain = blocks.select("chr", (F.col("day") * 86400).alias("t_start"), ((F.col("day") + 1) * 86400).alias("t_end"), (F.col("day") * 86400 + (F.col("day") - F.col("lo")) * 100).alias("q_start"))
-    return joins.liftover(r.select("rid", "chr", F.col("s").alias("position")), chain, "rid").select("rid", F.col("position").alias("s"), F.coalesce("lifted", F.lit(-1)).alias("lifted"))
+    return joins.liftover(r.select("rid", "chr", F.col("s").alias("position")), chain_blocks(r), "rid").select("rid", F.col("position").alias("s"), F.coalesce("lifted", F.lit(-1)).alias("lifted"))
 
 
 FINAL_SQL = "final AS (SELECT src, dst FROM edges WHERE (src * 5 + dst) % 11 = 0)"
@@ -603,11 +673,6 @@ def sample_uniform(spark, d):
     return sampling.uniform(e, 100, F.md5(F.concat_ws("-", "src", "dst"))).select("src", "dst")
 
 
-@query("sample_weighted")
-def sample_weighted(spark, d):
-    return sampling.weighted(fx.scored(fx.edges(fx.reads(spark, d))), 100, "score", seed=1).select("src", "dst", "score")
-
-
 @query("union_distinct", W + fx.EDGES_SQL + " SELECT src, dst FROM clean UNION SELECT src, dst FROM edges")
 def union_distinct(spark, d):
     r = fx.reads(spark, d)

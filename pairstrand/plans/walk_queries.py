@@ -162,6 +162,18 @@ def standardise(spark, d):
     return score.standardise(h, "h", SIZE).select("node", *(F.round(F.col("h")[k], 6).alias(f"h{k}") for k in range(SIZE)))
 
 
+@query("layer_norm", W + VECTOR_SQL + ", s AS (SELECT *, (h0 + h1 + h2) / 3 AS m FROM h), v AS (SELECT *, ((h0 - m) * (h0 - m) + (h1 - m) * (h1 - m) + (h2 - m) * (h2 - m)) / 3 AS q FROM s) SELECT node, " + ", ".join(f"round((h{k} - m) / sqrt(q + 1e-5::DOUBLE), 6) AS h{k}" for k in range(SIZE)) + " FROM v")
+def layer_norm(spark, d):
+    h, _ = _vectors(spark, d)
+    return score.normalise(h, "h", SIZE, "layer").select("node", *(F.round(F.col("h")[k], 6).alias(f"h{k}") for k in range(SIZE)))
+
+
+@query("batch_norm", W + VECTOR_SQL + " SELECT node, " + ", ".join(f"round((h{k} - avg(h{k}) OVER ()) / sqrt(var_pop(h{k}) OVER () + 1e-5::DOUBLE), 6) AS h{k}" for k in range(SIZE)) + " FROM h")
+def batch_norm(spark, d):
+    h, _ = _vectors(spark, d)
+    return score.normalise(h, "h", SIZE, "batch").select("node", *(F.round(F.col("h")[k], 6).alias(f"h{k}") for k in range(SIZE)))
+
+
 BCE = "(3::DOUBLE * gt_bin * ln(1 / (1 + exp(-{0}))) + (1 - gt_bin) * ln(1 - 1 / (1 + exp(-{0}))))"
 
 
@@ -197,16 +209,18 @@ def dataset_stats(spark, d):
 
 @query("train_logreg")
 def train_logreg(spark, d):
-    """Probability that an edge is bad, by the first trainer."""
-    _, n, e = tables(spark, d)
-    rows = labels.create_gt(e, n).join(e, ["src", "dst"]).withColumn("overlap", F.col("overlap_length") / 1e4).withColumn("prefix", F.col("prefix_length") / 1e4)
-    from pyspark.ml.functions import vector_to_array
-
-    model = score.train_logistic(rows, ["overlap", "prefix"], "single_chrom_bad", "importance_weight")
+    """Probability that an edge is bad, by the first trainer: it learns from all chromosomes but the last, whose edges are held
+    out."""
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
+    _, n, e = tables(spark, d)
+    rows = labels.create_gt(e, n).join(e, ["src", "dst"]).withColumn("overlap", F.col("overlap_length") / 1e4).withColumn("prefix", F.col("prefix_length") / 1e4)
+    last = n.agg(F.max("read_chr").alias("last"))  # one row
+    rows = rows.join(n.select(F.col("node").alias("src"), "read_chr"), "src").crossJoin(F.broadcast(last)).withColumn("held_out", F.col("read_chr") == F.col("last"))
+    model = score.train_logistic(rows.where("not held_out"), ["overlap", "prefix"], "single_chrom_bad", "importance_weight")
     ready = VectorAssembler(inputCols=["overlap", "prefix"], outputCol="features").transform(rows)
-    return model.transform(ready).select("src", "dst", vector_to_array("probability")[1].alias("score"))
+    return model.transform(ready).select("src", "dst", "held_out", vector_to_array("probability")[1].alias("score"))
 
 
 # -- walks -----------------------------------------------------------------------------------------------------------
@@ -554,7 +568,8 @@ vars AS (SELECT seg_id, arg_max(variant, struct_pack(c := c, f := -f)) AS varian
     "unitig_rollup",
     W + UNITIG_SQL + """ SELECT rows.seg_id, count(*) AS n, CASE WHEN sum(strand * CASE WHEN orient = '-' THEN -1 ELSE 1 END) >= 0 THEN 1 ELSE -1 END AS read_strand,
       any_value(chrs.chr) AS read_chr, any_value(vars.variant) AS variant, coalesce(min(s) FILTER (rows.variant = 'M'), -1) AS "start_M", coalesce(max(e) FILTER (rows.variant = 'M'), -1) AS "end_M",
-      coalesce(min(s) FILTER (rows.variant = 'P'), -1) AS "start_P", coalesce(max(e) FILTER (rows.variant = 'P'), -1) AS "end_P"
+      coalesce(min(s) FILTER (rows.variant = 'P'), -1) AS "start_P", coalesce(max(e) FILTER (rows.variant = 'P'), -1) AS "end_P",
+      count(*) FILTER (rows.variant = 'M') AS "n_M", count(*) FILTER (rows.variant = 'P') AS "n_P"
     FROM rows JOIN chrs ON chrs.seg_id = rows.seg_id JOIN vars ON vars.seg_id = rows.seg_id GROUP BY rows.seg_id""",
 )
 def unitig_rollup(spark, d):

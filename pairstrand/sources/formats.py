@@ -1,7 +1,7 @@
 """Text formats of assembly graphs, reads and reports: scans into tables, and tables into lines.
 
 Files are scanned line by line with ``spark.read.text`` (gzip by extension). Where the order of lines matters, line numbers
-come from ``numbered_lines``: one number per line, ascending within a file, made from the partition and the place in it.
+come from ``numbered_lines``, which counts the lines of each block of a file and adds up the counts of the blocks before it.
 Malformed records raise an error when they are read.
 """
 
@@ -26,8 +26,17 @@ def filetype(path: str) -> str:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, value."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
+    """file, file_line (from 0 in each file), line_no (from 0, files in the order of their paths), value."""
+    meta = lambda c: F.col(f"_metadata.{c}")
+    lines = spark.read.text(path).select(meta("file_path").alias("file"), meta("file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    # a block is read by one task, line after line, so its ids are consecutive
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    files = blocks.groupBy("file").agg(F.sum("n").alias("n")).select("file", before(Window.orderBy("file")).alias("files_before"))
+    placed = blocks.withColumn("blocks_before", before(Window.partitionBy("file").orderBy("block"))).join(files, "file")
+    found = lines.join(placed.select("file", "block", "first", "blocks_before", "files_before"), ["file", "block"])
+    file_line = F.col("blocks_before") + F.col("id") - F.col("first")
+    return found.select("file", file_line.alias("file_line"), (F.col("files_before") + file_line).alias("line_no"), "value")
 
 
 def fields(lines: DataFrame) -> DataFrame:
@@ -123,12 +132,11 @@ def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of a FASTQ file of four lines a record: read_id, description, seq. A plus line stands between sequence and
-    qualities, so a record is its header and the line after it; lines are put in order within a file."""
-    lines = numbered_lines(spark, path).withColumn("file", F.input_file_name())
-    along = Window.partitionBy("file").orderBy("line_no")
-    rows = lines.withColumn("k", F.row_number().over(along) - 1).withColumn("seq", F.lead("value").over(along)).where("k % 4 = 0")
-    return _reads(rows.select(F.substring("value", 2, 1 << 20).alias("header"), "seq"))
+    """Reads of a FASTQ file of four lines a record: read_id, description, seq. Of a record, the first two lines are used."""
+    lines = numbered_lines(spark, path).where("file_line % 4 < 2")
+    line = lambda k: F.max(F.when(F.col("file_line") % 4 == k, F.col("value")))
+    records = lines.groupBy("file", F.expr("file_line div 4")).agg(line(0).alias("header"), line(1).alias("seq"))
+    return _reads(records.select(F.expr("substring(header, 2)").alias("header"), "seq"))
 
 
 def _reads(rows: DataFrame) -> DataFrame:
@@ -178,6 +186,25 @@ def scan_chain(lines: DataFrame) -> DataFrame:
     return placed.join(heads, "chain").select("chr", t_start.alias("t_start"), (t_start + F.col("size")).alias("t_end"), "q_chr", (F.col("q0").cast("long") + F.col("q")).alias("q_start"), "q_strand", F.col("q_size").cast("long").alias("q_size"))
 
 
+def build_graph(split: DataFrame, reads: DataFrame, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The whole graph of a GFA file and its reads: nodes with lengths, support and true coordinates; edges with labels.
+
+    split: ``fields`` of numbered lines; reads: ``parse_headers`` of the reads' headers, with read_id. The pair of the i-th
+    segment has the nodes 2 i and 2 i + 1; a unitig's coordinates come from its reads (``labels.unitig_rollup``).
+    """
+    from pairstrand.operators.labels import create_gt, unitig_rollup
+    from pairstrand.operators.simplify import _numbered
+
+    order = split.where(F.get("f", F.lit(0)) == "S").select("line_no", F.get("f", F.lit(1)).alias("seg_id"))
+    segments = scan_gfa_s(split, depth).join(_numbered(order, "line_no").select("seg_id", F.col("number").alias("index")), "seg_id")
+    unitigs = segments.join(unitig_rollup(scan_gfa_a(split), reads), "seg_id", "left")
+    coordinates = [F.col(f"{w}_{h}").alias(f"read_{w}_{h}") for h in "MP" for w in ("start", "end")]
+    strand = lambda k: unitigs.select((2 * F.col("index") + k).alias("node"), F.col("length").alias("read_length"), "support", "read_chr", (F.col("read_strand") * (1 - 2 * k)).alias("read_strand"), "variant", *coordinates)
+    nodes = strand(0).unionByName(strand(1))
+    edges = segment_edges(scan_gfa_l(split), segments)
+    return nodes, edges.join(create_gt(edges, nodes), ["src", "dst"])
+
+
 # -- lines out -------------------------------------------------------------------------------------------------------
 
 
@@ -207,10 +234,16 @@ def gfa_l_lines(edges: DataFrame) -> DataFrame:
 
 
 def write_gfa(nodes: DataFrame, edges: DataFrame, path: str, depth: int = 100) -> None:
-    """A folder of GFA parts: header, segments, links."""
-    spark = nodes.sparkSession
-    head = spark.createDataFrame([("H\tVN:Z:1.0",)], "value string")
-    head.union(gfa_s_lines(nodes, depth).select("value")).union(gfa_l_lines(edges).select("value")).write.text(path)
+    """A folder of GFA parts, which in the order of their names hold the header, the segments and the links."""
+    head = nodes.sparkSession.createDataFrame([(0, 0, 0, "H\tVN:Z:1.0")], "kind int, a long, b long, value string")
+    segments = gfa_s_lines(nodes, depth).select(F.lit(1), "node", F.lit(0), "value")
+    links = gfa_l_lines(edges).select(F.lit(2), "src", "dst", "value")
+    head.union(segments).union(links).orderBy("kind", "a", "b").select("value").write.text(path)
+
+
+def gfa_to_fasta(split: DataFrame) -> DataFrame:
+    """value: the segments of a GFA file that have sequences, as FASTA."""
+    return fasta_lines(scan_gfa_s(split).where(~F.col("seq").startswith("*")), "seg_id")
 
 
 def write_fasta(contigs: DataFrame, path: str, compression: str | None = None, **names: str) -> None:
@@ -244,6 +277,33 @@ def ml_graph(nodes: DataFrame, edges: DataFrame, node_columns: list[str], edge_c
     return nodes.select("node", *(value(c).alias(c) for c in node_columns)), edges.select("src", "dst", *(c for c in edge_columns if c in edges.columns))
 
 
+def chromosome_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per chromosome, what its training graph holds: chr, gt_bin, n, percent (of the chromosome's edges).
+
+    edges: src, dst, gt_bin. An edge between chromosomes is in no graph.
+    """
+    counts = ml_graph_by_chr(nodes, edges.select("src", "dst", "gt_bin")).groupBy("chr", "gt_bin").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("chr", "gt_bin", "n", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("chr")), 6).alias("percent"))
+
+
+def graph_names(counts: DataFrame) -> DataFrame:
+    """chr, name: names of numbered graphs. counts: chr, amount, first (the first number)."""
+    rows = counts.where("amount > 0").select("chr", F.explode(F.expr("sequence(first, first + amount - 1)")).alias("k"))
+    return rows.select("chr", F.concat_ws("_", F.translate("chr", ".", "_"), F.col("k").cast("string")).alias("name"))
+
+
+def append_metrics(metrics: DataFrame, path: str) -> None:
+    """Add rows (run, epoch, ...) to a run log."""
+    metrics.write.mode("append").partitionBy("run").parquet(path)
+
+
+def checkpoints(metrics: DataFrame, every: int = 10) -> DataFrame:
+    """run, epoch, f1, best: the epochs whose models are kept, those better than all before (best) and every tenth."""
+    before = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    best = F.col("f1") > F.coalesce(F.max("f1").over(before), F.lit(float("-inf")))
+    return metrics.select("run", "epoch", "f1", best.alias("best")).where(F.col("best") | (F.col("epoch") % every == 0))
+
+
 def ml_graph_by_chr(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges within one (normalised) chromosome, with it: chr first, for ``write.partitionBy('chr')``."""
     from pairstrand.functions.strings import normalise_chr
