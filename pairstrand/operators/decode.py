@@ -1,20 +1,29 @@
 """Extraction of walks: beam search from sampled edges, peeled off component by component.
 
-Cuts, components, haplotypes and edge scores are DataFrame plans; the search itself, which depends on what each walk has
-visited, runs per component and haplotype in ``applyInPandas``. Ties go to the smaller node; starts are chosen by a hash.
+Cuts, components, haplotypes and edge scores are DataFrame plans, and so is the search. A state of a search is a row: its last
+node, its path, what it has visited, its gain. A round joins all states of all searches, from all starts in all components, to
+the edges out of their last nodes, drops what they have visited, and keeps the best by windows over a search's few rows; it is
+written to the shared folder. So a component lies in no one task, and rounds follow the longest walk. Ties go to the smaller
+node; starts are chosen by a hash.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairstrand.functions.strings import complement
 from pairstrand.operators.components import find_components
 from pairstrand.operators.cuts import double_cut
+from pairstrand.operators.graph import common_neighbours
 from pairstrand.operators.score import beam_edge_score, graphic_edge_score
+from pairstrand.sources.shared import new_folder, written
+
+#: What a search belongs to, and what names it.
+GROUP = ["component", "hap"]
+SEARCH = [*GROUP, "search"]
 
 
 @dataclass(frozen=True)
@@ -46,124 +55,167 @@ STRATEGIES = {
 }
 
 
-class Component:
-    """Edges of one component: adjacency with gains and prefix lengths, shrinking as walks are peeled off."""
+#: Keys of strategies in a YAML file, and what they are called here.
+KEYS = {"mark_as_visited": "visited", "thr_graphic": "graphic_threshold"}
+
+
+def read_strategies(path: str) -> dict[str, Strategy]:
+    """The strategies of a YAML file: a mapping of names to parameters, of which the known ones are taken."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        named = yaml.safe_load(f)
+    known = Strategy.__dataclass_fields__
+    return {name: Strategy(**{KEYS.get(k, k): v for k, v in given.items() if KEYS.get(k, k) in known}, graphic=name == "graphic") for name, given in named.items()}
+
 
-    def __init__(self, rows: pd.DataFrame):
-        self.out: dict[int, dict[int, tuple[float, int]]] = {}
-        self.into: dict[int, set[int]] = {}
-        self.length: dict[int, int] = {}
-        for r in rows.sort_values(["src", "dst"]).itertuples():
-            self.out.setdefault(r.src, {})[r.dst] = (r.gain, r.prefix_length)
-            self.into.setdefault(r.dst, set()).add(r.src)
-            self.length[r.src], self.length[r.dst] = r.src_length, r.dst_length
+def _twins(nodes: Column) -> Column:
+    """An array of nodes with their complements."""
+    return F.array_union(nodes, F.transform(nodes, complement))
 
-    def between(self, u: int, v: int) -> set[int]:
-        return self.out.get(u, {}).keys() & self.into.get(v, set())
 
-    def near(self, node: int) -> set[int]:
-        return self.out.get(node, {}).keys() | self.into.get(node, set())
+def adjacency(edges: DataFrame) -> DataFrame:
+    """What a search sees from a node, forward and backward: group, backward, node, next, gain, prefix_length, around (the nodes
+    between the edge's ends).
 
-    def remove(self, nodes: set[int]) -> None:
-        for x in nodes & self.length.keys():
-            del self.length[x]
-            for y in self.out.pop(x, {}):
-                self.into[y].discard(x)
-            for y in self.into.pop(x, set()):
-                self.out.get(y, {}).pop(x, None)
+    edges: component, hap, src, dst, gain, prefix_length.
+    """
+    plain = edges.select(*GROUP, "src", "dst", "gain", "prefix_length")
+    between = common_neighbours(edges.select("src", "dst").distinct()).groupBy("src", "dst").agg(F.collect_set("via").alias("around"))
+    rows = plain.join(between, ["src", "dst"], "left").withColumn("around", F.coalesce("around", F.array().cast("array<bigint>")))
+    one = lambda backward, node, nxt: rows.select(*GROUP, F.lit(backward).alias("backward"), F.col(node).alias("node"), F.col(nxt).alias("next"), "gain", "prefix_length", "around")
+    return one(False, "src", "dst").union(one(True, "dst", "src"))
 
 
-def beam(g: Component, start: int, visited: frozenset[int], width: int, intermediate: bool = True, backward: bool = False) -> tuple[list[int], frozenset[int], float, int]:
-    """Best walk from a node: path, visited nodes, total gain, sum of prefix lengths.
+def beam_search(starts: DataFrame, adjacent: DataFrame, width: int, intermediate: bool = True) -> DataFrame:
+    """The best walk of each search: component, hap, search, path, seen, total, length (sum of prefix lengths).
 
-    Each state goes on to its best unvisited neighbours, at most ``width``; a state without any stays. Of states that end in
-    one node the best is kept, and of all the ``width`` best. With ``intermediate`` a better state of an earlier round wins.
+    starts: component, hap, search, backward, node, seen (array of visited nodes). adjacent: ``adjacency``. Each state goes on
+    to its best unvisited neighbours, at most ``width``; a state without any stays. Of states that end in one node the best is
+    kept, and of all the ``width`` best; a search ends when none of its states goes on. With ``intermediate`` a better state of
+    an earlier round wins.
     """
-    first = ((start,), visited | {start, start ^ 1}, 0.0, 0)
-    states, best = [first], first
+    spark, folder, rounds = starts.sparkSession, new_folder(starts.sparkSession, "beam-rounds"), 0
+    edges = written(adjacent, "beam-edges")
+    state = ["node", "path", "seen", "total", "length"]
+    own = F.array("node", complement(F.col("node")))
+    first = starts.select(
+        *SEARCH, "backward", F.lit(0).alias("slot"), "node", F.array("node").alias("path"), F.array_union("seen", own).alias("seen"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("length")
+    )
+    states = written(first.withColumn("best", F.struct(*state)), "beam")
+    along = ["component", "hap", "backward", "node"]
+    of_search = Window.partitionBy(*SEARCH)
     while True:
-        nxt: dict[int, tuple] = {}
-        for state in states:
-            path, seen, total, length = state
-            here = path[-1]
-            if backward:
-                options = [(y, g.out[y][here]) for y in g.into.get(here, ()) if y not in seen]
-            else:
-                options = [(y, e) for y, e in g.out.get(here, {}).items() if y not in seen]
-            grown = [state]
-            if options:
-                options.sort(key=lambda o: (-o[1][0], o[0]))
-                grown = []
-                for y, (gain, prefix) in options[:width]:
-                    around = g.between(y, here) if backward else g.between(here, y)
-                    grown.append(((*path, y), seen | {y, y ^ 1} | around | {x ^ 1 for x in around}, total + gain, length + prefix))
-            for s in grown:
-                old = nxt.get(s[0][-1])
-                if old is None or s[2] > old[2]:
-                    nxt[s[0][-1]] = s
-        kept = sorted(nxt.values(), key=lambda s: (-s[2], s[0][-1]))[:width]
-        if [s[0] for s in kept] == [s[0] for s in states]:
+        options = states.join(edges.drop("around", "prefix_length"), along, "left")
+        options = options.select(*SEARCH, "slot", "node", "next", "total", "gain", (F.col("next").isNotNull() & ~F.array_contains("seen", F.coalesce("next", "node"))).alias("open"))
+        of_state = Window.partitionBy(*SEARCH, "slot")
+        ranked = options.repartition(*SEARCH).withColumns({"k": F.row_number().over(of_state.orderBy(F.desc("open"), F.desc("gain"), "next")), "goes": F.max("open").over(of_state)})
+        ranked = ranked.where((F.col("open") & (F.col("k") <= width)) | (~F.col("goes") & (F.col("k") == 1)))
+        ranked = ranked.withColumns({"to": F.when(F.col("open"), F.col("next")), "end": F.when(F.col("open"), F.col("next")).otherwise(F.col("node")), "now": F.when(F.col("open"), F.col("total") + F.col("gain")).otherwise(F.col("total"))})
+        to_end = Window.partitionBy(*SEARCH, "end").orderBy(F.desc("now"), "slot", "k")
+        ranked = ranked.withColumn("at_end", F.row_number().over(to_end)).where("at_end = 1").withColumn("new_slot", (F.row_number().over(of_search.orderBy(F.desc("now"), "end")) - 1).cast("int")).where(F.col("new_slot") < width)
+        kept = ranked.withColumn("alive", F.max("open").over(of_search)).select(*SEARCH, "slot", "new_slot", "to", "now", "alive")
+        step = edges.select(*along, F.col("next").alias("to"), "prefix_length", "around")
+        grown = states.drop("total").join(kept, [*SEARCH, "slot"]).join(step, [*along, "to"], "left")
+        moved, new = F.col("to").isNotNull(), F.array("to", complement(F.col("to")))
+        grown = grown.select(
+            *SEARCH,
+            "backward",
+            F.col("new_slot").alias("slot"),
+            F.coalesce("to", "node").alias("node"),
+            F.when(moved, F.concat("path", F.array("to"))).otherwise(F.col("path")).alias("path"),
+            F.when(moved, F.array_union("seen", F.concat(new, _twins(F.col("around"))))).otherwise(F.col("seen")).alias("seen"),
+            F.col("now").alias("total"),
+            (F.col("length") + F.coalesce("prefix_length", F.lit(0))).alias("length"),
+            "best",
+            "alive",
+        )
+        top = F.first(F.struct(*state)).over(of_search.orderBy("slot"))
+        grown = grown.withColumn("top", top).withColumn("best", F.when(F.col("top.total") > F.col("best.total"), F.col("top")).otherwise(F.col("best"))).drop("top")
+        grown.write.parquet(f"{folder}/round={rounds}")
+        states = spark.read.schema(grown.schema).parquet(f"{folder}/round={rounds}").where("alive").drop("alive")
+        rounds += 1
+        if states.isEmpty():
             break
-        states = kept
-        if states[0][2] > best[2]:
-            best = states[0]
-    final = max(states, key=lambda s: s[2])
-    path, seen, total, length = best if intermediate and best[2] > final[2] else final
-    return list(path), seen, total, length
-
-
-def walk_through(g: Component, src: int, dst: int, s: Strategy) -> tuple[list[int], int]:
-    """The walk through an edge: forward from its end, backward from its beginning on the other strand."""
-    ahead, seen, _, _ = beam(g, dst, frozenset({src, src ^ 1}), s.beam_width, s.beam_intermediate)
-    seen = frozenset(seen - {src, src ^ 1})
-    if src ^ 1 in g.length:
-        behind = [x ^ 1 for x in reversed(beam(g, src ^ 1, seen, s.beam_width, s.beam_intermediate)[0])]
-    else:
-        behind = list(reversed(beam(g, src, seen, s.beam_width, s.beam_intermediate, backward=True)[0]))
-    path = behind + ahead
-    steps = [(a, b) for a, b in zip(path[:-1], path[1:], strict=True)]
-    total = sum(g.out[a][b][1] if b in g.out.get(a, {}) else g.length[a] for a, b in steps if a in g.length)
-    return path, total + g.length[path[-1]]
-
-
-def starts(g: Component, s: Strategy, seed: int = 0) -> list[tuple[int, int]]:
-    """Sampled edges: the first by a hash, or those of the largest gains."""
-    every = [(a, b) for a, ys in g.out.items() for b in ys]
-    if s.sample_by_score:
-        every.sort(key=lambda e: (-g.out[e[0]][e[1]][0], e))
-    else:
-        every.sort(key=lambda e: ((e[0] * 2654435761 + e[1] * 40503 + seed) % 4294967291, e))
-    return every[: s.sample_size]
+    better = F.lit(intermediate) & (F.col("best.total") > F.col("total"))
+    ended = spark.read.schema(grown.schema).parquet(folder).where("not alive and slot = 0")
+    return ended.select(*SEARCH, *(F.when(better, F.col(f"best.{c}")).otherwise(F.col(c)).alias(c) for c in state[1:]))
 
 
-def neighbourhood(g: Component, path: list[int], strategy: str) -> set[int]:
-    """Nodes that a walk uses up, with their complements."""
-    out = set(path)
+def walks_through(starts: DataFrame, edges: DataFrame, s: Strategy) -> DataFrame:
+    """The walk through each start (component, hap, search, src, dst): forward from its end, backward from its beginning, on the
+    other strand if that is in the component. Returns component, hap, search, path, length.
+
+    edges: component, hap, src, dst, prefix_length, src_length, dst_length, gain.
+    """
+    adjacent = adjacency(edges)
+    mine = F.array("src", complement(F.col("src")))
+    ahead = beam_search(starts.select(*SEARCH, F.lit(False).alias("backward"), F.col("dst").alias("node"), mine.alias("seen")), adjacent, s.beam_width, s.beam_intermediate)
+    sizes = edges.select(*GROUP, F.col("src").alias("node"), F.col("src_length").alias("size")).union(edges.select(*GROUP, "dst", "dst_length")).distinct()
+    other = sizes.select(*GROUP, F.col("node").alias("twin"), F.lit(True).alias("has_twin"))
+    turned = ahead.select(*SEARCH, F.col("path").alias("ahead"), "seen").join(starts, SEARCH).withColumn("twin", complement(F.col("src"))).join(other, [*GROUP, "twin"], "left")
+    turned = written(turned.withColumn("backward", F.col("has_twin").isNull()), "walks-turned")
+    back = turned.select(*SEARCH, "backward", F.when(F.col("backward"), F.col("src")).otherwise(F.col("twin")).alias("node"), F.array_except("seen", mine).alias("seen"))
+    behind = beam_search(back, adjacent, s.beam_width, s.beam_intermediate).select(*SEARCH, F.col("path").alias("behind"))
+    whole = turned.join(behind, SEARCH)
+    path = F.concat(F.reverse(F.when(F.col("backward"), F.col("behind")).otherwise(F.transform("behind", complement))), "ahead")
+    whole = written(whole.select(*SEARCH, path.alias("path")), "walks")
+    steps = whole.select(*SEARCH, F.posexplode("path").alias("pos", "node"), F.col("path")).withColumn("dst", F.get("path", F.col("pos") + 1)).drop("path")
+    sized = steps.join(sizes, [*GROUP, "node"], "left").join(edges.select(*GROUP, F.col("src").alias("node"), "dst", "prefix_length"), [*GROUP, "node", "dst"], "left")
+    lengths = sized.groupBy(*SEARCH).agg(F.sum(F.coalesce("prefix_length", "size", F.lit(0))).alias("length"))
+    return whole.join(lengths, SEARCH)
+
+
+def sampled_starts(edges: DataFrame, s: Strategy, seed: int = 0) -> DataFrame:
+    """Edges to start from, ``sample_size`` a group: the first by a hash, or those of the largest gains; search is their rank."""
+    order = [F.desc("gain")] if s.sample_by_score else [F.md5(F.concat_ws("-", "src", "dst", F.lit(str(seed))))]
+    rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy(*order, "src", "dst"))
+    return edges.select(*GROUP, rank.alias("search"), "src", "dst").where(F.col("search") <= s.sample_size)
+
+
+def used_up(walks: DataFrame, edges: DataFrame, strategy: str) -> DataFrame:
+    """Nodes that walks (component, hap, path) use up, with their complements: component, hap, node."""
+    on = walks.select(*GROUP, F.explode("path").alias("node"))
     if strategy == "full_component":
-        out = set(g.length)
+        both = edges.join(walks.select(*GROUP).distinct(), GROUP, "left_semi")
+        out = both.select(*GROUP, F.explode(F.array("src", "dst")).alias("node"))
     elif strategy == "shared_neighbors":
-        for a, b in zip(path[:-1], path[1:], strict=True):
-            out |= g.between(a, b)
+        pairs = walks.select(*GROUP, F.posexplode("path").alias("pos", "src"), "path").withColumn("dst", F.get("path", F.col("pos") + 1)).select(*GROUP, "src", "dst")
+        first = pairs.join(edges.select(*GROUP, "src", F.col("dst").alias("via")), [*GROUP, "src"])
+        out = on.union(first.join(edges.select(*GROUP, F.col("src").alias("via"), "dst"), [*GROUP, "via", "dst"], "left_semi").select(*GROUP, "via"))
     else:
+        either = edges.select(*GROUP, F.col("src").alias("node"), F.col("dst").alias("next")).union(edges.select(*GROUP, "dst", "src"))
+        out = on
         for _ in range({"1-hop": 1, "2-hop": 2}[strategy]):
-            out |= {y for x in out for y in g.near(x)}
-    return out | {x ^ 1 for x in out}
-
-
-def find_paths(g: Component, s: Strategy) -> list[list[int]]:
-    """Walks peeled off until what is left is too small or its best walk too short."""
-    out = []
-    while len(g.length) > s.min_path_length:
-        best, best_length = None, -1
-        for src, dst in starts(g, s, len(out)):
-            path, length = walk_through(g, src, dst, s)
-            if length > best_length:
-                best, best_length = path, length
-        if best is None or best_length < s.min_walk_length:
-            break
-        out.append(best)
-        g.remove(neighbourhood(g, best, s.visited))
-    return out
+            out = out.union(out.join(either, [*GROUP, "node"]).select(*GROUP, "next")).distinct()
+    return out.union(out.select(*GROUP, complement(F.col("node")))).distinct()
+
+
+def find_paths(edges: DataFrame, s: Strategy) -> DataFrame:
+    """Walks peeled off every group, until what is left of it is too small or its best walk too short: component, hap, number,
+    path.
+
+    All groups are worked on at once; a round takes the longest walk of each (of equals, the first start's) and removes what
+    that uses up. edges: as for ``walks_through``.
+    """
+    spark, found, number = edges.sparkSession, new_folder(edges.sparkSession, "paths"), 0
+    ends = lambda e: e.select(*GROUP, F.explode(F.array("src", "dst")).alias("node")).distinct()
+    edges, nodes = written(edges, "paths-edges"), written(ends(edges), "paths-nodes")
+    while True:
+        large = nodes.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > s.min_path_length).select(*GROUP)
+        edges = written(edges.join(large, GROUP, "left_semi"), "paths-edges")
+        starts = written(sampled_starts(edges, s, number), "paths-starts")
+        walks = walks_through(starts, edges, s)
+        best = walks.groupBy(*GROUP).agg(F.min_by(F.struct("path", "length"), F.struct(-F.col("length"), "search")).alias("w")).select(*GROUP, "w.path", "w.length")
+        best = written(best.where(F.col("length") >= s.min_walk_length).select(*GROUP, F.lit(number).alias("number"), "path"), "paths-best")
+        best.write.mode("append").parquet(found)
+        if best.isEmpty():
+            return spark.read.schema(best.schema).parquet(found)
+        gone = written(used_up(best, edges, s.visited), "paths-gone")
+        nodes = written(nodes.join(best, GROUP, "left_semi").join(gone, [*GROUP, "node"], "left_anti"), "paths-nodes")
+        alive = lambda end: nodes.withColumnRenamed("node", end)  # noqa: E731, B023
+        edges = written(edges.join(alive("src"), [*GROUP, "src"], "left_semi").join(alive("dst"), [*GROUP, "dst"], "left_semi"), "paths-edges")
+        number += 1
 
 
 def scored_components(nodes: DataFrame, edges: DataFrame, s: Strategy, haps: list[str] | None = None) -> DataFrame:
@@ -193,21 +245,15 @@ def scored_components(nodes: DataFrame, edges: DataFrame, s: Strategy, haps: lis
 
 def get_walks(nodes: DataFrame, edges: DataFrame, s: Strategy = STRATEGIES["beam"], haps: list[str] | None = None) -> DataFrame:
     """The whole decoding: hap, walk_id (the component's label and the walk's number in it), pos, node."""
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        hap, component = rows["hap"].iloc[0], rows["component"].iloc[0]
-        found = find_paths(Component(rows), s)
-        return pd.DataFrame([(hap, f"{component}.{k}", i, x) for k, path in enumerate(found) for i, x in enumerate(path)], columns=["hap", "walk_id", "pos", "node"])
-
-    return scored_components(nodes, edges, s, haps).groupBy("component", "hap").applyInPandas(search, "hap string, walk_id string, pos int, node long")
+    paths = find_paths(scored_components(nodes, edges, s, haps), s)
+    walk_id = F.concat_ws(".", F.col("component").cast("string"), F.col("number").cast("string"))
+    return paths.select("hap", walk_id.alias("walk_id"), F.posexplode("path").alias("pos", "node"))
 
 
 def beam_walks(nodes: DataFrame, edges: DataFrame, s: Strategy, haps: list[str] | None = None) -> DataFrame:
     """Of each component and haplotype the best beam from its smallest node: hap, component, n_nodes, length, gain."""
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        g = Component(rows)
-        path, _, total, length = beam(g, min(g.length), frozenset(), s.beam_width, s.beam_intermediate)
-        return pd.DataFrame([(rows["hap"].iloc[0], rows["component"].iloc[0], len(path), length, total)], columns=["hap", "component", "n_nodes", "length", "gain"])
-
-    return scored_components(nodes, edges, s, haps).groupBy("component", "hap").applyInPandas(search, "hap string, component long, n_nodes int, length long, gain double")
+    own = written(scored_components(nodes, edges, s, haps), "beam-scored")
+    first = own.groupBy(*GROUP).agg(F.min(F.least("src", "dst")).alias("node"))
+    starts = first.select(*GROUP, F.lit(0).alias("search"), F.lit(False).alias("backward"), "node", F.array().cast("array<bigint>").alias("seen"))
+    walks = beam_search(starts, adjacency(own), s.beam_width, s.beam_intermediate)
+    return walks.select("hap", "component", F.size("path").alias("n_nodes"), "length", F.col("total").alias("gain"))

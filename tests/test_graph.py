@@ -196,22 +196,18 @@ def test_liftover_misses_and_strands(spark):
 
 
 def test_decode_walks_a_chain(spark):
-    k = 30
+    k = 8
     rows = [(2 * i, 2 * i + 2, 1000, 9000, 0.0, 0.0) for i in range(k)]
     rows += [(b ^ 1, a ^ 1, o, p, x, y) for a, b, o, p, x, y in rows]
     e = spark.createDataFrame(rows, "src long, dst long, overlap_length long, prefix_length long, score double, to_cut double")
     n = spark.createDataFrame([(i, 10000, 0.0, 0.0) for i in range(2 * k + 2)], "node long, read_length long, kmer_count_p double, kmer_count_m double")
-    s = decode.Strategy(min_component_size=3)
+    s = decode.Strategy(min_component_size=3, min_path_length=5, min_walk_length=50_000)
     got = decode.get_walks(n, e, s, ["p", "m"])
     paths = {(r["hap"], r["walk_id"]): r["p"] for r in got.groupBy("hap", "walk_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("p")).collect()}
     want = [2 * i for i in range(k + 1)]
     assert set(paths) == {("p", "0.0"), ("m", "0.0")}
     assert all(p in (want, [x ^ 1 for x in reversed(want)]) for p in paths.values())
-    assert decode.get_walks(n, e, decode.Strategy(min_component_size=3, min_walk_length=10**9), None).count() == 0
-
-
-def test_greedy_is_beam_of_width_one():
-    assert decode.STRATEGIES["greedy"].beam_width == 1
+    assert decode.get_walks(n, e, decode.Strategy(min_component_size=3, min_path_length=5, min_walk_length=10**9), None).count() == 0
 
 
 def test_sampling(spark):
