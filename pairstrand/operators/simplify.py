@@ -214,6 +214,15 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
+def is_synthetic(nodes: DataFrame, sample: int = 10) -> bool:
+    """Whether nodes have true coordinates: the columns are there, and most of the first nodes have a chromosome."""
+    wanted = {f"read_{w}_{h}" for w in ("start", "end") for h in "MP"} | {"read_chr", "read_strand"}
+    if not wanted <= set(nodes.columns):
+        return False
+    first = nodes.orderBy("node").limit(sample).agg(F.count("read_chr").alias("known"), F.count(F.lit(1)).alias("n")).first()
+    return first["known"] > first["n"] // 2
+
+
 def simplify(nodes: DataFrame, edges: DataFrame, eps: float = EPS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Transitive reduction, then condensation; raises on a graph that isn't mirror-symmetric."""
     from pairstrand.operators.graph import assert_invariants

@@ -381,10 +381,12 @@ def greedy_walk(spark, d):
     return decode.beam_walks(*_decode_input(spark, d), decode.Strategy(min_component_size=3, c_t=1.0, c_b=1.0, beam_width=1), ["p", "m"])
 
 
+PEELING = decode.Strategy(min_component_size=3, min_walk_length=0, min_path_length=2, c_t=1.0, c_b=1.0, sample_size=20, visited="1-hop")
+
+
 @query("find_paths")
 def find_paths(spark, d):
-    s = decode.Strategy(min_component_size=3, min_walk_length=0, min_path_length=2, c_t=1.0, c_b=1.0, sample_size=20, visited="1-hop")
-    return decode.get_walks(*_decode_input(spark, d), s, ["p", "m"])
+    return decode.get_walks(*_decode_input(spark, d), PEELING, ["p", "m"])
 
 
 def _decode_input(spark, d):

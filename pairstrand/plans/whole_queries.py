@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pairstrand.operators import labels, metrics, sampling
-from pairstrand.plans.catalog import ORACLES, query
+from pairstrand.operators import labels, metrics, sampling, simplify
+from pairstrand.plans.catalog import ORACLES, QUERIES, query
 from pairstrand.plans.structure_queries import CHAIN_TABLE_SQL, CLASS_SQL, W, chain_blocks, tables
 from pairstrand.plans.walk_queries import DNA_SQL, UNITIG_SQL, _dna, _headers, _placements, _walks
 from pairstrand.sources import fixture as fx
@@ -139,3 +140,57 @@ def chromosome_labels(spark, d):
 def sample_weighted(spark, d):
     digits = F.conv(F.substring(F.md5(F.concat_ws("-", "src", "dst")), 1, 13), 16, 10).cast("double")
     return sampling.weighted(fx.scored(fx.edges(fx.reads(spark, d))), 100, "score", u=(digits + 0.5) / float(1 << 52)).select("src", "dst", "score")
+
+
+@query("graph_round_trip", W + fx.EDGES_SQL + " SELECT DISTINCT src, dst, overlap_length, prefix_length FROM edges")
+def graph_round_trip(spark, d):
+    """Edges of a graph that is written and read again."""
+    _, n, e = tables(spark, d)
+    path = new_folder(spark, "graph")
+    formats.write_graph(n, e.distinct(), path)
+    return formats.read_graph(spark, path)[1]
+
+
+@query("sink_walks", ORACLES["walk_to_seq"])
+def sink_walks(spark, d):
+    """Walks and contigs by haplotype, written and read again."""
+    w, _, _ = _walks(spark, d)
+    contigs = QUERIES["walk_to_seq"](spark, d).withColumn("contig_id", F.col("walk_id"))
+    path = new_folder(spark, "walks")
+    formats.write_walks(w, contigs, path)
+    return spark.read.parquet(f"{path}/contigs").select("hap", "walk_id", "length", "seq")
+
+
+@query("scan_chain", W + fx.R_SQL + ", " + CHAIN_TABLE_SQL + " SELECT chr, t_start, t_end, chr AS q_chr, q_start, '+' AS q_strand, 1000000000000 AS q_size FROM chain")
+def scan_chain(spark, d):
+    """The blocks of ``liftover`` as a chain file, which is written and read again."""
+    blocks = chain_blocks(fx.reads(spark, d))
+    along = Window.partitionBy("chr").orderBy("t_start")
+    nxt = lambda c: F.lead(c).over(along)
+    size = F.col("t_end") - F.col("t_start")
+    gaps = [(nxt("t_start") - F.col("t_end")).cast("string"), (nxt("q_start") - F.col("q_start") - size).cast("string")]
+    rows = blocks.select("chr", F.col("t_start").alias("at"), F.concat_ws("\t", size.cast("string"), *gaps).alias("value"))
+    first = blocks.groupBy("chr").agg(F.min("t_start").alias("t"), F.min("q_start").alias("q"))
+    head = F.concat_ws(" ", F.lit("chain 9"), "chr", F.lit("1000000000000 +"), F.col("t").cast("string"), F.lit("0"), "chr", F.lit("1000000000000 +"), F.col("q").cast("string"), F.lit("0 1"))
+    path = new_folder(spark, "chain")
+    first.select("chr", F.lit(-1).cast("long").alias("at"), head.alias("value")).union(rows).orderBy("chr", "at").select("value").write.text(path)
+    return formats.scan_chain(formats.numbered_lines(spark, path))
+
+
+@query("scan_yak_eval", "SELECT CASE WHEN event_id % 2 = 0 THEN 'W' ELSE 'H' END AS tag, arg_max(round(value / 1000, 6), event_id) AS rate FROM events GROUP BY 1")
+def scan_yak_eval(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    line = F.concat_ws("\t", F.when(F.col("event_id") % 2 == 0, "W").otherwise("H"), F.col("event_id").cast("string"), F.lit("10"), F.round(F.col("value") / 1000, 6).cast("string"))
+    return formats.scan_yak_eval(e.select(F.col("event_id").alias("line_no"), line.alias("value")))
+
+
+@query("scan_minigraph", "WITH last AS (SELECT ['NG50', 'Length', 'Rdup'][1 + event_id % 3] AS metric, arg_max(user_id, event_id)::DOUBLE AS value FROM events GROUP BY 1) SELECT metric, coalesce(value, 0) AS value FROM (VALUES ('NG50'), ('NGA50'), ('Length'), ('Rdup')) n(metric) LEFT JOIN last USING (metric)")
+def scan_minigraph(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    name = F.element_at(F.array(F.lit("NG50"), F.lit("Length"), F.lit("Rdup")), (F.col("event_id") % 3 + 1).cast("int"))
+    return formats.scan_assembly_report(e.select(F.col("event_id").alias("line_no"), F.concat_ws(" ", name, F.col("user_id").cast("string")).alias("value")))
+
+
+@query("is_synthetic", W + fx.NODES_SQL + " SELECT count(read_chr) > count(*) // 2 AS is_synthetic FROM (SELECT * FROM nodes ORDER BY node LIMIT 10)")
+def is_synthetic(spark, d):
+    return spark.createDataFrame([(simplify.is_synthetic(fx.nodes(fx.reads(spark, d))),)], "is_synthetic boolean")

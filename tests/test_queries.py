@@ -10,7 +10,8 @@ from pairstrand.plans.catalog import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
-SLOW = {"train_logreg", "beam_walk", "greedy_walk", "find_paths"}
+#: Held against plain Python in test_walks.
+WALKS = {"beam_walk", "greedy_walk", "find_paths"}
 
 
 def plain(v):
@@ -32,7 +33,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WALKS))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, str(DATA))
     got = rows(df.columns, df.collect())

@@ -1,12 +1,15 @@
 """Decoding by joins against plain Python, component by component."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import slow_walks
 from pairstrand.operators import decode
+from pairstrand.plans import walk_queries
+from pairstrand.plans.catalog import QUERIES
 
 
 def graph(spark, seed, n=60, turn=0.0):
@@ -48,8 +51,8 @@ def test_beam_walks(spark, seed, turn, width):
     [(4, 0.0, {"visited": "1-hop"}), (5, 0.1, {"visited": "shared_neighbors", "sample_by_score": True}), (6, 0.0, {"visited": "2-hop", "beam_width": 1, "beam_intermediate": False})],
 )
 def test_get_walks(spark, seed, turn, more):
-    n, e = graph(spark, seed, 24, turn)
-    s = decode.Strategy(min_component_size=3, min_walk_length=1500, min_path_length=5, sample_size=4, **more)
+    n, e = graph(spark, seed, 16, turn)
+    s = decode.Strategy(min_component_size=3, min_walk_length=1500, min_path_length=5, sample_size=2, **more)
     want = {}
     for (c, hap), g in components(n, e, s, ["p", "m"]).items():
         for k, path in enumerate(slow_walks.find_paths(g, s)):
@@ -68,3 +71,33 @@ def test_backward_from_a_start_without_its_twin(spark):
     starts = own.where("src = 10").select("component", "hap", F.lit(1).alias("search"), "src", "dst")
     row = decode.walks_through(starts, own, decode.Strategy()).first()
     assert row["path"] == list(range(0, 25, 2)) and row["length"] == 12 * 9000 + 10000
+
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+@pytest.mark.parametrize(("name", "width"), [("beam_walk", 5), ("greedy_walk", 1)])
+def test_walk_queries(spark, name, width):
+    n, e = walk_queries._decode_input(spark, str(DATA))
+    want = {}
+    for (c, hap), g in components(n, e, decode.Strategy(min_component_size=3, c_t=1.0, c_b=1.0), ["p", "m"]).items():
+        path, _, total, length = slow_walks.beam(g, min(g.length), frozenset(), width)
+        want[c, hap] = (len(path), length, round(total, 9))
+    got = {(r["component"], r["hap"]): (r["n_nodes"], r["length"], round(r["gain"], 9)) for r in QUERIES[name](spark, str(DATA)).collect()}
+    assert got == want and got
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_find_paths_query(spark):
+    n, e = walk_queries._decode_input(spark, str(DATA))
+    s = walk_queries.PEELING
+    want = {(hap, f"{c}.{k}", i, x) for (c, hap), g in components(n, e, s, ["p", "m"]).items() for k, path in enumerate(slow_walks.find_paths(g, s)) for i, x in enumerate(path)}
+    assert {(r["hap"], r["walk_id"], r["pos"], r["node"]) for r in QUERIES["find_paths"](spark, str(DATA)).collect()} == want and want
+
+
+def test_strategies_from_yaml(tmp_path):
+    (tmp_path / "s.yml").write_text("beam:\n  c_t: 0.4\n  mark_as_visited: 1-hop\n  unknown: 3\ngraphic:\n  beam_width: 7\n  thr_graphic: 0.1\n")
+    got = decode.read_strategies(str(tmp_path / "s.yml"))
+    assert (got["beam"].c_t, got["beam"].visited, got["beam"].graphic) == (0.4, "1-hop", False)
+    assert (got["graphic"].beam_width, got["graphic"].graphic_threshold, got["graphic"].graphic) == (7, 0.1, True)
