@@ -11,6 +11,10 @@ from pairstrand.llm import quality
 VOCABULARY, VOCABULARY_SIZE, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 50_257, 2
 #: Of the flat files without index: an id that no text contains, for ids of plain text may equal 2.
 SEPARATOR_ID = 50_257
+#: Bytes of a string that the pipeline removes where it is repeated: fifty words of four letters and a blank, so that passages
+#: of over fifty words are caught (the shortest of ``benchmark`` has 271 bytes).
+PASSAGE = 250
+
 
 
 def quality_forest(docs: DataFrame, labels: DataFrame) -> quality.Forest:

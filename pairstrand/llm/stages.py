@@ -1,7 +1,8 @@
 """The pipeline's stages: each keeps, changes or places documents by one operator.
 
 Documents without id pass the stages as the operators' notes say; a stage never looks at other columns than id and text,
-and returns every column it was given.
+and returns every column it was given. Texts of any length are taken whole, equal rows are treated alike, and an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairstrand.llm import exact_dedup, near_dedup, packing, quality, substring_dedup, tokens
 from pairstrand.llm.common import table
-from pairstrand.llm.settings import VOCABULARY, quality_forest
+from pairstrand.llm.settings import PASSAGE, VOCABULARY, quality_forest
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +33,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated strings; what a cut leaves of a character goes too, and n_chars is
+    """Texts lose their repeated strings of ``PASSAGE`` bytes; what a cut leaves of a character goes too, and n_chars is
     counted anew.
 
     Documents of which nothing is left stay, with an empty text; texts that lose nothing, nulls too, stay as they are.
     """
-    facts = substring_dedup.losses(docs)
+    facts = substring_dedup.losses(docs, PASSAGE)
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     keyed = docs.select(*(docs[c].alias(n) for c, n in names.items()), substring_dedup.text_key(F.coalesce(docs["text"], F.lit(""))).alias("doc"))
     joined = keyed.join(facts.select("doc", "gone", "rest"), "doc", "left")
