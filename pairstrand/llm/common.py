@@ -13,14 +13,16 @@ __all__ = ["NO_ID", "keyed", "named", "new_folder", "shared_dir", "shuffle_parti
 NO_ID = -(2**63)
 
 
-#: Rows that Spark hands to Python at once: texts can be long, and a batch is held several times over.
-BATCH_ROWS = 1000
+#: Rows, and bytes, that Spark hands to Python at once: texts can be long, and a batch is held several times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers in this session."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Bound the memory of Python workers in this session; Spark reads these settings when a plan runs, so they stay set."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        found = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b"))
+        if not 0 < found <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

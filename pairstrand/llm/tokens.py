@@ -1,13 +1,16 @@
 """Encoding columns of texts, flat token files, and scans for their document boundaries.
 
 A token file is a row of unsigned little-endian integers without header (``uint16`` where the vocabulary has at most
-65,536 ids, else ``uint32``). ``write_token_files`` writes one such file per range of document ids, with two files of
-signed 64-bit integers beside it: the documents' offsets (where each begins, counted in ids from the file's start, and the
-end) and the document ids. The base of each file, the number of ids in all files before it, comes from a prefix sum over
-one count per file. Files are read memory-mapped where the folder is local, else block by block.
+65,536 ids, else ``uint32``). ``write_token_files`` writes such files for each range of document ids, with two files of
+signed 64-bit integers beside each: the documents' offsets (where each begins, counted in ids from the file's start, and the
+end) and the document ids. A file is closed after the document that fills it (``TOKEN_FILE_IDS``). The base of each file, the
+number of ids in all files before it, comes from prefix sums: within a range of ids, and over the ranges. Files are read memory-mapped where the folder is local, else block by block.
 
 A file is written under the name of the attempt and then renamed; a task that is run again writes the same bytes, so
 lost executors do no harm.
+
+Defined results, where a function doesn't say otherwise: a null text counts as empty, a null id stays null, equal rows are
+each worked on, other columns play no part, texts are taken whole, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from pairstrand.llm.common import NO_ID, keyed, named, new_folder, shuffle_parti
 SCAN_BLOCK = 1 << 20
 #: Ids that one flat file of the separator scan holds at most.
 FILE_IDS = 1 << 22
+#: Ids after which a token file is closed.
+TOKEN_FILE_IDS = 1 << 24
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,10 +132,21 @@ def id_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
+def before(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """``df`` with the column ``before``: the sum of ``value`` over all rows that come before by group and order.
+
+    Only the groups' totals, of which there is one a task, are added up in one place.
+    """
+    so_far = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    totals = df.groupBy(group).agg(F.sum(value).alias(value)).select(group, so_far(Window.orderBy(group)).alias("groups_before"))
+    within = df.withColumn("own_before", so_far(Window.partitionBy(group).orderBy(*order)))
+    return within.join(totals, group).withColumn("before", F.col("groups_before") + F.col("own_before")).drop("groups_before", "own_before")
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, vocabulary_size: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", library: bool = False) -> DataFrame:
     """Write the ids of every whole text, each text followed by ``end_id``, in ascending order of document id.
 
-    Returns one row per file: file (long), path, n_docs, n_ids, base. Rows without a document id come first; rows with
+    Returns one row per file: range (long), piece (of the range), path, n_docs, n_ids, base. Rows without a document id come first; rows with
     equal ids follow one another in the order of their texts. An empty table gives no file. With ``library`` the words
     that a task has not met before are encoded by the tokenizers library instead of by ``bpe``.
     """
@@ -139,30 +155,36 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, vocabulary_
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe, ids_parts, counts_parts, doc_parts = codec(vocabulary, library), [], [], []
-        number = None
+        number, piece, held = None, 0, 0
+
+        def flush() -> pd.DataFrame:
+            nonlocal ids_parts, counts_parts, doc_parts, piece, held
+            counts = np.concatenate(counts_parts)
+            path = f"{folder}/part-{number:06d}-{piece:06d}"
+            put(f"{path}.bin", *ids_parts)
+            put(f"{path}.idx", np.append(0, np.cumsum(counts)).astype("<i8"))
+            put(f"{path}.doc", np.concatenate(doc_parts).astype("<i8"))
+            out = pd.DataFrame({"range": [number], "piece": [piece], "path": [path], "n_docs": [len(counts)], "n_ids": [held]})
+            ids_parts, counts_parts, doc_parts, piece, held = [], [], [], piece + 1, 0
+            return out
+
         for rows in batches:
-            if not len(rows):
-                continue
-            number = int(rows["part"].iloc[0]) if number is None else number
-            doc_parts.append(rows["id"].to_numpy(np.int64))
-            for _, ids, counts in bpe.encode_batch(rows["body"].tolist()):
+            at = 0
+            for n_texts, ids, counts in bpe.encode_batch(rows["body"].tolist()):
+                number = int(rows["part"].iloc[0]) if number is None else number
+                doc_parts.append(rows["id"].to_numpy(np.int64)[at : at + n_texts])
                 ids_parts.append(np.insert(ids, np.cumsum(counts), end_id).astype(dtype))
                 counts_parts.append(counts + 1)
-        if number is None:
-            return
-        counts = np.concatenate(counts_parts)
-        path = f"{folder}/part-{number:06d}"
-        put(f"{path}.bin", *ids_parts)
-        put(f"{path}.idx", np.append(0, np.cumsum(counts)).astype("<i8"))
-        put(f"{path}.doc", np.concatenate(doc_parts).astype("<i8"))
-        yield pd.DataFrame({"file": [number], "path": [path], "n_docs": [len(counts)], "n_ids": [int(counts.sum())]})
+                at, held = at + n_texts, held + len(ids_parts[-1])
+                if held >= TOKEN_FILE_IDS:
+                    yield flush()
+        if held:
+            yield flush()
 
     parts = shuffle_partitions(spark)
     ordered = keyed(docs, id_col, text_col).repartitionByRange(parts, "id").sortWithinPartitions("id", "body")
-    files = written(ordered.withColumn("part", F.spark_partition_id()).mapInPandas(run, "file long, path string, n_docs long, n_ids long"), "token-files")
-    # one row per file: the prefix sum over files is small whatever the input
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
+    files = written(ordered.withColumn("part", F.spark_partition_id()).mapInPandas(run, "range long, piece long, path string, n_docs long, n_ids long"), "token-files")
+    return before(files, "range", ["piece"], "n_ids").withColumnRenamed("before", "base")
 
 
 def read_token_files(files: DataFrame, vocabulary_size: int, id_col: str = "doc_id") -> DataFrame:
@@ -244,9 +266,7 @@ def scan_separators(files: DataFrame, end_id: int, vocabulary_size: int) -> Data
     it is returned with ``ended`` false. Files of no ids, or without any end id, are passed over by the scan.
     """
     dtype = id_type(vocabulary_size)
-    order = Window.orderBy("stream", "piece")  # one row per file
-    base = F.coalesce(F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    placed = written(files.withColumn("base", base), "flat-bases")
+    placed = written(before(files, "stream", ["piece"], "n_ids").withColumnRenamed("before", "base"), "flat-bases")
 
     def ends_of(path: str) -> Iterator[np.ndarray]:
         ids = ids_of(path, dtype)
@@ -259,7 +279,7 @@ def scan_separators(files: DataFrame, end_id: int, vocabulary_size: int) -> Data
                 last, n_ends = None, 0
                 for e in ends_of(r.path):
                     last, n_ends = (r.base + int(e[-1]) if len(e) else last), n_ends + len(e)
-                yield pd.DataFrame({"path": [r.path], "base": [r.base], "n_ids": [r.n_ids], "n_ends": [n_ends], "last": pd.array([last], "Int64")})
+                yield pd.DataFrame({"stream": [r.stream], "piece": [r.piece], "path": [r.path], "base": [r.base], "n_ids": [r.n_ids], "n_ends": [n_ends], "last": pd.array([last], "Int64")})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -276,15 +296,20 @@ def scan_separators(files: DataFrame, end_id: int, vocabulary_size: int) -> Data
                     yield pd.DataFrame({"doc_no": [number], "start": [before + 1], "n_tokens": [int(r.base + r.n_ids - before - 1)], "ended": [False]})
 
     parts = shuffle_partitions(files.sparkSession)
-    apart = placed.select("path", "base", "n_ids").repartition(parts)
-    lasts = written(apart.mapInPandas(last_end, "path string, base long, n_ids long, n_ends long, last long"), "flat-lasts")
-    along = Window.orderBy("base", "path")  # one row per file
-    stitched = lasts.select(
+    apart = placed.select("stream", "piece", "path", "base", "n_ids").repartition(parts)
+    lasts = written(apart.mapInPandas(last_end, "stream long, piece long, path string, base long, n_ids long, n_ends long, last long"), "flat-lasts")
+    # within a stream, and over the streams, of which there is one a task
+    numbered = before(lasts, "stream", ["piece"], "n_ends").withColumnRenamed("before", "first_no")
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    along, streams = Window.partitionBy("stream").orderBy("piece"), Window.orderBy("stream")
+    per_stream = lasts.groupBy("stream").agg(F.max("last").alias("end"), F.max("piece").alias("last_piece"))
+    per_stream = per_stream.select("stream", "last_piece", F.max("end").over(until(streams)).alias("ahead"), F.lead("stream").over(streams).isNull().alias("last_stream"))
+    stitched = numbered.withColumn("own", F.max("last").over(until(along))).join(per_stream, "stream").select(
         "path",
         "base",
         "n_ids",
-        F.coalesce(F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1).cast("long")).alias("before"),
-        F.coalesce(F.sum("n_ends").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("first_no"),
-        F.lead("path").over(along).isNull().alias("is_last"),
+        F.coalesce("own", "ahead", F.lit(-1).cast("long")).alias("before"),
+        "first_no",
+        (F.col("last_stream") & (F.col("piece") == F.col("last_piece"))).alias("is_last"),
     )
     return stitched.repartition(parts).mapInPandas(cut, "doc_no long, start long, n_tokens long, ended boolean")
