@@ -6,7 +6,7 @@ group again by MD5 and SHA-256 together in a join of narrow columns, whose hot p
 
 Defined results: a null text counts as empty; a null id never wins over an id; rows with the same id and the same text
 are the same document, so ``exact_groups`` marks them alike and ``drop_copies`` returns one of them; an empty table gives
-an empty result; other columns of the input, whatever their names, play no part.
+an empty result; texts of any length are compared whole; other columns of the input, whatever their names, play no part.
 """
 
 from __future__ import annotations

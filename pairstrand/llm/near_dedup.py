@@ -23,7 +23,8 @@ with ``BUCKETS`` buckets each, chosen by a hash's first bits. Small sets would l
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text of one to four words is one shingle; a null
 text, an empty one and one without words has no shingle and no link. Rows that share an id are one document with several
-texts. A row without id is linked with nothing: its component is null and it is kept. Texts are taken whole.
+texts. A row without id is linked with nothing: its component is null and it is kept. Texts of any length are taken whole; rows that are repeated are each returned; other
+columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Spark then gives each piece its place: pieces of one length are numbered across
 ids, a prefix sum over buckets, and the place within the bucket), and the number finds its slot in the patterns' table.
 
 Defined results: a null text counts as empty; a document of no tokens takes no place and gives no piece; a document longer
-than the largest capacity is cut into pieces of that capacity and a rest; equal rows are each packed; ids may be null.
+than the largest capacity is cut into pieces of that capacity and a rest; equal rows are each packed; ids may be null; an empty table
+gives no places.
 """
 
 from __future__ import annotations

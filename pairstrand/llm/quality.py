@@ -5,7 +5,9 @@ hashes), flattened into arrays, and applied to all documents by array traversal
 text and use nothing but the text.
 
 Defined results: a null text counts as empty and gets a score like any other; labels without id or value are left out,
-repeated labels each count; without labels of both kinds the score is (ones + 1) / (labels + 1), so 1.0 without any.
+repeated labels each count; without labels of both kinds the score is (ones + 1) / (labels + 1), so 1.0 without any. Equal texts
+have equal scores, rows that are repeated are each scored, texts of any length are taken whole, other columns play no part, and
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

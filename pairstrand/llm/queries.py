@@ -16,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; the row with the largest id stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
@@ -31,15 +32,18 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every vector whose id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share three quarters of their 5-word shingles."""
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of what they decode to."""
     return tokens.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
@@ -56,11 +60,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they are found again in token files: places, lengths, checksums."""
     files = tokens.write_token_files(table(spark, sf_dir, "documents"), VOCABULARY, END_ID, VOCABULARY_SIZE, library=True)
     return tokens.read_token_files(files, VOCABULARY_SIZE)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by trees that were grown without the held-out fold's labels."""
     docs = table(spark, sf_dir, "documents")
     forest = quality_forest(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, forest).select(
@@ -72,6 +78,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of deduplicated archives of all pages."""
     headers = warc.write_responses(table(spark, sf_dir, "pages"))
     return warc.read_archives(warc.resolve_revisits(headers))
 
@@ -96,6 +103,7 @@ WINDOW same AS (PARTITION BY payload_digest, payload_bytes)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without its repeated strings of 400 bytes."""
     return substring_dedup.removals(table(spark, sf_dir, "documents"))
 
 
