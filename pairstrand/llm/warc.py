@@ -11,7 +11,9 @@ payload, of revisits too (its HTTP header is kept, with the full length).
 Defined results: a null text is an empty payload; a null URL is ``about:blank``; line ends, blanks and signs beyond ASCII in
 URLs are percent-encoded; rows with the same page id and payload are all originals; a page without id is an original only
 if no page with id has its payload; an empty table gives no archive. Files are written under an attempt's own name and then
-renamed, and a task that runs again writes the same bytes.
+renamed, and a task that runs again writes the same bytes. A record's id comes from its place in the archives (file and
+offset), so records of rows without id, or of repeated ids, have ids of their own, and a revisit names the record that has
+the payload. Payloads and URLs may have any length that a value of Spark's can have.
 """
 
 from __future__ import annotations
@@ -43,23 +45,25 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int, kind: str) -> str:
-    return f"<{uuid.uuid5(SPACE, f'{kind}/{page_id}').urn}>"
+def record_id(path: str, offset: int) -> str:
+    """Id of the record of a page, from the place at which its response was first written."""
+    return f"<{uuid.uuid5(SPACE, f'{path.rpartition('/')[2]}/{offset}').urn}>"
 
 
 def http_header(n: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
 
 
-def record(kind: str, page_id: int, url: str, payload: bytes, n: int, payload_digest: str, refers_to: int | None = None) -> bytes:
-    """One compressed record. n and payload_digest are those of the full payload."""
+def record(kind: str, own: str, page_id: int, url: str, payload: bytes, n: int, payload_digest: str, refers_to: tuple[str, int] | None = None) -> bytes:
+    """One compressed record, of the id ``own``. n and payload_digest are those of the full payload; refers_to has the original's
+    record id and page id."""
     block = http_header(n) + payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, kind)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}"]
     head += ["Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: sha1:{digest(block)}"]
     if page_id != NO_ID:
         head.append(f"Page-Id: {page_id}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, 'response')}", f"Refers-To-Page-Id: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to[0]}", f"Refers-To-Page-Id: {refers_to[1]}"]
     raw = "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
     return gzip.compress(raw, compresslevel=1, mtime=0)
 
@@ -95,10 +99,13 @@ def write_responses(pages: DataFrame, folder: str | None = None, id_col: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, k, size, records, heads = None, 0, 0, [], []
 
+        def path() -> str:
+            return f"{folder}/part-{part:06d}-{k:06d}.warc.gz"
+
         def flush() -> pd.DataFrame:
             nonlocal k, size, records, heads
-            put(path := f"{folder}/part-{part:06d}-{k:06d}.warc.gz", *records)
-            out = pd.DataFrame(heads, columns=["offset", "size", "id", "payload_bytes", "payload_digest"]).assign(path=path)
+            put(path(), *records)
+            out = pd.DataFrame(heads, columns=["offset", "size", "id", "payload_bytes", "payload_digest"]).assign(path=path())
             k, size, records, heads = k + 1, 0, [], []
             return out
 
@@ -107,7 +114,7 @@ def write_responses(pages: DataFrame, folder: str | None = None, id_col: str = "
                 part = r.part if part is None else part
                 payload = r.body.encode()
                 found = digest(payload)
-                records.append(record("response", r.id, urllib.parse.quote(r.url, safe=":/?#[]@!$&'()*+,;=%") or "about:blank", payload, len(payload), found))
+                records.append(record("response", record_id(path(), size), r.id, urllib.parse.quote(r.url, safe=":/?#[]@!$&'()*+,;=%") or "about:blank", payload, len(payload), found))
                 heads.append((size, len(records[-1]), r.id, len(payload), found))
                 size += len(records[-1])
                 if size >= FILE_BYTES:
@@ -127,12 +134,10 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 0, folder: str | None
     """
     spark = headers.sparkSession
     folder = folder or new_folder(spark, "warc-dedup")
-    own = F.nullif(F.col("id"), F.lit(NO_ID))
-    originals = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.coalesce(F.min(own), F.lit(NO_ID)).alias("original"))
-    decided = headers.join(originals, ["payload_digest", "payload_bytes"], "left").select(
-        "path", "offset", "size", "id", "payload_bytes", "payload_digest", F.when(F.col("original") != F.col("id"), F.col("original")).alias("refers_to")
-    )
-    kept = F.col("refers_to").isNull()
+    first = F.min(F.struct((F.col("id") == NO_ID).alias("none"), "id", "path", "offset")).alias("first")
+    originals = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(first).select("payload_digest", "payload_bytes", "first")
+    decided = headers.join(originals, ["payload_digest", "payload_bytes"], "left")
+    kept = F.col("first").isNull() | (F.col("first.id") == F.col("id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, source, records = None, None, []
@@ -158,15 +163,16 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 0, folder: str | None
                 # of a revisit only the header is needed
                 head, _, block = zlib.decompress(raw, 31).partition(b"\r\n\r\n") if r.kept else (head_of(raw), b"", b"")
                 url = next(x for x in head.decode().split("\r\n") if x.startswith("WARC-Target-URI: ")).partition(": ")[2]
+                own = record_id(r.path, r.offset)
                 if r.kept:
                     payload = block[len(http_header(r.payload_bytes)) : -4]
-                    records.append(record("response", r.id, url, payload, r.payload_bytes, r.payload_digest))
+                    records.append(record("response", own, r.id, url, payload, r.payload_bytes, r.payload_digest))
                 else:
-                    records.append(record("revisit", r.id, url, b"", r.payload_bytes, r.payload_digest, r.original))
+                    records.append(record("revisit", own, r.id, url, b"", r.payload_bytes, r.payload_digest, (record_id(r.first_path, r.first_offset), r.first_id)))
         if records:
             yield flush()
 
-    rows = decided.select("path", "offset", "size", "id", "payload_bytes", "payload_digest", kept.alias("kept"), F.coalesce("refers_to", F.lit(0)).alias("original"))
+    rows = decided.select("path", "offset", "size", "id", "payload_bytes", "payload_digest", kept.alias("kept"), F.coalesce("first.path", F.lit("")).alias("first_path"), F.coalesce("first.offset", F.lit(0)).alias("first_offset"), F.coalesce("first.id", F.lit(0)).alias("first_id"))
     by_file = rows.repartition(shuffle_partitions(spark), "path").sortWithinPartitions("path", "offset")
     return written(by_file.mapInPandas(run, "path string, n_records long"), "warc-files")
 
