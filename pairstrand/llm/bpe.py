@@ -7,7 +7,8 @@ Encoding goes in four steps, each over all texts of a chunk at once.
 2. Forced boundaries. A pair of adjacent bytes that occurs inside no token of the vocabulary can never be merged over, so
    it marks a certain cut. Words are split there into fragments.
 3. Fragments are encoded independently, each distinct one once: in every round the lowest-ranked pair of each fragment is
-   merged.
+   merged. Fragments are found again by 64-bit keys; a key of up to seven bytes is these bytes, and longer fragments are
+   compared with the bytes that are kept beside the cached ids.
 4. The fragments' ids are concatenated in text order.
 
 Strings of added tokens (such as an end-of-text mark) inside a text become that token's id, as the tokenizers library does
@@ -34,6 +35,8 @@ CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 CHUNK_CHARS = 1_000_000
 CACHE_FRAGMENTS = 400_000
+#: Bytes of a fragment that is its own key.
+SHORT = 7
 NO_MERGE = np.int64(1) << 40
 
 
@@ -104,10 +107,7 @@ class Codec:
         self._byte_key = rng.integers(1, 2**63, 256, dtype=np.uint64)
         self._odd = np.uint64(0x9E3779B97F4A7C15)
         self._encode_fragments = encode_fragments
-        self._cache: dict[int, int] = {}
-        self._store_len: list[np.ndarray] = []
-        self._store_ids: list[np.ndarray] = []
-        self._n_store = 0
+        self._clear()
 
     # -- pairs: an open-addressing table in arrays -------------------------------------------------------------------
 
@@ -176,13 +176,21 @@ class Codec:
         begins[1:] |= self.cuts[data[:-1], data[1:]]
         return np.flatnonzero(begins)
 
+    def _clear(self) -> None:
+        """Forget all fragments. Stored are, one after another: number of ids and of bytes of each, the ids, the bytes."""
+        self._cache: dict[int, int] = {}
+        self._store: list[list[np.ndarray]] = [[], [], [], []]
+        self._n_store = 0
+
     def _hashes(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """64-bit hash of each fragment: positions count from the fragment's start."""
+        """64-bit key of each fragment: up to SHORT bytes and their number, or a hash that looks like no such key."""
         within = np.arange(len(data), dtype=np.int64) - np.repeat(starts, lengths)
         powers = np.cumprod(np.full(int(lengths.max()) + 1, self._odd, np.uint64))
         sums = np.add.reduceat(self._byte_key[data] * powers[within], starts)
         mixed = (sums ^ (sums >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return mixed ^ lengths.astype(np.uint64) ^ (mixed >> np.uint64(29))
+        hashed = (mixed ^ lengths.astype(np.uint64) ^ (mixed >> np.uint64(29))) | np.uint64(1 << 63)
+        packed = np.add.reduceat(data.astype(np.uint64) << (8 * np.minimum(within, SHORT)).astype(np.uint64), starts)
+        return np.where(lengths <= SHORT, packed | (lengths.astype(np.uint64) << np.uint64(56)), hashed)
 
     # -- step 3 ------------------------------------------------------------------------------------------------------
 
@@ -236,24 +244,41 @@ class Codec:
         """Ids and number of ids of each fragment."""
         keys, first, back = np.unique(self._hashes(data, starts, lengths), return_index=True, return_inverse=True)
         if self._n_store > CACHE_FRAGMENTS:
-            self._cache, self._store_len, self._store_ids, self._n_store = {}, [], [], 0
+            self._clear()
         get = self._cache.get
         index = np.array([get(k, -1) for k in keys.tolist()], np.int64)
         new = np.flatnonzero(index < 0)
         if len(new):
-            ids, n = self._new_fragments(data, starts[first[new]], lengths[first[new]])
+            own_start, own_len = starts[first[new]], lengths[first[new]]
+            ids, n = self._new_fragments(data, own_start, own_len)
             index[new] = self._n_store + np.arange(len(new))
             self._cache.update(zip(keys[new].tolist(), index[new].tolist(), strict=True))
-            self._store_len.append(n)
-            self._store_ids.append(ids)
+            for store, x in zip(self._store, (n, own_len, ids, data[ragged(own_start, own_len)]), strict=True):
+                store.append(x)
             self._n_store += len(new)
-        if len(self._store_len) > 1:
-            self._store_len, self._store_ids = [np.concatenate(self._store_len)], [np.concatenate(self._store_ids)]
-        all_len, all_ids = self._store_len[0], self._store_ids[0]
-        all_start = np.cumsum(all_len) - all_len
+        self._store = [[np.concatenate(x)] if len(x) > 1 else x for x in self._store]
+        all_n, all_len, all_ids, all_bytes = (x[0] for x in self._store)
         pick = index[back]
-        n = all_len[pick]
-        return all_ids[ragged(all_start[pick], n)], n
+        n, begin = all_n[pick], (np.cumsum(all_n) - all_n)[pick]
+        odd = self._unlike(data, starts, lengths, all_len, all_bytes, pick)
+        if not len(odd):
+            return all_ids[ragged(begin, n)], n
+        # another fragment has the same key: these are encoded by themselves
+        more_ids, more_n = self._new_fragments(data, starts[odd], lengths[odd])
+        begin[odd], n[odd] = len(all_ids) + np.cumsum(more_n) - more_n, more_n
+        return np.concatenate([all_ids, more_ids])[ragged(begin, n)], n
+
+    @staticmethod
+    def _unlike(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, all_len: np.ndarray, all_bytes: np.ndarray, pick: np.ndarray) -> np.ndarray:
+        """Fragments whose bytes aren't those of the stored fragment of their key; only long ones can differ."""
+        long = np.flatnonzero(lengths > SHORT)
+        same = lengths[long] == all_len[pick[long]]
+        alike = long[same]
+        if len(alike):
+            n, stored = lengths[alike], (np.cumsum(all_len) - all_len)[pick[alike]]
+            equal = data[ragged(starts[alike], n)] == all_bytes[ragged(stored, n)]
+            same[np.flatnonzero(same)] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        return long[~same]
 
     # -- whole texts -------------------------------------------------------------------------------------------------
 
