@@ -45,6 +45,18 @@ def test_token_files_odd(docs, no_docs):
     assert tokens.read_token_files(tokens.write_token_files(no_docs, VOCABULARY, END_ID, VOCABULARY_SIZE), VOCABULARY_SIZE).count() == 0
 
 
+def test_token_files_roll(docs, monkeypatch):
+    want = Counter(map(tuple, tokens.read_token_files(tokens.write_token_files(docs, VOCABULARY, END_ID, VOCABULARY_SIZE), VOCABULARY_SIZE).collect()))
+    monkeypatch.setattr(tokens, "TOKEN_FILE_IDS", 100)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = docs.sparkSession.conf.get(name)
+    docs.sparkSession.conf.set(name, 2)
+    files = tokens.write_token_files(docs, VOCABULARY, END_ID, VOCABULARY_SIZE)
+    docs.sparkSession.conf.set(name, rows)
+    assert files.where("piece > 0").count() > 0
+    assert Counter(map(tuple, tokens.read_token_files(files, VOCABULARY_SIZE).collect())) == want
+
+
 def test_wide_ids(plain_docs):
     files = tokens.write_token_files(plain_docs.limit(5), VOCABULARY, 70_000, 70_001)
     assert tokens.read_token_files(files, 70_001).count() == 5
@@ -120,6 +132,20 @@ def test_warc_revisits_keep_long_urls(spark):
     assert found == {"1": ("response", "http://b"), "2": ("revisit", url)}
 
 
+def test_warc_record_ids_are_all_different(spark):
+    """Rows without id, and rows that share one: each record has its own id, and revisits name records that have the payload."""
+    files = warc.resolve_revisits(warc.write_responses(pages(spark).repartition(2))).collect()
+    records = []
+    for r in files:
+        with gzip.open(r["path"].removeprefix("file://")) as stream:
+            records += list(warc.parse(stream))
+    ids = [head["warc-record-id"] for head, _ in records]
+    assert len(set(ids)) == len(ids) == 9
+    payloads = {head["warc-record-id"]: head["warc-payload-digest"] for head, _ in records if head["warc-type"] == "response"}
+    revisits = [head for head, _ in records if head["warc-type"] == "revisit"]
+    assert revisits and all(payloads[x["warc-refers-to"]] == x["warc-payload-digest"] for x in revisits)
+
+
 def test_warc_of_nothing(spark):
     none = spark.createDataFrame([], PAGES)
     assert warc.read_archives(warc.resolve_revisits(warc.write_responses(none))).count() == 0

@@ -99,6 +99,22 @@ def test_near_groups(plain_docs, monkeypatch, few, block):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i][0]), c, c == i) for i, c in want.items()}
 
 
+def test_near_groups_of_copies_around_the_threshold(spark):
+    """One text's copies with three other words each: most pairs are just too different, some are links, all meet in bands."""
+    rng = np.random.default_rng(12)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for k in range(400):
+        own = list(base)
+        for j in rng.choice(120, 3, replace=False).tolist():
+            own[j] = f"n{k}x{j}"
+        rows.append((k, " ".join(own)))
+    sets = {k: [shingle_set(t)] for k, t in rows}
+    want = brute_components(sets)
+    assert 1 < len(set(want.values())) < 400
+    got = by_id(near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert {i: r["component_id"] for i, r in got.items()} == want
+
+
 def test_near_groups_odd(docs, no_docs):
     got = near_dedup.near_groups(docs)
     rows = got.collect()
