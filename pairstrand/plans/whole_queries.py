@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pairstrand.operators import labels, metrics, sampling, simplify
+from pairstrand.operators import labels, metrics, refine, sampling, simplify
 from pairstrand.plans.catalog import ORACLES, QUERIES, query
-from pairstrand.plans.structure_queries import CHAIN_TABLE_SQL, CLASS_SQL, W, chain_blocks, tables
-from pairstrand.plans.walk_queries import DNA_SQL, UNITIG_SQL, _dna, _headers, _placements, _walks
+from pairstrand.plans.structure_queries import CHAIN_TABLE_SQL, CLASS_SQL, RECURSIVE, TRIO_SQL, W, chain_blocks, tables
+from pairstrand.plans.walk_queries import DNA_SQL, UNITIG_SQL, WALK_SQL, _dna, _headers, _placements, _walks
 from pairstrand.sources import fixture as fx
 from pairstrand.sources import formats
 from pairstrand.sources.shared import new_folder
@@ -194,3 +194,39 @@ def scan_minigraph(spark, d):
 @query("is_synthetic", W + fx.NODES_SQL + " SELECT count(read_chr) > count(*) // 2 AS is_synthetic FROM (SELECT * FROM nodes ORDER BY node LIMIT 10)")
 def is_synthetic(spark, d):
     return spark.createDataFrame([(simplify.is_synthetic(fx.nodes(fx.reads(spark, d))),)], "is_synthetic boolean")
+
+
+#: Costs of ways along the users' graph, which has no cycles: bases of the other haplotype's nodes.
+_WAYS_SQL = WALK_SQL + "," + TRIO_SQL + """,
+cost AS (SELECT ug.src, ug.dst, CASE WHEN yak_m = -1 THEN 20 * read_length ELSE 0 END AS w FROM ug JOIN trio ON trio.node = ug.dst JOIN nodes ON nodes.node = ug.dst)"""
+
+
+@query(
+    "dijkstra_refine",
+    RECURSIVE + _WAYS_SQL + """, ends AS (SELECT hap, walk_id, arg_min(node, pos) AS start, arg_max(node, pos) AS stop FROM walks GROUP BY ALL),
+    way AS (SELECT hap, walk_id, start AS node, stop, 0::BIGINT AS c FROM ends UNION SELECT hap, walk_id, dst, stop, c + w FROM way JOIN cost ON cost.src = way.node)
+    SELECT hap, walk_id, min(c)::BIGINT AS cost FROM way WHERE node = stop GROUP BY hap, walk_id""",
+)
+def dijkstra_refine(spark, d):
+    """What the lightest way between each walk's ends costs."""
+    w, n, e = _walks(spark, d)
+    return refine.reroute(w, e, n, "yak_m").select("hap", "walk_id", "cost")
+
+
+@query(
+    "bubble_fix",
+    RECURSIVE + _WAYS_SQL + """, k AS (SELECT w.*, yak_m, read_length FROM walks w JOIN trio USING (node) JOIN nodes USING (node)),
+    b AS (SELECT *, pos - row_number() OVER (PARTITION BY hap, walk_id ORDER BY pos) AS isle FROM k WHERE yak_m = -1),
+    runs AS (SELECT hap, walk_id, min(pos) AS lo, max(pos) AS hi, sum(20 * read_length) AS now FROM b GROUP BY hap, walk_id, isle),
+    ends AS (SELECT runs.*, x.node AS start, y.node AS stop FROM runs JOIN walks x ON x.hap = runs.hap AND x.walk_id = runs.walk_id AND x.pos = lo - 1 JOIN walks y ON y.hap = runs.hap AND y.walk_id = runs.walk_id AND y.pos = hi + 1),
+    way AS (SELECT hap, walk_id, lo, now, start AS node, stop, 0::BIGINT AS c FROM ends UNION SELECT hap, walk_id, lo, now, dst, stop, c + w FROM way JOIN cost ON cost.src = way.node),
+    less AS (SELECT hap, walk_id, lo, least(now, coalesce(min(c) FILTER (node = stop), now)) AS after, any_value(now) AS now FROM way GROUP BY hap, walk_id, lo, way.now),
+    total AS (SELECT hap, walk_id, sum(CASE WHEN yak_m = -1 THEN 20 * read_length ELSE 0 END) AS wrong FROM k GROUP BY ALL)
+    SELECT total.hap, total.walk_id, (any_value(wrong) - coalesce(sum(now - after), 0))::BIGINT AS wrong FROM total LEFT JOIN less ON less.hap = total.hap AND less.walk_id = total.walk_id GROUP BY total.hap, total.walk_id""",
+)
+def bubble_fix(spark, d):
+    """Bases of the other haplotype that walks hold when their wrong runs have been replaced."""
+    w, n, e = _walks(spark, d)
+    fixed = refine.fix_bubbles(w, e, n, "yak_m")
+    wrong = F.when(F.col("yak_m") == -1, F.col("read_length")).otherwise(F.lit(0))
+    return fixed.join(n.select("node", "yak_m", "read_length"), "node").groupBy("hap", "walk_id").agg(F.sum(wrong).alias("wrong"))

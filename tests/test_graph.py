@@ -270,3 +270,17 @@ def test_reports(spark, tmp_path):
     assert [(r["chr"], r["t_start"], r["t_end"], r["q_chr"], r["q_start"]) for r in blocks] == [("chr1", 10, 15, "chrA", 3), ("chr1", 17, 24, "chrA", 9)]
     (tmp_path / "t.tsv").write_text("utg000007\tp\t10\t20\t0\t0\n")
     assert tuple(formats.scan_trio(spark, str(tmp_path / "t.tsv")).first()) == (7, "p", 10.0, 20.0)
+
+
+def test_wrong_runs_are_rerouted(spark):
+    """4 is of the wrong haplotype; 8 goes round it. 12 is wrong too, but the way round it is no lighter."""
+    from pairstrand.operators import refine
+
+    n = spark.createDataFrame([(x, 100, -1 if x in (4, 12, 16) else 1) for x in range(0, 20, 2)], "node long, read_length long, y int")
+    e = spark.createDataFrame([(0, 2), (2, 4), (4, 6), (2, 8), (8, 6), (6, 12), (12, 14), (6, 16), (16, 14)], "src long, dst long")
+    w = walks(spark, [0, 2, 4, 6, 12, 14])
+    got = refine.fix_bubbles(w, e, n, "y").orderBy("pos").collect()
+    assert [(r["pos"], r["node"]) for r in got] == list(enumerate([0, 2, 8, 6, 12, 14]))
+    row = refine.reroute(w, e, n, "y").first()
+    assert (row["cost"], row["path"]) == (100, [0, 2, 8, 6, 12, 14])
+    assert refine.lightest_ways(e.withColumn("weight", F.lit(1)), spark.createDataFrame([(1, 14, 0)], "k int, start long, end long"), ["k"]).count() == 0
