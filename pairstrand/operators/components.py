@@ -56,21 +56,42 @@ def largest_component(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return members.join(F.broadcast(best), "component").select("node", "component")
 
 
+def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph whose unbranching chains are one node each, named by their heads: chains (node, head, pos), and edges (src, dst).
+
+    A chain is entered at its head and left at its tail only. Cycles without a branch have no head and stay as they are.
+    """
+    from pairstrand.operators.simplify import chains
+
+    plain = written(edges.select("src", "dst").distinct(), "contract-edges")
+    chain = written(chains(plain).select("node", "head", "pos"), "contract-chains")
+    of = lambda end: chain.select(F.col("node").alias(end), F.col("head").alias(f"{end}_head"), F.col("pos").alias(f"{end}_pos"))
+    both = plain.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    inside = (F.col("src_head") == F.col("dst_head")) & (F.col("dst_pos") == F.col("src_pos") + 1)
+    outer = both.where(~F.coalesce(inside, F.lit(False)))
+    return chain, written(outer.select(F.coalesce("src_head", "src").alias("src"), F.coalesce("dst_head", "dst").alias("dst")).distinct(), "contract-outer")
+
+
 def reachable(edges: DataFrame, starts: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """Nodes that chains of edges reach from the starts, these included; with ``within``, by its nodes only.
 
-    Breadth-first: only the nodes new in a round go on; rounds follow the longest shortest way.
+    Breadth-first on the graph whose unbranching chains are one node each, so rounds follow the branches on the longest shortest
+    way; of a chain all nodes from the first one reached on belong to the result.
     """
     if within is not None:
         edges = edges.join(within.select(F.col("node").alias("dst")), "dst", "left_semi")
-    step = written(edges.select(F.col("src").alias("node"), "dst").distinct(), "reach-edges")
-    seen = front = written(starts.select("node").distinct(), "reach")
-    while True:
-        new = front.join(step, "node").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+    chain, step = contracted(edges)
+    placed = starts.select("node").distinct().join(chain, "node", "left").select(F.coalesce("head", "node").alias("at"), F.coalesce("pos", F.lit(0)).alias("pos"))
+    own = written(placed, "reach-starts")
+    seen = front = written(own.select("at").distinct(), "reach")
+    while not front.isEmpty():
+        new = front.join(step, F.col("at") == F.col("src")).select(F.col("dst").alias("at")).distinct().join(seen, "at", "left_anti")
         front = written(new, "reach")
-        if front.isEmpty():
-            return seen
         seen = written(seen.union(front), "reach")
+    entered = seen.join(step, F.col("at") == F.col("src")).select(F.col("dst").alias("at"), F.lit(0).cast("long").alias("pos"))
+    first = written(own.union(entered).groupBy("at").agg(F.min("pos").alias("first")), "reach-first")
+    on_chains = chain.join(first, F.col("head") == F.col("at")).where("pos >= first").select("node")
+    return first.select(F.col("at").alias("node")).join(chain.select("node"), "node", "left_anti").union(on_chains)
 
 
 def reachable_pairs(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -88,9 +109,9 @@ def reachable_pairs(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def is_dag(edges: DataFrame) -> bool:
     """Whether a graph has no cycle: nodes without in-edges, and nodes without out-edges, are peeled off until none is left.
 
-    Rounds follow half the longest way.
+    Unbranching chains are one node each; rounds follow half the longest way through branches.
     """
-    rest = written(edges.select("src", "dst").distinct(), "dag")
+    _, rest = contracted(edges)
     n = rest.count()
     while n:
         inner = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")

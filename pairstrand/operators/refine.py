@@ -35,6 +35,12 @@ def wrong_weights(edges: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     return edges.select("src", "dst").join(nodes.select(F.col("node").alias("dst"), weight.cast("long").alias("weight")), "dst")
 
 
+def near_best(edges: DataFrame, column: str, margin: float = 0.1) -> DataFrame:
+    """Edges whose badness is at most ``margin`` above the least of their source's."""
+    best = edges.groupBy("src").agg(F.min(column).alias("best"))
+    return edges.join(best, "src").where(F.col(column) <= F.col("best") + margin).drop("best")
+
+
 def reroute(walks: DataFrame, edges: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     """Each walk's lightest way from its first to its last node: hap, walk_id, cost (bases of the wrong haplotype), path."""
     ends = walks.groupBy(*WALK).agg(F.min_by("node", "pos").alias("start"), F.max_by("node", "pos").alias("end"))
