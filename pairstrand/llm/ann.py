@@ -72,7 +72,7 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     for a in range(0, len(x), 512):
         s = x[a : a + 512] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k].copy())  # not a view, which would keep the whole block
     return np.concatenate(out)
 
 
