@@ -20,8 +20,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers in this session; Spark reads these settings when a plan runs, so they stay set."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        found = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b"))
-        if not 0 < found <= most:
+        found = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB")
+        if not (found.isdigit() and 0 < int(found) <= most):
             spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
