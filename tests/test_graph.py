@@ -284,3 +284,19 @@ def test_wrong_runs_are_rerouted(spark):
     row = refine.reroute(w, e, n, "y").first()
     assert (row["cost"], row["path"]) == (100, [0, 2, 8, 6, 12, 14])
     assert refine.lightest_ways(e.withColumn("weight", F.lit(1)), spark.createDataFrame([(1, 14, 0)], "k int, start long, end long"), ["k"]).count() == 0
+
+
+def test_lines_are_numbered_over_blocks_and_files(spark, tmp_path):
+    n = 0
+    for name, k in (("a.txt", 3000), ("b.txt", 3), ("c.txt", 1000)):
+        (tmp_path / name).write_text("".join(f"{n + i} {'x' * (i * 7 % 40)}\n" for i in range(k)))
+        n += k
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        lines = formats.numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 1 and lines.count() == n
+        assert lines.where(F.split("value", " ")[0].cast("long") != F.col("line_no")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
