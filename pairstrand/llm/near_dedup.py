@@ -309,7 +309,7 @@ def _family_links(open_: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataF
     """Links of the bands' nodes, family by family. open_: key, node, label."""
     # bands by their smallest nodes, and nodes by the smallest of these: bands that share a node are one edge of a small graph
     first = open_.groupBy("key").agg(F.min("node").alias("first"))
-    of_node = written(open_.join(first, "key").select("node", "first").distinct(), "near-firsts")
+    of_node = written(open_.join(first.hint("merge"), "key").select("node", "first").distinct(), "near-firsts")
     least = of_node.groupBy("node").agg(F.min("first").alias("least"))
     joined = wcc(of_node.join(least, "node").select("first", "least").distinct(), "first", "least")
     families = least.join(joined.select(F.col("node").alias("least"), F.col("component").alias("family")), "least").select("node", "family")
