@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairstrand.llm import ann, exact_dedup, near_dedup, packing, quality, substring_dedup, tokens, warc
+from pairstrand.llm import ann, clusters, exact_dedup, fingerprints, hard_negatives, near_dedup, packing, quality, substring_dedup, tokens, warc
 from pairstrand.llm.common import table
 from pairstrand.llm.settings import END_ID, SEPARATOR_ID, VOCABULARY, VOCABULARY_SIZE, quality_forest
 
@@ -107,6 +107,76 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hardest negatives in the windows of each anchor's positives; anchors are vectors whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0, label)
+
+
+OP11_SQL = """
+WITH whole AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v::DOUBLE[], b.v::DOUBLE[])::BIGINT AS score
+  FROM whole a JOIN whole b ON a.id <> b.id
+  WHERE a.id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER best)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER best <= 10
+"""
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by the nearest of 16 centroids after three rounds."""
+    return clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _round(n: int) -> str:
+    """SQL of the assignment to the centroids c{n}, and of the centroids c{n + 1}."""
+    return f"""
+, a{n} AS (
+  SELECT row, v, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT row, whole.v, c, list_sum(list_transform(range(1, 65), lambda i: (whole.v[i] - m.v[i]) * (whole.v[i] - m.v[i])))::BIGINT AS d FROM whole, c{n} m)
+  GROUP BY row, v
+), c{n + 1} AS (
+  SELECT c, coalesce(moved.v, old.v) AS v FROM c{n} old LEFT JOIN (
+    SELECT c, list(m ORDER BY i) AS v FROM (
+      SELECT c, i, (sum(x) // count(*) - CASE WHEN sum(x) % count(*) < 0 THEN 1 ELSE 0 END)::BIGINT AS m
+      FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{n}) GROUP BY c, i) GROUP BY c
+  ) moved USING (c)
+)"""
+
+
+OP12_SQL = f"""
+WITH whole AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1)::INTEGER AS c, v FROM whole WHERE vec_id IS NOT NULL
+  QUALIFY c < 16
+){_round(0)}{_round(1)}{_round(2)}{_round(3)}
+SELECT vec_id, a3.c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a3.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN whole USING (row) JOIN c3 ON c3.c = a3.c
+"""
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are."""
+    return fingerprints.successive(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -123,6 +193,9 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_warc": op9_warc,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_clusters": op12_clusters,
+        "op13_fingerprints": op13_fingerprints,
         "pipeline": pipeline,
     }
 
@@ -131,4 +204,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
         "op9_warc": OP9_SQL,
+        "op11_hard_negatives": OP11_SQL,
+        "op12_clusters": OP12_SQL,
     }

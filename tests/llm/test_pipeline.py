@@ -66,7 +66,7 @@ def test_run(spark):
 
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} <= {x[: x.index("_") + 1] for x in names if x.startswith("op")}
+    assert "pipeline" in names and {f"op{n}_" for n in range(1, 14)} <= {x[: x.index("_") + 1] for x in names if x.startswith("op")}
 
 
 def test_entry_works_without_the_subpackage(tmp_path):
