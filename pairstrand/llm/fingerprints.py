@@ -155,18 +155,20 @@ def fingerprint(hashes: PrefixHashes) -> str:
     n, span = hashes.n, min(SPAN, max(hashes.n, 1))
     least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
     scale = [np.uint64(pow(b, span, PRIME)) for b in BASES]
-    kept = [np.zeros((2, 0), np.uint64)]  # the end of the block before, for spans across
+    kept = np.zeros((2, 0), np.uint64)  # the end of the block before, for spans across
     places = grid(n)
     prefixes = np.zeros(len(places), "<u4")
     for a, own in hashes.blocks():
-        here = slice(*np.searchsorted(places, [a + 1, a + own.shape[1] - 1], side="left")) if a + own.shape[1] - 1 < n else slice(np.searchsorted(places, a + 1), None)
+        end = a + own.shape[1] - 1
+        here = slice(*np.searchsorted(places, [a, end], side="right"))
         prefixes[here] = own[0, places[here] - a]
-        h = np.concatenate([kept[0], own], axis=1)
+        h = np.concatenate([kept, own], axis=1)
         if h.shape[1] > span:
             first, second = (fold(row[span:] + (_P - fold(row[:-span] * s))) for row, s in zip(h, scale, strict=True))
             found = mix((first << _31) ^ second)
             np.minimum.at(least, (found >> _SHIFT).astype(np.int64), found << np.uint64(64 - int(_SHIFT)))
-        kept[0] = h[:, max(0, h.shape[1] - span) : -1] if a + own.shape[1] - 1 < n else kept[0]
+        if end < n:
+            kept = h[:, max(0, h.shape[1] - span) : -1]
     registers = np.where(least == np.iinfo(np.uint64).max, 0, mix(least) % np.uint64(65535) + np.uint64(1)).astype("<u2")
     whole = np.array(hashes.prefix(n), "<u4")
     return base64.b64encode(np.array([n], "<i8").tobytes() + whole.tobytes() + registers.tobytes() + prefixes.tobytes()).decode()
