@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairstrand.sources.shared import new_folder, shuffle_partitions, written
+from pairstrand.sources.shared import forget, new_folder, shuffle_partitions, written
 
 
 def wcc(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -24,10 +24,11 @@ def wcc(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
         lower = written(labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label")), "wcc-lower")
         follow = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
         jumped = lower.join(follow, "label").select("node", "old", F.col("next").alias("label"))
-        labels = written(jumped, "wcc-labels")
+        before, labels = labels, written(jumped, "wcc-labels")
+        forget(before, lower)
         if labels.where(F.col("old") != F.col("label")).isEmpty():
+            forget(both)
             return labels.select("node", F.col("label").alias("component"))
-        labels = labels.select("node", "label")
 
 
 def find_components(edges: DataFrame, min_size: int = 2) -> DataFrame:

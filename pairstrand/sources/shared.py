@@ -29,14 +29,27 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
+def written(df: DataFrame, kind: str, block_mb: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again.
 
-    This cuts the lineage and survives the loss of executors.
+    This cuts the lineage and survives the loss of executors. block_mb: size of the file's row groups, which a task holds in
+    memory while it writes.
     """
     spark, path = df.sparkSession, new_folder(df.sparkSession, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("parquet.block.size", block_mb << 20) if block_mb else df.write
+    writer.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again; other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_written_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
