@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairstrand.sources.shared import new_folder, shared_dir, shuffle_partitions, written
+from pairstrand.sources.shared import forget, new_folder, shared_dir, shuffle_partitions, written
 
-__all__ = ["NO_ID", "keyed", "named", "new_folder", "shared_dir", "shuffle_partitions", "table", "written"]
+__all__ = ["NO_ID", "forget", "keyed", "named", "new_folder", "shared_dir", "shuffle_partitions", "slices", "table", "written"]
 
 #: Stands for a null id inside Python code, where a null would turn all ids of a batch into floats.
 NO_ID = -(2**63)
@@ -40,3 +43,16 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def named(df: DataFrame, id_col: str, column: str = "id") -> DataFrame:
     """Undo ``keyed``: the id's own name, and null where there was none."""
     return df.withColumn(column, F.nullif(F.col(column), F.lit(NO_ID))).withColumnRenamed(column, id_col)
+
+
+def slices(batches: Iterator[pd.DataFrame], column: str, size: int) -> Iterator[pd.DataFrame]:
+    """Batches cut into rows whose values in ``column`` have at most ``size`` bytes (or characters) together, or into single rows."""
+    for rows in batches:
+        first, held = 0, 0
+        for k, n in enumerate(map(len, rows[column])):
+            if held and held + n > size:
+                yield rows[first:k]
+                first, held = k, 0
+            held += n
+        if first < len(rows):
+            yield rows[first:]

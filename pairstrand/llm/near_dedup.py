@@ -6,7 +6,7 @@ with ``BUCKETS`` buckets each, chosen by a hash's first bits. Small sets would l
 ``SMALL`` shingles have a tight sketch, one hash function and one bucket per register; sets whose sizes lie so near to
 ``SMALL`` that a similar set could be on its other side have both. Steps:
 
-1. Sets that are equal become one node, named by the smallest id that has the set.
+1. Sets that are equal become one node, a number with the smallest (id, MD5 of the text) that has the set.
 2. Banding: empty registers take over their next neighbour, then ``BAND`` registers of as many hash functions form a band
    key. Sets of Jaccard similarity 0.75 share no band with a probability of (1 - 0.75^5)^64, about 3e-8.
 3. Pairs, at most a few a node. A band's centre is its node of the smallest hash. First each node is held against one
@@ -19,17 +19,19 @@ with ``BUCKETS`` buckets each, chosen by a hash's first bits. Small sets would l
    and returns only links that connect: no pair is left out, and none is a row.
 4. Pairs whose estimated similarity (corrected for chance collisions of registers) is lower than the threshold by over
    ``SIGMAS`` standard errors are dropped; the others are confirmed on their full sets.
-5. Components of the confirmed links.
+5. Components of the confirmed links; where an id has several texts, the components of these are one document's, and so are one.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text of one to four words is one shingle; a null
 text, an empty one and one without words has no shingle and no link. Rows that share an id are one document with several
-texts. A row without id is linked with nothing: its component is null and it is kept. Texts of any length are taken whole; rows that are repeated are each returned; other
+texts: they have one component, the smallest id that links of any of its texts reach. Among texts alone (``text_stays``) each
+group of near copies keeps the smallest (id, MD5), so that a text which is no other's near copy stays. A row without id is linked with nothing: its component is null and it is kept. Texts of any length are taken whole; rows that are repeated are each returned; other
 columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +54,8 @@ SIGMAS = 5.5
 FEW = 2
 #: Nodes, and bytes of texts, of a family's block.
 BLOCK, BLOCK_BYTES = 512, 16_000_000
+#: Keys that a family's class is dealt to.
+SALTS = 64
 #: Shingles that are counted at once.
 COLUMNS = 4096
 #: Chance that registers of different hashes agree: same number of zeros (1/3) and same mantissa.
@@ -149,12 +153,14 @@ def _sets(bodies: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, bytes (of the text), set_hash (128 bits, null without shingles), wide and tight (sketches,
-    null if not needed)."""
+    """Per row: id, md5 (of the text), n_shingles, bytes (of the text), set_hash (128 bits, null without shingles), wide and
+    tight (sketches, null if not needed)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            at, size = 0, np.array([len(t.encode()) for t in rows["body"]], np.int64)
+            raw = [t.encode() for t in rows["body"]]
+            at, size, md5 = 0, np.array([len(t) for t in raw], np.int64), [hashlib.md5(t).digest() for t in raw]
+            del raw
             for found, count in _sets(rows["body"].tolist()):
                 n = len(count)
                 sketches = {}
@@ -171,6 +177,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pd.DataFrame(
                     {
                         "id": rows["id"].to_numpy()[at : at + n],
+                        "md5": md5[at : at + n],
                         "n_shingles": count,
                         "bytes": size[at : at + n],
                         "set_hash": [x.tobytes() if c else None for x, c in zip(sums, count, strict=True)],
@@ -179,7 +186,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 )
                 at += n
 
-    return keyed(docs, id_col, text_col).mapInPandas(run, "id long, n_shingles long, bytes long, set_hash binary, wide binary, tight binary")
+    return keyed(docs, id_col, text_col).mapInPandas(run, "id long, md5 binary, n_shingles long, bytes long, set_hash binary, wide binary, tight binary")
 
 
 def _rows(sketches: pd.Series) -> np.ndarray:
@@ -320,9 +327,10 @@ def _family_links(open_: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataF
     n_blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int")
     blocks = written(members.groupBy("family", "class").agg(n_blocks.alias("blocks")), "near-blocks")
     beside = blocks.select("family", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below")).join(blocks.select("family", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above")), ["family", "class"], "full")
-    rooms = blocks.join(beside, ["family", "class"], "left")
+    # a class of a family may hold a large share of all nodes: its one row is copied to SALTS keys, among which its nodes are dealt
+    rooms = blocks.join(beside, ["family", "class"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.drop("bytes").join(rooms, ["family", "class"]).withColumn("own", own)
+    dealt = members.drop("bytes").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(rooms, ["family", "class", "salt"]).withColumn("own", own)
     name = lambda c, n: F.concat_ws(":", c, n)
     along = lambda c, n: F.coalesce(F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda k: name(c, k)), F.array().cast("array<string>"))
     others = F.concat(along(F.col("class") - 1, "below"), along(F.col("class"), "blocks"), along(F.col("class") + 1, "above"))
@@ -332,14 +340,17 @@ def _family_links(open_: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataF
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (src, dst) enough to connect all documents that chains of links connect. docs: id, body."""
+    """Links (src, dst) enough to connect all nodes that chains of links connect. docs: id, body; nodes: node, id, md5 (whose
+    text has the set), sketches."""
     bands = _bands(nodes)
     order = F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("node"))
     by_key = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(order).alias("c")).where("lo < hi")
     centres = written(by_key.select("key", F.col("c.node").alias("centre")), "near-keys")
     # merge: these sides grow with the input, so none is broadcast however few there are; skewed joins can be split
     rest = written(bands.join(centres.hint("merge"), "key"), "near-bands")
-    texts = written(docs.join(rest.select(F.col("node").alias("id")).distinct().hint("merge"), "id").select(F.col("id").alias("node"), "body").distinct(), "near-texts")
+    wanted = nodes.select("node", "id", "md5").join(rest.select("node").distinct().hint("merge"), "node", "left_semi")
+    with_md5 = docs.withColumn("md5", F.unhex(F.md5(F.col("body").cast("binary"))))
+    texts = written(with_md5.join(wanted.hint("merge"), ["id", "md5"]).select("node", "body").distinct(), "near-texts")
     pair = [F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")]
     # one pair a node: with the first of all its bands' centres
     first = rest.groupBy("node").agg(F.min(F.struct(F.xxhash64("centre").alias("order"), "centre")).alias("c")).select("node", F.col("c.centre").alias("centre"))
@@ -367,16 +378,45 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.union, found).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable by links), kept (id is component_id)."""
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id (NO_ID for null), md5, n_shingles, component_id, text_stays."""
     signed = written(signatures(docs, id_col, text_col), "near-signed")
     with_id = signed.where((F.col("n_shingles") > 0) & (F.col("id") != NO_ID))
     same = [F.first(c).alias(c) for c in ("wide", "tight", "n_shingles", "bytes")]
-    nodes = written(with_id.groupBy("set_hash").agg(F.min("id").alias("node"), *same), "near-nodes")
-    components = wcc(links(keyed(docs, id_col, text_col), nodes))
-    of_node = nodes.select("set_hash", "node").join(components.hint("merge"), "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
-    # a document with several texts is in the smallest of their components
-    out = signed.select("id", "n_shingles", "set_hash").join(of_node.hint("merge"), "set_hash", "left")
+    sets = with_id.groupBy("set_hash").agg(F.min(F.struct("id", "md5")).alias("least"), *same)
+    # numbers that are fixed as the table is written
+    nodes = written(sets.select(F.monotonically_increasing_id().alias("node"), "set_hash", "least.id", "least.md5", *(n for n in ("wide", "tight", "n_shingles", "bytes"))), "near-nodes")
+    joined = wcc(links(keyed(docs, id_col, text_col), nodes))
+    names = nodes.select("set_hash", "node", "id", "md5")
+    of_set = written(names.join(joined.hint("merge"), "node", "left").select("set_hash", "id", "md5", F.coalesce("component", "node").alias("texts")), "near-components")
+    groups = of_set.groupBy("texts").agg(F.min(F.struct("id", "md5")).alias("least"))
+    groups = groups.select("texts", "least", F.col("texts").alias("whole"))
+    # ids with several texts join the components of these
+    several = written(signed.where(F.col("id") != NO_ID).groupBy("id").agg(F.min("md5").alias("lo"), F.max("md5").alias("hi")).where("lo < hi").select("id"), "near-several")
+    repeated = not several.isEmpty()
+    if repeated:
+        of_id = with_id.select("id", "set_hash").distinct().join(several, "id").join(of_set.select("set_hash", "texts").hint("merge"), "set_hash")
+        of_id = written(of_id.select("id", "texts").distinct(), "near-ids")
+        across = of_id.join(of_id.groupBy("id").agg(F.min("texts").alias("first")), "id").where("first <> texts")
+        documents = wcc(across, "first", "texts").select(F.col("node").alias("texts"), "component")
+        groups = groups.join(documents.hint("merge"), "texts", "left").select("texts", "least", F.coalesce("component", "texts").alias("whole"))
+    groups = written(groups, "near-groups")
+    component = groups.groupBy("whole").agg(F.min("least.id").alias("component_id"))
+    groups = written(groups.join(component.hint("merge"), "whole"), "near-facts")
+    facts = of_set.select("set_hash", "texts").join(groups.hint("merge"), "texts").select("set_hash", "least", "component_id")
+    out = signed.select("id", "md5", "n_shingles", "set_hash").join(facts.hint("merge"), "set_hash", "left")
+    linked = F.col("component_id").isNotNull() & (F.col("id") != NO_ID)
+    stays = ~linked | (F.struct("id", "md5") == F.col("least"))
+    component_id = F.when(F.col("id") != NO_ID, F.coalesce(F.col("component_id") if not repeated else F.coalesce("of_document", "component_id"), "id"))
+    if repeated:
+        of_document = of_id.join(groups.hint("merge"), "texts").groupBy("id").agg(F.min("component_id").alias("of_document"))
+        out = out.join(of_document.hint("merge"), "id", "left")
+    return out.select("id", "md5", "n_shingles", component_id.alias("component_id"), stays.alias("text_stays"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id (smallest id reachable by links), kept (id is component_id), text_stays (the row's
+    text is the one that its near copies leave, or has none)."""
     own = F.nullif("id", F.lit(NO_ID))
-    component = F.when(own.isNotNull(), F.coalesce("component", "id"))
-    return out.select(own.alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(own == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(own == F.col("component_id"), F.lit(True))
+    return near_texts(docs, id_col, text_col).select(own.alias(id_col), "n_shingles", "component_id", kept.alias("kept"), "text_stays")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairstrand.llm import exact_dedup, near_dedup, packing, quality, substring_dedup, tokens
-from pairstrand.llm.common import table
+from pairstrand.llm.common import NO_ID, table
 from pairstrand.llm.settings import PASSAGE, VOCABULARY, quality_forest
 
 
@@ -26,10 +26,16 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the one with the smallest id stays; documents without id all stay."""
-    groups = near_dedup.near_groups(docs)
-    gone = groups.where(~F.col("kept")).select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near-duplicates the one with the smallest id stays; documents without id all stay.
+
+    Where an id has several texts, each is taken by itself: one that is no other's near copy stays. Rows equal to the one that
+    stays (its id and text) stay too.
+    """
+    gone = near_dedup.near_texts(docs).where(~F.col("text_stays")).select("id", "md5").distinct()
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    md5 = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    rows = docs.select(*(docs[c].alias(n) for c, n in names.items()), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), md5.alias("md5"))
+    return rows.join(gone, ["id", "md5"], "left_anti").select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,6 +99,42 @@ def test_near_groups(plain_docs, monkeypatch, few, block):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i][0]), c, c == i) for i, c in want.items()}
 
 
+def several_texts(spark):
+    """Ids with several texts: equal to others' texts, near copies of them, without words, and nobody's copies."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    more = lambda t: t + " tail"
+    rows = [(5, a), (3, b), (5, b), (7, more(a)), (8, c), (8, None), (8, ""), (9, more(c)), (9, more(a + " " + c)), (2, None), (2, " "), (1, "x"), (1, "y"), (4, "y"), (12, b), (12, b), (None, a), (3, b)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_near_groups_of_ids_with_several_texts(spark):
+    rows, df = several_texts(spark)
+    sets = defaultdict(list)
+    for i, t in rows:
+        if i is not None:
+            sets[i].append(shingle_set(t))
+    want = brute_components(sets)
+    assert want[5] == want[7] == want[3] == 3
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(df).collect())
+    assert got == Counter((i, len(shingle_set(t)), None if i is None else want[i], i is None or want[i] == i) for i, t in rows)
+
+
+def test_near_stage_loses_no_text(spark, tmp_path):
+    """What the stage takes out is a near copy of something that stays, row by row."""
+    from pairstrand.llm import stages
+
+    rows, df = several_texts(spark)
+    kept = Counter((r["doc_id"], r["text"]) for r in stages.near_stage(spark, df, str(tmp_path)).collect())
+    texts = {(i, body(t)) for i, t in rows if i is not None and shingle_set(t)}
+    groups = brute_components({k: [shingle_set(k[1])] for k in texts})
+    least = defaultdict(list)
+    for k, g in groups.items():
+        least[g].append((k[0], hashlib.md5(k[1].encode()).digest(), k))
+    stay = {min(v)[2] for v in least.values()}
+    assert kept == Counter((i, t) for i, t in rows if i is None or not shingle_set(t) or (i, body(t)) in stay)
+    assert (5, rows[0][1]) in kept and (3, rows[1][1]) in kept and (5, rows[1][1]) not in kept
+
+
 def test_near_groups_of_copies_around_the_threshold(spark):
     """One text's copies with three other words each: most pairs are just too different, some are links, all meet in bands."""
     rng = np.random.default_rng(12)
