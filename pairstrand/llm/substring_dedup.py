@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairstrand.llm.anchors import anchor_runs
-from pairstrand.llm.common import NO_ID, keyed, shuffle_partitions, written
+from pairstrand.llm.common import NO_ID, forget, keyed, shuffle_partitions, slices, written
 from pairstrand.llm.suffixes import repeated_starts, starts_in_both
 from pairstrand.llm.textarrays import CHUNK_BYTES, chunks, mix
 
@@ -46,6 +46,8 @@ LENGTH = 400
 SHARD_BYTES, SHARDS = 250_000, 8
 #: Bytes of one text that are worked on at once.
 STRETCH = CHUNK_BYTES
+#: Bytes of texts of a batch that Python works on at once, and MB of the row groups of tables with whole texts or segments.
+SLICE, BLOCK_MB = 2_000_000, 16
 
 RUNS = "hash binary, first array<int>, n array<int>"
 
@@ -83,7 +85,7 @@ def _coarse_keys(batches: Iterator[pd.DataFrame], length: int, stretch: int) ->
     more windows go on.
     """
     gram, _ = _grams(length)
-    for rows in batches:
+    for rows in slices(batches, "body", SLICE):
         texts, docs = [bytes(b) for b in rows["body"]], rows["doc"].to_numpy()
         tag = np.array([int.from_bytes(d[:8], "little") for d in docs], np.uint64)
         for owner, offset, pieces in _stretches(texts, length, stretch):
@@ -103,7 +105,7 @@ def _segments(batches: Iterator[pd.DataFrame], length: int, stretch: int) -> Ite
     """Per text: doc, body, and its different segments: first windows of all their places, numbers of windows, short anchors,
     their places in the segments, and hashes."""
     coarse, fine = _grams(length)
-    for rows in batches:
+    for rows in slices(batches, "body", SLICE):
         texts = [bytes(b) for b in rows["body"]]
         keys = [np.asarray(k, np.int64).view(np.uint64) for k in rows["keys"]]
         # text that repeats itself has the same segment again and again: one entry with all its places
@@ -142,7 +144,7 @@ def _segments(batches: Iterator[pd.DataFrame], length: int, stretch: int) -> Ite
 
 def _cut(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """Per different segment of a batch: hash, key, at, bytes, number of places."""
-    for rows in batches:
+    for rows in slices(batches, "body", SLICE):
         found: dict[bytes, list] = {}
         for r in rows.itertuples():
             body = bytes(r.body)
@@ -235,7 +237,9 @@ def repeated_runs(segments: DataFrame, length: int) -> DataFrame:
     # what lies in several places is repeated whole, whatever other segments hold
     whole = segments.where("places > 1").select("hash", F.array(F.lit(0)).alias("first"), F.array(F.octet_length("segment") - (length - 1)).alias("n"))
     by_key = segments.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.sum(F.octet_length("segment")).alias("bytes"), F.min("places").alias("least")).where("different > 1 and least = 1")
-    several = written(segments.join(written(by_key.select("key", "bytes"), "sub-keys"), "key"), "sub-several")
+    # narrow rows first: whole segments are joined by their own hashes, so that those of a common anchor don't meet in one task
+    flagged = segments.select("hash", "key").join(written(by_key.select("key", "bytes"), "sub-keys"), "key").select("hash", "bytes")
+    several = written(segments.join(flagged.hint("merge"), "hash"), "sub-several", BLOCK_MB)
     n_shards = F.ceil(F.col("bytes") / SHARD_BYTES).cast("int")
     usual = several.where(n_shards <= 1).select("key", "hash", "segment").repartition(parts, "key").sortWithinPartitions("key")
     found = [usual.mapInPandas(lambda b: _shards(b, length, shard_bytes), RUNS)]
@@ -254,12 +258,13 @@ def repeated_runs(segments: DataFrame, length: int) -> DataFrame:
         back = more.select("parent", "offset", "hash").join(inner, "hash")
         found.append(back.select(F.col("parent").alias("hash"), F.transform("first", lambda x: x + F.col("offset")).alias("first"), "n"))
     rows = written(functools.reduce(DataFrame.union, found).where(F.size("first") > 0), "sub-found")
+    forget(several)
     return rows.join(whole.select("hash"), "hash", "left_anti").union(whole)
 
 
 def _removed(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """Per text: doc, number of removed bytes and spans, SHA-256 of the rest, the rest."""
-    for rows in batches:
+    for rows in slices(batches, "body", SLICE):
         out = []
         for r in rows.itertuples():
             body = bytes(r.body)
@@ -291,10 +296,11 @@ def losses(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
     texts = long.groupBy("doc").agg(F.first("body").alias("body"))
     some = texts.join(of_doc, "doc")
     cut_schema = "doc binary, body binary, begins array<array<int>>, n array<int>, key array<long>, at array<int>, hash array<binary>"
-    held = written(some.mapInPandas(lambda b: _segments(b, length, stretch), cut_schema), "sub-held")
+    held = written(some.mapInPandas(lambda b: _segments(b, length, stretch), cut_schema), "sub-held", BLOCK_MB)
+    forget(grams)
     pieces = held.mapInPandas(lambda b: _cut(b, length), "hash binary, key long, at int, segment binary, places long")
     firsts = [F.first(c).alias(c) for c in ("key", "at", "segment")]
-    segments = written(pieces.groupBy("hash").agg(*firsts, F.sum("places").alias("places")).withColumn("gram", F.lit(_grams(length)[1])), "sub-segments")
+    segments = written(pieces.groupBy("hash").agg(*firsts, F.sum("places").alias("places")).withColumn("gram", F.lit(_grams(length)[1])), "sub-segments", BLOCK_MB)
     runs = repeated_runs(segments, length)
     where = held.select("doc", F.explode(F.arrays_zip("begins", "hash")).alias("s")).select("doc", F.col("s.begins").alias("begins"), F.col("s.hash").alias("hash"))
     per_doc = where.join(runs, "hash").groupBy("doc").agg(F.collect_list(F.struct("begins", "first", "n")).alias("hits"))
@@ -303,7 +309,7 @@ def losses(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
     # of copies nothing is left, whatever else their one representative keeps
     facts = copies.join(lost, "doc", "full")
     gone = F.coalesce("copied", F.lit(False))
-    return written(facts.select("doc", gone.alias("gone"), "n_removed", "n_spans", "kept_sha256", F.when(gone, "").otherwise(F.col("rest")).alias("rest")), "sub-facts")
+    return written(facts.select("doc", gone.alias("gone"), "n_removed", "n_spans", "kept_sha256", F.when(gone, "").otherwise(F.col("rest")).alias("rest")), "sub-facts", BLOCK_MB)
 
 
 def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
