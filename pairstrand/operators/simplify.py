@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairstrand.functions.strings import complement
 from pairstrand.operators.graph import mirror_semi, two_steps
-from pairstrand.sources.shared import shuffle_partitions, written
+from pairstrand.sources.shared import forget, shuffle_partitions, written
 
 EPS = 0.12
 
@@ -39,26 +39,33 @@ def linear_edges(edges: DataFrame) -> DataFrame:
 
 
 def chains(edges: DataFrame) -> DataFrame:
-    """Maximal chains of linear edges: head, node, pos (0 at the head). Pure cycles have no head and are left out.
+    """Maximal chains of linear edges: head, node, pos (0 at the head). Pure cycles have no head and are left out."""
+    return chains_of(linear_edges(edges))
+
+
+def chains_of(lin: DataFrame, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Chains of edges (src, dst) of which no two begin or end alike: head, node, pos, and the sums of some of the edges' columns from
+    the head to the node.
 
     Pointer doubling: each round a node looks at the ancestor of its ancestor, so rounds follow the logarithm of the
     longest chain. What still moves when a pointer reaches further than all nodes together lies on a cycle.
     """
-    lin = written(linear_edges(edges), "chain-linear")
+    lin = written(lin.select("src", "dst", *sums), "chain-linear")
     members = lin.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     n_members = members.count()
-    step = lin.select(F.col("dst").alias("node"), F.col("src").alias("up"))
-    state = written(members.join(step, "node", "left").select("node", F.coalesce("up", "node").alias("up"), F.col("up").isNotNull().cast("long").alias("pos")), "chain-state")
-    rounds = 0
+    step = lin.select(F.col("dst").alias("node"), F.col("src").alias("up"), *sums)
+    state = members.join(step, "node", "left").select("node", F.coalesce("up", "node").alias("up"), F.col("up").isNotNull().cast("long").alias("pos"), *(F.coalesce(c, F.lit(0)).alias(c) for c in sums))
+    state, rounds = written(state, "chain-state"), 0
     while True:
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("pos").alias("more"))
-        nxt = state.join(above, "up").select("node", F.col("next").alias("up"), F.col("up").alias("old"), (F.col("pos") + F.col("more")).alias("pos"))
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("pos").alias("more"), *(F.col(c).alias(f"more_{c}") for c in sums))
+        nxt = state.join(above, "up").select("node", F.col("next").alias("up"), F.col("up").alias("old"), (F.col("pos") + F.col("more")).alias("pos"), *((F.col(c) + F.col(f"more_{c}")).alias(c) for c in sums))
         nxt = written(nxt, "chain-state")
-        state, rounds = nxt.select("node", "up", "pos"), rounds + 1
+        forget(state)
+        state, rounds = nxt, rounds + 1
         if 1 << rounds >= n_members or nxt.where(F.col("up") != F.col("old")).isEmpty():
             break
     heads = members.join(lin.select(F.col("dst").alias("node")), "node", "left_anti").select(F.col("node").alias("up"))
-    return state.join(heads, "up", "left_semi").select(F.col("up").alias("head"), "node", "pos")
+    return state.join(heads, "up", "left_semi").select(F.col("up").alias("head"), "node", "pos", *sums)
 
 
 def chain_pairs(chain: DataFrame, max_nodes: int | None = None) -> DataFrame:

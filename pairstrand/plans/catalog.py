@@ -1,27 +1,6 @@
-"""Registry of the graph queries and of the SQL they are held against."""
+"""All graph queries, registered, and the SQL they are held against."""
 
-from __future__ import annotations
+from pairstrand.plans import structure_queries, walk_queries, whole_queries  # noqa: F401
+from pairstrand.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query, with its SQL if there is some."""
-
-    def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return register
-
-
-from pairstrand.plans import structure_queries, walk_queries, whole_queries  # noqa: E402,F401
+__all__ = ["ORACLES", "QUERIES"]

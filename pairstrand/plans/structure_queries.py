@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairstrand.functions.predicates import is_correct_edge
 from pairstrand.functions.strings import complement
 from pairstrand.operators import components, cuts, graph, joins, labels, sampling, simplify
-from pairstrand.plans.catalog import query
+from pairstrand.plans.registry import query
 from pairstrand.sources import fixture as fx
 
 W = "WITH "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairstrand.functions import strings
 from pairstrand.operators import decode, joins, labels, metrics, score
-from pairstrand.plans.catalog import query
+from pairstrand.plans.registry import query
 from pairstrand.plans.structure_queries import CLASS_SQL, RECURSIVE, TRIO_SQL, W, tables
 from pairstrand.sources import fixture as fx
 from pairstrand.sources import formats

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairstrand.operators import labels, metrics, refine, sampling, simplify
-from pairstrand.plans.catalog import ORACLES, QUERIES, query
+from pairstrand.plans.registry import ORACLES, QUERIES, query
 from pairstrand.plans.structure_queries import CHAIN_TABLE_SQL, CLASS_SQL, RECURSIVE, TRIO_SQL, W, chain_blocks, tables
 from pairstrand.plans.walk_queries import DNA_SQL, UNITIG_SQL, WALK_SQL, _dna, _headers, _placements, _walks
 from pairstrand.sources import fixture as fx
