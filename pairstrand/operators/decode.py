@@ -31,7 +31,7 @@ from pairstrand.operators.cuts import double_cut
 from pairstrand.operators.graph import common_neighbours
 from pairstrand.operators.score import beam_edge_score, graphic_edge_score
 from pairstrand.operators.simplify import chains_of
-from pairstrand.sources.shared import forget, new_folder, written
+from pairstrand.sources.shared import new_folder, written
 
 #: What a search belongs to, and what names it.
 GROUP = ["component", "hap"]
@@ -159,10 +159,12 @@ def beam_search(starts: DataFrame, graph: SearchGraph, width: int, seen: DataFra
     first = starts.join(where, [*GROUP, "node"], "left").select(
         *SEARCH, "backward", F.lit(0).alias("slot"), "node", F.coalesce("head", F.lit(-1)).alias("head"), F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("last", F.lit(0)).alias("last"), F.coalesce("hairpin", F.lit(False)).alias("hairpin"),
         F.coalesce("cum_gain", F.lit(0.0)).alias("cum_gain"), F.coalesce("cum_length", F.lit(0)).alias("cum_length"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("length"),
-        lines.alias("lines"), F.lit(-1).alias("since"), F.lit(True).alias("moving"), F.lit(True).alias("alive"), F.array().cast(_LINES).alias("shared"),
+        lines.alias("lines"), F.lit(-1).alias("since"), F.lit(-1).alias("round"), F.lit(True).alias("moving"), F.lit(True).alias("alive"), F.array().cast(_LINES).alias("shared"),
     )
     first.write.parquet(f"{folder}/states/n=-1")
     schema, states, rounds = first.schema, spark.read.schema(first.schema).parquet(f"{folder}/states/n=-1"), 0
+    # the number of a round comes from the rows, not from here, so that each round's plan compiles to the same code
+    this = F.col("round") + 1
     of_search, of_state = Window.partitionBy(*SEARCH), Window.partitionBy(*SEARCH, "slot")
     while True:
         moving = states.where("moving")
@@ -210,8 +212,8 @@ def beam_search(starts: DataFrame, graph: SearchGraph, width: int, seen: DataFra
         rows = rows.withColumn("new_slot", (F.row_number().over(of_search.orderBy(F.desc("now"), "end")) - 1).cast("int")).where(c("new_slot") < width)
         # the first kept child takes its parent's line, others open their own
         rows = rows.withColumn("child", F.row_number().over(of_state.orderBy("new_slot")))
-        closed = F.transform("lines", lambda x: F.struct(x["id"].alias("id"), F.least(x["until"], F.lit(rounds - 1)).alias("until")))
-        opened = F.concat(closed, F.array(F.struct((F.lit(rounds * width + 1) + c("new_slot")).cast("long").alias("id"), F.lit(_OPEN).alias("until"))))
+        closed = F.transform("lines", lambda x: F.struct(x["id"].alias("id"), F.least(x["until"], F.col("round")).alias("until")))
+        opened = F.concat(closed, F.array(F.struct((this * width + 1 + c("new_slot")).cast("long").alias("id"), F.lit(_OPEN).alias("until"))))
         rows = rows.withColumn("lines", F.when(~c("open") | (c("child") == 1), c("lines")).otherwise(opened))
         rows = rows.withColumn("all", F.collect_list(F.when(c("open"), c("lines"))).over(of_search)).withColumn("alive", F.max("open").over(of_search))
         shortest = F.array_min(F.transform("all", lambda x: F.size(x)))
@@ -223,29 +225,28 @@ def beam_search(starts: DataFrame, graph: SearchGraph, width: int, seen: DataFra
             *SEARCH, "backward", c("new_slot").alias("slot"), c("end").alias("node"),
             pick(c("head"), c("to_head"), c("head")).alias("head"), pick(c("goal"), c("to_pos"), c("pos")).alias("pos"), pick(c("last"), c("to_last"), c("last")).alias("last"), pick(c("hairpin"), c("to_hairpin"), c("hairpin")).alias("hairpin"),
             pick(c("goal_gain"), c("to_cum_gain"), c("cum_gain")).alias("cum_gain"), pick(c("goal_length"), c("to_cum_length"), c("cum_length")).alias("cum_length"), c("now").alias("total"), (c("length") + c("grown")).alias("length"),
-            F.when(c("open"), F.slice("lines", c("same") + 1, F.size("lines"))).otherwise(c("lines")).alias("lines"), F.when(c("open"), F.lit(rounds)).otherwise(c("since")).alias("since"), c("open").alias("moving"), "alive",
+            F.when(c("open"), F.slice("lines", c("same") + 1, F.size("lines"))).otherwise(c("lines")).alias("lines"), F.when(c("open"), this).otherwise(c("since")).alias("since"), this.alias("round"), c("open").alias("moving"), "alive",
             F.when(c("tells"), F.slice("lines", F.lit(1), c("same"))).otherwise(F.array().cast(_LINES)).alias("shared"),
             c("pos").alias("was"), c("total").alias("before"), c("cum_gain").alias("was_gain"), c("length").alias("was_length"), c("cum_length").alias("was_cum"), inside.alias("leapt"), F.coalesce("around", F.array()).alias("around"),
         )
-        new = written(new, "beam-round")
-        moved = new.where("moving")
+        at = f"{folder}/states/n={rounds}"
+        new.write.parquet(at)
+        moved = spark.read.schema(new.schema).parquet(at).where("moving")
         # stretches walked, those of the complements, and the nodes between an exit's ends
         low = F.when(~c("leapt"), c("pos")).when(c("backward"), c("pos")).otherwise(c("was") + 1)
         high = F.when(~c("leapt"), c("pos")).when(c("backward"), c("was") - 1).otherwise(c("pos"))
         line = F.element_at("lines", -1)["id"]
-        parts = moved.select(*SEARCH, "backward", line.alias("line"), "head", low.alias("lo"), high.alias("hi"), "leapt", "before", "total", "was", "was_gain", "was_length", "was_cum", "length")
+        parts = moved.select(*SEARCH, "round", "backward", line.alias("line"), "head", low.alias("lo"), high.alias("hi"), "leapt", "before", "total", "was", "was_gain", "was_length", "was_cum", "length")
         on = parts.join(places.select(*GROUP, "head", c("pos").alias("p"), c("node").alias("p_node"), c("gain").alias("p_gain"), c("length").alias("p_length"), "other_head", "other_pos"), [*GROUP, "head"]).where(c("p").between(c("lo"), c("hi")))
         sign = F.when(c("backward"), F.lit(-1)).otherwise(F.lit(1))
         total_at = F.when(c("leapt"), c("before") + (c("p_gain") - c("was_gain")) * sign).otherwise(c("total"))
         length_at = F.when(c("leapt"), c("was_length") + (c("p_length") - c("was_cum")) * sign).otherwise(c("length"))
         top = F.struct(total_at.alias("total"), (-F.when(c("leapt"), F.abs(c("p") - c("was"))).otherwise(1)).alias("back"), (-c("p_node")).alias("node"), length_at.alias("length"))
-        each = on.select(*SEARCH, "line", F.explode(F.array(F.struct(F.lit(WALKED).alias("kind"), c("head").alias("head"), c("p").alias("p"), F.lit(0).cast("long").alias("run"), top.alias("top")), F.struct(F.lit(OTHER).alias("kind"), c("other_head").alias("head"), c("other_pos").alias("p"), (c("p") + c("other_pos")).alias("run"), F.lit(None).cast(_TOP).alias("top")))).alias("x")).select(*SEARCH, "line", "x.*").where("head is not null")
-        beside = moved.select(*SEARCH, line.alias("line"), F.explode("around").alias("x")).select(*SEARCH, "line", F.lit(BESIDE).alias("kind"), c("x.head").alias("head"), c("x.pos").alias("p"), (-1 - c("x.pos")).alias("run"), F.lit(None).cast(_TOP).alias("top"))
-        added = each.unionByName(beside).groupBy(*SEARCH, "line", "kind", "head", "run").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max("top").alias("top"))
-        added.select(*SEARCH, "line", F.lit(rounds).alias("round"), "kind", "head", "lo", "hi", "top").write.parquet(f"{folder}/stretches/n={rounds}")
-        new.select(*schema.names).write.parquet(f"{folder}/states/n={rounds}")
-        forget(new)
-        states = spark.read.schema(schema).parquet(f"{folder}/states/n={rounds}").where("alive")
+        each = on.select(*SEARCH, "round", "line", F.explode(F.array(F.struct(F.lit(WALKED).alias("kind"), c("head").alias("head"), c("p").alias("p"), F.lit(0).cast("long").alias("run"), top.alias("top")), F.struct(F.lit(OTHER).alias("kind"), c("other_head").alias("head"), c("other_pos").alias("p"), (c("p") + c("other_pos")).alias("run"), F.lit(None).cast(_TOP).alias("top")))).alias("x")).select(*SEARCH, "round", "line", "x.*").where("head is not null")
+        beside = moved.select(*SEARCH, "round", line.alias("line"), F.explode("around").alias("x")).select(*SEARCH, "round", "line", F.lit(BESIDE).alias("kind"), c("x.head").alias("head"), c("x.pos").alias("p"), (-1 - c("x.pos")).alias("run"), F.lit(None).cast(_TOP).alias("top"))
+        added = each.unionByName(beside).groupBy(*SEARCH, "round", "line", "kind", "head", "run").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max("top").alias("top"))
+        added.select(*SEARCH, "line", "round", "kind", "head", "lo", "hi", "top").write.parquet(f"{folder}/stretches/n={rounds}")
+        states = spark.read.schema(schema).parquet(at).where("alive")
         rounds += 1
         if states.isEmpty():
             break
@@ -283,8 +284,8 @@ def _paths(folder: str, schema: StructType, stretch_schema: StructType, places:
     steps = nodes.where(c("kind") == WALKED).groupBy(*SEARCH).agg(F.transform(F.sort_array(F.collect_list(F.struct("round", "step", "node"))), lambda x: x["node"]).alias("steps"))
     path = F.concat(F.array("start"), F.coalesce("steps", F.array().cast("array<bigint>")))
     walks = rows.join(backward, SEARCH).join(steps, SEARCH, "left").select(*SEARCH, path.alias("path"), "total", "length")
-    visited = backward.select(*SEARCH, c("start").alias("node")).union(nodes.select(*SEARCH, "node"))
-    visited = visited.union(visited.where(F.lit(True)).select(*SEARCH, complement(c("node"))))
+    on = backward.select(*SEARCH, c("start").alias("node")).union(nodes.where(c("kind") == WALKED).select(*SEARCH, "node"))
+    visited = nodes.where(c("kind") != WALKED).select(*SEARCH, "node").union(on.select(*SEARCH, F.explode(F.array("node", complement(c("node")))).alias("node")))
     return walks, visited.distinct()
 
 

@@ -1,11 +1,14 @@
 """Features, a gated graph convolution, edge heads, losses and confusion counts.
 
-Vectors are arrays of doubles. A layer is a projection, two joins and sums per node; products with weights are numpy's, on
-batches of rows, so that matrices of any size travel once to a worker and aren't part of the plan.
+Vectors are arrays of doubles. A layer is a projection, two joins and sums per node; products with weights, gates and sums are
+numpy's, on batches of rows, so that matrices of any size travel once to a worker, and neither they nor the vectors' width are
+part of the plan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pairstrand.functions.strings import complement, relu, sigmoid
 from pairstrand.operators.graph import degrees, mirror
+from pairstrand.operators.vectors import matrix, moments, vector_sums
 from pairstrand.sources.shared import written
 
 Matrix = list[list[float]]
@@ -68,23 +72,18 @@ def linear(x: Column, w: Matrix, b: list[float] | None = None) -> Column:
     return product(x)
 
 
-def add(*vectors: Column) -> Column:
-    out = vectors[0]
-    for v in vectors[1:]:
-        out = F.zip_with(out, v, lambda p, q: p + q)
-    return out
-
-
-def sum_vectors(column: str, size: int) -> Column:
-    """Sum of array columns in an aggregation: element by element, so that it's aggregated before the shuffle."""
-    return F.array(*(F.sum(F.col(column)[k]) for k in range(size)))
-
-
 def standardise(rows: DataFrame, column: str, size: int, eps: float = 1e-8) -> DataFrame:
     """Each element less its mean over all rows, divided by the root of its (population) variance plus eps."""
-    stats = rows.agg(*(f(F.col(column)[k]).alias(f"{n}{k}") for k in range(size) for n, f in (("m", F.avg), ("v", F.var_pop))))  # one row
-    out = F.array(*((F.col(column)[k] - F.col(f"m{k}")) / F.sqrt(F.col(f"v{k}") + eps) for k in range(size)))
-    return rows.crossJoin(F.broadcast(stats)).withColumn(column, out).select(rows.columns)
+    n, mean, variance = moments(rows, column)
+    if not n:
+        return rows
+    scale = np.sqrt(variance + eps)
+
+    @F.pandas_udf("array<double>")
+    def scaled(x: pd.Series) -> pd.Series:
+        return pd.Series(list((matrix(x) - mean) / scale))
+
+    return rows.withColumn(column, scaled(column))
 
 
 def normalise(rows: DataFrame, column: str, size: int, norm: str | None) -> DataFrame:
@@ -110,22 +109,43 @@ def gated_conv(h: DataFrame, e: DataFrame, w: dict[str, Matrix], size: int, eps:
     """
     of = lambda end, mats: h.select(F.col("node").alias(end), *(linear(F.col("h"), w[m]).alias(f"{m}_{end}") for m in mats))
     joined = e.join(of("src", ["A2", "B1"]), "src").join(of("dst", ["A3", "B2"]), "dst")
-    raw = joined.withColumn("raw", add(F.col("B1_src"), F.col("B2_dst"), linear(F.col("e"), w["B3"])))
+    b3 = np.asarray(w["B3"], float)
+
+    def gates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if len(x):
+                raw = matrix(x["B1_src"]) + matrix(x["B2_dst"]) + matrix(x["e"]) @ b3.T
+                g = 1 / (1 + np.exp(-raw))
+                yield pd.DataFrame({"src": x["src"], "dst": x["dst"], "e": x["e"], "n": list(raw), "g": list(g), "ahead": list(g * matrix(x["A2_src"])), "behind": list(g * matrix(x["A3_dst"]))})
+
     # three results hang on the gates, which are therefore written once
-    gate = raw = written(raw.select("src", "dst", "e", "raw", "A2_src", "A3_dst", F.transform("raw", sigmoid).alias("g")), "conv-gates")
-    times = lambda a, b: F.zip_with(a, b, lambda p, q: p * q)
+    schema = "src long, dst long, e array<double>, n array<double>, g array<double>, ahead array<double>, behind array<double>"
+    gate = written(joined.select("src", "dst", "e", "A2_src", "B1_src", "A3_dst", "B2_dst").mapInPandas(gates, schema), "conv-gates")
 
     def mean(end: str, value: str) -> DataFrame:
-        rows = gate.select(F.col(end).alias("node"), times(F.col("g"), F.col(value)).alias("m"), "g")
-        sums = rows.groupBy("node").agg(sum_vectors("m", size).alias("m"), sum_vectors("g", size).alias("g"))
-        return sums.select("node", F.zip_with("m", "g", lambda p, q: p / (q + eps)).alias(f"mean_{end}"))
-
-    zero = F.array(*(F.lit(0.0) for _ in range(size)))
-    new = h.join(mean("dst", "A2_src"), "node", "left").join(mean("src", "A3_dst"), "node", "left")
-    new = new.select("node", "h", add(linear(F.col("h"), w["A1"]), F.coalesce("mean_dst", zero), F.coalesce("mean_src", zero)).alias("n"))
-    new_e = raw.select("src", "dst", "e", F.col("raw").alias("n"))
-    new, new_e = normalise(new, "n", size, norm), normalise(new_e, "n", size, norm)
-    return new.select("node", add(F.transform("n", relu), F.col("h")).alias("h")), new_e.select("src", "dst", add(F.transform("n", relu), F.col("e")).alias("e"))
+        sums = vector_sums(gate.select(F.col(end).alias("node"), value, "g"), "node", [value, "g"])
+        return sums.select("node", F.col(value).alias(f"{value}_sum"), F.col("g").alias(f"{value}_gate"))
+
+    a1 = np.asarray(w["A1"], float)
+
+    @F.pandas_udf("array<double>")
+    def together(own: pd.Series, ahead: pd.Series, g_ahead: pd.Series, behind: pd.Series, g_behind: pd.Series) -> pd.Series:
+        out = matrix(own) @ a1.T
+        for m, g in ((ahead, g_ahead), (behind, g_behind)):
+            has = m.notna().to_numpy()
+            if has.any():
+                out[has] += matrix(m[has]) / (matrix(g[has]) + eps)
+        return pd.Series(list(out))
+
+    new = h.join(mean("dst", "ahead"), "node", "left").join(mean("src", "behind"), "node", "left")
+    new = new.select("node", "h", together("h", "ahead_sum", "ahead_gate", "behind_sum", "behind_gate").alias("n"))
+    new, new_e = normalise(new, "n", size, norm), normalise(gate.select("src", "dst", "e", "n"), "n", size, norm)
+
+    @F.pandas_udf("array<double>")
+    def residual(n: pd.Series, before: pd.Series) -> pd.Series:
+        return pd.Series(list(np.maximum(matrix(n), 0) + matrix(before)))
+
+    return new.select("node", residual("n", "h").alias("h")), new_e.select("src", "dst", residual("n", "e").alias("e"))
 
 
 def gated_network(h: DataFrame, e: DataFrame, layers: list[dict[str, Matrix]], size: int, norm: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -101,3 +101,75 @@ def test_strategies_from_yaml(tmp_path):
     got = decode.read_strategies(str(tmp_path / "s.yml"))
     assert (got["beam"].c_t, got["beam"].visited, got["beam"].graphic) == (0.4, "1-hop", False)
     assert (got["graphic"].beam_width, got["graphic"].graphic_threshold, got["graphic"].graphic) == (7, 0.1, True)
+
+
+def chain_graph(seed, turn):
+    """Stretches of nodes without branches, some joined at their ends and some inside, both strands; gains of multiples of 2^-20."""
+    rng = random.Random(seed)
+    edges, first = {}, []
+
+    def add(a, b):
+        gain = rng.randint(-200_000, 1 << 20) / (1 << 20)
+        edges.setdefault((a, b), (gain, rng.randint(1, 90)))
+        edges.setdefault((b ^ 1, a ^ 1), (gain, rng.randint(1, 90)))
+
+    n = 0
+    for _ in range(9):
+        size = rng.randint(1, 14)
+        for i in range(n, n + size - 1):
+            add(2 * i, 2 * (i + 1) + (rng.random() < turn))
+        first.append((n, size))
+        n += size
+    for _ in range(14):
+        (a, m), (b, _) = rng.choice(first), rng.choice(first)
+        at = a + (m - 1 if rng.random() < 0.7 else rng.randrange(m))
+        if a != b:
+            add(2 * at, 2 * b + (rng.random() < turn))
+    for _ in range(4):  # one strand only, so that mirrors of chains branch elsewhere
+        a, b = rng.randrange(2 * n), rng.randrange(2 * n)
+        if a != b:
+            edges.setdefault((a, b), (rng.randint(0, 1 << 20) / (1 << 20), 5))
+    return n, [(0, hap, a, b, p, 100, 100, g + (hap == "m") * 0.25) for (a, b), (g, p) in edges.items() for hap in "pm"]
+
+
+@pytest.mark.parametrize(("seed", "turn", "width", "intermediate"), [(1, 0.0, 1, True), (2, 0.1, 3, True), (3, 0.2, 2, False), (4, 0.05, 5, True)])
+def test_search_on_chains(spark, seed, turn, width, intermediate):
+    """Every search, forward or backward and with nodes that it may not visit, walks as one that goes edge by edge."""
+    import pandas as pd
+
+    n, rows = chain_graph(seed, turn)
+    names = "component int, hap string, src long, dst long, prefix_length long, src_length long, dst_length long, gain double"
+    edges = spark.createDataFrame(rows, names)
+    rng, starts, seen, want = random.Random(seed), [], [], {}
+    groups = {h: slow_walks.Component(pd.DataFrame([r for r in rows if r[1] == h], columns=[c.split()[0] for c in names.split(", ")])) for h in "pm"}
+    for k in range(60):
+        hap, backward, node = rng.choice("pm"), rng.random() < 0.4, rng.randrange(2 * n)
+        closed = {rng.randrange(2 * n) for _ in range(rng.choice([0, 2, 8]))}
+        starts.append((0, hap, k, backward, node))
+        seen += [(0, hap, k, x) for x in closed]
+        path, visited, total, length = slow_walks.beam(groups[hap], node, frozenset(closed), width, intermediate, backward)
+        want[k] = (path, total, length, visited & groups[hap].length.keys())
+    graph = decode.search_graph(edges)
+    closed = spark.createDataFrame(seen, "component int, hap string, search int, node long")
+    walks, visited = decode.beam_search(spark.createDataFrame(starts, "component int, hap string, search int, backward boolean, node long"), graph, width, closed, intermediate)
+    found = {}
+    for r in visited.collect():
+        found.setdefault(r["search"], set()).add(r["node"])
+    got = {r["search"]: (r["path"], r["total"], r["length"], found[r["search"]] & groups[starts[r["search"]][1]].length.keys()) for r in walks.collect()}
+    assert got == want and max(len(w[0]) for w in want.values()) > 10
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """20,000 nodes without a branch: a few rounds, and written bytes that grow with the nodes."""
+    made = []
+    folder = decode.new_folder
+    monkeypatch.setattr(decode, "new_folder", lambda s, kind: made.append(folder(s, kind)) or made[-1])
+    edges = spark.range(20_000).select(F.lit(0).alias("component"), F.lit("h").alias("hap"), (2 * F.col("id")).alias("src"), (2 * F.col("id") + 2).alias("dst"), F.lit(10).cast("long").alias("prefix_length"), F.lit(1.0).alias("gain"))
+    starts = spark.createDataFrame([(0, "h", 1, False, 100), (0, "h", 2, True, 39_000)], "component int, hap string, search int, backward boolean, node long")
+    none = spark.createDataFrame([], "component int, hap string, search int, node long")
+    walks, _ = decode.beam_search(starts, decode.search_graph(edges), 5, none)
+    got = {r["search"]: r for r in walks.collect()}
+    assert got[1]["path"] == list(range(100, 40_001, 2)) and got[2]["path"] == list(range(39_000, -1, -2))
+    assert got[1]["length"] == 10 * (20_000 - 50) and got[1]["total"] == 20_000 - 50
+    rounds = [p for p in Path(made[0].removeprefix("file:")).glob("states/n=*")]
+    assert len(rounds) <= 5
