@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from pairstrand.functions.predicates import is_correct_edge
 from pairstrand.functions.strings import complement
-from pairstrand.operators import components, cuts, graph, joins, labels, sampling, simplify
+from pairstrand.operators import components, cuts, graph, joins, labels, partition, sampling, simplify
 from pairstrand.plans.registry import query
 from pairstrand.sources import fixture as fx
+from pairstrand.sources.shared import written
 
 W = "WITH "
 RECURSIVE = "WITH RECURSIVE "
@@ -555,6 +556,18 @@ def comp_dist(spark, d):
     return components.comp_dist(fx.nodes(r), e.union(turn).distinct())
 
 
+@query("partition_cut")
+def partition_cut(spark, d):
+    """Balanced parts of the graph with few edges between them: per part its nodes, its halo, and the edges that leave it."""
+    _, n, e = tables(spark, d)
+    own = written(partition.cut_parts(n.select("node"), e, 8), "partition-own")
+    halo = partition.with_halo(own, e)
+    sizes = halo.groupBy("part").agg(F.count_if("own").alias("n_nodes"), F.count_if(~F.col("own")).alias("n_halo"))
+    of = lambda end: own.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
+    leaving = e.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst").where("part_src <> part_dst").groupBy(F.col("part_src").alias("part")).agg(F.count(F.lit(1)).alias("n_cut"))
+    return sizes.join(leaving, "part", "left").select("part", "n_nodes", "n_halo", F.coalesce("n_cut", F.lit(0)).alias("n_cut"))
+
+
 @query("partition_halo", W + fx.CLEAN_SQL + """,
   own AS (SELECT node, least(7, node // (2 * ((((SELECT max(node) FROM nodes) + 1 + 7) // 8 + 1) // 2)))::INT AS part FROM nodes),
   near AS (SELECT src AS node, dst AS other FROM clean UNION SELECT dst, src FROM clean),

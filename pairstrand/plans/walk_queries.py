@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairstrand.functions import strings
-from pairstrand.operators import decode, joins, labels, metrics, score
+from pairstrand.operators import decode, joins, labels, metrics, score, training
 from pairstrand.plans.registry import query
 from pairstrand.plans.structure_queries import CLASS_SQL, RECURSIVE, TRIO_SQL, W, tables
 from pairstrand.sources import fixture as fx
 from pairstrand.sources import formats
+from pairstrand.sources.shared import new_folder, written
 
 # -- scores ----------------------------------------------------------------------------------------------------------
 
@@ -123,6 +124,31 @@ def gated_conv(spark, d):
     return new.select("node", *(F.round(F.col("h")[k], 6).alias(f"h{k}") for k in range(SIZE)))
 
 
+def _layer_sql(k: int) -> str:
+    """SQL of one layer from h and x (or those of the layer before) to h{k} and x{k}."""
+    h, x = ("h", "x") if k == 1 else (f"h{k - 1}", f"x{k - 1}")
+    dots = lambda m, j, t: _dot(WEIGHTS[m][j], [f"{t}.h{i}" for i in range(SIZE)])
+    raws = ", ".join(f"{dots('B1', j, 's')} + {dots('B2', j, 't')} + {_dot(WEIGHTS['B3'][j], [f'y.e{i}' for i in range(SIZE)])} AS r{j}, {dots('A2', j, 's')} AS f{j}, {dots('A3', j, 't')} AS b{j}" for j in range(SIZE))
+    mean = lambda end, v: f"(SELECT {end} AS node, " + ", ".join(f"sum(g{j} * {v}{j}) / (sum(g{j}) + 1e-6::DOUBLE) AS m{j}" for j in range(SIZE)) + f" FROM g{k} GROUP BY 1)"
+    return (
+        f", raw{k} AS (SELECT y.*, {raws} FROM {x} y JOIN {h} s ON s.node = y.src JOIN {h} t ON t.node = y.dst), g{k} AS (SELECT *, "
+        + ", ".join(f"1 / (1 + exp(-r{j})) AS g{j}" for j in range(SIZE))
+        + f" FROM raw{k}), h{k} AS (SELECT u.node, "
+        + ", ".join(f"u.h{j} + greatest(0, {dots('A1', j, 'u')} + coalesce(p.m{j}, 0) + coalesce(q.m{j}, 0)) AS h{j}" for j in range(SIZE))
+        + f" FROM {h} u LEFT JOIN {mean('dst', 'f')} p ON p.node = u.node LEFT JOIN {mean('src', 'b')} q ON q.node = u.node), x{k} AS (SELECT src, dst, "
+        + ", ".join(f"e{j} + greatest(0, r{j}) AS e{j}" for j in range(SIZE))
+        + f" FROM raw{k})"
+    )
+
+
+@query("gated_network", W + VECTOR_SQL + _layer_sql(1) + _layer_sql(2) + _layer_sql(3) + " SELECT node, " + ", ".join(f"round(h{k}, 6) AS h{k}" for k in range(SIZE)) + " FROM h3")
+def gated_network(spark, d):
+    """Three layers, one on the other."""
+    h, x = _vectors(spark, d)
+    new, _ = score.gated_network(h, x, [WEIGHTS] * 3, SIZE)
+    return new.select("node", *(F.round(F.col("h")[k], 6).alias(f"h{k}") for k in range(SIZE)))
+
+
 @query("gated_conv_edges", W + GATE_SQL + " SELECT src, dst, " + ", ".join(f"round(e{k} + greatest(0, r{k}), 6) AS e{k}" for k in range(SIZE)) + " FROM raw")
 def gated_conv_edges(spark, d):
     h, x = _vectors(spark, d)
@@ -207,22 +233,54 @@ def dataset_stats(spark, d):
     return score.dataset_stats(n, labels.create_gt(e, n), "single_chrom_bad")
 
 
+def _training_rows(spark, d):
+    """Nodes and edges with features, labelled edges (1: across chromosomes or strands, or a skip) with how they are used: the last
+    chromosome is held out, the one before it validates."""
+    _, n, e = tables(spark, d)
+    x, f = score.features(n, e)
+    named = [r["read_chr"] for r in n.select("read_chr").distinct().orderBy(F.desc("read_chr")).limit(2).collect()]
+    use = F.when(F.col("read_chr") == named[0], training.OTHER).when(F.col("read_chr") == named[-1], training.VALID).otherwise(training.TRAIN)
+    of_src = n.select(F.col("node").alias("src"), use.alias("use"))
+    rows = labels.create_gt(e, n).select("src", "dst", F.col("gt_no_deadend").alias("target"), "importance_weight").join(of_src, "src")
+    return written(x, "train-x"), written(f.join(e.select("src", "dst", "prefix_length"), ["src", "dst"]).select("src", "dst", F.array(F.col("e")[0], F.col("prefix_length") / 1e4).alias("e")), "train-e"), written(rows, "train-rows")
+
+
 @query("train_logreg")
 def train_logreg(spark, d):
-    """Probability that an edge is bad, by the first trainer: it learns from all chromosomes but the last, whose edges are held
-    out."""
+    """Probability that an edge is bad, by the first trainer, on the features of both ends and the edge: the last chromosome's edges
+    are held out."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    _, n, e = tables(spark, d)
-    rows = labels.create_gt(e, n).join(e, ["src", "dst"]).withColumn("overlap", F.col("overlap_length") / 1e4).withColumn("prefix", F.col("prefix_length") / 1e4)
-    last = n.agg(F.max("read_chr").alias("last"))  # one row
-    rows = rows.join(n.select(F.col("node").alias("src"), "read_chr"), "src").crossJoin(F.broadcast(last)).withColumn("held_out", F.col("read_chr") == F.col("last"))
-    model = score.train_logistic(rows.where("not held_out"), ["overlap", "prefix"], "single_chrom_bad", "importance_weight")
-    ready = VectorAssembler(inputCols=["overlap", "prefix"], outputCol="features").transform(rows)
+    x, e, rows = _training_rows(spark, d)
+    of = lambda end: x.select(F.col("node").alias(end), *(F.col("x")[k].alias(f"{end}{k}") for k in range(4)))
+    rows = rows.join(e.select("src", "dst", F.col("e")[0].alias("overlap"), F.col("e")[1].alias("prefix")), ["src", "dst"]).join(of("src"), "src").join(of("dst"), "dst")
+    rows = rows.withColumn("held_out", F.col("use") == training.OTHER)
+    columns = ["overlap", "prefix", *(f"{end}{k}" for end in ("src", "dst") for k in range(4))]
+    model = score.train_logistic(rows.where("not held_out"), columns, "target", "importance_weight")
+    ready = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
     return model.transform(ready).select("src", "dst", "held_out", vector_to_array("probability")[1].alias("score"))
 
 
+#: Nodes of a mini-batch's part, and parts at least.
+PART_NODES, LEAST_PARTS = 50_000, 4
+
+
+@query("train_gated")
+def train_gated(spark, d):
+    """Probability that an edge is bad, by the gated network, trained on clusters of the graph: the last chromosome's edges are
+    held out. Metrics of the epochs go to a run log."""
+    x, e, rows = _training_rows(spark, d)
+    x, e = score.standardise(x, "x", 4), score.standardise(e, "e", 2)
+    parts = max(LEAST_PARTS, -(-x.count() // PART_NODES))
+    settings = training.Settings(epochs=12, batch=-(-parts // 8), rate=2e-2, pos_weight=1.0)
+    out = training.train_network(x.select("node"), x, e, rows, parts, settings)
+    log = spark.createDataFrame([{"run": "gated", **r} for r in out.log])
+    formats.append_metrics(log, new_folder(spark, "train-log"))
+    said = training.predict(out.weights, x, e).join(rows.select("src", "dst", "use"), ["src", "dst"])
+    return said.select("src", "dst", (F.col("use") == training.OTHER).alias("held_out"), strings.sigmoid(F.col("logit")).alias("score"))
+
+
 # -- walks -----------------------------------------------------------------------------------------------------------
 
 WALK_SQL = (
