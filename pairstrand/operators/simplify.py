@@ -12,6 +12,10 @@ from pairstrand.sources.shared import forget, shuffle_partitions, written
 EPS = 0.12
 
 
+#: Ranges that a pass of ``order_statistics`` counts for a rank.
+RANGES = 1024
+
+
 def drop_self_compl(edges: DataFrame) -> DataFrame:
     """Without edges from a node to itself or to its complement."""
     return edges.where((F.col("src") != F.col("dst")) & (F.col("src") != complement(F.col("dst"))))
@@ -184,13 +188,49 @@ def reindex(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.expr("node div 2").alias("pair")).join(numbered, "pair").select("node", (2 * F.col("number") + F.col("node").bitwiseAND(F.lit(1))).alias("new_node"))
 
 
+def order_statistics(rows: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
+    """The values at some ranks (from 0) of a numeric column, exactly: nulls and NaN aside.
+
+    Each pass counts the values of every rank's range in ``RANGES`` narrower ones and goes on with the one that holds the rank, until
+    that holds a single value. So a task keeps counts only, and the driver sees ``RANGES`` rows a rank and pass.
+    """
+    value = rows.select(F.col(column).cast("double").alias("v")).where(~F.isnan("v"))
+    low, high = value.agg(F.min("v"), F.max("v")).first()
+    open_, out = {r: (low, high, 0) for r in set(ranks)}, {}
+    while open_:
+        cases = [F.when((F.col("v") >= lo) & (F.col("v") <= hi), F.struct(F.lit(r).alias("rank"), F.least(F.floor((F.col("v") - lo) / ((hi - lo) or 1.0) * RANGES), F.lit(RANGES - 1)).alias("range"))) for r, (lo, hi, _) in open_.items()]
+        seen = value.select("v", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("x"))
+        counts = seen.groupBy("x.rank", "x.range").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        after = {}
+        for r, (_, _, before) in open_.items():
+            for c in sorted((c for c in counts if c["rank"] == r), key=lambda c: c["range"]):
+                if before + c["n"] > r:
+                    if c["lo"] == c["hi"]:
+                        out[r] = c["lo"]
+                    else:
+                        after[r] = (c["lo"], c["hi"], before)
+                    break
+                before += c["n"]
+        open_ = after
+    return out
+
+
+def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Interpolated quantiles, exactly; None without values."""
+    n = rows.select(F.col(column).cast("double").alias("v")).where("not isnan(v)").count()
+    if not n:
+        return [None] * len(shares)
+    places = [s * (n - 1) for s in shares]
+    at = order_statistics(rows, column, [k for p in places for k in (int(p), min(int(p) + 1, n - 1))])
+    return [at[int(p)] + (at[min(int(p) + 1, n - 1)] - at[int(p)]) * (p - int(p)) for p in places]
+
+
 def edge_stats(edges: DataFrame, column: str) -> DataFrame:
     """count, mean, std (population), min, max, median and quartiles (interpolated) of a column."""
     c = F.col(column)
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return edges.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std"), F.min(c).alias("lo"), F.max(c).alias("hi"), q.alias("q")).select(
-        "n", "mean", "std", "lo", "hi", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75")
-    )
+    q = quantiles(edges, column, [0.25, 0.5, 0.75])
+    stats = edges.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std"), F.min(c).alias("lo"), F.max(c).alias("hi"))
+    return stats.select("*", *(F.lit(v).cast("double").alias(name) for v, name in zip(q, ("p25", "median", "p75"), strict=True)))
 
 
 def attr_coverage(nodes: DataFrame, columns: list[str]) -> DataFrame:

@@ -391,7 +391,7 @@ def is_dag(spark, d):
 
 @query("deadends")
 def deadends(spark, d):
-    """Of the users' graph by maternal coordinates; held against plain Python in the tests."""
+    """Of the users' graph by maternal coordinates; held against a plain sweep in the tests."""
     r = fx.reads(spark, d)
     return components.deadends(fx.nodes(r), fx.user_graph(r), "read_start_M", "read_end_M")
 
@@ -704,11 +704,12 @@ def except_edges(spark, d):
     return fx.edges(r).select("src", "dst").subtract(fx.clean_edges(r).select("src", "dst"))
 
 
-@query("dict_sum_merge", "SELECT k, sum(n)::BIGINT AS n FROM (SELECT event_type AS k, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1 UNION ALL SELECT event_type, count(*) FROM events WHERE event_id % 3 = 0 GROUP BY 1) GROUP BY 1")
+@query("dict_sum_merge", "SELECT k, sum(n)::BIGINT AS n FROM (SELECT event_type AS k, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT event_type, count(DISTINCT user_id) FROM events GROUP BY 1) GROUP BY 1")
 def dict_sum_merge(spark, d):
-    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("k"), "event_id")
-    some = [events.where(f"event_id % {k} = 0").groupBy("k").agg(F.count(F.lit(1)).alias("n")) for k in (2, 3)]
-    return joins.sum_merge(some[0], some[1], "k", "n")
+    """Per type its events and its users, added up."""
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("k"), "user_id")
+    count = F.count(F.lit(1)).alias("n")
+    return joins.sum_merge(events.groupBy("k").agg(count), events.distinct().groupBy("k").agg(count), "k", "n")
 
 
 @query("min_max_coalesce", W + fx.NODES_SQL + ' SELECT node, least("read_start_M", "read_start_P") AS start, greatest("read_end_M", "read_end_P") AS "end" FROM nodes')

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairstrand.functions import strings
-from pairstrand.operators import decode, joins, labels, metrics, score, training
+from pairstrand.operators import decode, joins, labels, metrics, score, simplify, training
 from pairstrand.plans.registry import query
 from pairstrand.plans.structure_queries import CLASS_SQL, RECURSIVE, TRIO_SQL, W, tables
 from pairstrand.sources import fixture as fx
@@ -412,21 +412,40 @@ def trim_ends(spark, d):
     return metrics.trim_ends(w, n, "yak_m")
 
 
-#: Reads' sequences: digits of the read's digest, again and again, up to its length; the walks' graph has 20 times as many bases.
-SEQ_SQL = "seqs AS (SELECT node, substr(repeat(translate(md5((node // 2)::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), 170), 1, read_length::INT) AS seq FROM nodes)"
+#: Sequences: the letters of whole texts, each as a base.
+BASES = ("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTNACGTACGTRYKAC")
+DNA_SQL = "dna AS (SELECT doc_id, translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{}', '{}') AS seq FROM documents)".format(*BASES)
+
+
+def _dna(spark, d) -> DataFrame:
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.translate(F.lower(letters), *BASES).alias("seq"))
+
+
+#: Reads' sequences: a document's letters from the first to the last, over and over up to the read's length; documents are dealt to reads
+#: in turn. The walks' graph counts twenty bases for each letter.
+SEQ_SQL = """dna_no AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n, seq FROM dna WHERE length(seq) > 0),
+seqs AS (SELECT node, substr(repeat(seq, (read_length // length(seq) + 1)::INT), 1, read_length::INT) AS seq FROM nodes JOIN dna_no ON k = node // 2 % n)"""
+
+
+def read_sequences(spark, d, n: DataFrame) -> DataFrame:
+    """node, seq: the letters of documents, dealt to reads in turn."""
+    dna = simplify._numbered(_dna(spark, d).where(F.length("seq") > 0), "doc_id").select(F.col("number").alias("k"), "seq")
+    count = dna.count()
+    length = F.expr("cast(read_length div 20 as int)")
+    rows = n.select("node", length.alias("len"), F.expr(f"node div 2 % {max(count, 1)}").alias("k")).join(dna, "k")
+    return rows.select("node", F.substring(F.repeat("seq", F.expr("cast(len div length(seq) + 1 as int)")), F.lit(1), F.col("len")).alias("seq"))
 
 
 @query(
     "walk_to_seq",
-    RECURSIVE + WALK_SQL + ", " + SEQ_SQL + """, parts AS (SELECT w.hap, w.walk_id, w.pos, CASE WHEN coalesce(u.overlap_length // 20, 0) >= length(seq) THEN '' ELSE substr(seq, (coalesce(u.overlap_length // 20, 0) + 1)::INT) END AS part
+    RECURSIVE + WALK_SQL + ", " + DNA_SQL + ", " + SEQ_SQL + """, parts AS (SELECT w.hap, w.walk_id, w.pos, CASE WHEN coalesce(u.overlap_length // 20, 0) >= length(seq) THEN '' ELSE substr(seq, (coalesce(u.overlap_length // 20, 0) + 1)::INT) END AS part
       FROM walks w JOIN seqs ON seqs.node = w.node LEFT JOIN we ON we.hap = w.hap AND we.walk_id = w.walk_id AND we.dst = w.node LEFT JOIN ug u ON u.src = we.src AND u.dst = we.dst)
     SELECT hap, walk_id, length(string_agg(part, '' ORDER BY pos)) AS length, string_agg(part, '' ORDER BY pos) AS seq FROM parts GROUP BY hap, walk_id""",
 )
 def walk_to_seq(spark, d):
     w, n, e = _walks(spark, d)
-    digits = F.translate(F.md5(F.expr("node div 2").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
-    seqs = n.select("node", F.substring(F.repeat(digits, 170), F.lit(1), F.expr("cast(read_length div 20 as int)")).alias("seq"))
-    return metrics.walk_to_seq(w, seqs, e.withColumn("overlap_length", F.expr("overlap_length div 20")))
+    return metrics.walk_to_seq(w, read_sequences(spark, d, n), e.withColumn("overlap_length", F.expr("overlap_length div 20")))
 
 
 @query("beam_walk")
@@ -562,30 +581,20 @@ def normalise_chr(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", strings.normalise_chr(name).alias("chr"), strings.strip_chr(strings.normalise_chr(name)).alias("bare"))
 
 
-#: Sequences: the letters of whole texts, each as a base.
-BASES = ("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTNACGTACGTRYKAC")
-DNA_SQL = "dna AS (SELECT doc_id, translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{}', '{}') AS seq FROM documents)".format(*BASES)
-
-
-def _dna(spark, d) -> DataFrame:
-    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.translate(F.lower(letters), *BASES).alias("seq"))
-
-
 @query("reverse_complement", W + DNA_SQL + " SELECT doc_id, reverse(translate(seq, 'ACGTNRYK', 'TGCANYRM')) AS rc FROM dna")
 def reverse_complement(spark, d):
     return _dna(spark, d).select("doc_id", strings.reverse_complement(F.col("seq")).alias("rc"))
 
 
-#: Two documents' sequences are neighbours, with an overlap that both have.
-OVERLAP_SQL = "pairs AS (SELECT a.doc_id, a.seq, b.seq AS next, least(a.doc_id * 37 % 400, length(a.seq), length(b.seq)) AS ol FROM dna a JOIN dna b ON b.doc_id = a.doc_id + 1)"
+#: Two documents' sequences are neighbours, with an overlap of a tenth of both together that both have.
+OVERLAP_SQL = "pairs AS (SELECT a.doc_id, a.seq, b.seq AS next, least((length(a.seq) + length(b.seq)) // 10, length(a.seq), length(b.seq)) AS ol FROM dna a JOIN dna b ON b.doc_id = a.doc_id + 1)"
 
 
 @query("edit_similarity", W + DNA_SQL + ", " + OVERLAP_SQL + " SELECT doc_id, CASE WHEN ol = 0 THEN 0 ELSE round(1 - levenshtein(right(seq, ol), left(next, ol))::DOUBLE / ol, 6) END AS similarity FROM pairs")
 def edit_similarity(spark, d):
     a = _dna(spark, d)
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("seq").alias("next"))
-    ol = F.least(F.col("doc_id") * 37 % 400, F.length("seq"), F.length("next")).cast("int")
+    ol = F.least(F.expr("(length(seq) + length(next)) div 10"), F.length("seq"), F.length("next")).cast("int")
     return a.join(b, "doc_id").select("doc_id", F.round(strings.edit_similarity(F.col("seq"), F.col("next"), ol), 6).alias("similarity"))
 
 

@@ -151,14 +151,27 @@ def graph_round_trip(spark, d):
     return formats.read_graph(spark, path)[1]
 
 
-@query("sink_walks", ORACLES["walk_to_seq"])
+@query(
+    "sink_walks",
+    ORACLES["walk_to_seq"].replace("\n    SELECT hap, walk_id, length(string_agg", ", spelled AS (SELECT hap, walk_id, length(string_agg", 1)
+    + """), every AS (SELECT hap, walk_id, 'contig' AS kind, length AS n, md5(seq) AS digest FROM spelled
+    UNION ALL SELECT hap, walk_id, 'fasta', length, md5('>' || walk_id || chr(10) || seq) FROM spelled
+    UNION ALL SELECT hap, walk_id, 'walk', count(*), md5(string_agg(node::VARCHAR, ' ' ORDER BY pos)) FROM walks GROUP BY hap, walk_id)
+    SELECT hap, walk_id, kind, n, digest FROM every""",
+)
 def sink_walks(spark, d):
-    """Walks and contigs by haplotype, written and read again."""
+    """Walks, contigs and FASTA by haplotype, written and read again: sizes and digests of each."""
     w, _, _ = _walks(spark, d)
     contigs = QUERIES["walk_to_seq"](spark, d).withColumn("contig_id", F.col("walk_id"))
     path = new_folder(spark, "walks")
     formats.write_walks(w, contigs, path)
-    return spark.read.parquet(f"{path}/contigs").select("hap", "walk_id", "length", "seq")
+    c = spark.read.parquet(f"{path}/contigs")
+    nodes = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"].cast("string")), " ")
+    walks = spark.read.parquet(f"{path}/walks").groupBy("hap", "walk_id").agg(F.count(F.lit(1)).alias("n"), F.md5(nodes).alias("digest"))
+    reads = [formats.scan_fasta(spark, f"{path}/{name}.fasta").select(F.lit(hap).alias("hap"), F.col("description").alias("walk_id"), "seq") for hap, name in (("p", "hap1"), ("m", "hap2"))]
+    fasta = reads[0].union(reads[1]).withColumns({"n": F.length("seq"), "digest": F.md5(F.concat(F.lit(">"), "walk_id", F.lit("\n"), "seq"))})
+    named = lambda df, kind: df.select("hap", F.col("walk_id").cast("long").alias("walk_id"), F.lit(kind).alias("kind"), F.col("n").cast("long").alias("n"), "digest")
+    return named(c.withColumns({"n": F.length("seq"), "digest": F.md5("seq")}), "contig").union(named(fasta, "fasta")).union(named(walks, "walk"))
 
 
 @query("scan_chain", W + fx.R_SQL + ", " + CHAIN_TABLE_SQL + " SELECT chr, t_start, t_end, chr AS q_chr, q_start, '+' AS q_strand, 1000000000000 AS q_size FROM chain")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairstrand.functions.strings import extract_id, header_field, oriented, strand_of
+from pairstrand.sources.shared import shuffle_partitions, written
 
 FASTA, FASTQ = ("fasta", "fa", "fna"), ("fastq", "fq")
 
@@ -173,17 +174,29 @@ def scan_chain(lines: DataFrame) -> DataFrame:
     """Alignment blocks of a chain file: chr, t_start, t_end, q_chr, q_start, q_strand, q_size.
 
     A ``chain`` line opens a chain; its blocks follow, each with its size and the gaps after it, so a block's place is a
-    running sum within its chain.
+    running sum within its chain: the running sum of all lines less that at the chain's head. Sums run within ranges of lines,
+    and a range's starts from those of all before it, so neither the file nor a chain lies in one task.
     """
-    rows = fields(lines).select("line_no", "f").withColumn("opens", (F.get("f", F.lit(0)) == "chain").cast("int"))
-    rows = rows.withColumn("chain", F.sum("opens").over(Window.orderBy("line_no")))  # a chain file is small, in order
-    heads = rows.where("opens = 1").select("chain", *(F.get("f", F.lit(k)).alias(n) for k, n in ((2, "chr"), (5, "t0"), (7, "q_chr"), (8, "q_size"), (9, "q_strand"), (10, "q0"))))
-    num = lambda k: F.coalesce(F.get("f", F.lit(k)).cast("long"), F.lit(0))
-    blocks = rows.where("opens = 0 and chain > 0").select("chain", "line_no", num(0).alias("size"), num(1).alias("dt"), num(2).alias("dq"))
-    before = Window.partitionBy("chain").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.withColumns({"t": F.coalesce(F.sum(F.expr("size + dt")).over(before), F.lit(0)), "q": F.coalesce(F.sum(F.expr("size + dq")).over(before), F.lit(0))})
+    num = lambda k: F.coalesce(F.get("f", F.lit(k)).try_cast("long"), F.lit(0))
+    rows = fields(lines).select("line_no", "f").withColumn("opens", F.get("f", F.lit(0)) == "chain")
+    added = lambda k: F.when(F.col("opens"), F.lit(0)).otherwise(num(0) + num(k))
+    rows = running(rows.withColumns({"t": added(1), "q": added(2), "chain": F.col("opens").cast("long")}), "line_no", ["t", "q", "chain"])
+    heads = rows.where("opens").select("chain", F.col("t").alias("t_head"), F.col("q").alias("q_head"), *(F.get("f", F.lit(k)).alias(n) for k, n in ((2, "chr"), (5, "t0"), (7, "q_chr"), (8, "q_size"), (9, "q_strand"), (10, "q0"))))
+    blocks = rows.where("not opens and chain > 0").select("chain", num(0).alias("size"), (F.col("t") - added(1)).alias("t"), (F.col("q") - added(2)).alias("q"))
+    placed = blocks.join(heads, "chain").withColumns({"t": F.col("t") - F.col("t_head"), "q": F.col("q") - F.col("q_head")})
     t_start = F.col("t0").cast("long") + F.col("t")
-    return placed.join(heads, "chain").select("chr", t_start.alias("t_start"), (t_start + F.col("size")).alias("t_end"), "q_chr", (F.col("q0").cast("long") + F.col("q")).alias("q_start"), "q_strand", F.col("q_size").cast("long").alias("q_size"))
+    return placed.select("chr", t_start.alias("t_start"), (t_start + F.col("size")).alias("t_end"), "q_chr", (F.col("q0").cast("long") + F.col("q")).alias("q_start"), "q_strand", F.col("q_size").cast("long").alias("q_size"))
+
+
+def running(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """Columns replaced by their running sums (each row's included) in the order of a column without ties."""
+    ranged = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), order).withColumn("range", F.spark_partition_id())
+    ranged = written(ranged, "running")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = ranged.groupBy("range").agg(*(F.sum(c).alias(c) for c in columns)).select("range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in columns))
+    within = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.withColumns({c: F.sum(c).over(within) for c in columns}).join(bases, "range")
+    return summed.withColumns({c: F.col(c) + F.col(f"{c}_before") for c in columns}).select(rows.columns)
 
 
 def build_graph(split: DataFrame, reads: DataFrame, depth: int = 1) -> tuple[DataFrame, DataFrame]:
