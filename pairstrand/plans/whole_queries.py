@@ -257,3 +257,46 @@ def bubble_fix(spark, d):
     fixed = refine.fix_bubbles(w, e, n, "yak_m")
     wrong = F.when(F.col("yak_m") == -1, F.col("read_length")).otherwise(F.lit(0))
     return fixed.join(n.select("node", "yak_m", "read_length"), "node").groupBy("hap", "walk_id").agg(F.sum(wrong).alias("wrong"))
+
+
+@query(
+    "bellman_refine",
+    RECURSIVE + _WAYS_SQL + """, ends AS (SELECT hap, walk_id, arg_min(node, pos) AS start, arg_max(node, pos) AS stop, count(*) AS n FROM walks GROUP BY ALL),
+    step AS (SELECT src, dst, CASE WHEN yak_m = -1 THEN 10 ELSE -1 END AS w FROM (SELECT DISTINCT src, dst FROM ug) JOIN trio ON node = dst),
+    way AS (SELECT hap, walk_id, start AS node, stop, 0::BIGINT AS c FROM ends WHERE n > 2 UNION SELECT hap, walk_id, dst, stop, c + w FROM way JOIN step ON step.src = way.node),
+    least AS (SELECT hap, walk_id, min(c)::BIGINT AS cost FROM way WHERE node = stop GROUP BY ALL),
+    own AS (SELECT hap, walk_id, sum(CASE WHEN pos = lo THEN 0 WHEN yak_m = -1 THEN 10 ELSE -1 END)::BIGINT AS cost FROM (SELECT *, min(pos) OVER (PARTITION BY hap, walk_id) AS lo FROM walks) JOIN trio USING (node) GROUP BY ALL)
+    SELECT own.hap, own.walk_id, coalesce(least.cost, own.cost) AS cost FROM own LEFT JOIN least ON least.hap = own.hap AND least.walk_id = own.walk_id""",
+)
+def bellman_refine(spark, d):
+    """What the walks weigh that take right nodes for a gain: wrong ones 10, others -1, the first one aside."""
+    w, n, e = _walks(spark, d)
+    new = refine.bellman_walks(w, e, n, "yak_m").join(n.select("node", "yak_m"), "node")
+    weight = F.when(F.col("pos") == 0, 0).when(F.col("yak_m") == -1, 10).otherwise(-1)
+    return new.groupBy("hap", "walk_id").agg(F.sum(weight).alias("cost"))
+
+
+@query(
+    "choke_points",
+    RECURSIVE + WALK_SQL + """, ends AS (SELECT hap, walk_id, arg_min(node, pos) AS start, arg_max(node, pos) AS stop FROM walks GROUP BY ALL),
+    one AS (SELECT DISTINCT src, dst FROM ug),
+    ahead AS (SELECT hap, walk_id, start AS node FROM ends UNION SELECT hap, walk_id, dst FROM ahead JOIN one ON src = node),
+    around AS (SELECT hap, walk_id, start, stop, ahead.node AS v, start AS node FROM ends JOIN ahead USING (hap, walk_id) WHERE ahead.node NOT IN (start, stop)
+      UNION SELECT hap, walk_id, start, stop, v, dst FROM around JOIN one ON src = node WHERE dst <> v),
+    missed AS (SELECT DISTINCT hap, walk_id, v FROM around WHERE node = stop),
+    back AS (SELECT hap, walk_id, stop AS node FROM ends UNION SELECT hap, walk_id, src FROM back JOIN one ON dst = node)
+    SELECT ahead.hap, ahead.walk_id, ahead.node FROM ahead JOIN back USING (hap, walk_id, node) LEFT JOIN missed ON missed.hap = ahead.hap AND missed.walk_id = ahead.walk_id AND v = ahead.node
+    WHERE v IS NULL""",
+)
+def choke_points(spark, d):
+    """Nodes that every way between a walk's ends passes."""
+    w, _, e = _walks(spark, d)
+    ends = w.groupBy("hap", "walk_id").agg(F.min_by("node", "pos").alias("start"), F.max_by("node", "pos").alias("end"))
+    return refine.choke_points(e, ends, ["hap", "walk_id"]).select("hap", "walk_id", "node")
+
+
+@query("fix_ends")
+def fix_ends(spark, d):
+    """Walks without the wrong nodes at their ends, grown anew along the best edges."""
+    w, n, e = _walks(spark, d)
+    return refine.extend_ends(w, fx.scored(e), n, {"p": "yak_p", "m": "yak_m"})
