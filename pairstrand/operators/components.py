@@ -84,27 +84,31 @@ def reachable(edges: DataFrame, starts: DataFrame, within: DataFrame | None = No
     chain, step = contracted(edges)
     placed = starts.select("node").distinct().join(chain, "node", "left").select(F.coalesce("head", "node").alias("at"), F.coalesce("pos", F.lit(0)).alias("pos"))
     own = written(placed, "reach-starts")
-    seen = front = written(own.select("at").distinct(), "reach")
-    while not front.isEmpty():
-        new = front.join(step, F.col("at") == F.col("src")).select(F.col("dst").alias("at")).distinct().join(seen, "at", "left_anti")
-        front = written(new, "reach")
-        seen = written(seen.union(front), "reach")
+    seen = reached(own.select(F.col("at").alias("node")), step, []).withColumnRenamed("node", "at")
     entered = seen.join(step, F.col("at") == F.col("src")).select(F.col("dst").alias("at"), F.lit(0).cast("long").alias("pos"))
     first = written(own.union(entered).groupBy("at").agg(F.min("pos").alias("first")), "reach-first")
     on_chains = chain.join(first, F.col("head") == F.col("at")).where("pos >= first").select("node")
     return first.select(F.col("at").alias("node")).join(chain.select("node"), "node", "left_anti").union(on_chains)
 
 
+def reached(starts: DataFrame, step: DataFrame, key: list[str]) -> DataFrame:
+    """The nodes that edges (src, dst) lead to from starts (key, node), these included: key, node. A round writes what it adds."""
+    spark, folder, rounds = starts.sparkSession, new_folder(starts.sparkSession, "reached"), 0
+    starts = starts.select(*key, "node").distinct()
+    starts.write.parquet(f"{folder}/n=0")
+    front = spark.read.schema(starts.schema).parquet(f"{folder}/n=0")
+    while not front.isEmpty():
+        rounds += 1
+        seen = spark.read.schema(starts.schema).parquet(folder).select(*key, "node")
+        new = front.join(step, F.col("node") == F.col("src")).select(*key, F.col("dst").alias("node")).distinct().join(seen, [*key, "node"], "left_anti")
+        new.write.parquet(f"{folder}/n={rounds}")
+        front = spark.read.schema(starts.schema).parquet(f"{folder}/n={rounds}")
+    return spark.read.schema(starts.schema).parquet(folder).select(*key, "node")
+
+
 def reachable_pairs(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node: for each start by itself what ``reachable`` finds from it."""
-    step = written(edges.select(F.col("src").alias("node"), "dst").distinct(), "reach-edges")
-    seen = front = written(starts.select(F.col("node").alias("start"), "node").distinct(), "reach")
-    while True:
-        new = front.join(step, "node").select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
-        front = written(new, "reach")
-        if front.isEmpty():
-            return seen
-        seen = written(seen.union(front), "reach")
+    return reached(starts.select(F.col("node").alias("start"), "node"), written(edges.select("src", "dst").distinct(), "reach-edges"), ["start"])
 
 
 def is_dag(edges: DataFrame) -> bool:
@@ -124,27 +128,75 @@ def is_dag(edges: DataFrame) -> bool:
     return True
 
 
-def comp_dist(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Length in edges of the shortest way from each node to its complement: node, comp_dist (-1 without a way).
+def comp_ways(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """A shortest way from each start (node) to its complement: node, d (its edges), path (array of nodes).
 
-    All searches advance together, each by its own front of (start, node) rows, until no front has a node left.
+    Only starts whose complement lies in their own component search at all. Each does so from both ends, a step along the edges and
+    a step against them in turn, until the two meet, so each looks at nodes within half the way. A round writes the nodes that it
+    adds, each with the smallest node it was reached from, and ways are put together by pointer doubling; where both searches
+    meet in several nodes, the smallest counts.
     """
-    spark, found, distance = nodes.sparkSession, new_folder(nodes.sparkSession, "dist-found"), 0
-    step = written(edges.select(F.col("src").alias("at"), "dst").distinct(), "dist-edges")
-    seen = front = written(nodes.select(F.col("node").alias("start"), F.col("node").alias("at")), "dist")
+    from pairstrand.operators.refine import traces
+
+    spark, c = starts.sparkSession, F.col
+    step = written(edges.select("src", "dst").distinct(), "dist-edges")
+    label = wcc(step)
+    other = label.select(c("node").bitwiseXOR(F.lit(1)).alias("node"), c("component").alias("other"))
+    hopeful = starts.select("node").distinct().join(label, "node").join(other, "node").where("component = other")
+    first = written(hopeful.select(c("node").alias("start")), "dist-starts")
+    folders = {side: new_folder(spark, f"dist-{side}") for side in ("ahead", "behind")}
+    schema = "start long, at long, d int, up long"
+    fronts = {}
+    for side, at in (("ahead", c("start")), ("behind", c("start").bitwiseXOR(F.lit(1)))):
+        first.select("start", at.alias("at"), F.lit(0).alias("d"), F.lit(None).cast("long").alias("up")).write.parquet(f"{folders[side]}/n=0")
+        fronts[side] = spark.read.schema(schema).parquet(f"{folders[side]}/n=0")
+    found, rounds = new_folder(spark, "dist-found"), 0
     while True:
-        distance += 1
-        new = front.join(step, "at").select("start", F.col("dst").alias("at")).distinct().join(seen, ["start", "at"], "left_anti")
-        new = written(new, "dist")
-        done = new.where(F.col("at") == F.col("start").bitwiseXOR(F.lit(1))).select(F.col("start").alias("node"), F.lit(distance).alias("d"))
-        done.write.mode("append").parquet(found)
-        if new.isEmpty():
+        side, opposite = ("ahead", "behind") if rounds % 2 == 0 else ("behind", "ahead")
+        one, two = ("src", "dst") if side == "ahead" else ("dst", "src")
+        rounds += 1
+        seen = spark.read.schema(schema).parquet(folders[side]).select("start", "at")
+        new = fronts[side].join(step, c("at") == c(one)).groupBy("start", c(two).alias("at")).agg(F.min("at").alias("up"))
+        new = new.join(seen, ["start", "at"], "left_anti").select("start", "at", F.lit((rounds + 1) // 2).cast("int").alias("d"), "up")
+        new.write.parquet(f"{folders[side]}/n={rounds}")
+        new = spark.read.schema(schema).parquet(f"{folders[side]}/n={rounds}")
+        if new.isEmpty():  # what these starts reach holds no complement
+            break
+        there = spark.read.schema(schema).parquet(folders[opposite]).select("start", "at", c("d").alias("d_there"))
+        met = new.join(there, ["start", "at"]).groupBy("start").agg(F.min(c("d") + c("d_there")).alias("d"), F.min("at").alias("meet"))
+        met.write.parquet(f"{found}/n={rounds}")
+        met = spark.read.parquet(f"{found}/n={rounds}").select("start")
+        fronts = {side: new.join(met, "start", "left_anti"), opposite: fronts[opposite].join(met, "start", "left_anti")}
+        if fronts[opposite].isEmpty():
             break
-        finished = done.select(F.col("node").alias("start"))
-        front = written(new.join(finished, "start", "left_anti"), "dist")
-        seen = written(seen.union(new).join(finished, "start", "left_anti"), "dist")
-    ways = spark.read.schema(done.schema).parquet(found)
-    return nodes.select("node").join(ways, "node", "left").select("node", F.coalesce("d", F.lit(-1)).alias("comp_dist"))
+    met = spark.read.schema("start long, d int, meet long").parquet(found) if rounds > 1 or not new.isEmpty() else None
+    if met is None:
+        return spark.createDataFrame([], "node long, d int, path array<bigint>")
+    half = {}
+    for side in folders:
+        pointers = spark.read.schema(schema).parquet(folders[side]).where("up is not null").join(met.select("start"), "start").select("start", c("at").alias("node"), "up")
+        half[side] = traces(pointers, met.select("start", c("meet").alias("node")), ["start"])
+    places = half["ahead"].select("start", (-c("back")).alias("k"), "node").union(half["behind"].where("back > 0").select("start", "back", "node"))
+    path = F.transform(F.sort_array(F.collect_list(F.struct("k", "node"))), lambda x: x["node"])
+    return met.select("start", "d").join(places.groupBy("start").agg(path.alias("path")), "start").select(c("start").alias("node"), "d", "path")
+
+
+def comp_dist(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Length in edges of the shortest way from each node to its complement: node, comp_dist (-1 without a way)."""
+    return nodes.select("node").join(comp_ways(nodes, edges).select("node", "d"), "node", "left").select("node", F.coalesce("d", F.lit(-1)).alias("comp_dist"))
+
+
+def edge_usage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """How often the shortest ways of all forward nodes to their complements use each edge or its mirror: src, dst, ec_count and
+    ec_count_normal (each way counting one over its length), both over the number of nodes."""
+    ways = comp_ways(nodes.where("node % 2 = 0"), edges)
+    steps = ways.select("d", F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.col("d")).alias("src"), F.slice("path", F.lit(2), F.col("d")).alias("dst"))).alias("x")).select("d", "x.src", "x.dst")
+    flip = lambda c: F.col(c).bitwiseXOR(F.lit(1))
+    both = steps.union(steps.select("d", flip("dst"), flip("src")))
+    used = both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / F.col("d")).alias("s"))
+    total = nodes.select("node").distinct().count()
+    share = lambda c: F.coalesce(F.col(c) / max(total, 1), F.lit(0.0))
+    return edges.select("src", "dst").distinct().join(used, ["src", "dst"], "left").select("src", "dst", share("n").alias("ec_count"), share("s").alias("ec_count_normal"))
 
 
 def deadends(nodes: DataFrame, edges: DataFrame, start_column: str, end_column: str) -> DataFrame:

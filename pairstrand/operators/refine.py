@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairstrand.functions.strings import complement
+from pairstrand.operators.components import reached
 from pairstrand.operators.decode import beam_search, search_graph
 from pairstrand.operators.metrics import WALK, trim_ends, wrong_runs
 from pairstrand.sources.formats import running
@@ -184,24 +185,11 @@ def _by_hap(f, walks: DataFrame, columns: dict[str, str]) -> DataFrame:
 def between(edges: DataFrame, ways: DataFrame, key: list[str]) -> DataFrame:
     """The edges on any way from each start to its end: key, src, dst. ways: key, start, end; edges: src, dst.
 
-    Both searches, from all starts along the edges and from all ends against them, go on side by side; a round writes what it adds.
+    These are the edges between nodes that the start reaches along the edges and the end against them.
     """
     step = written(edges.select("src", "dst").distinct(), "between-edges")
-
-    def reached(starts: DataFrame, one: str, other: str) -> DataFrame:
-        spark, folder, rounds = step.sparkSession, new_folder(step.sparkSession, "between"), 0
-        starts.distinct().write.parquet(f"{folder}/n=0")
-        schema, front = starts.schema, spark.read.schema(starts.schema).parquet(f"{folder}/n=0")
-        while not front.isEmpty():
-            rounds += 1
-            seen = spark.read.schema(schema).parquet(folder).select(*key, "node")
-            new = front.join(step, F.col("node") == F.col(one)).select(*key, F.col(other).alias("node")).distinct().join(seen, [*key, "node"], "left_anti")
-            new.write.parquet(f"{folder}/n={rounds}")
-            front = spark.read.schema(schema).parquet(f"{folder}/n={rounds}")
-        return spark.read.schema(schema).parquet(folder).select(*key, "node")
-
-    ahead = reached(ways.select(*key, F.col("start").alias("node")), "src", "dst")
-    back = reached(ways.select(*key, F.col("end").alias("node")), "dst", "src")
+    ahead = reached(ways.select(*key, F.col("start").alias("node")), step, key)
+    back = reached(ways.select(*key, F.col("end").alias("node")), step.select(F.col("dst").alias("src"), F.col("src").alias("dst")), key)
     both = written(ahead.join(back, [*key, "node"]), "between")
     return both.withColumnRenamed("node", "src").join(step, "src").join(both.withColumnRenamed("node", "dst"), [*key, "dst"]).select(*key, "src", "dst")
 

@@ -300,3 +300,88 @@ def test_lines_are_numbered_over_blocks_and_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize(("seed", "mirrored"), [(1, True), (2, False)])
+def test_ways_to_complements(spark, seed, mirrored):
+    """Distances as by breadth-first search, ways that are ways of that length, and counts of their edges."""
+    import random
+    from collections import Counter, deque
+
+    rng, edges = random.Random(seed), set()
+    for _ in range(130):
+        a = rng.randrange(80)
+        b = min(79, max(0, a + rng.randint(-9, 9)))
+        edges |= {(a, b), (b ^ 1, a ^ 1)} if mirrored else {(a, b)}
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+
+    def distance(s):
+        seen, todo = {s: 0}, deque([s])
+        while todo:
+            x = todo.popleft()
+            for y in out.get(x, ()):
+                if y not in seen:
+                    seen[y] = seen[x] + 1
+                    todo.append(y)
+        return seen.get(s ^ 1, -1)
+
+    nodes, e = spark.range(84).withColumnRenamed("id", "node"), spark.createDataFrame(sorted(edges), "src long, dst long")
+    want = {s: distance(s) for s in range(84)}
+    assert {r["node"]: r["comp_dist"] for r in components.comp_dist(nodes, e).collect()} == want
+    ways = {r["node"]: r["path"] for r in components.comp_ways(nodes.where("node % 2 = 0"), e).collect()}
+    assert {s: len(p) - 1 for s, p in ways.items()} == {s: d for s, d in want.items() if d >= 0 and s % 2 == 0} and len(ways) > 3
+    plain, normal = Counter(), Counter()
+    for s, p in ways.items():
+        steps = list(zip(p[:-1], p[1:], strict=True))
+        assert p[0] == s and p[-1] == s ^ 1 and set(steps) <= edges
+        for a, b in steps:
+            for x in ((a, b), (b ^ 1, a ^ 1)):
+                plain[x] += 1
+                normal[x] += 1 / len(steps)
+    for r in components.edge_usage(nodes, e).collect():
+        x = (r["src"], r["dst"])
+        assert r["ec_count"] == pytest.approx(plain[x] / 84) and r["ec_count_normal"] == pytest.approx(normal[x] / 84)
+
+
+def test_no_way_to_a_complement(spark):
+    e = spark.createDataFrame([(0, 2), (2, 4)], "src long, dst long")
+    assert components.comp_ways(spark.range(6).withColumnRenamed("id", "node"), e).count() == 0
+    assert {r["ec_count"] for r in components.edge_usage(spark.range(6).withColumnRenamed("id", "node"), e).collect()} == {0.0}
+
+
+def test_deadends_against_a_plain_sweep(spark):
+    """Sweep by sweep: the node that begins first, what it reaches, and the ways to the node of these that ends last."""
+    import random
+
+    rng = random.Random(3)
+    start = {x: rng.randint(0, 500) for x in range(60)}
+    end = {x: s + rng.randint(5, 40) for x, s in start.items()}
+    edges = {(a, b) for a in range(60) for b in rng.sample(range(60), 3) if start[a] < start[b] <= start[a] + 90 and a // 20 == b // 20}
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+
+    def reach(s, inside):
+        seen, todo = {s}, [s]
+        while todo:
+            for y in out.get(todo.pop(), ()):
+                if y in inside and y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    left, good, furthest = set(range(60)), set(), -1
+    while left:
+        s = min(left, key=lambda x: (start[x], x))
+        found = reach(s, left)
+        left -= found
+        top = max(found, key=lambda x: (end[x], -x))
+        if len(found) > 2 and end[top] >= furthest:
+            good |= {x for x in found if top in reach(x, found)}
+        if len(found) > 2:
+            furthest = max(furthest, end[top])
+    nodes = spark.createDataFrame([(x, start[x], end[x]) for x in range(60)], "node long, s long, e long")
+    got = {r["node"] for r in components.deadends(nodes, spark.createDataFrame(sorted(edges), "src long, dst long"), "s", "e").collect()}
+    assert got == set(range(60)) - good and good
