@@ -57,38 +57,55 @@ def largest_component(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return members.join(F.broadcast(best), "component").select("node", "component")
 
 
-def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A graph whose unbranching chains are one node each, named by their heads: chains (node, head, pos), and edges (src, dst).
+def roots(pointers: DataFrame) -> DataFrame:
+    """Where pointers (node, up) end: node, root (a node without a pointer). Nodes whose pointers run in a circle are left out.
 
-    A chain is entered at its head and left at its tail only. Cycles without a branch have no head and stay as they are.
+    Pointer doubling: rounds follow the logarithm of the longest line of pointers.
     """
-    from pairstrand.operators.simplify import chains
+    first = written(pointers.select("node", "up"), "roots-first")
+    state, n, rounds = first, first.count(), 0
+    while True:
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        after = written(state.join(above, "up", "left").select("node", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")), "roots")
+        rounds += 1
+        moved = not after.where("moved").isEmpty()
+        if state is not first:
+            forget(state)
+        state = after
+        if not moved or 1 << rounds > n:
+            return state.select("node", F.col("up").alias("root")).join(first.select(F.col("node").alias("root")), "root", "left_anti").select("node", "root")
+
 
-    plain = written(edges.select("src", "dst").distinct(), "contract-edges")
-    chain = written(chains(plain).select("node", "head", "pos"), "contract-chains")
-    of = lambda end: chain.select(F.col("node").alias(end), F.col("head").alias(f"{end}_head"), F.col("pos").alias(f"{end}_pos"))
-    both = plain.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
-    inside = (F.col("src_head") == F.col("dst_head")) & (F.col("dst_pos") == F.col("src_pos") + 1)
-    outer = both.where(~F.coalesce(inside, F.lit(False)))
-    return chain, written(outer.select(F.coalesce("src_head", "src").alias("src"), F.coalesce("dst_head", "dst").alias("dst")).distinct(), "contract-outer")
+def _merged_into_single(edges: DataFrame, one: str, other: str, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """Nodes with a single edge at their ``other`` side merged into the node at that edge's ``one`` side, whole trees at once.
+
+    Returns the edges that are left (of merged nodes, those to the root they have become), node and root of the merged nodes,
+    and whether some pointers run in a circle. Nodes in ``keep`` aren't merged.
+    """
+    single = edges.groupBy(F.col(other).alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("up")).where("n = 1 and node <> up").select("node", "up")
+    if keep is not None:
+        single = single.join(keep.select("node"), "node", "left_anti")
+    single = written(single, "merge-single")
+    root = written(roots(single), "merge-roots")
+    circle = not single.join(root, "node", "left_anti").isEmpty()
+    left = edges.join(single.select(F.col("node").alias(other)), other, "left_anti")
+    left = left.join(root.select(F.col("node").alias(one), "root"), one, "left").select(F.coalesce("root", one).alias(one), other)
+    return written(left.select("src", "dst").distinct(), "merge-edges"), root, circle
 
 
 def reachable(edges: DataFrame, starts: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """Nodes that chains of edges reach from the starts, these included; with ``within``, by its nodes only.
 
-    Breadth-first on the graph whose unbranching chains are one node each, so rounds follow the branches on the longest shortest
-    way; of a chain all nodes from the first one reached on belong to the result.
+    A node with one edge in is reached when its predecessor is, so whole trees of such nodes stand and fall with their roots. What is
+    left is searched breadth-first, so rounds follow the nodes with several edges in on the longest shortest way.
     """
     if within is not None:
         edges = edges.join(within.select(F.col("node").alias("dst")), "dst", "left_semi")
-    chain, step = contracted(edges)
-    placed = starts.select("node").distinct().join(chain, "node", "left").select(F.coalesce("head", "node").alias("at"), F.coalesce("pos", F.lit(0)).alias("pos"))
-    own = written(placed, "reach-starts")
-    seen = reached(own.select(F.col("at").alias("node")), step, []).withColumnRenamed("node", "at")
-    entered = seen.join(step, F.col("at") == F.col("src")).select(F.col("dst").alias("at"), F.lit(0).cast("long").alias("pos"))
-    first = written(own.union(entered).groupBy("at").agg(F.min("pos").alias("first")), "reach-first")
-    on_chains = chain.join(first, F.col("head") == F.col("at")).where("pos >= first").select("node")
-    return first.select(F.col("at").alias("node")).join(chain.select("node"), "node", "left_anti").union(on_chains)
+    starts = written(starts.select("node").distinct(), "reach-starts")
+    step, root, _ = _merged_into_single(written(edges.select("src", "dst").distinct(), "reach-edges"), "src", "dst", starts)
+    # a start has no pointer, so it is its tree's root
+    seen = written(reached(starts, step, []), "reach")
+    return seen.union(root.join(seen.select(F.col("node").alias("root")), "root").select("node"))
 
 
 def reached(starts: DataFrame, step: DataFrame, key: list[str]) -> DataFrame:
@@ -112,18 +129,30 @@ def reachable_pairs(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def is_dag(edges: DataFrame) -> bool:
-    """Whether a graph has no cycle: nodes without in-edges, and nodes without out-edges, are peeled off until none is left.
+    """Whether a graph has no cycle.
 
-    Unbranching chains are one node each; rounds follow half the longest way through branches.
+    A node with one edge in is merged into its predecessor, one with one edge out into its successor: that neither makes nor breaks
+    a cycle. Whole trees of such nodes merge at once, so chains, bubbles and ladders vanish in a few rounds; nodes without
+    edges in or out are peeled off. A pointer that runs in a circle, an edge from a node to itself, or a rest in which
+    nothing can be peeled off is a cycle.
     """
-    _, rest = contracted(edges)
+    rest = written(edges.select("src", "dst").distinct(), "dag")
     n = rest.count()
     while n:
+        for one, other in (("src", "dst"), ("dst", "src")):
+            if not rest.where("src = dst").isEmpty():
+                return False
+            rest, _, circle = _merged_into_single(rest, one, other)
+            if circle:
+                return False
+        if not rest.where("src = dst").isEmpty():
+            return False
         inner = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         inner = inner.join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        rest = written(inner.select("src", "dst"), "dag")
-        before, n = n, rest.count()
-        if n == before:
+        before, rest = rest, written(inner.select("src", "dst"), "dag")
+        left = before.count()
+        n = rest.count()
+        if n and n == left:
             return False
     return True
 

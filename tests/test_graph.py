@@ -385,3 +385,46 @@ def test_deadends_against_a_plain_sweep(spark):
     nodes = spark.createDataFrame([(x, start[x], end[x]) for x in range(60)], "node long, s long, e long")
     got = {r["node"] for r in components.deadends(nodes, spark.createDataFrame(sorted(edges), "src long, dst long"), "s", "e").collect()}
     assert got == set(range(60)) - good and good
+
+
+def test_ladders_take_few_rounds(spark, monkeypatch):
+    """10,000 rungs: whether there is a cycle, and what is reached, in rounds far under the longest way."""
+    made = []
+    write = components.written
+    monkeypatch.setattr(components, "written", lambda df, kind, *more: made.append(kind) or write(df, kind, *more))
+    n = 10_000
+    rung = spark.range(n)
+    ladder = rung.select((4 * F.col("id")).alias("src"), (4 * F.col("id") + 4).alias("dst")).union(rung.select(4 * F.col("id") + 2, 4 * F.col("id") + 6)).union(rung.select(4 * F.col("id"), 4 * F.col("id") + 2)).cache()
+    assert components.is_dag(ladder)
+    assert not components.is_dag(ladder.union(spark.createDataFrame([(4 * n + 2, 8)], "src long, dst long")))
+    assert components.reachable(ladder, spark.createDataFrame([(4 * 9000,), (7,)], "node long")).count() == 2 * 1001 + 1  # the second start is by itself
+    assert len(made) < 150
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_is_dag_and_reachable_on_random_graphs(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    edges = set()
+    for _ in range(rng.choice([40, 90])):
+        a, b = sorted(rng.sample(range(50), 2))
+        edges.add((a, b) if rng.random() > 0.02 * seed else (b, a))
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+
+    def reach(s):
+        seen, todo = set(), [s]
+        while todo:
+            for y in out.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    e = spark.createDataFrame(sorted(edges), "src long, dst long")
+    assert components.is_dag(e) == (not any(x in reach(x) for x in range(50)))
+    starts = rng.sample(range(60), 3)
+    got = {r["node"] for r in components.reachable(e, spark.createDataFrame([(x,) for x in starts], "node long")).collect()}
+    assert got == set(starts).union(*(reach(x) for x in starts))
