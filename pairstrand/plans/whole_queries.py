@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pairstrand.operators import labels, metrics, refine, sampling, simplify
+from pairstrand.operators import explore, labels, metrics, refine, sampling, simplify
 from pairstrand.plans.registry import ORACLES, QUERIES, query
 from pairstrand.plans.structure_queries import CHAIN_TABLE_SQL, CLASS_SQL, RECURSIVE, TRIO_SQL, W, chain_blocks, tables
 from pairstrand.plans.walk_queries import DNA_SQL, UNITIG_SQL, WALK_SQL, _dna, _headers, _placements, _walks
@@ -300,3 +300,10 @@ def fix_ends(spark, d):
     """Walks without the wrong nodes at their ends, grown anew along the best edges."""
     w, n, e = _walks(spark, d)
     return refine.extend_ends(w, fx.scored(e), n, {"p": "yak_p", "m": "yak_m"})
+
+
+@query("explore_improve")
+def explore_improve(spark, d):
+    """Walks with the detours that lower the bases of the other haplotype."""
+    w, n, e = _walks(spark, d)
+    return explore.explored(w, fx.scored(e), n, {"p": "yak_p", "m": "yak_m"})
