@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairstrand.functions.predicates import edge_class, is_correct_edge
@@ -174,3 +174,33 @@ def hg_consensus(placements: DataFrame) -> DataFrame:
     rows = placements.groupBy("seg_id").agg(has("m").alias("m"), has("p").alias("p"))
     consensus = F.when(F.col("m") & ~F.col("p"), "m").when(F.col("p") & ~F.col("m"), "p").otherwise("0")
     return rows.select("seg_id", consensus.alias("consensus"), (F.col("m") & F.col("p")).cast("int").alias("mixed"))
+
+
+#: Of a read's length so much overlaps the next read of its unitig where nothing better is known: a tenth, at most so many bases.
+OVERLAP_PART, MOST_OVERLAP = 10, 1500
+
+
+def infer_read_coords(placements: DataFrame, reads: DataFrame) -> DataFrame:
+    """Unitigs' reads with the coordinates that some of them lack: seg_id, line_no, read_id, variant, read_start, read_end, inferred.
+
+    placements: seg_id, line_no, offset, read_id; reads: read_id, variant, read_length, read_start, read_end. Among the reads of one
+    variant in the order of their offsets, a read without coordinates is placed from the last one before it that has some, by the
+    reads' lengths less estimated overlaps; where there is none, from the next one after it. Where all lack them, they stay null.
+    """
+    along = Window.partitionBy("seg_id", "variant").orderBy("offset", "line_no")
+    before, until, after = (along.rowsBetween(a, b) for a, b in ((Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0), (1, Window.unboundedFollowing)))
+    rows = placements.select("seg_id", "line_no", "offset", "read_id").join(reads.select("read_id", "variant", "read_length", "read_start", "read_end"), "read_id")
+    step = F.col("read_length") - F.least(F.lit(MOST_OVERLAP), F.expr(f"read_length div {OVERLAP_PART}"))
+    rows = rows.withColumn("at", F.coalesce(F.sum(step).over(before), F.lit(0)))
+    known = F.when(F.col("read_start").isNotNull() & F.col("read_end").isNotNull(), F.struct("read_start", "at"))
+    rows = rows.withColumns({"last": F.last(known, True).over(until), "next": F.first(known, True).over(after)})
+    lacks = F.col("read_start").isNull() | F.col("read_end").isNull()
+    start = F.coalesce(F.col("last.read_start") + F.col("at") - F.col("last.at"), F.col("next.read_start") - (F.col("next.at") - F.col("at")))
+    placed = {"read_start": F.when(lacks, start).otherwise(F.col("read_start")), "read_end": F.when(lacks, start + F.col("read_length")).otherwise(F.col("read_end")), "inferred": lacks & start.isNotNull()}
+    return rows.withColumns(placed).select("seg_id", "line_no", "read_id", "variant", "read_start", "read_end", "inferred")
+
+
+def unitig_spans(placed: DataFrame) -> DataFrame:
+    """seg_id and the least start and largest end of its reads per variant, inferred ones included."""
+    ends = [f(F.when(F.col("variant") == v, F.col(f"read_{w}"))).alias(f"{w}_{v}") for v in "MP" for w, f in (("start", F.min), ("end", F.max))]
+    return placed.groupBy("seg_id").agg(*ends)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairstrand.operators import explore, labels, metrics, refine, sampling, simplify
 from pairstrand.plans.registry import ORACLES, QUERIES, query
 from pairstrand.plans.structure_queries import CHAIN_TABLE_SQL, CLASS_SQL, RECURSIVE, TRIO_SQL, W, chain_blocks, tables
-from pairstrand.plans.walk_queries import DNA_SQL, UNITIG_SQL, WALK_SQL, _dna, _headers, _placements, _walks
+from pairstrand.plans.walk_queries import A_SQL, DNA_SQL, UNITIG_SQL, WALK_SQL, _dna, _headers, _placements, _walks
 from pairstrand.sources import fixture as fx
 from pairstrand.sources import formats
 from pairstrand.sources.shared import new_folder
@@ -307,3 +307,20 @@ def explore_improve(spark, d):
     """Walks with the detours that lower the bases of the other haplotype."""
     w, n, e = _walks(spark, d)
     return explore.explored(w, fx.scored(e), n, {"p": "yak_p", "m": "yak_m"})
+
+
+@query(
+    "infer_unitig_coords",
+    W + A_SQL + """, rows AS (SELECT a.seg_id, a.line_no, a."offset" AS o, a.read_id, CASE WHEN r.rid % 3 = 0 THEN 'P' ELSE 'M' END AS variant, r.len, CASE WHEN r.rid % 4 <> 1 THEN r.s END AS s FROM a JOIN r ON 'read' || r.rid = a.read_id),
+    summed AS (SELECT *, coalesce(sum(len - least(1500, len // 10)) OVER (PARTITION BY seg_id, variant ORDER BY o, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM rows),
+    near AS (SELECT *, last_value(s - k IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo, first_value(s - k IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi FROM summed WINDOW w AS (PARTITION BY seg_id, variant ORDER BY o, line_no)),
+    placed AS (SELECT seg_id, variant, len, coalesce(s, coalesce(lo, hi) + k) AS s FROM near)
+    SELECT seg_id, coalesce(min(s) FILTER (variant = 'M'), -1)::BIGINT AS "start_M", coalesce(max(s + len) FILTER (variant = 'M'), -1)::BIGINT AS "end_M",
+      coalesce(min(s) FILTER (variant = 'P'), -1)::BIGINT AS "start_P", coalesce(max(s + len) FILTER (variant = 'P'), -1)::BIGINT AS "end_P" FROM placed GROUP BY seg_id""",
+)
+def infer_unitig_coords(spark, d):
+    """Unitigs' spans when every fourth read has no coordinates of its own."""
+    placed = formats.scan_gfa_a(formats.fields(_placements(spark, d)))
+    start = F.when(F.col("rid") % 4 != 1, F.col("s"))
+    reads = fx.reads(spark, d).select(F.concat(F.lit("read"), "rid").alias("read_id"), F.when(F.col("rid") % 3 == 0, "P").otherwise("M").alias("variant"), F.col("len").alias("read_length"), start.alias("read_start"), (start + F.col("len")).alias("read_end"))
+    return labels.unitig_spans(labels.infer_read_coords(placed, reads)).fillna(-1, ["start_M", "end_M", "start_P", "end_P"])

@@ -428,3 +428,18 @@ def test_is_dag_and_reachable_on_random_graphs(spark, seed):
     starts = rng.sample(range(60), 3)
     got = {r["node"] for r in components.reachable(e, spark.createDataFrame([(x,) for x in starts], "node long")).collect()}
     assert got == set(starts).union(*(reach(x) for x in starts))
+
+
+def test_reads_without_coordinates_are_placed(spark):
+    """From the read before by lengths less a tenth, at most 1,500 bases; at the beginning from the next one."""
+    lengths = [1000, 2000, 20_000, 1000, 1000]
+    starts = [None, 5000, None, None, 90_000]
+    placements = spark.createDataFrame([("u", k, 10 * k, f"r{k}") for k in range(5)] + [("u", 9, 5, "p"), ("v", 7, 0, "q")], "seg_id string, line_no int, offset int, read_id string")
+    reads = [(f"r{k}", "M", n, s, None if s is None else s + n) for k, (n, s) in enumerate(zip(lengths, starts, strict=True))] + [("p", "P", 100, 7, 107), ("q", "M", 100, None, None)]
+    out = labels.infer_read_coords(placements, spark.createDataFrame(reads, "read_id string, variant string, read_length long, read_start long, read_end long"))
+    got = {r["read_id"]: (r["read_start"], r["read_end"], r["inferred"]) for r in out.collect()}
+    assert got == {
+        "r0": (5000 - 900, 5100, True), "r1": (5000, 7000, False), "r2": (6800, 26_800, True), "r3": (6800 + 18_500, 26_300, True), "r4": (90_000, 91_000, False), "p": (7, 107, False), "q": (None, None, False),
+    }
+    spans = {r["seg_id"]: tuple(r)[1:] for r in labels.unitig_spans(out).collect()}
+    assert spans == {"u": (4100, 91_000, 7, 107), "v": (None, None, None, None)}
