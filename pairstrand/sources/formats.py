@@ -199,22 +199,41 @@ def running(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
     return summed.withColumns({c: F.col(c) + F.col(f"{c}_before") for c in columns}).select(rows.columns)
 
 
-def build_graph(split: DataFrame, reads: DataFrame, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+def build_graph(split: DataFrame, reads: DataFrame, depth: int = 1, final: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The whole graph of a GFA file and its reads: nodes with lengths, support and true coordinates; edges with labels.
 
     split: ``fields`` of numbered lines; reads: ``parse_headers`` of the reads' headers, with read_id. The pair of the i-th
-    segment has the nodes 2 i and 2 i + 1; a unitig's coordinates come from its reads (``labels.unitig_rollup``).
+    segment has the nodes 2 i and 2 i + 1; a unitig's coordinates come from its reads (``labels.unitig_rollup``). With
+    ``final``, the neighbouring reads of a final assembly (``scan_final_asm``), edges tell whether it has them
+    (hifiasm_result), those between segments of one read each that the graph lacks are added, and so are reads that no
+    segment holds.
     """
+    from pairstrand.operators.joins import rescue
     from pairstrand.operators.labels import create_gt, unitig_rollup
     from pairstrand.operators.simplify import _numbered
 
     order = split.where(F.get("f", F.lit(0)) == "S").select("line_no", F.get("f", F.lit(1)).alias("seg_id"))
     segments = scan_gfa_s(split, depth).join(_numbered(order, "line_no").select("seg_id", F.col("number").alias("index")), "seg_id")
-    unitigs = segments.join(unitig_rollup(scan_gfa_a(split), reads), "seg_id", "left")
+    placements = scan_gfa_a(split)
+    unitigs = segments.join(unitig_rollup(placements, reads), "seg_id", "left")
     coordinates = [F.col(f"{w}_{h}").alias(f"read_{w}_{h}") for h in "MP" for w in ("start", "end")]
     strand = lambda k: unitigs.select((2 * F.col("index") + k).alias("node"), F.col("length").alias("read_length"), "support", "read_chr", (F.col("read_strand") * (1 - 2 * k)).alias("read_strand"), "variant", *coordinates)
     nodes = strand(0).unionByName(strand(1))
     edges = segment_edges(scan_gfa_l(split), segments)
+    if final is not None:
+        held = placements.join(segments.select("seg_id", "index"), "seg_id")
+        alone = held.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("seg_id")
+        turned = (F.col("orient") == "-").cast("long")
+        read_nodes = written(held.join(alone, "seg_id").select("read_id", (2 * F.col("index") + turned).alias("node")), "graph-reads")
+        # reads inside longer segments have no node, and aren't to be made anew
+        inside = held.join(alone, "seg_id", "left_anti").select("read_id").distinct()
+        pairs = final.join(inside.withColumnRenamed("read_id", "read_a"), "read_a", "left_anti").join(inside.withColumnRenamed("read_id", "read_b"), "read_b", "left_anti")
+        lengths = reads.select("read_id", (F.col("read_end") - F.col("read_start")).alias("read_length"))
+        new, edges = rescue(edges, nodes, pairs, read_nodes, lengths)
+        own = lambda w, h: F.when(F.col("variant") == h, F.col(f"read_{w}")).alias(f"read_{w}_{h}")
+        facts = written(new.join(reads.drop("read_length") if "read_length" in reads.columns else reads, "read_id"), "graph-new")
+        made = lambda k: facts.select((F.col("node") + k).alias("node"), "read_length", F.lit(None).cast("double").alias("support"), "read_chr", (F.col("read_strand") * (1 - 2 * k)).alias("read_strand"), "variant", *(own(w, h) for h in "MP" for w in ("start", "end")))
+        nodes, edges = nodes.unionByName(made(0)).unionByName(made(1)), written(edges, "graph-edges")
     return nodes, edges.join(create_gt(edges, nodes), ["src", "dst"])
 
 

@@ -443,3 +443,22 @@ def test_reads_without_coordinates_are_placed(spark):
     }
     spans = {r["seg_id"]: tuple(r)[1:] for r in labels.unitig_spans(out).collect()}
     assert spans == {"u": (4100, 91_000, 7, 107), "v": (None, None, None, None)}
+
+
+def test_build_graph_with_a_final_assembly(spark):
+    """Segments of one read each, one of two; the assembly joins two segments anew, and holds a read that no segment has."""
+    lines = [
+        "S\tutg1\t*\tLN:i:1000\trd:i:9", "S\tutg2\t*\tLN:i:1000\trd:i:9", "S\tutg3\t*\tLN:i:1800\trd:i:9", "L\tutg1\t+\tutg2\t+\t400M",
+        "A\tutg1\t0\t+\tr1\t0\t1000\tid:i:0\tHG:A:a", "A\tutg2\t0\t-\tr2\t0\t1000\tid:i:1\tHG:A:a", "A\tutg3\t0\t+\tr3\t0\t1000\tid:i:2\tHG:A:a", "A\tutg3\t800\t+\tr4\t0\t1000\tid:i:3\tHG:A:a",
+    ]
+    split = formats.fields(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string"))
+    reads = spark.createDataFrame([(f"r{k}", 1, 600 * k, 600 * k + 1000, "M", "chr1") for k in range(1, 7)], "read_id string, read_strand int, read_start long, read_end long, variant string, read_chr string")
+    final = spark.createDataFrame([("r1", "+", "r2", "-", 600), ("r2", "-", "r5", "+", 650), ("r3", "+", "r4", "+", 600)], "read_a string, orient_a string, read_b string, orient_b string, prefix long")
+    nodes, edges = formats.build_graph(split, reads, final=final)
+    plain_nodes, plain_edges = formats.build_graph(split, reads)
+    assert plain_nodes.count() == 6 and plain_edges.count() == 2 and "hifiasm_result" not in plain_edges.columns
+    got = {r["node"]: (r["read_length"], r["read_strand"], r["read_start_M"]) for r in nodes.collect()}
+    assert len(got) == 8 and got[6] == (1000, 1, 3000) and got[7] == (1000, -1, 3000)
+    known = {(r["src"], r["dst"]): (r["overlap_length"], r["prefix_length"], r["hifiasm_result"]) for r in edges.collect()}
+    # r2 lies backward in its segment, so r2- is the segment's forward node 2
+    assert known == {(0, 2): (400, 600, 1), (3, 1): (400, 600, 1), (2, 6): (350, 650, 1), (7, 3): (350, 650, 1)}
