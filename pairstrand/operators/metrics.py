@@ -99,16 +99,26 @@ def lg90(lengths: DataFrame, reference: int, share: float = 0.9) -> DataFrame:
     return run.groupBy("hap").agg(F.coalesce(F.min(F.when((F.col("sum") >= F.col("goal")) & (F.col("before") < F.col("goal")), needed)), F.lit(0)).cast("long").alias("lg90"))
 
 
+def walk_steps(walks: DataFrame, edges: DataFrame) -> DataFrame:
+    """hap, walk_id, pos, node, skip: how many of a node's first bases its walk has already (0 where no edge joins it to the node before)."""
+    along = Window.partitionBy(*WALK).orderBy("pos")
+    steps = walks.withColumn("before", F.lag("node").over(along)).join(edges.select(F.col("src").alias("before"), F.col("dst").alias("node"), "overlap_length"), ["before", "node"], "left")
+    return steps.select(*WALK, "pos", "node", F.coalesce("overlap_length", F.lit(0)).cast("int").alias("skip"))
+
+
+def spelled(parts: DataFrame) -> DataFrame:
+    """hap, walk_id, length, seq: a walk's parts (pos, part) one after another."""
+    seq = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda p: p["part"]), "")
+    return parts.groupBy(*WALK).agg(seq.alias("seq")).select(*WALK, F.length("seq").cast("long").alias("length"), "seq")
+
+
 def walk_to_seq(walks: DataFrame, sequences: DataFrame, edges: DataFrame) -> DataFrame:
     """hap, walk_id, length, seq: the first node whole, of each next one what its overlap doesn't cover.
 
     Nodes that no edge joins to the node before are added whole. Sequences join at the very end.
     """
-    along = Window.partitionBy(*WALK).orderBy("pos")
-    steps = walks.withColumn("before", F.lag("node").over(along)).join(edges.select(F.col("src").alias("before"), F.col("dst").alias("node"), "overlap_length"), ["before", "node"], "left")
-    parts = steps.join(sequences.select("node", "seq"), "node").select(*WALK, F.struct("pos", path_suffix(F.col("seq"), F.coalesce("overlap_length", F.lit(0)).cast("int")).alias("part")).alias("p"))
-    seq = F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["part"]), "")
-    return parts.groupBy(*WALK).agg(seq.alias("seq")).select(*WALK, F.length("seq").cast("long").alias("length"), "seq")
+    steps = walk_steps(walks, edges).join(sequences.select("node", "seq"), "node")
+    return spelled(steps.select(*WALK, "pos", path_suffix(F.col("seq"), F.col("skip")).alias("part")))
 
 
 def wrong_runs(walks: DataFrame, labels: DataFrame, column: str) -> DataFrame:

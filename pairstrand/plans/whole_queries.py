@@ -164,7 +164,7 @@ def sink_walks(spark, d):
     w, _, _ = _walks(spark, d)
     contigs = QUERIES["walk_to_seq"](spark, d).withColumn("contig_id", F.col("walk_id"))
     path = new_folder(spark, "walks")
-    formats.write_walks(w, contigs, path)
+    formats.write_walks(w, contigs, path, "gzip")
     c = spark.read.parquet(f"{path}/contigs")
     nodes = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"].cast("string")), " ")
     walks = spark.read.parquet(f"{path}/walks").groupBy("hap", "walk_id").agg(F.count(F.lit(1)).alias("n"), F.md5(nodes).alias("digest"))

@@ -283,13 +283,13 @@ def write_fasta(contigs: DataFrame, path: str, compression: str | None = None, *
     (writer.option("compression", compression) if compression else writer).text(path)
 
 
-def write_walks(walks: DataFrame, contigs: DataFrame, path: str) -> None:
-    """Walks and contigs by haplotype: Parquet, and FASTA under hap1 (paternal) and hap2 (maternal)."""
+def write_walks(walks: DataFrame, contigs: DataFrame, path: str, compression: str | None = None) -> None:
+    """Walks and contigs by haplotype: Parquet, and FASTA under hap1 (paternal) and hap2 (maternal), which is made from the contigs' Parquet."""
     walks.write.partitionBy("hap").parquet(f"{path}/walks")
-    contigs.write.partitionBy("hap").parquet(f"{path}/contigs")
+    contigs.write.option("compression", "zstd").partitionBy("hap").parquet(f"{path}/contigs")
+    kept = contigs.sparkSession.read.schema(contigs.schema).parquet(f"{path}/contigs")
     for hap, name in (("p", "hap1"), ("m", "hap2")):
-        own = contigs.where(F.col("hap") == hap)
-        write_fasta(own, f"{path}/{name}.fasta")
+        write_fasta(kept.where(F.col("hap") == hap), f"{path}/{name}.fasta", compression)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -3,10 +3,14 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from pairstrand.operators import score
+from pairstrand.functions.strings import IUPAC, IUPAC_COMPLEMENT
+from pairstrand.operators import metrics, score, simplify
+from pairstrand.plans.catalog import QUERIES
 from pairstrand.plans.walk_queries import SIZE, WEIGHTS, _vectors
 from pairstrand.sources import fixture as fx
+from pairstrand.sources import formats
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
@@ -24,3 +28,13 @@ def test_neither_reads_nor_vectors_are_broadcast(spark):
     h, e = _vectors(spark, str(DATA))
     for made in score.gated_conv(h, e, WEIGHTS, SIZE):
         assert "BroadcastExchange" not in plan(made)
+
+
+def test_contigs_are_spelled_once(spark, tmp_path):
+    """Each evaluation spells other letters here, so FASTA that is spelled anew isn't that of the Parquet table."""
+    walks = spark.createDataFrame([("p", 2, 0, 2), ("m", 4, 0, 4)], "hap string, walk_id long, pos int, node long")
+    contigs = walks.select("hap", "walk_id", F.expr("uuid()").alias("seq"), F.col("walk_id").alias("contig_id"))
+    formats.write_walks(walks, contigs, str(tmp_path / "w"))
+    kept = {r["seq"] for r in spark.read.parquet(str(tmp_path / "w" / "contigs")).collect()}
+    fasta = {r["seq"] for name in ("hap1", "hap2") for r in formats.scan_fasta(spark, str(tmp_path / "w" / f"{name}.fasta")).collect()}
+    assert kept == fasta
