@@ -5,10 +5,15 @@ walks: hap, walk_id, pos, node.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairstrand.functions.strings import path_suffix
+from pairstrand.functions.strings import IUPAC, IUPAC_COMPLEMENT, path_suffix
+from pairstrand.sources.shared import shuffle_partitions
 
 WALK = ["hap", "walk_id"]
 
@@ -147,13 +152,46 @@ def trim_ends(walks: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return walks.join(span, WALK).where("pos between lo and hi").select(walks.columns)
 
 
+#: Places of a sequence that are looked at together.
+PLACES = 131_072
+
+
+def _canonical(words: np.ndarray) -> np.ndarray:
+    """Rows of letters (bytes), each replaced by its reverse complement where that sorts first."""
+    turned = _COMPLEMENT[words[:, ::-1]]
+    at = (words != turned).argmax(1)[:, None]
+    less = np.take_along_axis(turned, at, 1) < np.take_along_axis(words, at, 1)
+    return np.where(less, turned, words)
+
+
+_COMPLEMENT = np.arange(256, dtype=np.uint8)
+for _x, _y in zip(IUPAC + IUPAC.lower(), IUPAC_COMPLEMENT + IUPAC_COMPLEMENT.lower(), strict=True):
+    _COMPLEMENT[ord(_x)] = ord(_y)
+
+
+def _words(rows: np.ndarray) -> pa.Array:
+    """Rows of letters as strings."""
+    n, k = rows.shape
+    return pa.StringArray.from_buffers(n, pa.py_buffer((np.arange(n + 1) * k).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows)))
+
+
 def _places(sequences: DataFrame, k: int, key: str, seq_col: str) -> DataFrame:
-    """key, kmer: each place's k-mer or its reverse complement, whichever sorts first."""
-    from pairstrand.functions.strings import reverse_complement
+    """key, kmer, c: k-mers or their reverse complements, whichever sort first, and how often they are in a stretch of a sequence. A
+    sequence's stretches give rows of their own. Sequences are letters of one byte each."""
 
-    n = F.length(seq_col) - (k - 1)
-    places = sequences.where(F.length(seq_col) >= k).select(F.col(key), F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col(seq_col), i, F.lit(k)))).alias("kmer"))
-    return places.select(key, F.least("kmer", reverse_complement(F.col("kmer"))).alias("kmer"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in enumerate(b.column("seq")):
+                letters = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+                for a in range(0, len(letters) - k + 1, PLACES):
+                    stretch = np.lib.stride_tricks.sliding_window_view(letters[a : a + PLACES + k - 1], k)
+                    found, c = np.unique(np.ascontiguousarray(_canonical(stretch)).view(f"S{k}").ravel(), return_counts=True)
+                    kmers = _words(found.view(np.uint8).reshape(len(found), k))
+                    yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(np.full(len(found), i))), kmers, pa.array(c)], names=[key, "kmer", "c"])
+
+    rows = sequences.select(F.col(key).alias("key"), F.col(seq_col).alias("seq")).where(F.length("seq") >= k)
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession))  # a file's row group would be one task, and its k-mers are many times its size
+    return rows.mapInArrow(run, f"`{key}` {sequences.schema[key].dataType.simpleString()}, kmer string, c long")
 
 
 def kmers(sequences: DataFrame, k: int, parent_col: str = "parent", seq_col: str = "seq") -> DataFrame:
@@ -163,11 +201,14 @@ def kmers(sequences: DataFrame, k: int, parent_col: str = "parent", seq_col: str
 
 def kmer_hits(reads: DataFrame, kmers: DataFrame, k: int, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
     """read_id, parent, hits: places in reads whose k-mer is in a parent's set (kmers: kmer, parent), on either strand."""
-    from pairstrand.functions.strings import reverse_complement
 
-    counted = _places(reads, k, id_col, seq_col).groupBy(F.col(id_col).alias("read_id"), "kmer").agg(F.count(F.lit(1)).alias("c"))
-    known = kmers.select("parent", F.least("kmer", reverse_complement(F.col("kmer"))).alias("kmer")).distinct()
-    return counted.join(known, "kmer").groupBy("read_id", "parent").agg(F.sum("c").alias("hits"))
+    @F.arrow_udf("string")
+    def canonical(words: pa.Array) -> pa.Array:
+        return _words(_canonical(np.array(words.to_pylist(), f"S{k}").view(np.uint8).reshape(len(words), k))) if len(words) else words
+
+    counted = _places(reads, k, id_col, seq_col).select(F.col(id_col).alias("read_id"), "kmer", "c")
+    known = kmers.where(F.length("kmer") == k).select("parent", canonical("kmer").alias("kmer")).distinct()
+    return counted.join(known.hint("merge"), "kmer").groupBy("read_id", "parent").agg(F.sum("c").alias("hits"))
 
 
 def evaluate(walks: DataFrame, nodes: DataFrame, edges: DataFrame, classified: DataFrame, column: str) -> DataFrame:

@@ -38,3 +38,19 @@ def test_contigs_are_spelled_once(spark, tmp_path):
     kept = {r["seq"] for r in spark.read.parquet(str(tmp_path / "w" / "contigs")).collect()}
     fasta = {r["seq"] for name in ("hap1", "hap2") for r in formats.scan_fasta(spark, str(tmp_path / "w" / f"{name}.fasta")).collect()}
     assert kept == fasta
+
+
+def test_kmers_of_a_long_sequence(spark, monkeypatch):
+    """Held against plain Python, across the stretches that a sequence is looked at in; no place becomes a row of text on its way."""
+    monkeypatch.setattr(metrics, "PLACES", 7)
+    turn = str.maketrans(IUPAC, IUPAC_COMPLEMENT)
+    canon = lambda s: [min(w, w[::-1].translate(turn)) for w in (s[i : i + 5] for i in range(len(s) - 4))]
+    texts = {"a": "ACGTTKYRNNACGTAACCGGTTACGTTACGATTACA" * 3, "b": "TGTAATCGTAACG", "c": "ACG", "d": None}
+    reads = spark.createDataFrame(list(texts.items()), "read_id string, seq string")
+    sets = metrics.kmers(reads.withColumn("parent", F.when(F.col("read_id") == "a", "p").otherwise("m")), 5)
+    assert {(r["parent"], r["kmer"]) for r in sets.collect()} == {("p" if k == "a" else "m", w) for k, s in texts.items() if s for w in canon(s)}
+    of = {"p": set(canon(texts["a"])), "m": set(canon(texts["b"]))}
+    want = {(k, p): n for k, s in texts.items() if s for p in of if (n := sum(w in of[p] for w in canon(s)))}
+    hits = metrics.kmer_hits(reads, sets, 5)
+    assert {(r["read_id"], r["parent"]): r["hits"] for r in hits.collect()} == want
+    assert "Generate" not in plan(hits)
