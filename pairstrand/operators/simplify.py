@@ -228,6 +228,7 @@ def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float |
 def edge_stats(edges: DataFrame, column: str) -> DataFrame:
     """count, mean, std (population), min, max, median and quartiles (interpolated) of a column."""
     c = F.col(column)
+    edges = written(edges.select(column), "stats-values")  # every pass reads this column alone
     q = quantiles(edges, column, [0.25, 0.5, 0.75])
     stats = edges.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std"), F.min(c).alias("lo"), F.max(c).alias("hi"))
     return stats.select("*", *(F.lit(v).cast("double").alias(name) for v, name in zip(q, ("p25", "median", "p75"), strict=True)))

@@ -54,3 +54,16 @@ def test_kmers_of_a_long_sequence(spark, monkeypatch):
     hits = metrics.kmer_hits(reads, sets, 5)
     assert {(r["read_id"], r["parent"]): r["hits"] for r in hits.collect()} == want
     assert "Generate" not in plan(hits)
+
+
+def test_statistics_derive_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(100).select(counted("id").alias("v"))
+    assert simplify.edge_stats(rows, "v").first()["median"] == 49.5
+    assert seen.value == 100
