@@ -535,11 +535,11 @@ def reachability(spark, d):
     return components.reachable(e, graph.tips(e))
 
 
-@query("reachability_pairs", RECURSIVE + fx.USER_SQL + ", go AS (SELECT node AS start, node FROM nodes UNION SELECT start, dst FROM ug JOIN go ON ug.src = go.node) SELECT start, count(*) AS n, sum(node)::BIGINT AS total FROM go GROUP BY start")
+@query("reachability_pairs", RECURSIVE + fx.USER_SQL + ", go AS (SELECT node AS start, node FROM nodes UNION SELECT start, dst FROM ug JOIN go ON ug.src = go.node) SELECT start, node FROM go")
 def reachability_pairs(spark, d):
-    """Per node how many nodes it reaches, and their sum."""
+    """Per node every node that it reaches."""
     r = fx.reads(spark, d)
-    return components.reachable_pairs(fx.user_graph(r), fx.nodes(r)).groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.sum("node").alias("total"))
+    return components.reachable_pairs(fx.user_graph(r), fx.nodes(r))
 
 
 #: Ways from nodes to their complements exist only with edges that turn round. No shortest way has more edges than its
@@ -616,11 +616,11 @@ def one_hop_pairs(spark, d):
     return graph.neighbourhoods(fx.clean_edges(r), fx.nodes(r), 1)
 
 
-@query("two_hop_pairs", W + ALL_NEAR_SQL + " SELECT seed, count(*) AS n, sum(node)::BIGINT AS total FROM (SELECT seed, node FROM h2 UNION SELECT seed, xor(node, 1) FROM h2) GROUP BY seed")
+@query("two_hop_pairs", W + ALL_NEAR_SQL + " SELECT seed, node FROM h2 UNION SELECT seed, xor(node, 1) FROM h2")
 def two_hop_pairs(spark, d):
-    """Per node how many lie within two edges of it, complements too, and their sum."""
+    """Per node every node within two edges of it, complements too."""
     r = fx.reads(spark, d)
-    return graph.neighbourhoods(fx.clean_edges(r), fx.nodes(r), 2).groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.sum("node").alias("total"))
+    return graph.neighbourhoods(fx.clean_edges(r), fx.nodes(r), 2)
 
 
 @query("common_neighbours", W + fx.CLEAN_SQL + " SELECT c.src, c.dst, a.dst AS via FROM clean a JOIN clean b ON a.dst = b.src JOIN clean c ON c.src = a.src AND c.dst = b.dst")
