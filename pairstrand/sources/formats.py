@@ -7,11 +7,13 @@ Malformed records raise an error when they are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairstrand.functions.strings import extract_id, header_field, oriented, strand_of
-from pairstrand.sources.shared import shuffle_partitions, written
+from pairstrand.sources.shared import forget, shuffle_partitions, written
 
 FASTA, FASTQ = ("fasta", "fa", "fna"), ("fastq", "fq")
 
@@ -213,13 +215,14 @@ def build_graph(split: DataFrame, reads: DataFrame, depth: int = 1, final: DataF
     from pairstrand.operators.simplify import _numbered
 
     order = split.where(F.get("f", F.lit(0)) == "S").select("line_no", F.get("f", F.lit(1)).alias("seg_id"))
-    segments = scan_gfa_s(split, depth).join(_numbered(order, "line_no").select("seg_id", F.col("number").alias("index")), "seg_id")
-    placements = scan_gfa_a(split)
+    segments = scan_gfa_s(split, depth).select("seg_id", "length", "support").join(_numbered(order, "line_no").select("seg_id", F.col("number").alias("index")), "seg_id")
+    segments, placements = written(segments, "graph-segments"), written(scan_gfa_a(split), "graph-placements")
     unitigs = segments.join(unitig_rollup(placements, reads), "seg_id", "left")
     coordinates = [F.col(f"{w}_{h}").alias(f"read_{w}_{h}") for h in "MP" for w in ("start", "end")]
     strand = lambda k: unitigs.select((2 * F.col("index") + k).alias("node"), F.col("length").alias("read_length"), "support", "read_chr", (F.col("read_strand") * (1 - 2 * k)).alias("read_strand"), "variant", *coordinates)
+    unitigs = written(unitigs, "graph-unitigs")
     nodes = strand(0).unionByName(strand(1))
-    edges = segment_edges(scan_gfa_l(split), segments)
+    edges = written(segment_edges(scan_gfa_l(split), segments), "graph-edges")
     if final is not None:
         held = placements.join(segments.select("seg_id", "index"), "seg_id")
         alone = held.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("seg_id")
@@ -246,22 +249,27 @@ def fasta_lines(contigs: DataFrame, id_col: str = "contig_id", seq_col: str = "s
     return contigs.select(F.concat(head, F.lit("\n"), F.col(seq_col)).alias("value"))
 
 
-def gfa_s_lines(nodes: DataFrame, depth: int = 100) -> DataFrame:
+def segment_name(index: Column) -> Column:
+    """Name of the segment of a pair: six digits at least, and all of those of longer numbers (``lpad`` by itself cuts them off)."""
+    digits = index.cast("string")
+    return F.concat(F.lit("utg"), F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0")))
+
+
+def gfa_s_lines(nodes: DataFrame, depth: int = 100, name: Callable[[Column], Column] = segment_name) -> DataFrame:
     """S lines of forward nodes: node, value. nodes: node, read_length, support, and seq if there are sequences."""
     seq = F.col("seq") if "seq" in nodes.columns else F.lit("*")
     support = F.greatest(F.lit(1).cast("long"), F.floor(F.coalesce("support", F.lit(0.0)) * depth + 1e-9))
-    name = F.concat(F.lit("utg"), F.lpad(F.expr("node div 2").cast("string"), 6, "0"))
-    line = F.concat_ws("\t", F.lit("S"), name, seq, F.concat(F.lit("LN:i:"), "read_length"), F.concat(F.lit("rd:i:"), support.cast("string")))
+    line = F.concat_ws("\t", F.lit("S"), name(F.expr("node div 2")), seq, F.concat(F.lit("LN:i:"), "read_length"), F.concat(F.lit("rd:i:"), support.cast("string")))
     return nodes.where("node % 2 = 0").select("node", line.alias("value"))
 
 
-def gfa_l_lines(edges: DataFrame) -> DataFrame:
+def gfa_l_lines(edges: DataFrame, name: Callable[[Column], Column] = segment_name) -> DataFrame:
     """L lines, one for each pair of mirrors: src, dst, value."""
     from pairstrand.operators.graph import canonical
 
-    name = lambda c: F.concat(F.lit("utg"), F.lpad(F.expr(f"{c} div 2").cast("string"), 6, "0"))
+    of = lambda c: name(F.expr(f"{c} div 2"))
     sign = lambda c: F.when(F.col(c) % 2 == 0, "+").otherwise("-")
-    line = F.concat_ws("\t", F.lit("L"), name("src"), sign("src"), name("dst"), sign("dst"), F.concat(F.col("overlap_length").cast("string"), F.lit("M")))
+    line = F.concat_ws("\t", F.lit("L"), of("src"), sign("src"), of("dst"), sign("dst"), F.concat(F.col("overlap_length").cast("string"), F.lit("M")))
     return canonical(edges).dropDuplicates(["src", "dst"]).select("src", "dst", line.alias("value"))
 
 
@@ -270,7 +278,9 @@ def write_gfa(nodes: DataFrame, edges: DataFrame, path: str, depth: int = 100) -
     head = nodes.sparkSession.createDataFrame([(0, 0, 0, "H\tVN:Z:1.0")], "kind int, a long, b long, value string")
     segments = gfa_s_lines(nodes, depth).select(F.lit(1), "node", F.lit(0), "value")
     links = gfa_l_lines(edges).select(F.lit(2), "src", "dst", "value")
-    head.union(segments).union(links).orderBy("kind", "a", "b").select("value").write.text(path)
+    lines = written(head.union(segments).union(links), "gfa-lines")  # sorting looks at them twice
+    lines.orderBy("kind", "a", "b").select("value").write.text(path)
+    forget(lines)
 
 
 def gfa_to_fasta(split: DataFrame) -> DataFrame:
