@@ -128,7 +128,7 @@ def unitig_rollup(placements: DataFrame, reads: DataFrame) -> DataFrame:
     strand is the sign of the strands as placed (0 counts as +1); chromosome and variant are the most common ones, of equals
     the one that comes first in the file.
     """
-    rows = placements.join(reads, "read_id")
+    rows = written(placements.select("seg_id", "line_no", "orient", "read_id").join(reads.select("read_id", "read_strand", "read_chr", "variant", "read_start", "read_end"), "read_id").drop("read_id"), "unitig-rows")
     placed = F.col("read_strand") * F.when(F.col("orient") == "-", -1).otherwise(1)
     merged = rows.groupBy("seg_id").agg(
         F.count(F.lit(1)).alias("n"),

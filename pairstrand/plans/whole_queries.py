@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairstrand.operators import explore, labels, metrics, refine, sampling, simplify
 from pairstrand.plans.registry import ORACLES, QUERIES, query
 from pairstrand.plans.structure_queries import CHAIN_TABLE_SQL, CLASS_SQL, RECURSIVE, TRIO_SQL, W, chain_blocks, tables
-from pairstrand.plans.walk_queries import A_SQL, DNA_SQL, UNITIG_SQL, WALK_SQL, _dna, _headers, _placements, _walks
+from pairstrand.plans.walk_queries import A_SQL, DNA_SQL, UNITIG_SQL, WALK_SQL, _dna, _headers, _placements, _six_digits, _walks
 from pairstrand.sources import fixture as fx
 from pairstrand.sources import formats
 from pairstrand.sources.shared import new_folder
@@ -22,8 +22,7 @@ def build_graph(spark, d):
     """A GFA file of the fixture's graph, written, and read again with its reads' headers."""
     r, n, e = tables(spark, d)
     path = new_folder(spark, "gfa")
-    name = F.concat(F.lit("utg"), F.lpad(F.col("rid").cast("string"), 6, "0"))
-    placed = r.select(F.concat_ws("\t", F.lit("A"), name, F.lit("0"), F.lit("+"), F.concat(F.lit("read"), "rid"), F.lit("0"), F.col("len").cast("string"), F.lit("id:i:0"), F.lit("HG:A:a")).alias("value"))
+    placed = r.select(F.concat_ws("\t", F.lit("A"), formats.segment_name(F.col("rid")), F.lit("0"), F.lit("+"), F.concat(F.lit("read"), "rid"), F.lit("0"), F.col("len").cast("string"), F.lit("id:i:0"), F.lit("HG:A:a")).alias("value"))
     formats.write_gfa(n, e, f"{path}/graph")
     placed.write.text(f"{path}/reads")
     lines = formats.fields(formats.numbered_lines(spark, f"{path}/graph")).unionByName(formats.fields(formats.numbered_lines(spark, f"{path}/reads")))
@@ -96,7 +95,7 @@ GFA_SEQ_SQL = W + DNA_SQL + " SELECT '>utg' || lpad(doc_id::VARCHAR, 6, '0') ||
 def sink_gfa2fa(spark, d):
     """Sequences as segments of a GFA file, and these as FASTA."""
     segments = _dna(spark, d).where("seq <> ''").select((2 * F.col("doc_id")).alias("node"), F.length("seq").cast("long").alias("read_length"), F.lit(None).cast("double").alias("support"), "seq")
-    lines = formats.gfa_s_lines(segments).select(F.col("node").alias("line_no"), "value")
+    lines = formats.gfa_s_lines(segments, name=_six_digits).select(F.col("node").alias("line_no"), "value")
     return formats.gfa_to_fasta(formats.fields(lines))
 
 
