@@ -32,6 +32,7 @@ def triangle_theta(edges: DataFrame, eps: float = EPS) -> DataFrame:
 
 
 def transitive_reduction(edges: DataFrame, eps: float = EPS) -> DataFrame:
+    edges = written(edges, "reduction-edges")  # ways of two edges look at them time and again
     return edges.join(triangle_theta(edges, eps), ["src", "dst"], "left_anti")
 
 
