@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairstrand.functions.strings import complement
+from pairstrand.sources.shared import written
 
 
 def mirror(edges: DataFrame) -> DataFrame:
@@ -109,12 +110,24 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def neighbourhoods(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """seed, node: for each seed by itself what ``neighbourhood`` finds from it."""
-    either = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).toDF("node", "next").distinct()
-    reached = seeds.select(F.col("node").alias("seed"), "node").distinct()
-    for _ in range(hops):
-        reached = reached.union(reached.join(either, "node").select("seed", F.col("next").alias("node"))).distinct()
-    return reached.union(reached.select("seed", complement(F.col("node")).alias("node"))).distinct()
+    """seed, node: for each seed by itself what ``neighbourhood`` finds from it.
+
+    Nodes send lists of neighbours. All lists of a seed meet once, where they lose what is double and get their complements, so
+    pairs are never shuffled by themselves.
+    """
+    ends = F.array(F.struct("src", F.col("dst").alias("next")), F.struct(F.col("dst").alias("src"), F.col("src").alias("next")))
+    lists = edges.select(F.inline(ends)).groupBy(F.col("src").alias("node")).agg(F.collect_set("next").alias("near"))
+    lists = written(lists, "near-lists")
+    together = lambda found: found.groupBy("seed").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    front = own = seeds.select(F.col("node").alias("seed"), "node").distinct()
+    every = own.select("seed", F.array("node").alias("near"))
+    for hop in range(hops):
+        found = front.join(lists, "node").select("seed", "near")
+        every = every.union(found)
+        if hop + 1 < hops:
+            front = (together(found) if hop else found).select("seed", F.explode("near").alias("node"))
+    both = F.array_distinct(F.flatten(F.transform("near", lambda x: F.array(x, complement(x)))))
+    return together(every).select("seed", F.explode(both).alias("node"))
 
 
 def neighbours_shared_by_edge(edges: DataFrame) -> DataFrame:
