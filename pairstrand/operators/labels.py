@@ -12,10 +12,12 @@ from pairstrand.sources.shared import written
 COORDINATES = ["read_start_M", "read_end_M", "read_start_P", "read_end_P"]
 
 
-def classify_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """src, dst, read_chr (of the source), class."""
-    both = attach_endpoint_attrs(edges.select("src", "dst"), nodes, ["read_chr", "read_strand", *COORDINATES])
-    return both.select("src", "dst", F.col("s_read_chr").alias("read_chr"), edge_class().alias("class"))
+def classify_edges(edges: DataFrame, nodes: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """src, dst, read_chr (of the source), class, and more columns of both ends' attributes (s_* and d_*)."""
+    known = ["node", "read_chr", "read_strand", *COORDINATES]
+    extra = [c for c in nodes.columns if c not in known] if more else []
+    both = attach_endpoint_attrs(edges if more else edges.select("src", "dst"), nodes, [*known[1:], *extra])
+    return both.select("src", "dst", F.col("s_read_chr").alias("read_chr"), edge_class().alias("class"), *(c.alias(n) for n, c in (more or {}).items()))
 
 
 def label_columns(cls: Column) -> dict[str, Column]:
@@ -37,10 +39,10 @@ def label_columns(cls: Column) -> dict[str, Column]:
     }
 
 
-def create_gt(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Every edge with its label columns."""
-    classified = classify_edges(edges, nodes)
-    return classified.select("src", "dst", *(c.alias(n) for n, c in label_columns(F.col("class")).items()))
+def create_gt(edges: DataFrame, nodes: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """Every edge with its label columns, and more as for ``classify_edges``."""
+    classified = classify_edges(edges, nodes, more)
+    return classified.select("src", "dst", *(c.alias(n) for n, c in label_columns(F.col("class")).items()), *(more or {}))
 
 
 def gt_soft(labelled: DataFrame, nodes: DataFrame) -> DataFrame:
