@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairstrand.functions.predicates import edge_class, is_correct_edge
 from pairstrand.operators.graph import attach_endpoint_attrs
-from pairstrand.sources.shared import written
+from pairstrand.sources.shared import new_folder, written
 
 COORDINATES = ["read_start_M", "read_end_M", "read_start_P", "read_end_P"]
 
@@ -89,7 +89,7 @@ def edge_class_summary(classified: DataFrame) -> DataFrame:
 def trap_edges(labelled: DataFrame) -> DataFrame:
     """src, dst, trap: edges into nodes all of whose (one or more) out-edges are wrong or traps themselves.
 
-    Repeated until nothing changes; each round is written to the shared folder. A node with a single way on shares the fate
+    Repeated until nothing changes; a round writes what it adds to the shared folder. A node with a single way on shares the fate
     of the node it leads to, so such chains are first followed by pointer doubling and rounds count the other nodes only.
     """
     edges = written(labelled.select("src", "dst", (F.col("gt_bin") == 0).alias("wrong")), "traps")
@@ -105,15 +105,32 @@ def trap_edges(labelled: DataFrame) -> DataFrame:
         before = moving
     aimed = edges.join(links.withColumnRenamed("node", "dst"), "dst", "left").select("src", "dst", "wrong", F.coalesce("next", "dst").alias("aim"))
     aimed = written(aimed, "traps")
-    state = written(aimed.join(links.select(F.col("node").alias("src")), "src", "left_anti").select("src", "aim", "wrong", F.lit(False).alias("trap")), "traps")
+    state = aimed.join(links.select(F.col("node").alias("src")), "src", "left_anti")
+    # a node is dead once all its right edges lead to dead ones; of edges that are neither right nor wrong one is enough, where there are no others
+    right, bad = F.count_if(~F.col("wrong")), F.coalesce(F.bool_or("wrong"), F.lit(False))
+    needs = state.groupBy("src").agg(F.when(right > 0, right).when(bad, 0).otherwise(1).alias("need"), (right > 0).alias("has_right"))
+    needs = written(needs, "trap-needs")
+    dead = _dead(written(state.where(~F.col("wrong")).select("src", "aim").union(state.where("wrong is null").join(needs.where("need = 1 and not has_right").select("src"), "src", "left_semi").select("src", "aim")), "trap-open"), needs)
+    return aimed.join(dead.withColumn("dead", F.lit(True)), "aim", "left").select("src", "dst", F.coalesce("dead", F.lit(False)).cast("int").alias("trap"))
+
+
+def _dead(open_edges: DataFrame, needs: DataFrame) -> DataFrame:
+    """Dead nodes (aim): those of which at least ``need`` edges (src, aim) lead to dead ones. A round writes the nodes that it adds,
+    and how many edges lead to them from where."""
+    spark, c = needs.sparkSession, F.col
+    dead, hits, rounds = new_folder(spark, "trap-dead"), new_folder(spark, "trap-hits"), 0
+    needs.where("need = 0").select(c("src").alias("aim")).write.parquet(f"{dead}/n=0")
     while True:
-        dead = state.groupBy("src").agg(F.bool_and(F.col("wrong") | F.col("trap")).alias("dead")).where("dead").select(F.col("src").alias("aim"), "dead")
-        after = state.join(dead, "aim", "left").select("src", "aim", "wrong", F.col("trap").alias("old"), F.coalesce("dead", F.lit(False)).alias("trap"))
-        after = written(after, "traps")
-        state = after.select("src", "aim", "wrong", "trap")
-        if after.where("old <> trap").isEmpty():
-            break
-    return aimed.join(dead, "aim", "left").select("src", "dst", F.coalesce("dead", F.lit(False)).cast("int").alias("trap"))
+        front = spark.read.schema("aim long").parquet(f"{dead}/n={rounds}")
+        rounds += 1
+        open_edges.join(front, "aim").groupBy("src").agg(F.count(F.lit(1)).alias("hits")).write.parquet(f"{hits}/n={rounds}")
+        now = spark.read.schema("src long, hits long").parquet(f"{hits}/n={rounds}")
+        every = spark.read.schema("src long, hits long").parquet(hits)
+        sums = every.join(now.select("src", c("hits").alias("now")), "src").groupBy("src").agg(F.sum("hits").alias("all"), F.max("now").alias("now"))
+        new = sums.join(needs, "src").where((c("all") >= c("need")) & (c("all") - c("now") < c("need")))
+        new.select(c("src").alias("aim")).write.parquet(f"{dead}/n={rounds}")
+        if spark.read.schema("aim long").parquet(f"{dead}/n={rounds}").isEmpty():
+            return spark.read.schema("aim long").parquet(dead).select("aim")
 
 
 def node_outcomes(labelled: DataFrame, nodes: DataFrame) -> DataFrame:
