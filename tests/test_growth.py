@@ -3,16 +3,18 @@
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pairstrand.functions.strings import IUPAC, IUPAC_COMPLEMENT
-from pairstrand.operators import graph, labels, metrics, score, simplify, training
+from pairstrand.operators import graph, labels, metrics, score, simplify, training, vectors
 from pairstrand.plans import walk_queries
 from pairstrand.plans.catalog import QUERIES
 from pairstrand.plans.walk_queries import SIZE, WEIGHTS, _vectors
 from pairstrand.sources import fixture as fx
 from pairstrand.sources import formats
+from pairstrand.sources.shared import written
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
@@ -176,3 +178,36 @@ def test_traps_write_what_a_round_adds(spark, monkeypatch):
     found = labels.trap_edges(spark.createDataFrame(rows, "src long, dst long, gt_bin int"))
     assert {(r["src"], r["dst"]): r["trap"] for r in found.collect()} == {k: int(k[1] in dead) for k in wrong}
     assert kinds.count("traps") <= 2 and len(dead) > 30
+
+
+def test_an_edge_is_written_once_a_layer(spark, monkeypatch):
+    """Three layers against numpy, in tiny batches and sums, with a node of many edges and nodes of none; of each layer's tables one
+    holds the edges' vectors."""
+    tables = []
+    monkeypatch.setattr(score, "written", lambda df, kind: tables.append(df.columns) or written(df, kind))
+    monkeypatch.setattr(vectors, "HELD", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = np.random.default_rng(5)
+        n, pairs = 14, sorted({(0, int(b)) for b in range(1, 12)} | {(int(a), int(b)) for a, b in rng.integers(0, 12, (30, 2)) if a != b})
+        h, g = rng.normal(size=(n, SIZE)), rng.normal(size=(len(pairs), SIZE))
+        of_nodes = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(h)], "node long, h array<double>").repartition(3)
+        of_edges = spark.createDataFrame([(a, b, v.tolist()) for (a, b), v in zip(pairs, g, strict=True)], "src long, dst long, e array<double>").repartition(3)
+        new, new_e = score.gated_network(of_nodes, of_edges, [WEIGHTS] * 3, SIZE)
+        w, (src, dst) = {k: np.array(v) for k, v in WEIGHTS.items()}, np.array(pairs).T
+        for _ in range(3):
+            raw = h[src] @ w["B1"].T + h[dst] @ w["B2"].T + g @ w["B3"].T
+            gate, out = 1 / (1 + np.exp(-raw)), h @ w["A1"].T
+            for to, v in ((dst, (h @ w["A2"].T)[src]), (src, (h @ w["A3"].T)[dst])):
+                up, low = np.zeros((n, SIZE)), np.full((n, SIZE), 1e-6)
+                np.add.at(up, to, gate * v)
+                np.add.at(low, to, gate)
+                out += up / low
+            h, g = h + np.maximum(out, 0), g + np.maximum(raw, 0)
+        assert np.allclose([r["h"] for r in new.orderBy("node").collect()], h)
+        got = {(r["src"], r["dst"]): r["e"] for r in new_e.collect()}
+        assert len(got) == len(pairs) and np.allclose([got[p] for p in pairs], g)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum("e" in columns for columns in tables) == 3
+    assert score.gated_network(of_nodes, of_edges.limit(0), [WEIGHTS] * 2, SIZE)[0].count() == n
