@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairstrand.sources.shared import forget, new_folder, shuffle_partitions, written
+from pairstrand.sources.shared import bucketed, forget, new_folder, shuffle_partitions, written
 
 
 def wcc(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Weakly connected components of the nodes that have edges: node, component (the smallest node of each).
 
     Each round takes the smallest label among a node's neighbours and then jumps to that label's own label, so long chains
-    take about as many rounds as their length has binary digits. Rounds are written to the shared folder; all sums and
-    minima aggregate before their shuffles, so a node with very many edges does no harm.
+    take about as many rounds as their length has binary digits. Edges are shuffled once, for they are dealt by the end that labels
+    come from. Rounds are written to the shared folder; all sums and minima aggregate before their shuffles, so a node with very many edges does no harm.
     """
     one_way = edges.select(edges[src].alias("u"), edges[dst].alias("v"))
-    both = written(one_way.union(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "wcc-edges")
+    both = bucketed(one_way.union(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"))), "wcc-edges", ["v"], distinct=True)
     labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "wcc-labels")
     while True:
         of_v = labels.select(F.col("node").alias("v"), F.col("label").alias("seen"))

@@ -31,7 +31,7 @@ from pairstrand.operators.cuts import double_cut
 from pairstrand.operators.graph import common_neighbours
 from pairstrand.operators.score import beam_edge_score, graphic_edge_score
 from pairstrand.operators.simplify import chains_of
-from pairstrand.sources.shared import new_folder, written
+from pairstrand.sources.shared import bucketed, new_folder, written
 
 #: What a search belongs to, and what names it.
 GROUP = ["component", "hap"]
@@ -85,11 +85,14 @@ def read_strategies(path: str) -> dict[str, Strategy]:
 class SearchGraph:
     """What searches see. places: group, node, head (the chain's name), pos, last (of the chain), hairpin (whether the chain holds a
     node and its complement), gain and length (sums from the head to the node), other_head and other_pos (of the
-    complement). exits: group, backward, node, and per edge out of a chain: next, gain, prefix_length, around (places of the
-    nodes between the edge's ends and of their complements)."""
+    complement). exits: group, backward, node, and per edge out of a chain: next, its place, gain, prefix_length, around (places of the
+    nodes between the edge's ends and of their complements). Each round looks at a few rows of these: exits are dealt by where
+    they begin, places by their chain (chains) and by where they are in it (stops), so none of them is shuffled again."""
 
     places: DataFrame
     exits: DataFrame
+    chains: DataFrame
+    stops: DataFrame
 
 
 def search_graph(edges: DataFrame) -> SearchGraph:
@@ -117,10 +120,16 @@ def search_graph(edges: DataFrame) -> SearchGraph:
     between = plain.select(*GROUP, "src", "dst").join(via, ["src", "dst"]).join(at, [*GROUP, "via"])
     around = between.groupBy(*GROUP, "src", "dst").agg(F.flatten(F.collect_list(F.filter(F.array("own", "twin"), lambda x: x["head"].isNotNull()))).alias("around"))
     # edges along a chain aren't exits; the others leave from its end forward, and from its head backward
-    of = lambda end: places.select(*GROUP, F.col("node").alias(end), F.col("head").alias(f"{end}_head"), F.col("pos").alias(f"{end}_pos"))
+    spot = {"head": "head", "pos": "pos", "last": "last", "hairpin": "hairpin", "gain": "cum_gain", "length": "cum_length"}
+    of = lambda end: places.select(*GROUP, F.col("node").alias(end), *(F.col(c).alias(f"{end}_{to}") for c, to in spot.items()))
     both = plain.join(of("src"), [*GROUP, "src"]).join(of("dst"), [*GROUP, "dst"]).where("src_head <> dst_head or dst_pos <> src_pos + 1").join(around, [*GROUP, "src", "dst"], "left")
-    one = lambda backward, node, nxt: both.select(*GROUP, F.lit(backward).alias("backward"), F.col(node).alias("node"), F.col(nxt).alias("next"), F.col("gain").alias("edge_gain"), "prefix_length", "around")
-    return SearchGraph(places, written(one(False, "src", "dst").union(one(True, "dst", "src")), "search-exits"))
+
+    def one(backward: bool, node: str, nxt: str) -> DataFrame:
+        return both.select(*GROUP, F.lit(backward).alias("backward"), F.col(node).alias("node"), F.col(nxt).alias("next"), *(F.col(f"{nxt}_{to}").alias(f"to_{to}") for to in spot.values()), F.col("gain").alias("edge_gain"), "prefix_length", "around")
+
+    exits = bucketed(one(False, "src", "dst").union(one(True, "dst", "src")), "search-exits", [*GROUP, "backward", "node"])
+    stops = places.select(*GROUP, "head", F.col("pos").alias("goal"), F.col("node").alias("goal_node"), F.col("gain").alias("goal_gain"), F.col("length").alias("goal_length"))
+    return SearchGraph(places, exits, bucketed(places, "search-chains-dealt", [*GROUP, "head"]), bucketed(stops, "search-stops", [*GROUP, "head", "goal"]))
 
 
 #: Line of what all states of a search see from its start.
@@ -137,6 +146,15 @@ def _sees(lines: Column, line: Column, at: Column) -> Column:
     return F.exists(lines, lambda x: (x["id"] == line) & (at <= x["until"]))
 
 
+def _of_state(states: DataFrame, more: DataFrame) -> DataFrame:
+    """States with what is known of them by search and slot, met by search alone."""
+    other = more.select(*(F.col(k).alias(f"{k}_") for k in [*SEARCH, "slot"]), *(k for k in more.columns if k not in [*SEARCH, "slot"]))
+    meant = F.col("slot") - F.col("slot_") == 0  # not a key, or rows would be dealt anew by it
+    for k in SEARCH:
+        meant &= F.col(k) == F.col(f"{k}_")
+    return states.join(other, meant, "left").drop(*(f"{k}_" for k in [*SEARCH, "slot"]))
+
+
 def beam_search(starts: DataFrame, graph: SearchGraph, width: int, seen: DataFrame, intermediate: bool = True, gone: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The best walk of each search: component, hap, search, path, total, length (sum of prefix lengths); and what it has
     visited: component, hap, search, node.
@@ -171,21 +189,21 @@ def beam_search(starts: DataFrame, graph: SearchGraph, width: int, seen: DataFra
         room = F.when(F.col("backward"), F.col("pos")).otherwise(F.col("last") - F.col("pos"))
         along = F.when(F.col("backward"), F.lit(-1)).otherwise(F.lit(1))
         # what states look at: the rest of their chain, or the places behind the exits at its end
-        ends = moving.where(room == 0).join(exits, [*GROUP, "backward", "node"]).join(where.select(*GROUP, F.col("node").alias("next"), *(F.col(c).alias(f"to_{c}") for c in ("head", "pos", "last", "hairpin", "cum_gain", "cum_length"))), [*GROUP, "next"])
+        ends = moving.where(room == 0).join(exits, [*GROUP, "backward", "node"])
         look = moving.where(room > 0).select(*SEARCH, "slot", "lines", F.lit(-1).cast("long").alias("next"), along.alias("along"), "head", (F.col("pos") + along).alias("from"))
         look = look.union(ends.select(*SEARCH, "slot", "lines", "next", F.lit(0), "to_head", "to_pos"))
         marks = spark.read.schema(stretch_schema).parquet(f"{folder}/stretches").select(*SEARCH, "line", "round", "head", "lo", "hi")
         trunk = spark.read.schema(schema).parquet(f"{folder}/states").select(*SEARCH, F.explode("shared").alias("x")).select(*SEARCH, F.col("x.id").alias("line"), F.col("x.until").alias("until"))
-        marks = marks.join(trunk, [*SEARCH, "line"], "left")
+        ahead = ((F.col("along") == 1) & (F.col("hi") >= F.col("from"))) | ((F.col("along") == -1) & (F.col("lo") <= F.col("from"))) | ((F.col("along") == 0) & F.col("from").between(F.col("lo"), F.col("hi")))
         visible = (F.col("line") == BASE) | (F.col("round") <= F.col("until")) | _sees(F.col("lines"), F.col("line"), F.col("round"))
-        met = look.join(marks, [*SEARCH, "head"]).where(F.coalesce(visible, F.lit(False))).select(*SEARCH, "slot", "next", "along", "from", "lo", "hi")
-        met = met.union(look.join(blocked, [*GROUP, "head"]).select(*SEARCH, "slot", "next", "along", "from", "lo", "hi"))
+        met = look.join(marks, [*SEARCH, "head"]).where(ahead).join(trunk, [*SEARCH, "line"], "left").where(F.coalesce(visible, F.lit(False))).select(*SEARCH, "slot", "next", "along", "from", "lo", "hi")
+        met = met.union(look.join(blocked, [*GROUP, "head"]).where(ahead).select(*SEARCH, "slot", "next", "along", "from", "lo", "hi"))
         # free steps from the place looked at; of one behind an exit only whether it is free
         steps = F.when(F.col("along") == 1, F.greatest("lo", "from") - F.col("from")).when(F.col("along") == -1, F.col("from") - F.least("hi", "from")).otherwise(0)
-        ahead = ((F.col("along") == 1) & (F.col("hi") >= F.col("from"))) | ((F.col("along") == -1) & (F.col("lo") <= F.col("from"))) | ((F.col("along") == 0) & F.col("from").between(F.col("lo"), F.col("hi")))
-        free = met.where(ahead).groupBy(*SEARCH, "slot", "next").agg(F.min(steps).alias("free"))
+        free = met.groupBy(*SEARCH, "slot", "next").agg(F.min(steps).alias("free"))
         free_exits = ends.join(free, [*SEARCH, "slot", "next"], "left_anti").select(*SEARCH, "slot", "next", "to_head", "to_pos", "to_last", "to_hairpin", "to_cum_gain", "to_cum_length", "edge_gain", "prefix_length", "around")
-        rows = states.join(free.where("next = -1").select(*SEARCH, "slot", "free"), [*SEARCH, "slot"], "left").join(free_exits, [*SEARCH, "slot"], "left")
+        # a search has few states: all that they choose by is dealt by search, and which state is meant is looked at there
+        rows = _of_state(_of_state(states, free.where("next = -1").select(*SEARCH, "slot", "free")), free_exits)
         rows = rows.withColumn("room", F.least(room, F.coalesce("free", room))).withColumn("stops", ~F.col("moving") | ((room > 0) & (F.col("room") == 0)))
         stopped = F.collect_set(F.when(F.col("stops"), F.struct("head", "pos"))).over(of_search)
         rows = rows.withColumn("stopped", stopped)
@@ -196,8 +214,7 @@ def beam_search(starts: DataFrame, graph: SearchGraph, width: int, seen: DataFra
         # one row an option: a leap, an exit, or staying
         leaps = F.col("leap") * along
         rows = rows.withColumns({"open": inside | F.col("next").isNotNull(), "goal": F.when(inside, F.col("pos") + leaps)})
-        goal = where.select(*GROUP, "head", F.col("pos").alias("goal"), F.col("node").alias("goal_node"), F.col("cum_gain").alias("goal_gain"), F.col("cum_length").alias("goal_length"))
-        rows = rows.join(goal, [*GROUP, "head", "goal"], "left")
+        rows = rows.drop("stopped", "free").join(graph.stops, [*GROUP, "head", "goal"], "left").repartition(*SEARCH)
         pick = lambda leap, way, stay: F.when(inside, leap).when(F.col("next").isNotNull(), way).otherwise(stay)
         c = F.col
         rows = rows.withColumns(
@@ -237,7 +254,7 @@ def beam_search(starts: DataFrame, graph: SearchGraph, width: int, seen: DataFra
         high = F.when(~c("leapt"), c("pos")).when(c("backward"), c("was") - 1).otherwise(c("pos"))
         line = F.element_at("lines", -1)["id"]
         parts = moved.select(*SEARCH, "round", "backward", line.alias("line"), "head", low.alias("lo"), high.alias("hi"), "leapt", "before", "total", "was", "was_gain", "was_length", "was_cum", "length")
-        on = parts.join(places.select(*GROUP, "head", c("pos").alias("p"), c("node").alias("p_node"), c("gain").alias("p_gain"), c("length").alias("p_length"), "other_head", "other_pos"), [*GROUP, "head"]).where(c("p").between(c("lo"), c("hi")))
+        on = parts.join(graph.chains.select(*GROUP, "head", c("pos").alias("p"), c("node").alias("p_node"), c("gain").alias("p_gain"), c("length").alias("p_length"), "other_head", "other_pos"), [*GROUP, "head"]).where(c("p").between(c("lo"), c("hi")))
         sign = F.when(c("backward"), F.lit(-1)).otherwise(F.lit(1))
         total_at = F.when(c("leapt"), c("before") + (c("p_gain") - c("was_gain")) * sign).otherwise(c("total"))
         length_at = F.when(c("leapt"), c("was_length") + (c("p_length") - c("was_cum")) * sign).otherwise(c("length"))
@@ -374,7 +391,7 @@ def scored_components(nodes: DataFrame, edges: DataFrame, s: Strategy, haps: lis
     edges: src, dst, overlap_length, prefix_length, score, to_cut; nodes: node, read_length, kmer_count_p, kmer_count_m (and
     graphic_score). Without haplotypes no k-mers are penalised.
     """
-    kept = double_cut(edges, s.c_t, s.c_b)
+    kept = written(double_cut(edges, s.c_t, s.c_b), "scored-kept")
     members = find_components(kept, s.min_component_size)
     own = kept.join(members.withColumnRenamed("node", "src"), "src")
     has_kmers = {"kmer_count_p", "kmer_count_m"} <= set(nodes.columns)

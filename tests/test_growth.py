@@ -8,13 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairstrand.functions.strings import IUPAC, IUPAC_COMPLEMENT
-from pairstrand.operators import graph, labels, metrics, score, simplify, training, vectors
+from pairstrand.operators import decode, graph, labels, metrics, score, simplify, training, vectors
 from pairstrand.plans import walk_queries
 from pairstrand.plans.catalog import QUERIES
 from pairstrand.plans.walk_queries import SIZE, WEIGHTS, _vectors
 from pairstrand.sources import fixture as fx
 from pairstrand.sources import formats
-from pairstrand.sources.shared import written
+from pairstrand.sources.shared import bucketed, forget, written
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
@@ -211,3 +211,19 @@ def test_an_edge_is_written_once_a_layer(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sum("e" in columns for columns in tables) == 3
     assert score.gated_network(of_nodes, of_edges.limit(0), [WEIGHTS] * 2, SIZE)[0].count() == n
+
+
+def test_the_graph_of_searches_is_not_shuffled_by_rounds(spark):
+    """What a round looks up in the graph shuffles its states only; buckets give the rows that were put into them, and can be forgotten."""
+    edges = spark.createDataFrame([(0, h, a, b, 10, 0.5) for h in "pm" for a, b in [(0, 2), (2, 4), (2, 6), (4, 8), (6, 8), (8, 10)]], "component int, hap string, src long, dst long, prefix_length long, gain double")
+    graph = decode.search_graph(edges)
+    at = [*decode.GROUP, "backward", "node"]
+    for table, keys in ((graph.exits, at), (graph.chains, [*decode.GROUP, "head"]), (graph.stops, [*decode.GROUP, "head", "goal"])):
+        states = spark.createDataFrame(table.select(*keys).limit(3).collect(), table.select(*keys).schema).repartition(3)
+        met = states.hint("merge").join(table, keys)
+        assert met.count() >= 3 and plan(met).count("Exchange hashpartitioning") == 1
+    assert {(r["node"], r["next"]) for r in graph.exits.where("not backward").collect()} == {(2, 4), (2, 6), (4, 8), (6, 8)}
+    kept = bucketed(spark.createDataFrame([(1, 2), (1, 2), (3, 4)], "v long, u long"), "test-buckets", ["v"], distinct=True)
+    assert sorted(map(tuple, kept.collect())) == [(1, 2), (3, 4)]
+    forget(kept)
+    assert not spark.catalog.tableExists(kept._table)
