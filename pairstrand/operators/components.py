@@ -11,24 +11,33 @@ from pairstrand.sources.shared import bucketed, forget, new_folder, shuffle_part
 def wcc(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Weakly connected components of the nodes that have edges: node, component (the smallest node of each).
 
-    Each round takes the smallest label among a node's neighbours and then jumps to that label's own label, so long chains
-    take about as many rounds as their length has binary digits. Edges are shuffled once, for they are dealt by the end that labels
-    come from. Rounds are written to the shared folder; all sums and minima aggregate before their shuffles, so a node with very many edges does no harm.
+    Each round points every node to its smallest neighbour, if that is smaller than itself, and merges it into the node where such
+    pointers end (``roots``: rounds follow the digits of the longest line of pointers). Edges go on between merged nodes, those
+    within one are dropped, so rounds shrink, and no table of all nodes is written before the end. Minima aggregate before their
+    shuffles, so a node with very many edges does no harm.
     """
     one_way = edges.select(edges[src].alias("u"), edges[dst].alias("v"))
-    both = bucketed(one_way.union(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"))), "wcc-edges", ["v"], distinct=True)
-    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "wcc-labels")
-    while True:
-        of_v = labels.select(F.col("node").alias("v"), F.col("label").alias("seen"))
-        seen = both.join(of_v, "v").groupBy("u").agg(F.min("seen").alias("seen")).withColumnRenamed("u", "node")
-        lower = written(labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label")), "wcc-lower")
-        follow = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = lower.join(follow, "label").select("node", "old", F.col("next").alias("label"))
-        before, labels = labels, written(jumped, "wcc-labels")
-        forget(before, lower)
-        if labels.where(F.col("old") != F.col("label")).isEmpty():
-            forget(both)
-            return labels.select("node", F.col("label").alias("component"))
+    both = one_way.union(one_way.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    first = rest = written(both.distinct(), "wcc-edges")
+    merged: list[DataFrame] = []
+    while merged == [] or not rest.isEmpty():
+        pointers = rest.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("up")).where("up < node")
+        merged.append(written(roots(pointers), "wcc-merged"))
+        end = lambda e: F.coalesce(f"root_{e}", e).alias(e)
+        left = rest
+        for e in ("u", "v"):
+            left = left.join(merged[-1].select(F.col("node").alias(e), F.col("root").alias(f"root_{e}")), e, "left")
+        before, rest = rest, written(left.select(end("u"), end("v")).where("u <> v").distinct(), "wcc-edges")
+        if before is not first:
+            forget(before)
+    # what later rounds merged, which is little, is followed first
+    known = merged[-1]
+    for own in reversed(merged[:-1]):
+        later = known.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        known = own.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")).union(known.join(own.select("node"), "node", "left_anti"))
+    found = written(first.select(F.col("u").alias("node")).distinct().join(known, "node", "left").select("node", F.coalesce("root", "node").alias("component")), "wcc-labels")
+    forget(first, rest, *merged)
+    return found
 
 
 def find_components(edges: DataFrame, min_size: int = 2) -> DataFrame:
@@ -168,8 +177,10 @@ def comp_ways(starts: DataFrame, edges: DataFrame) -> DataFrame:
     from pairstrand.operators.refine import traces
 
     spark, c = starts.sparkSession, F.col
-    step = written(edges.select("src", "dst").distinct(), "dist-edges")
-    label = wcc(step)
+    # edges are dealt by either end, so that rounds shuffle their fronts only
+    one_way = bucketed(edges.select("src", "dst"), "dist-edges", ["src"], distinct=True)
+    steps = {"ahead": one_way, "behind": bucketed(one_way, "dist-edges", ["dst"])}
+    label = wcc(one_way)
     other = label.select(c("node").bitwiseXOR(F.lit(1)).alias("node"), c("component").alias("other"))
     hopeful = starts.select("node").distinct().join(label, "node").join(other, "node").where("component = other")
     first = written(hopeful.select(c("node").alias("start")), "dist-starts")
@@ -185,17 +196,17 @@ def comp_ways(starts: DataFrame, edges: DataFrame) -> DataFrame:
         one, two = ("src", "dst") if side == "ahead" else ("dst", "src")
         rounds += 1
         seen = spark.read.schema(schema).parquet(folders[side]).select("start", "at")
-        new = fronts[side].join(step, c("at") == c(one)).groupBy("start", c(two).alias("at")).agg(F.min("at").alias("up"))
-        new = new.join(seen, ["start", "at"], "left_anti").select("start", "at", F.lit((rounds + 1) // 2).cast("int").alias("d"), "up")
+        new = fronts[side].join(steps[side], c("at") == c(one)).groupBy("start", c(two).alias("at")).agg(F.min("at").alias("up"))
+        there = spark.read.schema(schema).parquet(folders[opposite]).select("start", "at", c("d").alias("d_there"))
+        new = new.join(seen, ["start", "at"], "left_anti").join(there, ["start", "at"], "left").select("start", "at", F.lit((rounds + 1) // 2).cast("int").alias("d"), "up", "d_there")
         new.write.parquet(f"{folders[side]}/n={rounds}")
-        new = spark.read.schema(schema).parquet(f"{folders[side]}/n={rounds}")
+        new = spark.read.schema(f"{schema}, d_there int").parquet(f"{folders[side]}/n={rounds}")
         if new.isEmpty():  # what these starts reach holds no complement
             break
-        there = spark.read.schema(schema).parquet(folders[opposite]).select("start", "at", c("d").alias("d_there"))
-        met = new.join(there, ["start", "at"]).groupBy("start").agg(F.min(c("d") + c("d_there")).alias("d"), F.min("at").alias("meet"))
+        met = new.where("d_there is not null").groupBy("start").agg(F.min(c("d") + c("d_there")).alias("d"), F.min("at").alias("meet"))
         met.write.parquet(f"{found}/n={rounds}")
         met = spark.read.parquet(f"{found}/n={rounds}").select("start")
-        fronts = {side: new.join(met, "start", "left_anti"), opposite: fronts[opposite].join(met, "start", "left_anti")}
+        fronts = {side: new.drop("d_there").join(met, "start", "left_anti"), opposite: fronts[opposite].join(met, "start", "left_anti")}
         if fronts[opposite].isEmpty():
             break
     met = spark.read.schema("start long, d int, meet long").parquet(found) if rounds > 1 or not new.isEmpty() else None

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairstrand.functions.strings import IUPAC, IUPAC_COMPLEMENT
-from pairstrand.operators import decode, graph, labels, metrics, score, simplify, training, vectors
+from pairstrand.operators import components, decode, graph, labels, metrics, score, simplify, training, vectors
 from pairstrand.plans import walk_queries
 from pairstrand.plans.catalog import QUERIES
 from pairstrand.plans.walk_queries import SIZE, WEIGHTS, _vectors
@@ -227,3 +227,22 @@ def test_the_graph_of_searches_is_not_shuffled_by_rounds(spark):
     assert sorted(map(tuple, kept.collect())) == [(1, 2), (3, 4)]
     forget(kept)
     assert not spark.catalog.tableExists(kept._table)
+
+
+def test_components_write_all_nodes_once(spark, monkeypatch):
+    """Random edges, a line and a node of many edges, against plain Python; only the end writes a label for each node."""
+    kinds = []
+    monkeypatch.setattr(components, "written", lambda df, kind: kinds.append(kind) or written(df, kind))
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 380)] + [(400, b) for b in range(390, 440)]
+    up = {x: x for e in edges for x in e}
+
+    def top(x):
+        return x if up[x] == x else top(up[x])
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    got = components.wcc(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {(r["node"], r["component"]) for r in got} == {(x, top(x)) for x in up} and len(got) == len(up)
+    assert kinds.count("wcc-labels") == 1
