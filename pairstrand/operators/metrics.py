@@ -9,8 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 from pairstrand.functions.strings import IUPAC, IUPAC_COMPLEMENT, path_suffix
 from pairstrand.sources.shared import shuffle_partitions
@@ -201,14 +203,242 @@ def kmers(sequences: DataFrame, k: int, parent_col: str = "parent", seq_col: str
 
 def kmer_hits(reads: DataFrame, kmers: DataFrame, k: int, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
     """read_id, parent, hits: places in reads whose k-mer is in a parent's set (kmers: kmer, parent), on either strand."""
+    known = kmers.where(F.length("kmer") == k).select(F.lit(None).alias("read_id"), "parent", F.col("kmer").alias("seq"))
+    return shared_kmers(reads.select(F.col(id_col).alias("read_id"), F.lit(None).alias("parent"), F.col(seq_col).alias("seq")).union(known), k)
 
-    @F.arrow_udf("string")
-    def canonical(words: pa.Array) -> pa.Array:
-        return _words(_canonical(np.array(words.to_pylist(), f"S{k}").view(np.uint8).reshape(len(words), k))) if len(words) else words
 
-    counted = _places(reads, k, id_col, seq_col).select(F.col(id_col).alias("read_id"), "kmer", "c")
-    known = kmers.where(F.length("kmer") == k).select("parent", canonical("kmer").alias("kmer")).distinct()
-    return counted.join(known.hint("merge"), "kmer").groupBy("read_id", "parent").agg(F.sum("c").alias("hits"))
+#: Letters that a task holds before it deals them out; k-mers that are looked at together; bins of a shuffle partition.
+LETTERS, TOGETHER, BINS = 4_000_000, 1_000_000, 8
+#: Letters that name a k-mer's bin.
+SEED = 9
+
+
+def shared_kmers(sequences: DataFrame, k: int) -> DataFrame:
+    """read_id, parent, hits: places in reads whose k-mer is in a parent's set, on either strand.
+
+    sequences: read_id (null: not a read), parent (null: in no parent's set), seq (letters of one byte each). A row may be both.
+
+    K-mers that lie one after another mostly have the same least stretch of ``SEED`` letters (by a hash that both strands share),
+    which names their bin; they go there as one piece of sequence, and many pieces as one compressed row. So a place costs two or
+    three bytes of shuffle, not a row of its own. A bin counts each read's places by parent; the sums go on.
+    """
+    types = {f.name: f.dataType for f in sequences.schema}
+    n = shuffle_partitions(sequences.sparkSession)
+    rows = sequences.select(*(F.col(c).cast("string").alias(c) for c in ("read_id", "parent", "seq"))).where(F.length("seq") >= k).repartition(n)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for i in range(len(b)):
+                held.append(b.slice(i, 1))
+                size += len(b.column(2)[i].as_buffer())
+                if size >= LETTERS:
+                    yield from dealt(held)
+                    held, size = [], 0
+        if held:
+            yield from dealt(held)
+
+    def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        letters, sizes = _letters(table.column(2))
+        for bins, *piece in _pieces(letters, sizes, k, BINS * n):
+            ids = [table.column(c).combine_chunks() for c in (0, 1)]
+            yield from _rows_of_bins(bins, *piece, *ids)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, size, last, sums, many = [], 0, None, [], 0
+        for b in batches:
+            for bin_, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if bin_ != last and size >= TOGETHER:
+                    sums.append(_hits(group, k))
+                    group, size, many = [], 0, many + len(sums[-1])
+                    if many >= TOGETHER:
+                        sums = [_summed(sums)]
+                        if len(sums[0]) >= TOGETHER // 2:
+                            yield from sums.pop().to_batches(max_chunksize=10_000)
+                        many = sum(map(len, sums))
+                last = bin_
+                group.append(_unblob(blob.as_buffer()))
+                size += int(group[-1][1].sum())
+        if group:
+            sums.append(_hits(group, k))
+        if sums:
+            yield from _summed(sums).to_batches(max_chunksize=10_000)
+
+    found = rows.mapInArrow(deal, "bin int, pieces binary").repartition(n, "bin").sortWithinPartitions("bin").mapInArrow(count, "read_id string, parent string, hits long")
+    return found.groupBy("read_id", "parent").agg(F.sum("hits").alias("hits")).select(*(F.col(c).cast(types[c] if types[c] != NullType() else "string").alias(c) for c in ("read_id", "parent")), "hits")
+
+
+#: Numbers of letters, the same for both cases; T and U have the same complement.
+_CODE = np.full(256, 31, np.uint64)
+for _i, _x in enumerate(IUPAC):
+    _CODE[[ord(_x), ord(_x.lower())]] = IUPAC.index("T") if _x == "U" else _i
+
+
+def _letters(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' letters, one after another, and how many each has."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in column]
+    return np.concatenate(parts), np.array([len(x) for x in parts])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit numbers."""
+    for turn in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(turn)
+    return x ^ (x >> np.uint64(32))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _pieces(letters: np.ndarray, sizes: np.ndarray, k: int, bins: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pieces of sequences whose k-mers are of one bin, in the order of bins: bin, k-mers in it, sequence, and all their letters. A
+    long sequence is looked at in stretches."""
+    ends, most = np.cumsum(sizes), max(LETTERS, k)
+    for first in range(0, len(letters) - k + 1, most):
+        here = letters[first : first + most + k - 1]
+        m = min(k, SEED)
+        code, turned = _CODE[here], _CODE[_COMPLEMENT[here]]
+        ahead = back = np.zeros(len(here) - m + 1, np.uint64)
+        for j in range(m):
+            ahead = (ahead << np.uint64(5)) | code[j : len(here) - m + 1 + j]
+            back = (back << np.uint64(5)) | turned[m - 1 - j : len(here) - j]
+        least, width = _mixed(np.minimum(ahead, back)), 1
+        while width < k - m + 1:  # minima of twice as many, and of what is left
+            step = min(width, k - m + 1 - width)
+            least, width = np.minimum(least[:-step], least[step:]), width + step
+        at = np.arange(first, first + len(least))
+        of = np.searchsorted(ends, at, side="right")
+        inside = at + k <= ends[of]
+        at, of, least = at[inside], of[inside], least[inside]
+        if not len(at):
+            continue
+        new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (of[1:] != of[:-1])]))
+        count, bin_ = np.diff(np.append(new, len(at))), (least[new] % np.uint64(bins)).astype(np.int64)
+        order = np.argsort(bin_, kind="stable")
+        count, start = count[order], at[new][order]
+        yield bin_[order], count, of[new][order], letters[_ranges(start, count + k - 1)], np.cumsum(count + k - 1)
+
+
+def _rows_of_bins(bins: np.ndarray, count: np.ndarray, of: np.ndarray, letters: np.ndarray, ends: np.ndarray, ids: pa.Array, parents: pa.Array) -> Iterator[pa.RecordBatch]:
+    """One row a bin."""
+    cuts = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1], [True]]))
+    blobs = []
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        own, local = np.unique(of[a:z], return_inverse=True)
+        blobs.append(_blob(letters[ends[a - 1] if a else 0 : ends[z - 1]], count[a:z], np.diff(local, prepend=0), ids.take(pa.array(own)), parents.take(pa.array(own))))
+    for a in range(0, len(blobs), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(bins[cuts[a : min(a + 64, len(blobs))]], pa.int32()), pa.array(blobs[a : a + 64], pa.binary())], names=["bin", "pieces"])
+
+
+def _blob(letters: np.ndarray, count: np.ndarray, step: np.ndarray, *texts: pa.Array) -> bytes:
+    """Arrays as compressed bytes: their numbers' low bytes first, then the higher ones, which are mostly zero."""
+    parts = [letters.tobytes(), *(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes() for x in (count, step))]
+    for t in texts:
+        sizes = np.where(t.is_valid().to_numpy(zero_copy_only=False), pc.binary_length(t).fill_null(0).to_numpy(zero_copy_only=False), -1)
+        parts += [np.ascontiguousarray(sizes.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), "".join(x for x in t.to_pylist() if x).encode()]
+    head = np.array([len(p) for p in parts], "<i8").tobytes()
+    raw = head + b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unblob(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """letters, count, step, ids, parents."""
+    data = memoryview(blob)
+    raw = memoryview(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True))
+    sizes = np.frombuffer(raw[:56], "<i8")
+    ends = 56 + np.cumsum(sizes)
+    parts = [raw[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    numbers = lambda x: np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+
+    def texts(sizes: np.ndarray, data: memoryview) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))]).astype(np.int32)
+        valid = pa.py_buffer(np.packbits(sizes >= 0, bitorder="little"))
+        return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(bytes(data)), valid)
+
+    return np.frombuffer(parts[0], np.uint8), numbers(parts[1]), numbers(parts[2]), texts(numbers(parts[3]), parts[4]), texts(numbers(parts[5]), parts[6])
+
+
+def _hits(group: list[tuple], k: int) -> pa.Table:
+    """read_id, parent, hits of the pieces of some bins, which hold all pieces that their k-mers are in."""
+    letters, count = (np.concatenate([g[j] for g in group]) for j in (0, 1))
+    firsts = np.cumsum([0] + [len(g[3]) for g in group])
+    of = np.concatenate([f + np.cumsum(g[2]) for f, g in zip(firsts, group, strict=False)])
+    ids, names = (pa.concat_arrays([g[j] for g in group]) for j in (3, 4))
+    named = names.dictionary_encode()
+    parent = named.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    none, found = ~ids.is_valid().to_numpy(zero_copy_only=False), []
+    sizes = count + k - 1
+    starts, passes = np.cumsum(sizes) - sizes, max(1, int(count.sum()) // (4 * TOGETHER))
+    # a bin of very many k-mers is looked at several times, each time at those with some of the hashes
+    cuts = np.searchsorted(np.cumsum(count), np.arange(1, passes) * 4 * TOGETHER)
+    chunks = [(a, z) for a, z in zip([0, *cuts], [*cuts, len(count)], strict=True) if a < z]
+    for turn in range(passes):
+        words, seqs = [], []
+        for a, z in chunks:
+            w = _kmer_words(letters[starts[a] : starts[z - 1] + sizes[z - 1]], starts[a:z] - starts[a], count[a:z], k)
+            mine = slice(None) if passes == 1 else _hash(w) % np.uint64(passes) == turn
+            words.append(w[:, mine])
+            seqs.append(np.repeat(of[a:z], count[a:z])[mine])
+        w, seq = np.concatenate(words, axis=1), np.concatenate(seqs)
+        if not len(seq):
+            continue
+        order, new = _alike(w)
+        seq, first = seq[order], np.flatnonzero(new)
+        runs, of_parent = np.diff(np.append(first, len(seq))), parent[seq]
+        for p, name in enumerate(named.dictionary):
+            hits = np.bincount(seq[np.repeat(np.logical_or.reduceat(of_parent == p, first), runs)], minlength=len(ids))
+            hits[none] = 0
+            i = np.flatnonzero(hits)
+            found.append(pa.table({"read_id": ids.take(pa.array(i)), "parent": pa.repeat(name, len(i)), "hits": hits[i]}))
+    return _summed(found) if found else pa.table({"read_id": ids[:0], "parent": names[:0], "hits": np.zeros(0, np.int64)})
+
+
+def _kmer_words(letters: np.ndarray, starts: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
+    """Each k-mer of the pieces, or its reverse complement where that sorts first, as numbers of up to eight letters, which together
+    hold them all."""
+    both = np.concatenate([letters, _COMPLEMENT[letters[::-1]], np.zeros(8, np.uint8)])
+    b = min(k, 8)
+    eight = np.ndarray(len(both) - 8, "<u8", both, strides=(1,)).copy().byteswap() >> np.uint64(64 - 8 * b)
+    steps = [*range(0, k - b, b), k - b]
+    ahead = _ranges(starts, count)
+    back = 2 * len(letters) - k - ahead
+    one, two = eight[ahead], eight[back]
+    less, tie = two < one, np.flatnonzero(one == two)
+    for s in steps[1:]:
+        one, two = eight[ahead[tie] + s], eight[back[tie] + s]
+        less[tie[two < one]] = True
+        tie = tie[one == two]
+    at = np.where(less, back, ahead)
+    return np.stack([eight[at + s] for s in steps])
+
+
+def _hash(words: np.ndarray) -> np.ndarray:
+    out = np.zeros(words.shape[1], np.uint64)
+    for w in words:
+        out = _mixed(out + w)
+    return out
+
+
+def _alike(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal columns lie together, and where each group of them begins: by hash, unless two share one."""
+    hashes = _hash(words)
+    order = np.argsort(hashes)
+    found, hashes = words[:, order], hashes[order]
+    differ = (found[:, 1:] != found[:, :-1]).any(0)
+    if (differ & (hashes[1:] == hashes[:-1])).any():
+        order = np.lexsort(words)
+        found = words[:, order]
+        differ = (found[:, 1:] != found[:, :-1]).any(0)
+    return order, np.concatenate([[True], differ])
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """read_id, parent, hits: one row a read and parent."""
+    out = pa.concat_tables(tables).group_by(["read_id", "parent"]).aggregate([("hits", "sum")])
+    return pa.table({"read_id": out.column("read_id"), "parent": out.column("parent"), "hits": out.column("hits_sum")})
 
 
 def evaluate(walks: DataFrame, nodes: DataFrame, edges: DataFrame, classified: DataFrame, column: str) -> DataFrame:
