@@ -7,17 +7,17 @@ part of the plan. Tables of vectors compress well and are far larger in memory t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairstrand.functions.strings import complement, sigmoid
 from pairstrand.operators.graph import degrees, mirror
 from pairstrand.operators.vectors import Held, added, lists, moments, packed, rows_of, unpacked
-from pairstrand.sources.shared import written
+from pairstrand.sources.shared import dealt, forget, shuffle_partitions, written
 
 Matrix = list[list[float]]
 
@@ -117,15 +117,191 @@ def gated_conv(h: DataFrame, e: DataFrame, w: dict[str, Matrix], size: int, eps:
 def gated_network(h: DataFrame, e: DataFrame, layers: list[dict[str, Matrix]], size: int, norm: str | None = None, eps: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """Several layers (``gated_conv``), one on the other; nodes and edges are written between them.
 
-    Vectors are packed from the first layer to the last. An edge passes through Python once a layer, where its new vector and its
-    shares of both ends' sums are made; a node once, where its sums meet and its next shares are made.
+    Nodes are dealt into buckets by blocks of ids, and an edge lies in both of its ends' buckets (once, if they are the same). So a
+    bucket has all that its nodes sum up once their neighbours' vectors have come: a layer shuffles a node's vector once for each
+    bucket that it has a neighbour in, and nothing else. Each bucket's tables are a few compressed rows, which one task takes in; a
+    node's edges lie in one bucket, however many they are. A norm needs sums over all rows before a layer ends, so layers with one
+    go by joins (``_layer``).
     """
     if not layers:
         return h, e
-    ready = _ready(h, layers[0])
-    for w, after in zip(layers, [*layers[1:], None], strict=True):
-        ready, e = _layer(ready, e, w, after, size, eps, norm)
-    return ready.select("node", unpacked("h").alias("h")), e.select("src", "dst", unpacked("e").alias("e"))
+    if norm is not None:
+        ready = _ready(h, layers[0])
+        for w, after in zip(layers, [*layers[1:], None], strict=True):
+            ready, e = _layer(ready, e, w, after, size, eps, norm)
+        return ready.select("node", unpacked("h").alias("h")), e.select("src", "dst", unpacked("e").alias("e"))
+    spark, block = h.sparkSession, BLOCK
+    names, schema = _bucket_names(spark), "bucket long, ids binary, e binary, h binary"
+    bucket = lambda node: _bucket(node, names, block)
+
+    def dealt_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _together(batches):
+            node, rows = x.column("node").to_numpy(), rows_of(x.column("h").combine_chunks())
+            yield from _by_bucket(bucket(node), names, lambda at: _node_row(node[at], rows[at]))  # noqa: B023
+
+    def dealt_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _together(batches):
+            src, dst, rows = x.column("src").to_numpy(), x.column("dst").to_numpy(), rows_of(x.column("e").combine_chunks())
+            one, two = bucket(src), bucket(dst)
+            twice = np.flatnonzero(one != two)
+            of = np.concatenate([np.arange(len(src)), twice])
+            yield from _by_bucket(np.concatenate([one, two[twice]]), names, lambda at: _edge_row(src[of[at]], dst[of[at]], rows[of[at]]))  # noqa: B023
+
+    of_nodes = h.select(F.col("node").cast("long").alias("node"), "h").mapInArrow(dealt_nodes, schema)
+    of_edges = e.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "e").mapInArrow(dealt_edges, schema)
+    state = written(dealt(of_nodes.union(of_edges).repartition(len(names), "bucket"), ["bucket"]), "conv-buckets")
+
+    def sent(key: tuple, mine: pa.Table) -> pa.Table:
+        node, rows, src, dst, _ = _bucket_of(mine)
+        one, two = np.searchsorted(names, bucket(src)), np.searchsorted(names, bucket(dst))
+        own, ends, to = int(np.searchsorted(names, key[0].as_py())), np.concatenate([src, dst]), np.concatenate([two, one])
+        far = np.concatenate([one == own, two == own]) & (to != own)
+        at, there = _places_in(node, ends[far])
+        codes = np.unique(to[far][there] * np.int64(len(node)) + at[there])
+        to, at = np.divmod(codes, max(1, len(node)))
+        return pa.Table.from_batches(_by_bucket(names[to], names, lambda x: _node_row(node[at[x]], rows[at[x]])), _ROWS)
+
+    def layer(w: dict[str, Matrix], give: str):
+        def run(key: tuple, mine: pa.Table, others: pa.Table) -> pa.Table:
+            node, rows, src, dst, own = _bucket_of(mine)
+            new, own, keep = _bucket_layer(w, eps, node, rows, *_bucket_of(others)[:2], src, dst, own)
+            src, dst = src[keep], dst[keep]
+            if give == "h":
+                return pa.table({"node": node, "h": lists(new)})
+            if give == "e":
+                here = bucket(src) == key[0].as_py()
+                return pa.table({"src": src[here], "dst": dst[here], "e": lists(own[here])})
+            parts = [_node_row(node, new), *(_edge_row(src[a : a + TOGETHER], dst[a : a + TOGETHER], own[a : a + TOGETHER]) for a in range(0, len(src), TOGETHER))]
+            return pa.Table.from_pylist([{"bucket": key[0].as_py(), **x} for x in parts], _ROWS)
+
+        return run
+
+    def meet(state: DataFrame, w: dict[str, Matrix], give: str, schema: str) -> DataFrame:
+        messages = state.groupBy("bucket").applyInArrow(sent, _ROWS_SCHEMA).repartition(len(names), "bucket")
+        return state.groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInArrow(layer(w, give), schema)
+
+    for w in layers[:-1]:
+        before, state = state, written(dealt(meet(state, w, "both", schema), ["bucket"]), "conv-buckets")
+        forget(before)
+    return meet(state, layers[-1], "h", "node long, h array<double>"), meet(state, layers[-1], "e", "src long, dst long, e array<double>")
+
+
+#: Nodes whose ids differ in these last bits only share a bucket; rows that a task packs together; edges that are looked at together.
+BLOCK, TOGETHER, EDGES = 11, 500_000, 100_000
+_ROWS_SCHEMA = "bucket long, ids binary, e binary, h binary"
+_ROWS = pa.schema({"bucket": pa.int64(), "ids": pa.binary(), "e": pa.binary(), "h": pa.binary()})
+
+
+def _bucket_names(spark: SparkSession) -> np.ndarray:
+    """Names of as many buckets as there are shuffle partitions, each in a partition of its own."""
+    n = shuffle_partitions(spark)
+    of = spark.range(40 * n + 100).groupBy(F.expr(f"pmod(hash(id), {n})")).agg(F.min("id").alias("id"))
+    return np.sort(np.array([r["id"] for r in of.collect()]))
+
+
+def _bucket(node: np.ndarray, names: np.ndarray, block: int) -> np.ndarray:
+    x = (node >> block).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return names[((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % np.uint64(len(names))]
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together, up to ``TOGETHER`` rows."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += len(b)
+        if size >= TOGETHER:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def _by_bucket(bucket: np.ndarray, names: np.ndarray, row: Callable[[np.ndarray], dict]) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket, made of the places that go to it."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]])) if len(order) else np.zeros(1, int)
+    made = [{"bucket": int(bucket[order[a]]), **row(order[a:z])} for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    for a in range(0, len(made), 64):
+        yield pa.RecordBatch.from_pylist(made[a : a + 64], _ROWS)
+
+
+def _shrunk(rows: np.ndarray) -> bytes:
+    """Rows of 64-bit numbers compressed, first bytes of all, then second ones, and so on."""
+    raw = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T.tobytes()
+    return np.array([*rows.shape, len(raw)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _grown(data: pa.Scalar, kind: type) -> np.ndarray:
+    data = memoryview(data.as_buffer())
+    n, d, size = np.frombuffer(data[:24], "<i8").tolist()
+    raw = np.frombuffer(pa.decompress(data[24:], size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8 * d, n).T).view(kind).reshape(n, d)
+
+
+def _node_row(node: np.ndarray, rows: np.ndarray) -> dict:
+    order = np.argsort(node)
+    return {"ids": _shrunk(np.diff(node[order], prepend=0)[:, None]), "h": _shrunk(rows[order])}
+
+
+def _edge_row(src: np.ndarray, dst: np.ndarray, rows: np.ndarray) -> dict:
+    order = np.lexsort([dst, src])
+    src, step = src[order], dst[order] - src[order]
+    return {"ids": _shrunk(np.stack([np.diff(src, prepend=0), (step << 1) ^ (step >> 63)], axis=1)), "e": _shrunk(rows[order])}
+
+
+def _bucket_of(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """Nodes in order, their vectors, and edges' ends and vectors."""
+    node, h, ends, e = [np.zeros(0, np.int64)], [], [np.zeros((0, 2), np.int64)], []
+    for ids, of_edges, of_nodes in zip(rows.column("ids"), rows.column("e"), rows.column("h"), strict=True):
+        ids = _grown(ids, np.int64)
+        if of_nodes.is_valid:
+            node.append(np.cumsum(ids[:, 0]))
+            h.append(_grown(of_nodes, float))
+        else:
+            src, step = np.cumsum(ids[:, 0]), ids[:, 1]
+            ends.append(np.stack([src, src + ((step >> 1) ^ -(step & 1))], axis=1))
+            e.append(_grown(of_edges, float))
+    node, ends = np.concatenate(node), np.concatenate(ends)
+    order = np.argsort(node, kind="stable")
+    return node[order], np.concatenate(h)[order] if h else np.zeros((0, 0)), ends[:, 0], ends[:, 1], np.concatenate(e) if e else np.zeros((0, 0))
+
+
+def _places_in(node: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ids are among ordered ones, and whether they are."""
+    at = np.minimum(np.searchsorted(node, wanted), max(0, len(node) - 1))
+    return at, node[at] == wanted if len(node) else np.zeros(len(wanted), bool)
+
+
+def _bucket_layer(w: dict[str, Matrix], eps: float, node: np.ndarray, h: np.ndarray, far: np.ndarray, far_h: np.ndarray, src: np.ndarray, dst: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """New vectors of the bucket's nodes, and of those of its edges whose ends both exist, and which these are. Sums are right for
+    the bucket's own nodes, which have all their edges here."""
+    m = {k: np.asarray(v, float) for k, v in w.items()}
+    d = len(m["B3"])
+    names = np.concatenate([node, far])
+    order = np.argsort(names, kind="stable")
+    names, rows = names[order], np.concatenate([x for x in (h, far_h) if len(x)])[order] if len(names) else np.zeros((0, d))
+    (one, first), (two, second) = _places_in(names, src), _places_in(names, dst)
+    keep = first & second
+    one, two, e = one[keep], two[keep], e[keep] if len(e) else np.zeros((0, d))
+    ahead, behind = rows @ np.concatenate([m["A2"], m["B1"]]).T, rows @ np.concatenate([m["A3"], m["B2"]]).T
+    new, sums = np.empty((len(e), d)), np.zeros((2, len(names), 2 * d))
+    for a in range(0, len(e), EDGES):
+        at = slice(a, a + EDGES)
+        of_src, of_dst = ahead[one[at]], behind[two[at]]
+        raw = of_src[:, d:] + of_dst[:, d:] + e[at] @ m["B3"].T
+        g = 1 / (1 + np.exp(-raw))
+        new[at] = np.maximum(raw, 0) + e[at]
+        for side, (to, of) in enumerate(((two[at], of_src), (one[at], of_dst))):
+            places, parts = added(to, [np.concatenate([g * of[:, :d], g], axis=1)])
+            sums[side, places] += parts[0]
+    mine = _places_in(names, node)[0]
+    if not len(node):
+        return np.zeros((0, d)), new, keep
+    out = h @ m["A1"].T
+    for part in sums[:, mine]:
+        out += part[:, :d] / (part[:, d:] + eps)
+    return np.maximum(out, 0) + h, new, keep
 
 
 def _shares(rows: np.ndarray, w: dict[str, Matrix] | None) -> dict[str, pa.Array]:
@@ -150,17 +326,17 @@ def _ready(h: DataFrame, w: dict[str, Matrix] | None) -> DataFrame:
     return written(h.select(F.col("node").cast("long").alias("node"), "h").mapInArrow(run, _ready_schema(w)), "conv-nodes")
 
 
-def _layer(ready: DataFrame, e: DataFrame, w: dict[str, Matrix], after: dict[str, Matrix] | None, size: int, eps: float, norm: str | None) -> tuple[DataFrame, DataFrame]:
-    """One layer on nodes that are ready for it: nodes ready for the layer after it (or the last), and edges, vectors packed."""
+def _layer(ready: DataFrame, e: DataFrame, w: dict[str, Matrix], after: dict[str, Matrix] | None, size: int, eps: float, norm: str) -> tuple[DataFrame, DataFrame]:
+    """One layer with a norm on nodes that are ready for it: nodes ready for the layer after it (or the last), and edges, vectors packed."""
     b3, a1 = np.asarray(w["B3"], float), np.asarray(w["A1"], float)
     d = len(b3)
     ends = e.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "e")
     joined = ends.join(ready.select(F.col("node").alias("src"), "ahead").hint("merge"), "src").join(ready.select(F.col("node").alias("dst"), "behind").hint("merge"), "dst")
-    # rows of edges (src, dst, e; with a norm the raw vector n), and of partial sums (node, side, part)
+    # rows of edges (src, dst, e, and the raw vector n), and of partial sums (node, side, part)
     made = pa.schema({"src": pa.int64(), "dst": pa.int64(), "e": pa.binary(), "n": pa.binary(), "node": pa.int64(), "side": pa.int32(), "part": pa.binary()})
 
-    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in made], schema=made)
+    def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in made], schema=made)
 
     def sums(side: int, keys: np.ndarray, parts: list[np.ndarray]) -> pa.RecordBatch:
         return rows(len(keys), node=pa.array(keys), side=pa.array(np.full(len(keys), side, np.int32)), part=packed(parts[0]))
@@ -172,7 +348,7 @@ def _layer(ready: DataFrame, e: DataFrame, w: dict[str, Matrix], after: dict[str
                 src, dst, own = (rows_of(x.column(c)) for c in ("ahead", "behind", "e"))
                 raw = src[:, d:] + dst[:, d:] + own @ b3.T
                 g = 1 / (1 + np.exp(-raw))
-                yield rows(len(x), src=x.column("src"), dst=x.column("dst"), **({"e": packed(own), "n": packed(raw)} if norm else {"e": packed(np.maximum(raw, 0) + own)}))
+                yield rows(len(x), src=x.column("src"), dst=x.column("dst"), e=packed(own), n=packed(raw))
                 for side, (key, of) in enumerate((("dst", src), ("src", dst))):
                     for s in held[side].add(x.column(key).to_numpy(), [np.concatenate([g * of[:, :d], g], axis=1)]):
                         yield sums(side, *s)
@@ -182,14 +358,12 @@ def _layer(ready: DataFrame, e: DataFrame, w: dict[str, Matrix], after: dict[str
 
     # the new edges and the sums both hang on the gates, which are therefore written once
     gate = written(joined.select("src", "dst", "e", "ahead", "behind").mapInArrow(gates, "src long, dst long, e binary, n binary, node long, side int, part binary"), "conv-gates")
-    fresh = after if norm is None else None
 
     def new(nodes: np.ndarray, own: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         out = own @ a1.T
         for keys, part in found:
             out[np.searchsorted(nodes, keys)] += part[:, :d] / (part[:, d:] + eps) if len(keys) else 0
-        more = {"n": packed(out), "h": packed(own)} if norm else _shares(np.maximum(out, 0) + own, fresh)
-        return pa.RecordBatch.from_arrays([pa.array(nodes), *more.values()], names=["node", *more])
+        return pa.RecordBatch.from_arrays([pa.array(nodes), packed(out), packed(own)], names=["node", "n", "h"])
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # sorted by node, so a node's rows lie together; those of the last one wait for the next batch
@@ -215,11 +389,8 @@ def _layer(ready: DataFrame, e: DataFrame, w: dict[str, Matrix], after: dict[str
             yield new(*kept[2], kept[:2])
 
     met = gate.where("node is not null").select("node", "side", "part").union(ready.select("node", F.lit(2), "h"))
-    schema = "node long, n binary, h binary" if norm else _ready_schema(fresh)
-    out = met.repartition("node").sortWithinPartitions("node").mapInArrow(nodes, schema)
+    out = met.repartition("node").sortWithinPartitions("node").mapInArrow(nodes, "node long, n binary, h binary")
     of_edges = gate.where("node is null")
-    if norm is None:
-        return written(out, "conv-layer"), of_edges.select("src", "dst", "e")
 
     @F.arrow_udf("binary")
     def residual(n: pa.Array, before: pa.Array) -> pa.Array:
